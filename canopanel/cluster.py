@@ -32,13 +32,24 @@ def shared_folder(spark: SparkSession, name: str) -> str:
 
 
 def checkpoint(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared checkpoint folder and cut its lineage."""
+    """Checkpoint ``df`` in the shared folder: lineage is cut, partitions and their order stay."""
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(_shared_root(df.sparkSession))
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame, name: str = "table") -> DataFrame:
+    """Write ``df`` as a Parquet table in the shared folder and read it back.
+
+    For a table used several times: its plan runs once, and each later use scans only the
+    columns it needs.
+    """
+    path = shared_folder(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def small_side(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
     """``df`` as a broadcast side if it has at most ``max_rows`` rows, else ``df`` as it is.
 

@@ -1,8 +1,8 @@
 """Anomalies: values compared with their own group's mean.
 
 A window over the group would bring all rows of one cell into one task.  The group's mean
-is therefore aggregated first (with map-side partial sums) and joined back; the join is a
-broadcast when the means are few, else Spark splits skewed partitions.
+is therefore aggregated first (with map-side partial sums) and joined back, where Spark can
+split a skewed partition.  Rows with a NULL key get a NULL anomaly.
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from canopanel.cluster import join_on_keys, small_side
+from canopanel.cluster import small_side
 from canopanel.functions.calendar import in_period
 from canopanel.operators.aggregate import climatology
 
@@ -21,10 +21,13 @@ ZSCORE_EPSILON = 1e-9
 
 def time_mean_anomaly(panel: DataFrame, keys: Sequence[str] = ("member", "gridcell"),
                       value: str = "value", out: str = "anomaly") -> DataFrame:
-    """Value minus the mean of its group over time."""
-    keys = list(keys)
+    """Value minus the mean of its group over time.
+
+    There are as many means as (member, cell) pairs, so no broadcast is asked for; Spark
+    still makes one at run time when they turn out small.
+    """
     means = panel.groupBy(*keys).agg(F.avg(value).alias("_mean"))
-    return (join_on_keys(panel, small_side(means), keys)
+    return (panel.join(means, list(keys), "left")
             .withColumn(out, F.col(value) - F.col("_mean")).drop("_mean"))
 
 
@@ -50,7 +53,7 @@ def anomaly(
         return shown.withColumn(out, F.col(value))
     base = panel.where(in_period(F.col(time), *baseline)) if baseline else panel
     stats = small_side(climatology(base, keys, value, time))
-    joined = join_on_keys(shown.withColumn("month", F.month(time)), stats, [*keys, "month"])
+    joined = shown.withColumn("month", F.month(time)).join(stats, [*keys, "month"], "left")
     difference = F.col(value) - F.col("clim_mean")
     if mode == "zscore":
         difference = difference / (F.col("clim_std") + ZSCORE_EPSILON)

@@ -125,22 +125,21 @@ def gaussian_fit(table: DataFrame, column: str, points: int = 500, bins: int = 5
 def kde(table: DataFrame, column: str, points: int = 200) -> DataFrame:
     """Gaussian kernel density with Scott's bandwidth ``n^(-1/5) * std`` on even points.
 
-    Equal values are counted first; each distinct value then adds to all points inside one
-    aggregation, so no (row, point) pairs are shuffled.
+    Each row adds to all points inside one aggregation, so a task sends one row of partial
+    sums and no (row, point) pairs.
     """
-    counted = table.where(F.col(column).isNotNull()).groupBy(
-        F.col(column).cast("double").alias("_x")).agg(F.count("*").alias("_n"))
+    values = table.where(F.col(column).isNotNull()).select(F.col(column).cast("double").alias("_x"))
     moments = table.agg(F.struct(
         F.stddev_samp(column).alias("std"), F.min(column).cast("double").alias("lo"),
         F.max(column).cast("double").alias("hi"), F.count(column).cast("double").alias("n")
     ).alias("m")).scalar()
     h = F.col("m.std") * F.pow(F.col("m.n"), F.lit(-0.2))
-    base = counted.withColumn("m", moments).select(
-        "_x", "_n", h.alias("h"), F.col("m.lo").alias("lo"), F.col("m.hi").alias("hi"), F.col("m.n").alias("n"))
+    base = values.withColumn("m", moments).select(
+        "_x", h.alias("h"), F.col("m.lo").alias("lo"), F.col("m.hi").alias("hi"), F.col("m.n").alias("n"))
 
     def at(i: int) -> Column:
         z = (F.col("lo") + (F.col("hi") - F.col("lo")) * (i / (points - 1)) - F.col("_x")) / F.col("h")
-        return F.sum(F.col("_n") * F.exp(-0.5 * z * z)).alias(f"p{i}")
+        return F.sum(F.exp(-0.5 * z * z)).alias(f"p{i}")
 
     sums = base.agg(F.max("lo").alias("lo"), F.max("hi").alias("hi"), F.max("n").alias("n"),
                     F.max("h").alias("h"), *[at(i) for i in range(points)])

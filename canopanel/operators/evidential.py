@@ -23,9 +23,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from canopanel.cluster import checkpoint
+from canopanel.cluster import checkpoint, small_values
 from canopanel.functions.special import lgamma
 
+MAX_SLICES = 1000  # the driver and every task hold one network per slice
 _BLOCK = 4096  # weights per row when partial models travel to be averaged
 
 
@@ -319,7 +320,7 @@ def fit_evidential(
     partitions = partitions or spark.sparkContext.defaultParallelism
     train_rows = _prepared(train, features, tasks, by, keys, partitions, seed)
     val_rows = _prepared(val, features, tasks, by, keys, partitions, seed)
-    slices = [r[0] for r in train_rows.select("_slice").distinct().collect() if r[0] is not None]
+    slices = small_values(train_rows, "_slice", MAX_SLICES)
     theta = {s: net.initial(seed) for s in slices}
     best = {s: (math.inf, theta[s]) for s in slices}
     rate = dict.fromkeys(slices, learning_rate)

@@ -15,21 +15,21 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from canopanel.cluster import BROADCAST_ROWS, checkpoint, join_on_keys
+from canopanel.cluster import BROADCAST_ROWS, join_on_keys, stored
 
 
 def running_total(table: DataFrame, by: Sequence[str], order: Sequence[str], weight: str | None = None,
                   out: str = "running", total: str = "total") -> DataFrame:
     """Inclusive running sum of an integer ``weight`` (1 when absent) within each group.
 
-    ``order`` must be unique within a group.  The sorted table is checkpointed, so that the
+    ``order`` must be unique within a group.  The partitioned table is stored, so that the
     partition totals and the rows they are added to come from the same partitions.
     """
     by = list(by)
     amount = F.lit(1).cast("long") if weight is None else F.col(weight).cast("long")
-    parts = checkpoint(
+    parts = stored(
         table.repartitionByRange(*by, *order)
-        .withColumns({"_part": F.spark_partition_id(), "_amount": amount}))
+        .withColumns({"_part": F.spark_partition_id(), "_amount": amount}), "ranges")
     group = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
     blocks = (
         parts.groupBy(*by, "_part").agg(F.sum("_amount").alias("_block"))

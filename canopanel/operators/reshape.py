@@ -35,8 +35,13 @@ def sample_slice(samples: DataFrame, sample: int, sample_id: str = "sample_id")
 
 def stack_multitask(panel: DataFrame, cells: Sequence, keys: Sequence[str] = ("member", "time"),
                     cell: str = "gridcell", value: str = "value", prefix: str = "cell_") -> DataFrame:
-    """One row per sample with one output column per cell; absent cells are NULL."""
-    wide = panel.groupBy(*keys).pivot(cell, list(cells)).agg(F.max(value))
+    """One row per sample with one output column per cell; absent cells are NULL.
+
+    The rows are brought together by sample before the pivot.  Otherwise each task would
+    send a full-width, mostly empty row for every sample it has seen a part of.
+    """
+    together = panel.select(*keys, cell, value).repartition(*keys)
+    wide = together.groupBy(*keys).pivot(cell, list(cells)).agg(F.max(value))
     return wide.withColumnsRenamed({str(c): f"{prefix}{c}" for c in cells})
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from canopanel.cluster import join_on_keys, small_side
+from canopanel.cluster import small_side
 from canopanel.operators.ranking import exact_quantiles
 
 
@@ -27,7 +27,7 @@ def _with_moments(table: DataFrame, moments: DataFrame, by: Sequence[str]) -> Da
     fitted = [c for c in moments.columns if c not in by]
     packed = F.struct(*fitted).alias("_m")
     if by:
-        return join_on_keys(table, small_side(moments.select(*by, packed)), list(by))
+        return table.join(small_side(moments.select(*by, packed)), list(by), "left")
     return table.withColumn("_m", moments.select(packed).scalar())
 
 

@@ -7,7 +7,7 @@ import math
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from canopanel.cluster import small_values
+from canopanel.cluster import small_values, stored
 from canopanel.functions import calendar as cal
 from canopanel.operators import aggregate, evidential, region, reshape, scaling, sensitivity, splits
 from canopanel.operators.samples import build_samples as samples_of
@@ -22,9 +22,10 @@ PARAMS = ["p1", "p2", "p3"]
 
 # ---- sample table -------------------------------------------------------------------------
 
-def study_samples(spark: SparkSession, sf: str, conus: bool = True) -> DataFrame:
-    cells = region.box_cells(v.grid(spark, sf), region.CONUS) if conus else None
-    return samples_of(v.panel(spark, sf), v.params(spark, sf).drop("member_label"), v.forcing(spark, sf), cells)
+def study_samples(spark: SparkSession, sf: str) -> DataFrame:
+    cells = region.box_cells(v.grid(spark, sf), region.CONUS)
+    panel = v.stored_panel(spark, sf)
+    return samples_of(panel, v.params(spark, sf).drop("member_label"), v.forcing_of(panel), cells)
 
 
 @query("build_samples", f"""
@@ -43,7 +44,7 @@ def scaled_samples(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame,
     """Train and validation samples with features and target scaled on the training rows."""
     features = feature_names(v.params(spark, sf).drop("member_label"))
     samples = splits.split_member_time(study_samples(spark, sf), member_split(spark, sf), VAL_YEARS)
-    used = samples.where("split IS NOT NULL").withColumn("season", cal.season(F.col("month")))
+    used = stored(samples.where("split IS NOT NULL"), "samples").withColumn("season", cal.season(F.col("month")))
     moments = scaling.fit_standard(used.where("split = 'train'"), [*features, "target"])
     scaled = scaling.standard_scale(used, moments, [*features, "target"])
     return scaled.where("split = 'train'"), scaled.where("split = 'val'"), features
@@ -128,7 +129,8 @@ def fit_multitask(spark, sf):
     keys = ["member", "time"]
     wide = splits.split_member_time(
         reshape.stack_multitask(v.panel(spark, sf), cells), member_split(spark, sf), VAL_YEARS)
-    table = reshape.with_time_features(reshape.attach_params(wide, v.params(spark, sf).drop("member_label")))
+    table = reshape.with_time_features(reshape.attach_params(
+        stored(wide.where("split IS NOT NULL"), "wide"), v.params(spark, sf).drop("member_label")))
     features = [*PARAMS, "m_sin", "m_cos", "year"]
     moments = scaling.fit_standard(table.where("split = 'train'"), [*features, *tasks])
     scaled = scaling.standard_scale(table, moments, [*features, *tasks])
@@ -145,16 +147,13 @@ _OWN, _OTHERS = sensitivity.frequencies(len(PARAMS), POINTS, HARMONICS)
 _PHASES = sensitivity.phases(len(PARAMS), SEED)
 
 
-def study_bounds(spark: SparkSession, sf: str) -> DataFrame:
-    """Parameter bounds over the members that have panel rows."""
-    return aggregate.column_bounds(v.panel(spark, sf).join(v.params(spark, sf), "member"), PARAMS)
+def with_params(panel: DataFrame, sf: str) -> DataFrame:
+    return reshape.attach_params(panel, v.params(panel.sparkSession, sf).drop("member_label"))
 
 
-def response(spark: SparkSession, sf: str, by: list | None = None) -> DataFrame:
+def response(joined: DataFrame, by: list | None = None) -> DataFrame:
     """Slopes of the value on each parameter, and the parameters' means: a small closed-form emulator."""
-    joined = v.panel(spark, sf).join(v.params(spark, sf), "member")
-    joined = joined.withColumn("season", cal.season(F.month("time")))
-    return joined.groupBy(*(by or [])).agg(
+    return joined.withColumn("season", cal.season(F.month("time"))).groupBy(*(by or [])).agg(
         *[F.regr_slope("value", p).alias(f"{p}_slope") for p in PARAMS], *[F.avg(p).alias(f"{p}_mean") for p in PARAMS])
 
 
@@ -213,13 +212,20 @@ def _indices_sql(by: str = "") -> str:
              FROM coefficients JOIN totals USING ({keys}) GROUP BY {keys})"""
 
 
-def study_points(spark: SparkSession, sf: str) -> DataFrame:
-    return sensitivity.fast_sample(spark, study_bounds(spark, sf), POINTS, HARMONICS, SEED)
+def study_points(joined: DataFrame) -> DataFrame:
+    """The sample between the parameters' bounds over all members that have panel rows."""
+    bounds = aggregate.column_bounds(joined, PARAMS)
+    return sensitivity.fast_sample(joined.sparkSession, bounds, POINTS, HARMONICS, SEED)
+
+
+def study_outputs(spark: SparkSession, sf: str, by: list | None = None) -> DataFrame:
+    joined = with_params(v.stored_panel(spark, sf).select("member", "time", "value"), sf)
+    return emulated(study_points(joined), response(joined, by), by)
 
 
 def study_indices(spark: SparkSession, sf: str, by: list | None = None, n_bootstrap: int = 0) -> DataFrame:
-    outputs = emulated(study_points(spark, sf), response(spark, sf, by), by)
-    return sensitivity.fast_indices(outputs, HARMONICS, by=by or [], n_bootstrap=n_bootstrap)
+    return sensitivity.fast_indices(
+        study_outputs(spark, sf, by), HARMONICS, by=by or [], n_bootstrap=n_bootstrap)
 
 
 _ALL = "panel params"
@@ -228,14 +234,13 @@ _ALL = "panel params"
 @query("fast_sample", f"""
     WITH {_sample_sql()} SELECT curve, n, {r('p1', 4)} AS p1, {r('p2')} AS p2, {r('p3')} AS p3 FROM points""", _ALL)
 def fast_sample(spark, sf):
-    return rounded(study_points(spark, sf), p1=4)
+    return rounded(study_points(with_params(v.panel(spark, sf), sf)), p1=4)
 
 
 @query("fast_first_order", f"""
     WITH {_sample_sql()}, {_response_sql()}, {_indices_sql()} SELECT curve AS name, {r('S1')} AS S1 FROM sens""", _ALL)
 def fast_first_order(spark, sf):
-    outputs = emulated(study_points(spark, sf), response(spark, sf))
-    return rounded(sensitivity.fast_first_order(outputs, POINTS, HARMONICS))
+    return rounded(sensitivity.fast_first_order(study_outputs(spark, sf), POINTS, HARMONICS))
 
 
 @query("fast_indices", f"""

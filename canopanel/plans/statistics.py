@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from canopanel.cluster import shared_folder
+from canopanel.cluster import shared_folder, stored
 from canopanel.functions import calendar as cal
 from canopanel.functions.labels import member_id
 from canopanel.operators import aggregate, anomaly, diagnostics as diag, region, scaling, splits
@@ -158,7 +158,7 @@ def line_means(spark, sf):
     SELECT member, time, gridcell, {r('value - avg(value) OVER (PARTITION BY member, gridcell)')} AS anomaly
     FROM panel""", "panel")
 def anomaly_time_mean(spark, sf):
-    return rounded(anomaly.time_mean_anomaly(v.panel(spark, sf)).select(*KEYS, "anomaly"))
+    return rounded(anomaly.time_mean_anomaly(v.stored_panel(spark, sf)).select(*KEYS, "anomaly"))
 
 
 _CLIM = """
@@ -193,6 +193,11 @@ def split_panel(spark: SparkSession, sf: str) -> DataFrame:
     return splits.split_member_time(v.panel(spark, sf), member_split(spark, sf), VAL_YEARS)
 
 
+def stored_split(spark: SparkSession, sf: str) -> DataFrame:
+    """The split panel without its discarded blocks, written once."""
+    return stored(split_panel(spark, sf).where("split IS NOT NULL"), "split")
+
+
 _MEMBERS = """msplit AS (
       SELECT member, CASE WHEN i < n * 4 // 5 THEN 'train' ELSE 'val' END AS member_split FROM (
         SELECT member, row_number() OVER (ORDER BY member) - 1 AS i, count(*) OVER () AS n
@@ -300,7 +305,7 @@ def _scaled_sql(by: str) -> str:
 
 
 def _scaled(spark, sf, by: list[str]) -> DataFrame:
-    samples = splits.with_month_slice(split_panel(spark, sf)).where("split IS NOT NULL")
+    samples = splits.with_month_slice(stored_split(spark, sf))
     moments = scaling.fit_standard(samples.where("split = 'train'"), COLUMNS, by)
     keep = [*KEYS, *[c for c in by if c not in KEYS], "split"]
     return rounded(scaling.standard_scale(samples, moments, COLUMNS, by).select(*keep, *COLUMNS))
@@ -322,35 +327,43 @@ def standard_scale_by_cell(spark, sf):
 
 
 @query("inverse_scale", f"""
-    SELECT {_K}, {r('mu * s + m', 2)} AS mu
+    SELECT {_K}, {r('mu / 1e4 * s + m', 3)} AS mu
     FROM pred, (SELECT avg(truth) AS m, stddev_pop(truth) AS s FROM pred)""", "pred")
 def inverse_scale(spark, sf):
-    """``mu`` read as a scaled prediction and put back on the scale of the truth."""
+    """``mu / 1e4`` read as a scaled prediction and put back on the scale of the truth."""
     p = v.pred(spark, sf)
     moments = scaling.fit_standard(p, ["truth"]).withColumnsRenamed({"truth_mean": "mu_mean", "truth_std": "mu_std"})
-    return rounded(scaling.inverse_scale(p, moments, ["mu"]).select(*v.PRED_KEYS, "mu"), 2)
+    scaled = p.select(*v.PRED_KEYS, (F.col("mu") / 1e4).alias("mu"))
+    return rounded(scaling.inverse_scale(scaled, moments, ["mu"]), 3)
 
 
-_QUANTILES = f"""{_SPLIT}, ql AS ({' UNION ALL '.join(f'''
+# Quantile maps jump at ties, so the last bit of a mean must not decide: round the means first.
+_QUANTILES = f"""{_SPLIT}, sq AS (
+      SELECT member, time, gridcell, split, {', '.join(f"{r(c, 9)} AS {c}" for c in COLUMNS)} FROM sp),
+    ql AS ({' UNION ALL '.join(f'''
       SELECT '{c}' AS feature, quantile_cont({c}, [0, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 1.0]) AS qs
-      FROM sp WHERE split = 'train' ''' for c in COLUMNS)}),
+      FROM sq WHERE split = 'train' ''' for c in COLUMNS)}),
     q AS (SELECT feature, k, qs[k + 1] AS quantile, k / 10.0::DOUBLE AS ref FROM ql, range(11) AS o(k))"""
 
 
-def _fitted_quantiles(spark, sf, samples: DataFrame) -> DataFrame:
+def _quantile_samples(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(stored_split(spark, sf).select(*KEYS, "split", *COLUMNS), 9)
+
+
+def _fitted_quantiles(samples: DataFrame) -> DataFrame:
     return scaling.fit_quantiles(samples.where("split = 'train'"), COLUMNS, n_quantiles=11)
 
 
 @query("quantile_fit", f"""
     WITH {_QUANTILES} SELECT feature, k, {r('ref')} AS ref, {r('quantile')} AS quantile FROM q""", "panel pred")
 def quantile_fit(spark, sf):
-    return rounded(_fitted_quantiles(spark, sf, split_panel(spark, sf)).select("feature", "k", "ref", "quantile"))
+    return rounded(_fitted_quantiles(_quantile_samples(spark, sf)).select("feature", "k", "ref", "quantile"))
 
 
 @query("quantile_transform", f"""
     WITH {_QUANTILES},
     x AS ({' UNION ALL '.join(
-        f"SELECT member, time, gridcell, '{c}' AS feature, {c} AS v FROM sp WHERE split IS NOT NULL" for c in COLUMNS)}),
+        f"SELECT member, time, gridcell, '{c}' AS feature, {c} AS v FROM sq WHERE split IS NOT NULL" for c in COLUMNS)}),
     ends AS (SELECT feature, min(quantile) AS q0, max(quantile) AS q1 FROM q GROUP BY 1),
     seg AS (SELECT feature, quantile AS lo, lead(quantile) OVER w AS hi, ref AS r0, lead(ref) OVER w AS r1
             FROM q WINDOW w AS (PARTITION BY feature ORDER BY k)),
@@ -366,8 +379,8 @@ def quantile_fit(spark, sf):
         f"{r(f'''max(u) FILTER (WHERE feature = '{c}')''', 5)} AS {c}" for c in COLUMNS)}
     FROM out GROUP BY 1, 2, 3""", "panel pred")
 def quantile_transform(spark, sf):
-    samples = split_panel(spark, sf).where("split IS NOT NULL")
-    fitted = _fitted_quantiles(spark, sf, samples)
+    samples = _quantile_samples(spark, sf)
+    fitted = _fitted_quantiles(samples)
     return rounded(scaling.quantile_scale(samples, fitted, COLUMNS).select(*KEYS, *COLUMNS), 5)
 
 

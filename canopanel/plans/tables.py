@@ -285,17 +285,18 @@ def features_unpivot(spark, sf):
     FROM panel p JOIN params q ON p.member = q.member
          JOIN forcing f ON p.time = f.time AND p.gridcell = f.gridcell""", "panel params forcing")
 def panel_broadcast(spark, sf):
-    values = v.panel(spark, sf).select("member", "time", "gridcell", "value")
+    panel = v.stored_panel(spark, sf)
+    values = panel.select("member", "time", "gridcell", "value")
     both = reshape.attach_params(values, v.params(spark, sf).drop("member_label"))
-    return rounded(reshape.attach_forcing(both, with_precip(v.forcing(spark, sf))))
+    return rounded(reshape.attach_forcing(both, with_precip(v.forcing_of(panel))))
 
 
 @query("join_forcing", f"""
     SELECT p.member, p.time, p.gridcell, {r('p.value - f.tsa')} AS departure
     FROM panel p JOIN forcing f ON p.time = f.time AND p.gridcell = f.gridcell""", "panel forcing")
 def join_forcing(spark, sf):
-    values = v.panel(spark, sf).select("member", "time", "gridcell", "value")
-    joined = reshape.attach_forcing(values, v.forcing(spark, sf))
+    panel = v.stored_panel(spark, sf)
+    joined = reshape.attach_forcing(panel.select("member", "time", "gridcell", "value"), v.forcing_of(panel))
     return rounded(joined.select("member", "time", "gridcell", (F.col("value") - F.col("tsa")).alias("departure")))
 
 
@@ -366,7 +367,7 @@ def attach_predictions(spark, sf):
 @query("align_xy", f"""
     SELECT member, time, gridcell, {r('rain')} AS rain, {r('value')} AS value FROM panel""", "panel")
 def align_xy(spark, sf):
-    p, keys = v.panel(spark, sf), ["member", "time", "gridcell"]
+    p, keys = v.stored_panel(spark, sf), ["member", "time", "gridcell"]
     return rounded(reshape.align_xy(p.select(*keys, "rain"), p.select(*keys, "value"), keys))
 
 
