@@ -58,13 +58,18 @@ def bias_variance(pred: DataFrame, keys: Sequence[str] = (), truth: str = "truth
 
 
 def _bin(x: Column, lo: Column, hi: Column, bins: int) -> Column:
-    """Equal-width bin 0 .. bins-1; the last bin includes its upper edge.
+    """Equal-width bin 0 .. bins-1 by the edges ``lo + b * width``; the last bin includes its
+    upper edge.  The quotient is a first guess, moved by one where rounding misplaced it.
 
     A single-valued column is spread over one unit, as histogram tools do.
     """
     flat = lo == hi
     lo, hi = F.when(flat, lo - 0.5).otherwise(lo), F.when(flat, hi + 0.5).otherwise(hi)
-    return F.least(F.lit(bins - 1), F.floor((x - lo) * bins / (hi - lo))).cast("int")
+    width = (hi - lo) / bins
+    guess = F.floor((x - lo) / width)
+    moved = (guess - (x < lo + guess * width).cast("int")
+             + (x >= lo + (guess + 1) * width).cast("int"))
+    return F.least(F.lit(bins - 1), moved).cast("int")
 
 
 def _range_of(table: DataFrame, columns: Sequence[str]) -> Column:

@@ -417,12 +417,20 @@ def error_over_time(spark, sf):
     return rounded(aggregate.mean_by(diag.with_errors(v.pred(spark, sf)), ["time"], ["abs_error"]), 4)
 
 
+def _bin_sql(x: str, lo: str, hi: str, bins: int) -> str:
+    """Bin by the edges ``lo + b * width``: a first guess, moved by one where rounding misplaced it."""
+    width = f"(({hi} - {lo}) / {bins})"
+    guess = f"floor(({x} - {lo}) / {width})"
+    return (f"CAST(least({bins - 1}, {guess} - CASE WHEN {x} < {lo} + {guess} * {width} THEN 1 ELSE 0 END"
+            f" + CASE WHEN {x} >= {lo} + ({guess} + 1) * {width} THEN 1 ELSE 0 END) AS INTEGER)")
+
+
 def _histogram_sql(columns: list[str], bins: int) -> str:
     values = " UNION ALL ".join(f"SELECT '{c}' AS feature, {c} AS x FROM e" for c in columns)
     return f"""
     WITH e AS (SELECT *, abs(truth - mu) AS abs_error FROM pred), xs AS ({values}),
     b AS (SELECT min(x) AS lo, max(x) AS hi FROM xs),
-    n AS (SELECT feature, least({bins - 1}, CAST(floor((x - lo) * {bins} / (hi - lo)) AS INTEGER)) AS bin, count(*) AS n
+    n AS (SELECT feature, {_bin_sql('x', 'lo', 'hi', bins)} AS bin, count(*) AS n
           FROM xs, b GROUP BY 1, 2)
     SELECT f.feature, CAST(o.i AS INTEGER) AS bin, {r(f'lo + (hi - lo) / {bins} * o.i', 5)} AS "left",
            {r(f'lo + (hi - lo) / {bins} * (o.i + 1)', 5)} AS "right", coalesce(n.n, 0) AS n
@@ -440,11 +448,10 @@ def histogram_shared(spark, sf):
     return rounded(diag.histogram(v.pred(spark, sf), ["mu", "truth"], 49), 5)
 
 
-@query("histogram_2d", """
+@query("histogram_2d", f"""
     WITH s AS (SELECT sqrt(alea) AS x, sqrt(epis) AS y FROM pred),
     b AS (SELECT min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1 FROM s)
-    SELECT least(49, CAST(floor((x - x0) * 50 / (x1 - x0)) AS INTEGER)) AS x_bin,
-           least(49, CAST(floor((y - y0) * 50 / (y1 - y0)) AS INTEGER)) AS y_bin, count(*) AS n
+    SELECT {_bin_sql('x', 'x0', 'x1', 50)} AS x_bin, {_bin_sql('y', 'y0', 'y1', 50)} AS y_bin, count(*) AS n
     FROM s, b GROUP BY 1, 2 HAVING count(*) >= 7""", "pred")
 def histogram_2d(spark, sf):
     return diag.histogram_2d(diag.with_sigma(v.pred(spark, sf)), "alea_sigma", "epis_sigma")
@@ -522,14 +529,26 @@ def pit_flag(spark, sf):
     return diag.pit_flag(v.pred(spark, sf)).select(*v.PRED_KEYS, "pit_flag")
 
 
-@query("pit")
+# Normal CDF as its all-positive series: 1/2 + density * sum of z^(2n+1) / (1 3 5 ... (2n+1)).
+_PIT = f"""
+    WITH z AS (SELECT {_K}, (truth - mu) / 1e4 / sqrt(nullif(alea + epis, 0)) AS z FROM pred),
+    c AS (SELECT n, lgamma(2 * n + 2) - n * ln(2) - lgamma(n + 1) AS c FROM range(120) AS o(n)),
+    s AS (SELECT {_K}, CASE WHEN z = 0 THEN 0.5 ELSE 0.5 + sign(z) * exp(-z * z / 2) / sqrt(2 * pi())
+              * (SELECT sum(exp((2 * n + 1) * ln(nullif(abs(z), 0)) - c)) FROM c) END AS pit FROM z)"""
+
+
+@query("pit", f"{_PIT} SELECT {_K}, {r('pit')} AS pit FROM s", "pred")
 def pit(spark, sf):
     """Errors in units of the truth's spread, so that PIT values cover [0, 1]."""
     scaled = v.pred(spark, sf).withColumns({"truth": F.col("truth") / 1e4, "mu": F.col("mu") / 1e4})
     return rounded(diag.pit(scaled).select(*v.PRED_KEYS, "pit"))
 
 
-@query("pit_histogram")
+@query("pit_histogram", f"""{_PIT},
+    t AS (SELECT count(*) AS total FROM s WHERE pit IS NOT NULL),
+    b AS (SELECT least(19, CAST(floor(pit * 20) AS INTEGER)) AS bin, count(*) AS n FROM s WHERE pit IS NOT NULL GROUP BY 1)
+    SELECT CAST(o.i AS INTEGER) AS bin, coalesce(n, 0) AS n, {r('coalesce(n, 0) * 20 / total')} AS density
+    FROM range(20) AS o(i) CROSS JOIN t LEFT JOIN b ON b.bin = o.i""", "pred")
 def pit_histogram(spark, sf):
     scaled = v.pred(spark, sf).withColumns({"truth": F.col("truth") / 1e4, "mu": F.col("mu") / 1e4})
     return rounded(diag.pit_histogram(scaled))

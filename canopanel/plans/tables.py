@@ -357,7 +357,8 @@ def unify_slices(spark, sf):
 
 
 @query("attach_predictions", f"""
-    SELECT l_orderkey, l_linenumber, l_partkey, member, {r('truth', 4)} AS truth, {r('mu', 4)} AS mu FROM pred""", "pred")
+    SELECT l_orderkey, l_linenumber, l_partkey, member, {r('a.truth', 4)} AS truth, {r('b.mu', 4)} AS mu
+    FROM pred a JOIN pred b USING (l_orderkey, l_linenumber, l_partkey, member)""", "pred")
 def attach_predictions(spark, sf):
     p = v.pred(spark, sf)
     return rounded(reshape.attach_predictions(
