@@ -12,9 +12,9 @@ from itertools import combinations_with_replacement
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from canopanel.cluster import small_side
+from canopanel.cluster import small_side, stored
 from canopanel.functions.special import normal_cdf
-from canopanel.operators.ranking import exact_quantiles, running_total
+from canopanel.operators.ranking import exact_quantiles, rank_blocks, ranks_in
 
 Z95 = 1.96
 
@@ -171,18 +171,26 @@ def discard_test(pred: DataFrame, measures: Sequence[str], keys: Sequence[str],
     """RMSE after dropping the ``i / parts`` most uncertain rows, i = 0 .. steps-1.
 
     Result: (slice_cols, measure, i, kept, rmse).  Ties in a measure are ordered by
-    ``keys``, which must be unique.  Each row is assigned the largest i that still keeps
-    it; the RMSEs follow from sums over those few classes.
+    ``keys``, which must be unique.  Each row belongs to the largest i that still keeps it,
+    and the RMSEs follow from sums over those few classes.  A block of ranks that no cut
+    falls into is summed as a whole; only the blocks with a cut are sorted.
     """
-    by = [*slice_cols, "measure"]
+    by, order = [*slice_cols, "measure"], ["_u", *keys]
     error = F.col(truth) - F.col(mu)
     long = pred.select(*slice_cols, *keys, (error * error).alias("_sq"), F.inline(F.array(*[
         F.struct(F.lit(m).alias("measure"), F.col(m).cast("double").alias("_u")) for m in measures])))
-    placed = running_total(long, by, ["_u", *keys], None, "_rank", "_n")
-    last = F.expr(f"least({steps - 1}, ({parts} * (_n - _rank + 1) + _n - 1) div _n - 1)")
-    sums = placed.groupBy(*by, last.alias("_last")).agg(
+    rows, blocks = rank_blocks(long, by, order, sums=["_sq"])
+
+    def last(rank: str) -> Column:
+        return F.expr(f"least({steps - 1}L, ({parts} * (_total - ({rank}) + 1) + _total - 1) div _total - 1)")
+
+    blocks = stored(blocks.withColumns({
+        "_first": last("_before + 1"), "_last": last("_before + _size")}), "blocks")
+    whole = blocks.where("_first = _last").select(*by, "_last", "_sq", F.col("_size").alias("_c"))
+    cut = ranks_in(rows, blocks.where("_first <> _last"), by, order).groupBy(*by, last("_rank").alias("_last")).agg(
         F.sum("_sq").alias("_sq"), F.count("*").alias("_c"))
-    return (sums.select(*by, "_sq", "_c", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_last"))).alias("i"))
+    return (whole.unionByName(cut)
+            .select(*by, "_sq", "_c", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_last"))).alias("i"))
             .groupBy(*by, "i").agg(F.sum("_c").alias("kept"),
                                    F.sqrt(F.sum("_sq") / F.sum("_c")).alias("rmse")))
 

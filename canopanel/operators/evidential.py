@@ -215,13 +215,14 @@ class EvidentialModel:
         features leave the JVM.
         """
         spark = table.sparkSession
-        shared = spark.sparkContext.broadcast((self.network, self.weights))
+        network = self.network
+        shared = spark.sparkContext.broadcast(self.weights)
         kind = T.StructType([T.StructField(c, T.ArrayType(T.DoubleType()))
                              for c in ("gamma", "nu", "alpha", "beta")])
 
         @F.pandas_udf(kind)
         def predict(x: pd.DataFrame, slices: pd.Series) -> pd.DataFrame:
-            network, weights = shared.value
+            weights = shared.value
             values = x.to_numpy(dtype=float)
             out = np.full((len(values), 4, network.n_tasks), np.nan)
             names = slices.to_numpy()

@@ -10,9 +10,6 @@ from pyspark.sql import functions as F
 from canopanel.cluster import small_side, small_values
 from canopanel.operators.region import Box, slice_box
 
-# A regular grid is repeated once per frame only up to this many points (24 bytes each).
-MAX_GRID_POINTS = 1_000_000
-
 
 def nearest_label(x: Column, labels: Sequence[float]) -> Column:
     """The label closest to ``x``; of two equally close ones the larger."""
@@ -56,10 +53,10 @@ def regrid(values: DataFrame, grid: DataFrame, cluster: DataFrame, value: str =
         small_side(cell_classes(grid, cluster, cell)), "cclass", "left")
     if not dims:
         return points.join(values.select(cell, value), cell, "left").select("lat", "lon", value)
-    if points.count() > MAX_GRID_POINTS:
-        raise ValueError("grid too fine to repeat per frame: pass a box, or reduce the dims first")
-    every_point = points.agg(F.collect_list(F.struct("lat", "lon", cell))).scalar()
-    full = values.select(*dims).distinct().select(*dims, F.inline(every_point))
+    # Every frame needs every point: give each frame all latitudes, then match points on them.
+    latitudes = F.array(*[F.lit(x) for x in small_values(points, "lat")])
+    frames = values.select(*dims).distinct().withColumn("lat", F.explode(latitudes))
+    full = frames.join(small_side(points.select("lat", "lon", cell)), "lat")
     return full.join(values.select(*dims, cell, value), [*dims, cell], "left").select(
         *dims, "lat", "lon", value)
 

@@ -2,8 +2,9 @@
 
 A window ordered over a whole group sorts that group in a single task.  Here the table is
 range-partitioned by (group, order) instead, so a large group is spread over many
-partitions; each partition's total is small, and a running total over the partitions gives
-every partition its starting point.
+partitions, and stored.  Each (group, partition) is a block of consecutive ranks; the blocks
+are few, and a running total over them gives every block its first rank.  Rows are then
+looked at only inside the blocks that matter.
 """
 
 from __future__ import annotations
@@ -11,39 +12,52 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from canopanel.cluster import BROADCAST_ROWS, join_on_keys, stored
+from canopanel.cluster import BROADCAST_ROWS, join_on_keys, small_values, stored
 
 
-def running_total(table: DataFrame, by: Sequence[str], order: Sequence[str], weight: str | None = None,
-                  out: str = "running", total: str = "total") -> DataFrame:
-    """Inclusive running sum of an integer ``weight`` (1 when absent) within each group.
+def rank_blocks(table: DataFrame, by: Sequence[str], order: Sequence[str], weight: str | None = None,
+                sums: Sequence[str] = ()) -> tuple[DataFrame, DataFrame]:
+    """The stored rows, and their blocks (by, _part, _before, _size, _total, <sums>).
 
-    ``order`` must be unique within a group.  The partitioned table is stored, so that the
-    partition totals and the rows they are added to come from the same partitions.
+    A block covers the ranks ``_before`` + 1 .. ``_before`` + ``_size`` of its group, counted
+    in the integer ``weight`` (1 when absent).  ``order`` must be unique within a group.
+    Because the partitioned rows are stored, rows and blocks come from the same partitions
+    even when a task is run again.
     """
     by = list(by)
     amount = F.lit(1).cast("long") if weight is None else F.col(weight).cast("long")
-    parts = stored(
+    rows = stored(
         table.repartitionByRange(*by, *order)
         .withColumns({"_part": F.spark_partition_id(), "_amount": amount}), "ranges")
     group = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
-    blocks = (
-        parts.groupBy(*by, "_part").agg(F.sum("_amount").alias("_block"))
-        .withColumns({
-            "_before": F.coalesce(F.sum("_block").over(
-                group.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)),
-            total: F.sum("_block").over(group),
-        }).drop("_block"))
+    blocks = rows.groupBy(*by, "_part").agg(
+        F.sum("_amount").alias("_size"), *[F.sum(c).alias(c) for c in sums])
+    return rows, blocks.withColumns({
+        "_before": F.coalesce(F.sum("_size").over(
+            group.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0).cast("long")),
+        "_total": F.sum("_size").over(group),
+    })
+
+
+def ranks_in(rows: DataFrame, blocks: DataFrame, by: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """The rows of the given blocks with ``_rank`` (running weight, inclusive) and ``_total``."""
+    by = list(by)
     within = (Window.partitionBy(*by, "_part").orderBy(*order)
               .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    return (
-        join_on_keys(parts.withColumn(out, F.sum("_amount").over(within)), blocks, [*by, "_part"])
-        .withColumn(out, F.col(out) + F.col("_before"))
-        .drop("_part", "_amount", "_before"))
+    placed = join_on_keys(rows, blocks.select(*by, "_part", "_before", "_total"), [*by, "_part"], "inner")
+    return (placed.withColumn("_rank", F.col("_before") + F.sum("_amount").over(within))
+            .drop("_part", "_before", "_amount"))
+
+
+def running_total(table: DataFrame, by: Sequence[str], order: Sequence[str], weight: str | None = None,
+                  out: str = "running", total: str = "total") -> DataFrame:
+    """Inclusive running sum of an integer ``weight`` (1 when absent) within each group."""
+    rows, blocks = rank_blocks(table, by, order, weight)
+    return ranks_in(rows, blocks, by, order).withColumnsRenamed({"_rank": out, "_total": total})
 
 
 def ranked(table: DataFrame, by: Sequence[str], order: Sequence[str], out: str = "rank",
@@ -76,43 +90,52 @@ def exact_quantiles(
 ) -> DataFrame:
     """Exact linearly interpolated quantiles ``k / parts`` of columns: (by, feature, k, quantile).
 
-    Equal values are counted before any sort, so ties cost nothing.  All position
-    arithmetic is in integers.
+    Equal values are counted before they are partitioned, so ties cost nothing, and only the
+    blocks that hold a wanted rank are sorted.  All position arithmetic is in integers.
     """
-    by = list(by)
+    by, d = list(by), int(parts)
+    keys = [*by, "feature"]
     pairs = F.array(*[
         F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("_x")) for c in columns])
     long = (table.select(*by, F.explode(pairs).alias("_p"))
             .select(*by, "_p.feature", "_p._x").where("_x IS NOT NULL"))
-    counts = long.groupBy(*by, "feature", "_x").agg(F.count("*").alias("_n"))
-    ranks = running_total(counts, [*by, "feature"], ["_x"], "_n", "_end", "n").withColumn(
-        "_start", F.col("_end") - F.col("_n"))
-    # Quantile k lies between the 0-based ranks floor(k (n-1) / parts) and that plus one.
-    # A value holding ranks [start, end) is the lower rank for every k in
-    # [ceil(start parts / (n-1)), ceil(end parts / (n-1)) - 1], and the upper rank for the k
-    # found with start - 1 and end - 1.
-    d = int(parts)
-
-    def ks(start: str, end: str) -> str:
-        first = f"(({start}) * {d} + n - 2) div (n - 1)"
-        last = f"least({d}, (({end}) * {d} + n - 2) div (n - 1) - 1)"
-        return f"if({first} <= {last}, sequence({first}, {last}), cast(array() as array<bigint>))"
-
-    lower = f"if(n = 1, sequence(0L, {d}L), {ks('_start', '_end')})"
-    upper = (f"if(n = 1 or _end <= 1, cast(array() as array<bigint>), "
-             f"{ks('greatest(_start - 1, 0)', '_end - 1')})")
-    hits = ranks.select(
-        *by, "feature", "n", "_x",
-        F.expr(f"explode(concat(transform({lower}, k -> struct(k as k, true as low)), "
-               f"transform({upper}, k -> struct(k as k, false as low))))").alias("_hit"),
-    ).select(*by, "feature", "n", "_x", "_hit.k", "_hit.low")
-    if numerators is not None:
-        hits = hits.where(F.col("k").isin([int(k) for k in numerators]))
-    ends = hits.groupBy(*by, "feature", "k", "n").agg(
-        F.max(F.when(F.col("low"), F.col("_x"))).alias("_lo"),
-        F.max(F.when(~F.col("low"), F.col("_x"))).alias("_hi"))
-    fraction = F.expr(f"cast((k * (n - 1)) % {d} as double) / {d}")
-    return ends.select(
-        *by, "feature", F.col("k").cast("long").alias("k"),
-        (F.col("_lo") + F.when(fraction > 0, (F.col("_hi") - F.col("_lo")) * fraction).otherwise(0.0))
-        .alias("quantile"))
+    counts = long.groupBy(*keys, "_x").agg(F.count("*").alias("_n"))
+    rows, blocks = rank_blocks(counts, keys, ["_x"], "_n")
+
+    # With 0-based ranks, quantile k lies between rank floor(k (n-1) / d) and the next one.
+    # The k whose lower rank is in [start, end) run from first(start) to first(end) - 1.
+    def first(start: str) -> str:
+        return f"(({start}) * {d} + _total - 2) div (_total - 1)"
+
+    def wanted(start: str, end: str) -> Column:
+        ks = f"sequence({first(start)}, least({d}, {first(end)} - 1))"
+        some = f"{first(start)} <= least({d}, {first(end)} - 1)"
+        found = f"if(_total = 1, sequence(0L, {d}L), if({some}, {ks}, cast(array() as array<bigint>)))"
+        if numerators is not None:
+            chosen = ", ".join(f"{int(k)}L" for k in numerators)
+            found = f"array_intersect({found}, array({chosen}))"
+        return F.expr(found)
+
+    before = "greatest(_before - 1, 0L)"
+    if numerators is None:
+        needed = blocks.where(f"_total = 1 OR {first(before)} <= least({d}, {first('_before + _size')} - 1)")
+    else:
+        hit = " OR ".join(
+            f"{int(k)} BETWEEN {first(before)} AND {first('_before + _size')} - 1" for k in numerators)
+        needed = blocks.where(f"_total = 1 OR {hit}")
+    needed = stored(needed, "blocks")
+    rows = rows.where(F.col("_part").isin(small_values(needed, "_part")))
+    spans = ranks_in(rows, needed, keys, ["_x"]).withColumns({
+        "_start": F.col("_rank") - F.col("_n"), "_end": F.col("_rank")})
+    lower = wanted("_start", "_end")
+    upper = F.when(F.expr("_total > 1 AND _end > 1"), wanted("greatest(_start - 1, 0L)", "_end - 1")).otherwise(
+        F.expr("cast(array() as array<bigint>)"))
+    hits = spans.select(*keys, "_total", "_x", F.explode(F.concat(
+        F.transform(lower, lambda k: F.struct(k.alias("k"), F.lit(True).alias("low"))),
+        F.transform(upper, lambda k: F.struct(k.alias("k"), F.lit(False).alias("low"))))).alias("_hit"))
+    ends = hits.groupBy(*keys, "_hit.k", "_total").agg(
+        F.max(F.when(F.col("_hit.low"), F.col("_x"))).alias("_lo"),
+        F.max(F.when(~F.col("_hit.low"), F.col("_x"))).alias("_hi"))
+    fraction = F.expr(f"cast((k * (_total - 1)) % {d} as double) / {d}")
+    between = F.when(fraction > 0, (F.col("_hi") - F.col("_lo")) * fraction).otherwise(0.0)
+    return ends.select(*keys, F.col("k").cast("long").alias("k"), (F.col("_lo") + between).alias("quantile"))

@@ -77,11 +77,11 @@ def split_periods(table: DataFrame, train: tuple[str, str], val: tuple[str, str]
 
 
 def split_artifacts(samples: DataFrame, members: DataFrame, split: str = "split",
-                    member: str = "member", time: str = "time") -> DataFrame:
+                    member: str = "member", time: str = "time", sample_id: str | None = None) -> DataFrame:
     """What a run must remember of its split, as (kind, value) rows.
 
     Kinds: ``train_member``, ``val_member``, ``train_year``, ``val_year``, ``n_train``,
-    ``n_val``.  The row indices are the samples' own keys and stay in the sample table.
+    ``n_val``, and with ``sample_id`` one ``train_index`` or ``val_index`` row per sample.
     """
     lists = members.where("member_split IS NOT NULL").select(
         F.concat("member_split", F.lit("_member")).alias("kind"), F.col(member).cast("long").alias("value"))
@@ -90,7 +90,11 @@ def split_artifacts(samples: DataFrame, members: DataFrame, split: str = "split"
     years = counts.select(F.concat(split, F.lit("_year")).alias("kind"), F.col("_year").cast("long").alias("value"))
     sizes = counts.groupBy(F.concat(F.lit("n_"), F.col(split)).alias("kind")).agg(
         F.sum("_n").alias("value"))
-    return lists.unionByName(years).unionByName(sizes)
+    result = lists.unionByName(years).unionByName(sizes)
+    if sample_id is None:
+        return result
+    return result.unionByName(used.select(
+        F.concat(split, F.lit("_index")).alias("kind"), F.col(sample_id).cast("long").alias("value")))
 
 
 def split_coverage(samples: DataFrame, split: str = "split", time: str = "time") -> DataFrame:

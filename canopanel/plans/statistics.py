@@ -10,10 +10,10 @@ from pyspark.sql import functions as F
 from canopanel.cluster import shared_folder, stored
 from canopanel.functions import calendar as cal
 from canopanel.functions.labels import member_id
-from canopanel.operators import aggregate, anomaly, diagnostics as diag, region, scaling, splits
+from canopanel.operators import aggregate, anomaly, diagnostics as diag, region, reshape, scaling, splits
 from canopanel.plans import views as v
 from canopanel.plans.registry import query, r, rounded
-from canopanel.plans.tables import _BOX, cal_slices, conus_panel, with_precip
+from canopanel.plans.tables import _BOX, _STACK, cal_slices, conus_panel
 from canopanel.sources import tables as src
 
 KEYS = ["member", "time", "gridcell"]
@@ -240,10 +240,14 @@ def split_masks(spark, sf):
     WITH {_SPLIT}
     SELECT member_split || '_member' AS kind, member AS value FROM msplit
     UNION ALL SELECT DISTINCT split || '_year', CAST(year(time) AS BIGINT) FROM sp WHERE split IS NOT NULL
-    UNION ALL SELECT 'n_' || split, count(*) FROM sp WHERE split IS NOT NULL GROUP BY split""", "panel pred")
+    UNION ALL SELECT 'n_' || split, count(*) FROM sp WHERE split IS NOT NULL GROUP BY split
+    UNION ALL SELECT split || '_index', sample_id FROM sp JOIN ({_STACK}) USING (member, time, gridcell)
+              WHERE split IS NOT NULL""", "panel pred")
 def split_artifacts(spark, sf):
     members = member_split(spark, sf)
-    return splits.split_artifacts(splits.split_member_time(v.panel(spark, sf), members, VAL_YEARS), members)
+    samples = reshape.stack_samples(v.stored_panel(spark, sf).select(*KEYS))
+    return splits.split_artifacts(
+        stored(splits.split_member_time(samples, members, VAL_YEARS), "split"), members, sample_id="sample_id")
 
 
 @query("split_coverage", f"""

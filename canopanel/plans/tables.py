@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from canopanel.cluster import shared_folder, small_values
+from canopanel.cluster import shared_folder, small_values, stored
 from canopanel.functions import calendar as cal
 from canopanel.functions.labels import member_id
 from canopanel.operators import aggregate, grids, region, reshape
@@ -245,14 +245,14 @@ _STACK = """
 
 @query("stack_samples", _STACK, "panel")
 def stack_samples(spark, sf):
-    return reshape.stack_samples(v.panel(spark, sf).select("member", "time", "gridcell"))
+    return reshape.stack_samples(v.stored_panel(spark, sf).select("member", "time", "gridcell"))
 
 
 @query("sample_slice", f"""
     SELECT gridcell, {r('value')} AS value FROM panel
     WHERE member = (SELECT min(member) FROM panel) AND time = (SELECT min(time) FROM panel)""", "panel")
 def sample_slice(spark, sf):
-    stacked = reshape.stack_samples(v.panel(spark, sf), ("member", "time"))
+    stacked = reshape.stack_samples(v.stored_panel(spark, sf), ("member", "time"))
     return rounded(reshape.sample_slice(stacked, 0).select("gridcell", "value"))
 
 
@@ -330,8 +330,8 @@ _SEASONS = {"djf": (12, 1, 2), "mam": (3, 4, 5), "jja": (6, 7, 8), "son": (9, 10
 
 
 def _season_frames(spark, sf) -> dict[str, DataFrame]:
-    means = aggregate.mean_by(
-        cal_slices(v.pred(spark, sf)), ["member", "slice"], ["truth", "mu"])
+    means = stored(aggregate.mean_by(
+        cal_slices(v.pred(spark, sf)), ["member", "slice"], ["truth", "mu"]), "means")
     return {name: means.where(F.col("slice") == name.upper()).select(
         "member", F.col("truth").alias(f"{name}_truth"), F.col("mu").alias(f"{name}_mu")) for name in _SEASONS}
 

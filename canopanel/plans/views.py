@@ -29,8 +29,10 @@ def panel(spark: SparkSession, sf: str) -> DataFrame:
         "l_quantity", "l_tax", "l_discount")
     orders = table(spark, sf, "orders").select("o_orderkey", "o_custkey")
     customer = table(spark, sf, "customer").select("c_custkey", F.col("c_nationkey").alias("gridcell"))
-    # Orders find their cell first, so that the large lineitem table is shuffled for one join only.
-    located = orders.join(customer, F.col("o_custkey") == F.col("c_custkey")).select("o_orderkey", "gridcell")
+    # Orders find their cell first, so that the large lineitem table is shuffled for one join
+    # only; the hint keeps Spark from broadcasting lineitem where its few columns look small.
+    located = orders.join(customer, F.col("o_custkey") == F.col("c_custkey")).select(
+        "o_orderkey", "gridcell").hint("merge")
     joined = items.join(located, F.col("l_orderkey") == F.col("o_orderkey"))
     return joined.groupBy("member", "time", "gridcell").agg(
         F.avg("l_quantity").alias("value"), F.avg("l_tax").alias("rain"), F.avg("l_discount").alias("snow"))

@@ -1,5 +1,7 @@
 """Every registered query against its oracle SQL, on the smallest given tables."""
 
+import os
+import subprocess
 import sys
 from pathlib import Path
 
@@ -41,3 +43,20 @@ def test_entry(spark):
 
 def test_oracles_belong_to_queries():
     assert set(ORACLES) <= set(QUERIES)
+
+
+def test_workers_need_no_installed_package(tmp_path):
+    """A job started elsewhere must run although the executors cannot import the library."""
+    script = f"""
+import os
+import subprocess
+import sys
+sys.path.insert(0, {str(Path(__file__).resolve().parent.parent)!r})
+from pyspark.sql import SparkSession
+spark = SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false").getOrCreate()
+import __spark_entry__ as e
+for name in ("score", "fit_by_slice", "fast_conf", "quantile_transform", "pit"):
+    assert e.queries()[name](spark, {str(SF)!r}).count() > 0, name
+"""
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    subprocess.run([sys.executable, "-c", script], cwd=tmp_path, env=env, check=True, timeout=600)
