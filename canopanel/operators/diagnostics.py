@@ -187,8 +187,9 @@ def discard_test(pred: DataFrame, measures: Sequence[str], keys: Sequence[str],
     blocks = stored(blocks.withColumns({
         "_first": last("_before + 1"), "_last": last("_before + _size")}), "blocks")
     whole = blocks.where("_first = _last").select(*by, "_last", "_sq", F.col("_size").alias("_c"))
-    cut = ranks_in(rows, blocks.where("_first <> _last"), by, order).groupBy(*by, last("_rank").alias("_last")).agg(
-        F.sum("_sq").alias("_sq"), F.count("*").alias("_c"))
+    cut = (ranks_in(rows, blocks.where("_first <> _last"), by, order, some=True)
+           .groupBy(*by, last("_rank").alias("_last"))
+           .agg(F.sum("_sq").alias("_sq"), F.count("*").alias("_c")))
     return (whole.unionByName(cut)
             .select(*by, "_sq", "_c", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_last"))).alias("i"))
             .groupBy(*by, "i").agg(F.sum("_c").alias("kept"),

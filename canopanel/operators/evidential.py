@@ -25,6 +25,7 @@ from pyspark.sql import types as T
 
 from canopanel.cluster import checkpoint, small_values
 from canopanel.functions.special import lgamma
+from canopanel.schema import nan_to_null
 
 MAX_SLICES = 1000  # the driver and every task hold one network per slice
 _BLOCK = 4096  # weights per row when partial models travel to be averaged
@@ -211,7 +212,7 @@ class EvidentialModel:
     def score(self, table: DataFrame) -> DataFrame:
         """Adds raw outputs and ``mu, alea, epis``; all other columns pass through.
 
-        With several tasks each row becomes one row per task, named in ``task``.  Only the
+        Rows with a missing feature, or of a slice without a model, get NULLs.  With several tasks each row becomes one row per task, named in ``task``.  Only the
         features leave the JVM.
         """
         spark = table.sparkSession
@@ -243,7 +244,7 @@ class EvidentialModel:
         else:
             raw = raw.select(*table.columns, *[
                 F.element_at(f"_p.{c}", 1).alias(c) for c in ("gamma", "nu", "alpha", "beta")])
-        return evidential_head(raw)
+        return evidential_head(nan_to_null(raw, ["gamma", "nu", "alpha", "beta"]))
 
     def weights_table(self, spark: SparkSession) -> DataFrame:
         """(slice, layer, kind, pos, value): one row per weight."""

@@ -43,9 +43,15 @@ def rank_blocks(table: DataFrame, by: Sequence[str], order: Sequence[str], weigh
     })
 
 
-def ranks_in(rows: DataFrame, blocks: DataFrame, by: Sequence[str], order: Sequence[str]) -> DataFrame:
-    """The rows of the given blocks with ``_rank`` (running weight, inclusive) and ``_total``."""
+def ranks_in(rows: DataFrame, blocks: DataFrame, by: Sequence[str], order: Sequence[str],
+             some: bool = False) -> DataFrame:
+    """The rows of the given blocks with ``_rank`` (running weight, inclusive) and ``_total``.
+
+    With ``some`` the blocks are a selection, and files without any of them are not read.
+    """
     by = list(by)
+    if some:
+        rows = rows.where(F.col("_part").isin(small_values(blocks, "_part")))
     within = (Window.partitionBy(*by, "_part").orderBy(*order)
               .rowsBetween(Window.unboundedPreceding, Window.currentRow))
     placed = join_on_keys(rows, blocks.select(*by, "_part", "_before", "_total"), [*by, "_part"], "inner")
@@ -124,8 +130,7 @@ def exact_quantiles(
             f"{int(k)} BETWEEN {first(before)} AND {first('_before + _size')} - 1" for k in numerators)
         needed = blocks.where(f"_total = 1 OR {hit}")
     needed = stored(needed, "blocks")
-    rows = rows.where(F.col("_part").isin(small_values(needed, "_part")))
-    spans = ranks_in(rows, needed, keys, ["_x"]).withColumns({
+    spans = ranks_in(rows, needed, keys, ["_x"], some=True).withColumns({
         "_start": F.col("_rank") - F.col("_n"), "_end": F.col("_rank")})
     lower = wanted("_start", "_end")
     upper = F.when(F.expr("_total > 1 AND _end > 1"), wanted("greatest(_start - 1, 0L)", "_end - 1")).otherwise(

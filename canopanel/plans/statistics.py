@@ -331,14 +331,14 @@ def standard_scale_by_cell(spark, sf):
 
 
 @query("inverse_scale", f"""
-    SELECT {_K}, {r('mu / 1e4 * s + m', 3)} AS mu
+    SELECT {_K}, {r('mu / 1e4 * s + m', 1)} AS mu
     FROM pred, (SELECT avg(truth) AS m, stddev_pop(truth) AS s FROM pred)""", "pred")
 def inverse_scale(spark, sf):
     """``mu / 1e4`` read as a scaled prediction and put back on the scale of the truth."""
     p = v.pred(spark, sf)
     moments = scaling.fit_standard(p, ["truth"]).withColumnsRenamed({"truth_mean": "mu_mean", "truth_std": "mu_std"})
     scaled = p.select(*v.PRED_KEYS, (F.col("mu") / 1e4).alias("mu"))
-    return rounded(scaling.inverse_scale(scaled, moments, ["mu"]), 3)
+    return rounded(scaling.inverse_scale(scaled, moments, ["mu"]), 1)
 
 
 # Quantile maps jump at ties, so the last bit of a mean must not decide: round the means first.

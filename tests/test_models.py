@@ -118,6 +118,19 @@ def test_early_stop_and_learning_rate(linear):
     assert len(rates) < 12 and rates[-1] < rates[0]
 
 
+def test_dropout_and_noise_still_learn(linear):
+    model = fit_evidential(*linear, ["x1", "x2"], ["y"], ["id"], **{
+        **OPTIONS, "epochs": 4, "hidden_neurons": 32, "dropout": 0.2, "noise_sd": 0.01})
+    assert model.history[-1]["val_loss"] < model.history[0]["val_loss"]
+
+
+def test_rows_without_features_or_model_score_null(spark, linear):
+    model = fit_evidential(*linear, ["x1", "x2"], ["y"], ["id"], by="season", **{**OPTIONS, "epochs": 1})
+    rows = spark.createDataFrame([("DJF", 1.0, None), ("SON", 1.0, 1.0), ("DJF", 1.0, 1.0)],
+                                 "season string, x1 double, x2 double")
+    assert [r["mu"] is None for r in model.score(rows).collect()] == [True, True, False]
+
+
 # ---- sensitivity ---------------------------------------------------------------------------
 
 N, M = 4097, 4

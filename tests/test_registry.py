@@ -55,7 +55,7 @@ sys.path.insert(0, {str(Path(__file__).resolve().parent.parent)!r})
 from pyspark.sql import SparkSession
 spark = SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false").getOrCreate()
 import __spark_entry__ as e
-for name in ("score", "fit_by_slice", "fast_conf", "quantile_transform", "pit"):
+for name in ("score", "fit_history", "quantile_transform"):
     assert e.queries()[name](spark, {str(SF)!r}).count() > 0, name
 """
     env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
