@@ -26,8 +26,8 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     """A new path for an intermediate table under the cluster's ``spark.checkpoint.dir``.
 
     All paths of one application share the folder ``canopanel-<application id>``, which can
-    be deleted once the application has ended.  Only a local session, where driver and executors share one disk, gets a temporary
-    folder when the setting is absent.
+    be deleted once the application has ended.  Only a local session, where driver and
+    executors share one disk, gets a temporary folder when the setting is absent.
     """
     run = f"canopanel-{spark.sparkContext.applicationId}"
     return f"{_shared_root(spark).rstrip('/')}/{run}/{name}-{uuid.uuid4().hex}"

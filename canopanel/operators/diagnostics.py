@@ -12,7 +12,7 @@ from itertools import combinations_with_replacement
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from canopanel.cluster import small_side, stored
+from canopanel.cluster import small_side
 from canopanel.functions.special import normal_cdf
 from canopanel.operators.ranking import exact_quantiles, rank_blocks, ranks_in
 
@@ -184,8 +184,8 @@ def discard_test(pred: DataFrame, measures: Sequence[str], keys: Sequence[str],
     def last(rank: str) -> Column:
         return F.expr(f"least({steps - 1}L, ({parts} * (_total - ({rank}) + 1) + _total - 1) div _total - 1)")
 
-    blocks = stored(blocks.withColumns({
-        "_first": last("_before + 1"), "_last": last("_before + _size")}), "blocks")
+    blocks = small_side(blocks.withColumns({
+        "_first": last("_before + 1"), "_last": last("_before + _size")}))
     whole = blocks.where("_first = _last").select(*by, "_last", "_sq", F.col("_size").alias("_c"))
     cut = (ranks_in(rows, blocks.where("_first <> _last"), by, order, some=True)
            .groupBy(*by, last("_rank").alias("_last"))

@@ -212,8 +212,9 @@ class EvidentialModel:
     def score(self, table: DataFrame) -> DataFrame:
         """Adds raw outputs and ``mu, alea, epis``; all other columns pass through.
 
-        Rows with a missing feature, or of a slice without a model, get NULLs.  With several tasks each row becomes one row per task, named in ``task``.  Only the
-        features leave the JVM.
+        Rows with a missing feature, or of a slice without a model, get NULLs.  With several
+        tasks each row becomes one row per task, named in ``task``.  Only the features leave
+        the JVM.
         """
         spark = table.sparkSession
         network = self.network

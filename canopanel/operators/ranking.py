@@ -16,7 +16,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from canopanel.cluster import BROADCAST_ROWS, join_on_keys, small_values, stored
+from canopanel.cluster import BROADCAST_ROWS, join_on_keys, small_side, small_values, stored
+
+# A few quantiles of at least this many rows are bracketed: by sketched quantiles this far
+# to either side, with the sketch ten times as accurate.
+BRACKET_ROWS = 200_000
+BRACKET = 1e-3
+SKETCH_ACCURACY = 10_000
+MAX_BRACKETS = 16
 
 
 def rank_blocks(table: DataFrame, by: Sequence[str], order: Sequence[str], weight: str | None = None,
@@ -96,8 +103,9 @@ def exact_quantiles(
 ) -> DataFrame:
     """Exact linearly interpolated quantiles ``k / parts`` of columns: (by, feature, k, quantile).
 
-    Equal values are counted before they are partitioned, so ties cost nothing, and only the
-    blocks that hold a wanted rank are sorted.  All position arithmetic is in integers.
+    A few quantiles (``numerators``) of many rows are bracketed by a sketch, and only the rows
+    inside the brackets are looked at; otherwise all distinct values are ranked.  All position
+    arithmetic is in integers.
     """
     by, d = list(by), int(parts)
     keys = [*by, "feature"]
@@ -105,6 +113,60 @@ def exact_quantiles(
         F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("_x")) for c in columns])
     long = (table.select(*by, F.explode(pairs).alias("_p"))
             .select(*by, "_p.feature", "_p._x").where("_x IS NOT NULL"))
+    ends = None
+    if numerators is not None and len(numerators) <= MAX_BRACKETS:
+        ends = _ends_by_brackets(long, keys, d, [int(k) for k in numerators])
+    if ends is None:
+        ends = _ends_by_ranks(long, keys, d, numerators)
+    fraction = _fraction(d)
+    between = F.when(fraction > 0, (F.col("_hi") - F.col("_lo")) * fraction).otherwise(0.0)
+    return ends.select(*keys, F.col("k").cast("long").alias("k"), (F.col("_lo") + between).alias("quantile"))
+
+
+def _fraction(d: int) -> Column:
+    """How far quantile k lies from its lower to its upper rank."""
+    return F.expr(f"cast((k * (_count - 1)) % {d} as double) / {d}")
+
+
+def _ends_by_brackets(long: DataFrame, keys: list[str], d: int, numerators: list[int]) -> DataFrame | None:
+    """Values at the two ranks around each quantile, from the rows between two sketched quantiles.
+
+    Rows below a bracket are only counted, rows above it dropped, both before the shuffle.
+    None when the groups are too many or all small, or when a bracket missed its ranks: the
+    caller then ranks all values.
+    """
+    shares = [min(max(k / d + m, 0.0), 1.0) for k in numerators for m in (-BRACKET, BRACKET)]
+    sketch = long.groupBy(*keys).agg(
+        F.percentile_approx("_x", F.array(*[F.lit(s) for s in shares]), F.lit(SKETCH_ACCURACY)).alias("_q"),
+        F.count("*").alias("_count"))
+    known = small_side(sketch)
+    if known is sketch or (known.agg(F.max("_count")).first()[0] or 0) < BRACKET_ROWS:
+        return None
+    brackets = F.array(*[
+        F.struct(F.lit(k).cast("long").alias("k"), F.col("_q")[2 * i].alias("_from"), F.col("_q")[2 * i + 1].alias("_to"))
+        for i, k in enumerate(numerators)])
+    inside = (join_on_keys(long, known, keys, "inner").select(*keys, "_count", "_x", F.inline(brackets))
+              .where("_x <= _to").withColumn("_x", F.when(F.col("_x") >= F.col("_from"), F.col("_x"))))
+    counts = inside.groupBy(*keys, "k", "_count", "_x").agg(F.count("*").alias("_n"))
+    # The rows below a bracket have become one NULL value, which sorts first.
+    group = [*keys, "k"]
+    spans = ranks_in(*rank_blocks(counts, group, ["_x"], "_n"), group, ["_x"])
+
+    def at(rank: str) -> Column:
+        return F.max(F.when(F.expr(f"_rank - _n <= {rank} AND {rank} < _rank"), F.col("_x")))
+
+    lower = f"(k * (_count - 1)) div {d}"
+    ends = small_side(spans.groupBy(*group, "_count").agg(at(lower).alias("_lo"), at(f"{lower} + 1").alias("_hi")))
+    missed = ends.where(F.col("_lo").isNull() | (F.col("_hi").isNull() & (_fraction(d) > 0)))
+    return None if missed.limit(1).collect() else ends
+
+
+def _ends_by_ranks(long: DataFrame, keys: list[str], d: int, numerators: Sequence[int] | None) -> DataFrame:
+    """Values at the two ranks around each quantile, from the ranks of all distinct values.
+
+    Equal values are counted before they are partitioned, so ties cost nothing, and only the
+    blocks that hold a wanted rank are sorted.
+    """
     counts = long.groupBy(*keys, "_x").agg(F.count("*").alias("_n"))
     rows, blocks = rank_blocks(counts, keys, ["_x"], "_n")
 
@@ -129,7 +191,7 @@ def exact_quantiles(
         hit = " OR ".join(
             f"{int(k)} BETWEEN {first(before)} AND {first('_before + _size')} - 1" for k in numerators)
         needed = blocks.where(f"_total = 1 OR {hit}")
-    needed = stored(needed, "blocks")
+    needed = small_side(needed)
     spans = ranks_in(rows, needed, keys, ["_x"], some=True).withColumns({
         "_start": F.col("_rank") - F.col("_n"), "_end": F.col("_rank")})
     lower = wanted("_start", "_end")
@@ -138,9 +200,6 @@ def exact_quantiles(
     hits = spans.select(*keys, "_total", "_x", F.explode(F.concat(
         F.transform(lower, lambda k: F.struct(k.alias("k"), F.lit(True).alias("low"))),
         F.transform(upper, lambda k: F.struct(k.alias("k"), F.lit(False).alias("low"))))).alias("_hit"))
-    ends = hits.groupBy(*keys, "_hit.k", "_total").agg(
+    return hits.groupBy(*keys, "_hit.k", F.col("_total").alias("_count")).agg(
         F.max(F.when(F.col("_hit.low"), F.col("_x"))).alias("_lo"),
         F.max(F.when(~F.col("_hit.low"), F.col("_x"))).alias("_hi"))
-    fraction = F.expr(f"cast((k * (_total - 1)) % {d} as double) / {d}")
-    between = F.when(fraction > 0, (F.col("_hi") - F.col("_lo")) * fraction).otherwise(0.0)
-    return ends.select(*keys, F.col("k").cast("long").alias("k"), (F.col("_lo") + between).alias("quantile"))

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from canopanel.cluster import stored
 from canopanel.sources.tables import open_table
@@ -18,8 +19,22 @@ PRED_KEYS = ["l_orderkey", "l_linenumber", "l_partkey", "member"]
 EVENT_TYPES = ["click", "error", "purchase", "signup", "view"]
 
 
+# Schemas of the given tables, so that opening one needs no look into its files.
+SCHEMAS = {
+    "nation": "n_nationkey int, n_name string, n_regionkey int",
+    "customer": "c_custkey long, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string",
+    "supplier": "s_suppkey long, s_name string, s_nationkey int, s_acctbal double",
+    "orders": "o_orderkey long, o_custkey long, o_orderstatus string, o_totalprice double, "
+              "o_orderdate timestamp_ntz, o_orderpriority string",
+    "lineitem": "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, "
+                "l_extendedprice double, l_discount double, l_tax double, l_returnflag string, "
+                "l_linestatus string, l_shipdate timestamp_ntz",
+    "events": "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string",
+}
+
+
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    return open_table(spark, f"{sf}/{name}.parquet")
+    return open_table(spark, f"{sf}/{name}.parquet", schema=T.StructType.fromDDL(SCHEMAS[name]))
 
 
 def panel(spark: SparkSession, sf: str) -> DataFrame:

@@ -181,7 +181,8 @@ def test_bootstrap_is_repeatable(ishigami):
 
 
 def test_slices_are_analysed_apart(ishigami):
-    both = ishigami.withColumn("s", F.lit("a")).unionByName(ishigami.select("curve", "n", F.lit("b").alias("s"), (F.col("y") * 3).alias("y")))
+    tripled = ishigami.select("curve", "n", F.lit("b").alias("s"), (F.col("y") * 3).alias("y"))
+    both = ishigami.withColumn("s", F.lit("a")).unionByName(tripled)
     got = sensitivity.fast_indices(both, M, by=["s"]).toPandas().pivot(index="name", columns="s", values="S1")
     assert np.allclose(got["a"], got["b"])
 
