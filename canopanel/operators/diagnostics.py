@@ -12,9 +12,9 @@ from itertools import combinations_with_replacement
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from canopanel.cluster import small_side
+from canopanel.cluster import join_on_keys, small_side
 from canopanel.functions.special import normal_cdf
-from canopanel.operators.ranking import exact_quantiles, rank_blocks, ranks_in
+from canopanel.operators.ranking import exact_quantiles, rank_blocks, ranks_in, sketch_around
 
 Z95 = 1.96
 
@@ -171,27 +171,74 @@ def discard_test(pred: DataFrame, measures: Sequence[str], keys: Sequence[str],
     """RMSE after dropping the ``i / parts`` most uncertain rows, i = 0 .. steps-1.
 
     Result: (slice_cols, measure, i, kept, rmse).  Ties in a measure are ordered by
-    ``keys``, which must be unique.  Each row belongs to the largest i that still keeps it,
-    and the RMSEs follow from sums over those few classes.  A block of ranks that no cut
-    falls into is summed as a whole; only the blocks with a cut are sorted.
+    ``keys``, which must be unique.  Rows with a missing measure or error are left out.
+
+    Each row belongs to the largest i that still keeps it, and the RMSEs follow from sums over
+    those few classes.  For large slices a sketch brackets every cut: rows between brackets
+    are summed where they are, and only rows inside a bracket are ranked.
     """
-    by, order = [*slice_cols, "measure"], ["_u", *keys]
+    by = [*slice_cols, "measure"]
     error = F.col(truth) - F.col(mu)
     long = pred.select(*slice_cols, *keys, (error * error).alias("_sq"), F.inline(F.array(*[
         F.struct(F.lit(m).alias("measure"), F.col(m).cast("double").alias("_u")) for m in measures])))
-    rows, blocks = rank_blocks(long, by, order, sums=["_sq"])
+    long = long.where("_u IS NOT NULL AND _sq IS NOT NULL")
+    cuts = [(parts - i) / parts for i in range(1, steps)]
+    known = sketch_around(long, by, "_u", cuts)
+    if known is not None:
+        result = small_side(_discard(_between_cuts(long, known, by, len(cuts)), by, keys, steps, parts))
+        total = Window.partitionBy(*by)
+        wrong = result.withColumn("_n", F.max("kept").over(total)).where(
+            f"kept <> _n - (i * _n) div {parts}").limit(1).collect()
+        if not wrong:
+            return result
+    everything = long.withColumns({"_above": F.lit(0), "_segment": F.lit(1)})
+    return _discard(everything, by, keys, steps, parts)
+
+
+def _between_cuts(long: DataFrame, known: DataFrame, by: list[str], cuts: int) -> DataFrame:
+    """Adds the number of brackets a row is surely below (``_above``) and perhaps below (``_segment``).
+
+    The brackets descend, so both numbers fall as the measure grows.
+    """
+    u = F.col("_u")
+    surely = sum((u < F.col("_q")[2 * i]).cast("int") for i in range(cuts))
+    perhaps = sum((u <= F.col("_q")[2 * i + 1]).cast("int") for i in range(cuts))
+    return join_on_keys(long, known, by, "inner").withColumns({"_above": surely, "_segment": perhaps}).drop(
+        "_q", "_count")
+
+
+def _discard(tagged: DataFrame, by: list[str], keys: Sequence[str], steps: int, parts: int) -> DataFrame:
+    """The discard table from rows whose class is settled or lies between ``_above`` and ``_segment``.
+
+    In order of the measure come, for each segment from the highest number down, first its
+    settled rows and then its open ones.
+    """
+    group, order = [*by, "_segment"], ["_u", *keys]
+    settled = tagged.where("_above = _segment").groupBy(*group).agg(
+        F.sum("_sq").alias("_sq"), F.count("*").alias("_c"))
+    rows, blocks = rank_blocks(tagged.where("_above < _segment"), group, order, sums=["_sq"])
+    sizes = settled.select(*group, F.lit(0).alias("_open"), F.col("_c").alias("_n")).unionByName(
+        blocks.groupBy(*group).agg(F.sum("_size").alias("_n")).withColumn("_open", F.lit(1)))
+    along = Window.partitionBy(*by).orderBy(F.desc("_segment"), "_open").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.withColumns({
+        "_start": F.coalesce(F.sum("_n").over(along), F.lit(0).cast("long")),
+        "_all": F.sum("_n").over(Window.partitionBy(*by)),
+    }).where("_open = 1").drop("_open", "_n")
 
     def last(rank: str) -> Column:
         return F.expr(f"least({steps - 1}L, ({parts} * (_total - ({rank}) + 1) + _total - 1) div _total - 1)")
 
+    blocks = join_on_keys(blocks.drop("_total"), starts, group, "inner").withColumns({
+        "_before": F.col("_before") + F.col("_start"), "_total": F.col("_all")})
     blocks = small_side(blocks.withColumns({
-        "_first": last("_before + 1"), "_last": last("_before + _size")}))
+        "_first": last("_before + 1"), "_last": last("_before + _size")}).drop("_start", "_all"))
     whole = blocks.where("_first = _last").select(*by, "_last", "_sq", F.col("_size").alias("_c"))
-    cut = (ranks_in(rows, blocks.where("_first <> _last"), by, order, some=True)
+    cut = (ranks_in(rows, blocks.where("_first <> _last"), group, order, some=True)
            .groupBy(*by, last("_rank").alias("_last"))
            .agg(F.sum("_sq").alias("_sq"), F.count("*").alias("_c")))
-    return (whole.unionByName(cut)
-            .select(*by, "_sq", "_c", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_last"))).alias("i"))
+    classes = whole.unionByName(cut).unionByName(
+        settled.select(*by, F.col("_segment").cast("long").alias("_last"), "_sq", "_c"))
+    return (classes.select(*by, "_sq", "_c", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_last"))).alias("i"))
             .groupBy(*by, "i").agg(F.sum("_c").alias("kept"),
                                    F.sqrt(F.sum("_sq") / F.sum("_c")).alias("rmse")))
 

@@ -128,6 +128,22 @@ def _fraction(d: int) -> Column:
     return F.expr(f"cast((k * (_count - 1)) % {d} as double) / {d}")
 
 
+def sketch_around(table: DataFrame, by: Sequence[str], column: str, shares: Sequence[float]) -> DataFrame | None:
+    """Per group the row count ``_count`` and in ``_q`` two sketched quantiles around each share.
+
+    The sketch is only an aid: whoever uses it must check the exact counts.  None when the
+    groups are too many to broadcast or all small.
+    """
+    around = [min(max(s + m, 0.0), 1.0) for s in shares for m in (-BRACKET, BRACKET)]
+    sketch = table.groupBy(*by).agg(
+        F.percentile_approx(column, F.array(*[F.lit(s) for s in around]), F.lit(SKETCH_ACCURACY)).alias("_q"),
+        F.count("*").alias("_count"))
+    known = small_side(sketch)
+    if known is sketch or (known.agg(F.max("_count")).first()[0] or 0) < BRACKET_ROWS:
+        return None
+    return known
+
+
 def _ends_by_brackets(long: DataFrame, keys: list[str], d: int, numerators: list[int]) -> DataFrame | None:
     """Values at the two ranks around each quantile, from the rows between two sketched quantiles.
 
@@ -135,12 +151,8 @@ def _ends_by_brackets(long: DataFrame, keys: list[str], d: int, numerators: list
     None when the groups are too many or all small, or when a bracket missed its ranks: the
     caller then ranks all values.
     """
-    shares = [min(max(k / d + m, 0.0), 1.0) for k in numerators for m in (-BRACKET, BRACKET)]
-    sketch = long.groupBy(*keys).agg(
-        F.percentile_approx("_x", F.array(*[F.lit(s) for s in shares]), F.lit(SKETCH_ACCURACY)).alias("_q"),
-        F.count("*").alias("_count"))
-    known = small_side(sketch)
-    if known is sketch or (known.agg(F.max("_count")).first()[0] or 0) < BRACKET_ROWS:
+    known = sketch_around(long, keys, "_x", [k / d for k in numerators])
+    if known is None:
         return None
     brackets = F.array(*[
         F.struct(F.lit(k).cast("long").alias("k"), F.col("_q")[2 * i].alias("_from"), F.col("_q")[2 * i + 1].alias("_to"))
