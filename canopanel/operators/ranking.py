@@ -20,7 +20,7 @@ from canopanel.cluster import BROADCAST_ROWS, join_on_keys, small_side, small_va
 
 # A few quantiles of at least this many rows are bracketed: by sketched quantiles this far
 # to either side, with the sketch ten times as accurate.
-BRACKET_ROWS = 200_000
+BRACKET_ROWS = 2_000_000
 BRACKET = 1e-3
 SKETCH_ACCURACY = 10_000
 MAX_BRACKETS = 16
@@ -134,14 +134,15 @@ def sketch_around(table: DataFrame, by: Sequence[str], column: str, shares: Sequ
     The sketch is only an aid: whoever uses it must check the exact counts.  None when the
     groups are too many to broadcast or all small.
     """
+    largest = table.groupBy(*by).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+    if largest < BRACKET_ROWS:
+        return None
     around = [min(max(s + m, 0.0), 1.0) for s in shares for m in (-BRACKET, BRACKET)]
     sketch = table.groupBy(*by).agg(
         F.percentile_approx(column, F.array(*[F.lit(s) for s in around]), F.lit(SKETCH_ACCURACY)).alias("_q"),
         F.count("*").alias("_count"))
     known = small_side(sketch)
-    if known is sketch or (known.agg(F.max("_count")).first()[0] or 0) < BRACKET_ROWS:
-        return None
-    return known
+    return None if known is sketch else known
 
 
 def _ends_by_brackets(long: DataFrame, keys: list[str], d: int, numerators: list[int]) -> DataFrame | None:
