@@ -52,12 +52,14 @@ def stored(df: DataFrame, name: str = "table") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def small_side(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
+def small_side(df: DataFrame, max_rows: int | None = None) -> DataFrame:
     """``df`` as a broadcast side if it has at most ``max_rows`` rows, else ``df`` as it is.
 
+    ``max_rows`` is ``BROADCAST_ROWS`` unless given.
     At most ``max_rows + 1`` rows reach the driver.  A small table is then computed once,
     however often the plan uses it; a large one is left to Spark's own choice of join.
     """
+    max_rows = BROADCAST_ROWS if max_rows is None else max_rows
     rows = df.limit(max_rows + 1).toArrow()
     if rows.num_rows > max_rows:
         return df

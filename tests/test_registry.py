@@ -37,6 +37,20 @@ def test_query(spark, con, name):
         assert (columns, rows) == rows_of([d[0] for d in result.description], result.fetchall())
 
 
+@pytest.mark.parametrize("name", [
+    "anomaly_clim", "area_weighted_mean", "discard_test", "iqr_outliers", "panel_broadcast", "quantile_fit",
+    "region_flag", "regrid_crop", "split_masks", "split_member_time", "stack_samples", "standard_scale_by_slice"])
+def test_query_when_nothing_is_small(spark, con, monkeypatch, name):
+    """The way taken by tables too large to broadcast gives the same rows."""
+    monkeypatch.setattr("canopanel.cluster.BROADCAST_ROWS", 0)
+    monkeypatch.setattr("canopanel.operators.ranking.BROADCAST_ROWS", 0)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        test_query(spark, con, name)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def test_entry(spark):
     assert entry_points.entry(spark).count() > 0
 
