@@ -48,3 +48,25 @@ def whole_text(name: str) -> Column:
 
 def column(name: str) -> Column:
     return F.col(f"`{name}`")
+
+
+# A table of key slots has at most 2^18 rows of one int, however many keys fall into them.
+SLOT_BITS = 18
+
+
+def slot_of(hash64: Column) -> Column:
+    """The slot of a 64-bit hash: one of 2^SLOT_BITS."""
+    return F.shiftrightunsigned(hash64, 64 - SLOT_BITS).cast("int")
+
+
+def in_slots(rows: DataFrame, hash64: Column, keys: DataFrame, key_hash64: Column, flag: str) -> DataFrame:
+    """``rows`` with ``flag``: whether a row's key can be among ``keys``; no key is missed.
+
+    The keys' slots are broadcast, a table of bounded size, so that wide rows which no key
+    concerns need no shuffle.  The more keys there are, the more rows are flagged in vain; an
+    exact join of the flagged rows follows.
+    """
+    slot, = fresh(rows, "_slot")
+    slots = keys.select(slot_of(key_hash64).alias(slot)).distinct().withColumn(flag, F.lit(True))
+    marked = rows.withColumn(slot, slot_of(hash64)).join(F.broadcast(slots), slot, "left").drop(slot)
+    return marked.withColumn(flag, F.coalesce(flag, F.lit(False)))
