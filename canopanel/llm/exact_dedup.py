@@ -1,9 +1,9 @@
 """Exact dedup: group by a 128-bit content hash, compare bytes inside groups, keep one row.
 
 Two rows are copies when their texts are identical, byte by byte, without any normalisation.
-Only hashes that occur more than once have their texts compared: those rows are grouped by
+Only rows whose hash occurs more than once have their texts compared: they are grouped by
 (hash, text), so a group of a third of all rows is collapsed on the map side and two texts
-that share a hash fall into two groups.
+that share a hash fall into two groups.  All else is joined without texts.
 """
 
 from __future__ import annotations
@@ -14,11 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from canopanel.cluster import stored
-from canopanel.llm.common import column, fresh, whole_text
-
-# Rows of one hash are spread over so many tasks where texts must be shuffled to be compared.
-_SALTS = 32
-
+from canopanel.llm.common import column, fresh, in_slots, whole_text
 
 def content_hash(text: Column) -> Column:
     """MD5 as 16 bytes."""
@@ -30,16 +26,18 @@ def _digests(docs: DataFrame, id_col: str, text_col: str, digest: Callable[[Colu
     return docs.select(column(id_col).alias("id"), text.alias("text"), digest(text).alias("h"))
 
 
+def _narrow(docs: DataFrame, id_col: str, text_col: str, digest) -> DataFrame:
+    """(id, h, sha, copies): rows without their texts; copies counts rows that are alike in all."""
+    rows = _digests(docs, id_col, text_col, digest).select("id", "h", F.sha2("text", 256).alias("sha"))
+    return stored(rows.groupBy("id", "h", "sha").agg(F.count(F.lit(1)).alias("copies")), "exact-rows")
+
+
 def _classes(docs: DataFrame, rows: DataFrame, id_col: str, text_col: str, digest) -> DataFrame:
-    """(h, sha, keep_id, n) of every text that occurs more than once, or shares its hash."""
-    shared = stored(
-        rows.groupBy("h").agg(F.sum("copies").alias("n")).where("n > 1")
-        .select("h", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))).alias("salt")), "exact-shared")
-    salt = F.pmod(F.xxhash64("id"), F.lit(_SALTS)).cast("int")
+    """(h, sha, keep_id, n) of every text that occurs more than once."""
+    shared = rows.groupBy("h").agg(F.sum("copies").alias("n")).where("n > 1").select("h")
     compared = (
-        _digests(docs, id_col, text_col, digest).withColumn("salt", salt)
-        .join(shared, ["h", "salt"], "left_semi")
-        .groupBy("h", "text").agg(F.count(F.lit(1)).alias("n"), F.max("id").alias("keep_id")))
+        in_slots(_digests(docs, id_col, text_col, digest), F.xxhash64("h"), shared, F.xxhash64("h"), "met").where("met")
+        .groupBy("h", "text").agg(F.count(F.lit(1)).alias("n"), F.max("id").alias("keep_id")).where("n > 1"))
     return stored(compared.select("h", F.sha2("text", 256).alias("sha"), "keep_id", "n"), "exact-classes")
 
 
@@ -51,9 +49,7 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     as empty.  Rows repeated with id and text are one group as well, and exactly one of them is
     kept.  An empty table gives no rows; other columns of ``docs`` are not read.
     """
-    rows = stored(
-        _digests(docs, id_col, text_col, digest).select("id", "h", F.sha2("text", 256).alias("sha"))
-        .groupBy("id", "h", "sha").agg(F.count(F.lit(1)).alias("copies")), "exact-rows")
+    rows = _narrow(docs, id_col, text_col, digest)
     classes = _classes(docs, rows, id_col, text_col, digest)
     found = rows.join(classes, ["h", "sha"], "left").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
     keep_id = F.when(F.col("n").isNull(), F.col("id")).otherwise(F.col("keep_id"))
@@ -68,22 +64,22 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     Where the staying row itself is repeated (same id, same text), one of its rows stays.
     """
-    rows = stored(
-        _digests(docs, id_col, text_col, digest).select("id", "h", F.sha2("text", 256).alias("sha"))
-        .groupBy("id", "h", "sha").agg(F.count(F.lit(1)).alias("copies")), "exact-rows")
+    rows = _narrow(docs, id_col, text_col, digest)
     classes = _classes(docs, rows, id_col, text_col, digest)
-    h, sha, keep_id, n = fresh(docs, "_h", "_sha", "_keep", "_n")
+    h, sha, keep_id, n, met = fresh(docs, "_h", "_sha", "_keep", "_n", "_met")
     mine = classes.withColumnsRenamed({"h": h, "sha": sha, "keep_id": keep_id, "n": n})
     text = whole_text(text_col)
-    kept = (
-        docs.withColumns({h: digest(text), sha: F.sha2(text, 256)}).join(mine, [h, sha], "left")
-        .where(F.col(n).isNull() | F.col(keep_id).eqNullSafe(column(id_col))))
-    again = rows.where("copies > 1").select(F.col("id"), "h", "sha")
+    # Documents whose text is met once pass without a shuffle.
+    marked = in_slots(docs.withColumn(h, digest(text)), F.xxhash64(h), classes, F.xxhash64("h"), met)
+    single = marked.where(~F.col(met))
+    group = marked.where(met).withColumn(sha, F.sha2(text, 256)).join(mine, [h, sha], "left")
+    group = group.where(F.col(n).isNull() | F.col(keep_id).eqNullSafe(column(id_col)))
+    again = rows.where("copies > 1").select("id", "h", "sha")
     if not again.isEmpty():  # rare: rows that differ in no text and no id
-        i, = fresh(kept, "_i")
+        i, = fresh(group, "_i")
         again = again.withColumnsRenamed({"id": i, "h": h, "sha": sha})
-        on = kept[h].eqNullSafe(again[h]) & kept[sha].eqNullSafe(again[sha]) & kept[id_col].eqNullSafe(again[i])
-        single = kept.join(again, on, "left_anti")
-        repeated = kept.join(again, on, "left_semi").dropDuplicates([h, sha])
-        kept = single.unionByName(repeated)
-    return kept.select([column(c) for c in docs.columns])
+        on = group[h].eqNullSafe(again[h]) & group[sha].eqNullSafe(again[sha]) & column(id_col).eqNullSafe(F.col(i))
+        once = group.join(again, on, "left_anti")
+        group = once.unionByName(group.join(again, on, "left_semi").dropDuplicates([h, sha]))
+    wanted = [column(c) for c in docs.columns]
+    return single.select(wanted).unionByName(group.select(wanted))
