@@ -7,11 +7,13 @@ depends on executors that may be gone.
 
 from __future__ import annotations
 
+import functools
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from canopanel.cluster import stored
+from canopanel.cluster import set_shared_folder, stored
 from canopanel.llm import exact_dedup, language, mixing, near, packing
 
 # A document is rejected when no language reaches this share of its bytes.
@@ -48,15 +50,26 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return pieces.withColumn("ids_crc32", F.crc32("ids"))
 
 
+def _stage(work):
+    """A stage, in a session that has a shared folder: its own, or one made for a local session."""
+    @functools.wraps(work)
+    def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        set_shared_folder(spark)
+        return work(spark, docs, sf_dir)
+    return stage
+
+
 STAGES = [
-    ("language_id", identify_language), ("exact_dedup", drop_copies), ("near_dedup", drop_near_copies),
-    ("mix_sources", mix), ("packing", pack)]
+    ("language_id", _stage(identify_language)), ("exact_dedup", _stage(drop_copies)),
+    ("near_dedup", _stage(drop_near_copies)), ("mix_sources", _stage(mix)), ("packing", _stage(pack))]
 
 # A trained network and a tokenizer decide; the tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last stage's rows for the documents of ``sf_dir``."""
+    set_shared_folder(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
         docs = stored(stage(spark, docs, sf_dir), f"pipeline-{name}")
