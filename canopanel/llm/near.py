@@ -5,7 +5,8 @@ randomness, about 1 / threshold of its shingles; a picked shingle is a child nod
 of the wanted similarity share at least one child on average.  A node of one set is given up,
 a small one is compared by brute force, a large one is split again on further shared shingles.
 Runs are repeated until any link is met with the target recall.  Nodes still large at the
-greatest depth are compared whole, in blocks.
+greatest depth are compared whole, in blocks.  Before shingles are fetched, the 32 smallest of
+each set give an estimate that rules out pairs five standard deviations below the threshold.
 
 A pair is looked at only in the first node its two sets share, so links are counted once
 without a list of pairs: a comparison returns, per set, the number of documents linked and one
@@ -30,7 +31,9 @@ THRESHOLD = 0.8
 RECALL = 0.9999  # of a link at the threshold whose sets share large nodes all the way down
 SMALL = 48  # sets of a node that are compared at once
 BLOCK = 1000  # sets of a block of a node that never became small
-DEPTHS = (1, 2, 4)  # where nodes are counted; the last is the greatest depth
+_STEP = 1 << 15
+SKETCH = 32  # smallest shingles of a set, by which most pairs are ruled out
+DEPTHS = (1, 3)  # where nodes are counted; the last is the greatest depth
 
 
 def runs_for(recall: float, depth: int) -> int:
@@ -68,37 +71,49 @@ def _signed(nodes: np.ndarray) -> np.ndarray:
     return nodes.astype(np.uint64).view(np.int64)
 
 
+def _lists(arrays: list[np.ndarray], kind):
+    """An Arrow list column of numpy arrays."""
+    import pyarrow as pa
+
+    offsets = np.concatenate([[0], np.cumsum([len(a) for a in arrays])]).astype(np.int32)
+    flat = np.concatenate(arrays) if arrays else np.zeros(0)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat.astype(kind)))
+
+
 def _text_key(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(column(id_col).alias("id"), F.xxhash64(whole_text(text_col)).alias("t"), whole_text(text_col).alias("text"))
 
 
 def _members(docs: DataFrame, threshold: float, runs: int, seed: int, words: int, id_col: str, text_col: str) -> DataFrame:
-    """(id, t, s1, s2, size, paths): each row's set, and the nodes of depth 1 it picks in all runs."""
+    """(id, t, s1, s2, size, sketch, paths): each row's set, and the nodes of depth 1 it picks in all runs."""
     def made(batches):
         import pyarrow as pa
 
         seeds = _seeds(runs, seed)
         for batch in batches:
-            s1, s2, sizes, paths = [], [], [], []
+            s1, s2, sizes, sketches, paths = [], [], [], [], []
             for tokens in sets_of(batch.column("text"), words):
                 a, b = _sids(tokens)
                 limit = _limit(len(tokens), threshold)
-                drawn = (tokens[None, :] ^ seeds[:runs, None]) * (seeds[runs:, None] | np.uint64(1))
-                run, at = np.nonzero(drawn < limit)
+                picked = []
+                for at in range(0, len(tokens), _STEP):  # a long text's draws are never held at once
+                    part = tokens[at:at + _STEP]
+                    drawn = (part[None, :] ^ seeds[:runs, None]) * (seeds[runs:, None] | np.uint64(1))
+                    run, which = np.nonzero(drawn < limit)
+                    picked.append(_signed(mix(part[which] ^ seeds[run])))
                 s1.append(a)
                 s2.append(b)
                 sizes.append(len(tokens))
-                paths.append(np.unique(_signed(mix(tokens[at] ^ seeds[run]))))
-            offsets = np.concatenate([[0], np.cumsum([len(p) for p in paths])]).astype(np.int32)
-            flat = np.concatenate(paths) if paths else np.zeros(0, dtype=np.int64)
+                sketches.append((tokens[:SKETCH] >> np.uint64(32)).astype(np.uint32).view(np.int32))
+                paths.append(np.unique(np.concatenate(picked)) if picked else np.zeros(0, dtype=np.int64))
             yield pa.RecordBatch.from_arrays(
                 [batch.column("id"), batch.column("t"), pa.array(s1, pa.int64()), pa.array(s2, pa.int64()),
-                 pa.array(sizes, pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))],
-                names=["id", "t", "s1", "s2", "size", "paths"])
+                 pa.array(sizes, pa.int64()), _lists(sketches, np.int32), _lists(paths, np.int64)],
+                names=["id", "t", "s1", "s2", "size", "sketch", "paths"])
 
     rows = _text_key(docs, id_col, text_col)
     kind = rows.schema["id"].dataType.simpleString()
-    return rows.mapInArrow(made, f"id {kind}, t long, s1 long, s2 long, size long, paths array<long>")
+    return rows.mapInArrow(made, f"id {kind}, t long, s1 long, s2 long, size long, sketch array<int>, paths array<long>")
 
 
 def _texts_of(docs: DataFrame, sets: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -170,53 +185,99 @@ def _common(owners: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
-def _flat(lists) -> tuple[np.ndarray, np.ndarray]:
-    """Owners and values of an Arrow list column."""
-    lists = lists.combine_chunks() if hasattr(lists, "combine_chunks") else lists
-    return np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy())), lists.flatten().to_numpy(zero_copy_only=False)
-
+def _runs(batches, keys: list[str], lists: tuple[str, ...]) -> Iterator:
+    """(columns, a, b) for each run a:b of rows that agree in ``keys``, of rows that come sorted by them.
 
-def _groups(batches, keys: list[str]) -> Iterator:
-    """Tables of the rows that agree in ``keys``, of rows that come sorted by them."""
+    Columns are numpy arrays, those named in ``lists`` pairs of offsets and values; other
+    columns, of types numpy lacks, stay Arrow arrays.
+    """
     import pyarrow as pa
 
     rest = None
+
+    def opened(table):
+        columns = {}
+        for name in table.column_names:
+            column = table.column(name).combine_chunks()
+            if name in lists:
+                columns[name] = (column.offsets.to_numpy(), column.values.to_numpy(zero_copy_only=False))
+            else:
+                columns[name] = column if pa.types.is_binary(column.type) else column.to_numpy(zero_copy_only=False)
+        new = np.zeros(table.num_rows, dtype=bool)
+        for key in keys:
+            new[1:] |= columns[key][1:] != columns[key][:-1]
+        return columns, np.concatenate([[0], np.flatnonzero(new)])
+
     for batch in batches:
         if batch.num_rows == 0:
             continue
         table = pa.Table.from_batches([batch])
-        if rest is not None:
-            table = pa.concat_tables([rest, table]).combine_chunks()
-        new = np.zeros(table.num_rows, dtype=bool)
-        for key in keys:
-            values = table.column(key).to_numpy()
-            new[1:] |= values[1:] != values[:-1]
-        starts = np.concatenate([[0], np.flatnonzero(new)])
-        for a, b in zip(starts[:-1], starts[1:]):
-            yield table.slice(a, b - a)
-        rest = table.slice(starts[-1])
+        table = table if rest is None else pa.concat_tables([rest, table])
+        columns, starts = opened(table)
+        for a, b in zip(starts[:-1].tolist(), starts[1:].tolist()):
+            yield table, columns, a, b
+        rest = table.slice(int(starts[-1])).combine_chunks()
+        if rest.num_rows < table.num_rows:  # a copy, so that the batch can go
+            rest = rest.take(np.arange(rest.num_rows))
     if rest is not None:
-        yield rest.combine_chunks()
+        columns, _ = opened(rest)
+        yield rest, columns, 0, rest.num_rows
+
+
+def _part(column: tuple, a: int, b: int) -> tuple[np.ndarray, np.ndarray]:
+    """Owners 0, 1, ... and values of rows a:b of a list column."""
+    offsets, values = column
+    return np.repeat(np.arange(b - a), np.diff(offsets[a:b + 1])), values[offsets[a]:offsets[b]]
 
 
-def _candidates(group, threshold: float) -> np.ndarray:
-    """Which pairs of a group are first met here and have sizes that allow a link (a symmetric matrix)."""
-    n = group.num_rows
-    sizes = group.column("size").to_numpy()
+def _alike(sketches: np.ndarray, x: int, others: np.ndarray, threshold: float) -> np.ndarray:
+    """Whether sets may reach the threshold with set ``x``, from the smallest shingles of both."""
+    both = np.concatenate([np.broadcast_to(sketches[x], (len(others), sketches.shape[1])), sketches[others]], axis=1)
+    both.sort(axis=1)
+    shared = (both[:, 1:] == both[:, :-1]) & (both[:, 1:] < _NO_SHINGLE)
+    nth = np.arange(1, both.shape[1]) - np.cumsum(shared, axis=1)  # of the distinct ones, from 0
+    distinct = 1 + ((both[:, 1:] < _NO_SHINGLE) & ~shared).sum(axis=1)
+    seen = np.minimum(distinct, sketches.shape[1])
+    found = (shared & (nth < sketches.shape[1])).sum(axis=1)
+    slack = np.where(distinct <= sketches.shape[1], 1e-9, 5 * np.sqrt(threshold * (1 - threshold) / seen))
+    return found >= (threshold - slack) * seen
+
+
+def _candidates(columns: dict, a: int, b: int, threshold: float) -> np.ndarray:
+    """Which pairs of rows a:b are first met here and may be linked (a symmetric matrix)."""
+    n, sizes = b - a, columns["size"][a:b]
     allowed = np.minimum.outer(sizes, sizes) >= threshold * np.maximum.outer(sizes, sizes) - 1e-9
     np.fill_diagonal(allowed, False)
-    block = group.column("block").to_numpy()
-    if group.column("i")[0].as_py() != group.column("j")[0].as_py():
+    if columns["i"][a] != columns["j"][a]:
+        block = columns["block"][a:b]
         allowed &= block[:, None] != block[None, :]
-    if allowed.any():
-        owners, values = _flat(group.column("earlier"))
+    if n == 1 or not allowed.any():
+        return allowed
+    if n <= 8:
+        offsets, values = columns["earlier"]
+        earlier = [set(values[offsets[k]:offsets[k + 1]].tolist()) for k in range(a, b)]
+        for x in range(n):
+            for y in range(x):
+                if allowed[x, y] and not earlier[x].isdisjoint(earlier[y]):
+                    allowed[x, y] = allowed[y, x] = False
+    else:
+        owners, values = _part(columns["earlier"], a, b)
         if len(values):
             allowed &= _common(owners, values, n) == 0
+    if allowed.any():
+        offsets, values = columns["sketch"]
+        lengths = np.diff(offsets[a:b + 1])
+        sketches = np.full((n, SKETCH), _NO_SHINGLE, dtype=np.int64)
+        sketches[np.arange(SKETCH) < lengths[:, None]] = values[offsets[a]:offsets[b]].astype(np.int32).view(np.uint32)
+        for x in np.flatnonzero(np.triu(allowed).any(axis=1)):
+            others = x + 1 + np.flatnonzero(allowed[x, x + 1:])
+            allowed[x, others] = allowed[others, x] = _alike(sketches, x, others, threshold)
     return allowed
 
 
+_NO_SHINGLE = 1 << 40
 _GROUP = ["node", "i", "j"]
-_ROW = "node long, i int, j int, block int, s1 long, s2 long, size long, weight long, earlier array<int>"
+_ROW = "node long, i int, j int, block int, s1 long, s2 long, size long, weight long, sketch array<int>, earlier array<int>"
 
 
 def _in_groups(rows: DataFrame, work, schema: str) -> DataFrame:
@@ -224,12 +285,19 @@ def _in_groups(rows: DataFrame, work, schema: str) -> DataFrame:
 
 
 def _needed(rows: DataFrame, threshold: float) -> DataFrame:
-    """The rows that have a candidate in their group; no shingles are looked at yet."""
+    """The rows that have a candidate in their group; no shingles but those of sketches are looked at yet."""
     def work(batches):
-        for group in _groups(batches, _GROUP):
-            wanted = np.flatnonzero(_candidates(group, threshold).any(axis=1))
-            if len(wanted):
-                yield from group.take(wanted).to_batches()
+        current, wanted = None, []
+        for table, columns, a, b in _runs(batches, _GROUP, ("sketch", "earlier")):
+            if table is not current:
+                if wanted:
+                    yield from current.take(np.concatenate(wanted)).combine_chunks().to_batches()
+                current, wanted = table, []
+            own = np.flatnonzero(_candidates(columns, a, b, threshold).any(axis=1))
+            if len(own):
+                wanted.append(own + a)
+        if wanted:
+            yield from current.take(np.concatenate(wanted)).combine_chunks().to_batches()
 
     return _in_groups(rows, work, _ROW)
 
@@ -247,21 +315,21 @@ def _verified(rows: DataFrame, threshold: float) -> DataFrame:
                 values.clear()
             return batch
 
-        for group in _groups(batches, _GROUP):
-            s1, s2 = group.column("s1").to_numpy(), group.column("s2").to_numpy()
-            once = np.concatenate([[True], (s1[1:] != s1[:-1]) | (s2[1:] != s2[:-1])])
-            if not once.all():  # a representative that was repeated
-                group = group.take(np.flatnonzero(once))
-                s1, s2 = s1[once], s2[once]
-            pairs = _candidates(group, threshold)
+        for _, columns, a, b in _runs(batches, _GROUP, ("sketch", "earlier")):
+            s1, s2 = columns["s1"][a:b], columns["s2"][a:b]
+            pairs = _candidates(columns, a, b, threshold)
+            # A representative that was repeated comes twice, side by side: the first counts.
+            again = np.concatenate([[False], (s1[1:] == s1[:-1]) & (s2[1:] == s2[:-1])])
+            pairs[again] = False
+            pairs[:, again] = False
             if not pairs.any():
                 continue
-            sizes = group.column("size").to_numpy().astype(np.float64)
-            sets = [np.frombuffer(s.as_py(), dtype=np.uint64) for s in group.column("tokens")]
+            sizes = columns["size"][a:b].astype(np.float64)
+            sets = [np.frombuffer(s.as_py(), dtype=np.uint64) for s in columns["tokens"][a:b]]
             if len(sets) <= 4:
                 common = np.zeros(pairs.shape)
-                for a, b in zip(*np.nonzero(np.triu(pairs))):
-                    common[a, b] = common[b, a] = np.intersect1d(sets[a], sets[b], assume_unique=True).size
+                for x, y in zip(*np.nonzero(np.triu(pairs))):
+                    common[x, y] = common[y, x] = np.intersect1d(sets[x], sets[y], assume_unique=True).size
             else:
                 owners = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
                 common = _common(owners, np.concatenate(sets), len(sets)).astype(np.float64)
@@ -269,7 +337,7 @@ def _verified(rows: DataFrame, threshold: float) -> DataFrame:
             linked = np.flatnonzero(pairs.any(axis=1))
             if not len(linked):
                 continue
-            links = pairs @ group.column("weight").to_numpy()
+            links = pairs @ columns["weight"][a:b]
             root = np.arange(len(sets))
             while True:  # the least row reachable: few rounds, as near copies are close to cliques
                 least = np.where(pairs, root[None, :], len(sets)).min(axis=1)
@@ -325,7 +393,7 @@ def _classes(docs: DataFrame, threshold: float, recall: float, words: int, small
     order = F.struct(F.col("id").isNull().alias("null"), F.col("id"), F.col("t"))
     sets = stored(members.where("size > 0").groupBy("s1", "s2").agg(
         F.count(F.lit(1)).alias("n"), F.min(order).alias("rep"), F.first("size").alias("size"),
-        F.first("paths").alias("paths")), "near-sets")
+        F.first("sketch").alias("sketch"), F.first("paths").alias("paths")), "near-sets")
     first = sets.select(F.explode("paths").alias("node"), "s1", "s2")
     leaves, large = _nodes(first, small, last=len(depths) == 1)
     leaves = [leaves]
@@ -342,16 +410,16 @@ def _classes(docs: DataFrame, threshold: float, recall: float, words: int, small
         nodes = nodes.unionByName(more)
     # Each set's nodes in order; those before a node, as 32-bit hashes, tell where a pair was met first.
     listed = nodes.groupBy("s1", "s2").agg(F.sort_array(F.collect_set(F.struct("node", "n"))).alias("nodes")).join(
-        sets.select("s1", "s2", "size", F.col("n").alias("weight")), ["s1", "s2"])
+        sets.select("s1", "s2", "size", "sketch", F.col("n").alias("weight")), ["s1", "s2"])
     short = F.transform("nodes", lambda x: F.hash(x["node"]))
-    rows = listed.select("s1", "s2", "size", "weight", short.alias("short"), F.posexplode("nodes").alias("at", "x"))
+    rows = listed.select("s1", "s2", "size", "weight", "sketch", short.alias("short"), F.posexplode("nodes").alias("at", "x"))
     blocks = F.when(F.col("x.n") > small, F.ceil(F.col("x.n") / F.lit(block)).cast("int")).otherwise(F.lit(1))
     rows = rows.select(
-        F.col("x.node").alias("node"), "s1", "s2", "size", "weight", F.slice("short", F.lit(1), F.col("at")).alias("earlier"),
+        F.col("x.node").alias("node"), "s1", "s2", "size", "weight", "sketch", F.slice("short", F.lit(1), F.col("at")).alias("earlier"),
         blocks.alias("k"), F.pmod(F.col("s1"), blocks).cast("int").alias("block"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1))).select(
         "node", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block",
-        "s1", "s2", "size", "weight", "earlier")
+        "s1", "s2", "size", "weight", "sketch", "earlier")
     needed = stored(_needed(rows, threshold), "near-needed")
     texts = _texts_of(docs, needed.select("s1", "s2").distinct().join(sets.select("s1", "s2", "rep"), ["s1", "s2"]), id_col, text_col)
 
