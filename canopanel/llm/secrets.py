@@ -32,9 +32,6 @@ _RUN = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
 _DIGEST = re.compile(r"(?:[0-9a-f]+|[0-9A-F]+)\Z")
 _DIGEST_LENGTHS = {32, 40, 48, 56, 64, 96, 128}
 _UUID = re.compile(r"[0-9A-Fa-f]{8}(?:-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}\Z")
-# Names made of words: parts joined by marks, each letters in one case or capitalised, with
-# at most a short number at its end.
-_WORDS = re.compile(r"[+/_=-]*(?:(?:[A-Z]?[a-z]+|[A-Z]+)+[0-9]{0,4}[+/_=-]+)*(?:[A-Z]?[a-z]+|[A-Z]+|[0-9]{1,4})*[0-9]{0,4}[+/_=-]*\Z")
 _NUMBER = re.compile(r"[0-9+/_=-]+\Z")
 # Words have more characters per token than this in any language of Latin letters.
 CHARS_PER_TOKEN = 2.4
@@ -57,12 +54,14 @@ def _case_changes(run: str) -> int:
 
 
 def known_identifier(run: str) -> bool:
-    """Whether a run is a digest of a usual length, a UUID, a number or a name made of words."""
-    if _DIGEST.match(run) and len(run) in _DIGEST_LENGTHS or _UUID.match(run) or _NUMBER.match(run):
+    """Whether a run is a digest of a usual length, a UUID, a number or a name made of words.
+
+    A name has few changes between cases, and digits, at most four, only at its end.
+    """
+    if (_DIGEST.match(run) and len(run) in _DIGEST_LENGTHS) or _UUID.match(run) or _NUMBER.match(run):
         return True
-    if any(c.isdigit() for c in run):
-        return sum(c.isdigit() for c in run) <= 4 and _case_changes(run) <= len(run) // 8 and run.rstrip("0123456789").isalpha()
-    return _case_changes(run) <= len(run) // 5
+    name = run.rstrip("0123456789")
+    return len(run) - len(name) <= 4 and not any(c.isdigit() for c in name) and _case_changes(name) <= len(name) // 5
 
 
 def random_spans(text: str, tokens, base: list[tuple[int, int, int]], ratio: float = CHARS_PER_TOKEN) -> list[tuple[int, int, int]]:
