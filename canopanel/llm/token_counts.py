@@ -52,11 +52,24 @@ class CountOnlyViterbi:
         self.may_cut = not any(across.search(piece) for piece, _ in pieces)
 
     def segments(self, text: str) -> list[str]:
-        """The text cut where no piece can cross; scores and ties of the parts do not change."""
+        """A marked text cut where no piece can cross; scores and ties of the parts do not change."""
         if not self.may_cut:
             return [text] if text else []
         return re.findall(f"[{MARK}\n]+[^{MARK}\n]*|[^{MARK}\n]+", text)
 
+    def counter(self, limit: int = 200_000):
+        """A function that counts the tokens of a text; segments met before are not counted anew."""
+        words = SegmentCache(lambda new: [self.count(MARK + s) for s in new], limit)
+        others = SegmentCache(lambda new: [self.count(s) for s in new], limit)
+
+        def tokens(text: str) -> int:
+            # A mark for each space, one between words: then every word is a segment.
+            if text and self.may_cut and text[0] != " " and "  " not in text and MARK not in text:
+                return sum(words.results(text.split(" ")))
+            return sum(others.results(self.segments(marked(text))))
+
+        return tokens
+
     def count(self, text: str) -> int:
         scores, counts = [0.0], [0]
         best, pieces, single, at = None, 0, False, 0
@@ -99,10 +112,9 @@ def count_tokens(docs: DataFrame, vocabulary_path: str, text_col: str = "text",
     def counted(batches):
         import pyarrow as pa
 
-        viterbi = CountOnlyViterbi(pieces.value)
-        cache = SegmentCache(lambda new: [viterbi.count(s) for s in new], viterbi.segments)
+        tokens = CountOnlyViterbi(pieces.value).counter()
         for batch in batches:
-            counts = [sum(cache.results(marked(t.as_py()))) for t in batch.column(len(carry))]
+            counts = [tokens(t.as_py()) for t in batch.column(len(carry))]
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns[:len(carry)], pa.array(counts, pa.int64())], names=[*carry, n])
 

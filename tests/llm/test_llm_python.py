@@ -1,13 +1,16 @@
 """Top-k, secrets, near copies, packing, token counts and language ID against brute force."""
 
 import collections
+import json
 import random
 import re
 import zlib
+from pathlib import Path
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -241,9 +244,24 @@ def test_segments_keep_tokens(text):
     parts = segments.segments(text)
     assert "".join(parts) == text
     whole = tokenizer.encode(text, add_special_tokens=False).ids
+    if not hasattr(test_segments_keep_tokens, "coder"):
+        test_segments_keep_tokens.coder = segments.ByteBpe(Path(BPE).read_bytes(), limit=20)
+    assert np.frombuffer(test_segments_keep_tokens.coder.encode(text), dtype="<u4").tolist() == whole
     assert [i for p in parts for i in tokenizer.encode(p, add_special_tokens=False).ids] == whole
 
 
+def test_ids_are_the_tokenizers():
+    """On given documents and odd texts, by ranks as well as by the library's own merges."""
+    tokenizer, model = Tokenizer.from_file(BPE), Path(BPE).read_bytes()
+    coder = segments.ByteBpe(model)
+    texts = [t or "" for t in ODD_TEXTS] + pq.read_table(f"{SF}/documents.parquet").column("text").to_pylist()
+    for text in texts:
+        assert np.frombuffer(coder.encode(text), dtype="<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids
+    other = json.loads(model)
+    other["normalizer"] = {"type": "Lowercase"}
+    assert segments.bpe_coder(json.dumps(other).encode())("ABC Def") == tokenizer.encode("abc def", add_special_tokens=False).ids
+
+
 # --- token counts --------------------------------------------------------------------------
 
 @pytest.fixture(scope="module")
