@@ -17,7 +17,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 from canopanel.llm.common import column, whole_text
-from canopanel.llm.segments import SegmentCache
+from canopanel.llm.segments import ByteBpe
 
 WINDOW = 1024
 # Windows a task may hold open before it closes them by cutting.
@@ -121,7 +121,7 @@ def pack(docs: DataFrame, tokenizer_path: str, size: int = WINDOW, end_id: int =
     def packed(batches):
         import pyarrow as pa
 
-        cache = SegmentCache.of_byte_bpe(model.value)
+        coder = ByteBpe(model.value)
         end = np.array([end_id], dtype="<u4")
         packer = SumOfSquares(size, max_open)
         first = TaskContext.get().partitionId() << _TASK_SHIFT
@@ -152,7 +152,7 @@ def pack(docs: DataFrame, tokenizer_path: str, size: int = WINDOW, end_id: int =
             if kinds is None:
                 kinds = [batch.schema.field("id").type, pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64()]
             for name, text in zip(batch.column("id").to_pylist(), batch.column("text")):
-                ids = np.concatenate([np.frombuffer(cache.encode(text.as_py()), dtype="<u4"), end])
+                ids = np.concatenate([np.frombuffer(coder.encode(text.as_py()), dtype="<u4"), end])
                 names[state["document"]] = (name, len(ids))
                 for window in packer.put(state["document"], ids):
                     emit(window)
