@@ -2,32 +2,39 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# A side is broadcast only after it was seen to have at most this many rows.
+# A side is broadcast only after it was seen to have at most so many rows and bytes.
 BROADCAST_ROWS = 200_000
+BROADCAST_BYTES = 32 << 20
 
 
 def _shared_root(spark: SparkSession) -> str:
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder is None:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-        folder = tempfile.mkdtemp(prefix="canopanel-")
-        spark.conf.set("spark.checkpoint.dir", folder)
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return folder
 
 
+def set_shared_folder(spark: SparkSession) -> None:
+    """Give a session without ``spark.checkpoint.dir`` one where driver and executors are one process.
+
+    For entry points and tests; a session of several processes must come with its own setting.
+    """
+    if spark.conf.get("spark.checkpoint.dir", None) is None and re.match(r"local(\[|$)", spark.sparkContext.master):
+        spark.conf.set("spark.checkpoint.dir", tempfile.mkdtemp(prefix="canopanel-"))
+
+
 def shared_folder(spark: SparkSession, name: str) -> str:
     """A new path for an intermediate table under the cluster's ``spark.checkpoint.dir``.
 
     All paths of one application share the folder ``canopanel-<application id>``, which can
-    be deleted once the application has ended.  Only a local session, where driver and
-    executors share one disk, gets a temporary folder when the setting is absent.
+    be deleted once the application has ended.
     """
     run = f"canopanel-{spark.sparkContext.applicationId}"
     return f"{_shared_root(spark).rstrip('/')}/{run}/{name}-{uuid.uuid4().hex}"
@@ -53,7 +60,7 @@ def stored(df: DataFrame, name: str = "table") -> DataFrame:
 
 
 def small_side(df: DataFrame, max_rows: int | None = None) -> DataFrame:
-    """``df`` as a broadcast side if it has at most ``max_rows`` rows, else ``df`` as it is.
+    """``df`` as a broadcast side if it has few rows and bytes, else ``df`` as it is.
 
     ``max_rows`` is ``BROADCAST_ROWS`` unless given.
     At most ``max_rows + 1`` rows reach the driver.  A small table is then computed once,
@@ -61,7 +68,7 @@ def small_side(df: DataFrame, max_rows: int | None = None) -> DataFrame:
     """
     max_rows = BROADCAST_ROWS if max_rows is None else max_rows
     rows = df.limit(max_rows + 1).toArrow()
-    if rows.num_rows > max_rows:
+    if rows.num_rows > max_rows or rows.nbytes > BROADCAST_BYTES:
         return df
     return F.broadcast(df.sparkSession.createDataFrame(rows, schema=df.schema))
 

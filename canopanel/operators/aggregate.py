@@ -37,29 +37,39 @@ def area_mean(
     cell: str = "gridcell",
     weight: str = "landarea",
     scale_factor: float = 1.0,
-    denominator: str = "cells",
+    denominator: str = "selected",
     weights_where_present: bool = False,
+    selected: DataFrame | None = None,
 ) -> DataFrame:
     """Area-weighted mean over cells: ``scale_factor * sum(v * w) / sum(w)``.
 
-    ``denominator="cells"`` sums the weights of the group's own rows; ``"all"`` takes the
-    weight of every cell in ``weights``, also those outside the panel.  A missing value
-    leaves the numerator but keeps its weight, unless ``weights_where_present``.
+    ``denominator="selected"`` divides by the weights of all selected cells, whether or not a
+    group of a sparse panel has a row of each; the selection is ``selected`` (cells, and those
+    of ``keys`` that tell several selections apart) or else all cells of the panel, which costs
+    a pass.  ``"rows"`` sums the weights of the group's own rows, ``"all"`` those of every cell
+    in ``weights``.  A missing value leaves the numerator but keeps its weight, unless
+    ``weights_where_present``, which looks at the group's own rows.
     """
-    if denominator not in ("cells", "all"):
-        raise ValueError("denominator must be 'cells' or 'all'")
+    if denominator not in ("selected", "rows", "all"):
+        raise ValueError("denominator must be 'selected', 'rows' or 'all'")
     w = F.col(weight)
-    joined = panel.join(small_side(weights.select(cell, weight)), cell)
-    if denominator == "all":
+    area = small_side(weights.select(cell, weight))
+    joined = panel.join(area, cell)
+    if denominator == "selected" and not weights_where_present:
+        chosen = panel.select(cell) if selected is None else selected
+        own = [k for k in keys if k in chosen.columns]
+        totals = chosen.select(*own, cell).distinct().join(area, cell).groupBy(*own).agg(F.sum(weight).alias("_all"))
+        joined = joined.join(small_side(totals), own) if own else joined.withColumn("_all", totals.select("_all").scalar())
+    elif denominator == "all":
         joined = joined.withColumn("_all", weights.agg(F.sum(weight).alias("w")).scalar())
 
     def one(v: str):
-        if denominator == "all":
-            total = F.max("_all")
-        elif weights_where_present:
+        if weights_where_present and denominator != "all":
             total = F.sum(F.when(F.col(v).isNotNull(), w))
-        else:
+        elif denominator == "rows":
             total = F.sum(w)
+        else:
+            total = F.max("_all")
         return (scale_factor * F.try_divide(F.sum(F.col(v) * w), total)).alias(v)
 
     return joined.groupBy(*keys).agg(*[one(v) for v in values])

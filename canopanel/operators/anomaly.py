@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from canopanel.cluster import small_side
+from canopanel.cluster import small_side, stored
 from canopanel.functions.calendar import in_period
 from canopanel.operators.aggregate import climatology
 
@@ -23,10 +23,10 @@ def time_mean_anomaly(panel: DataFrame, keys: Sequence[str] = ("member", "gridce
                       value: str = "value", out: str = "anomaly") -> DataFrame:
     """Value minus the mean of its group over time.
 
-    There are as many means as (member, cell) pairs, so no broadcast is asked for; Spark
-    still makes one at run time when they turn out small.
+    The means are stored first: Spark then knows their size, broadcasts them when they are
+    small, and otherwise joins by the keys.
     """
-    means = panel.groupBy(*keys).agg(F.avg(value).alias("_mean"))
+    means = stored(panel.groupBy(*keys).agg(F.avg(value).alias("_mean")), "means")
     return (panel.join(means, list(keys), "left")
             .withColumn(out, F.col(value) - F.col("_mean")).drop("_mean"))
 
@@ -40,18 +40,21 @@ def anomaly(
     value: str = "value",
     time: str = "time",
     out: str = "anomaly",
+    base: DataFrame | None = None,
 ) -> DataFrame:
     """Raw values (``None``), climatology anomalies (``"clim"``) or z-scores (``"zscore"``).
 
     The monthly climatology comes from ``baseline``; the output covers ``period``, which
-    may differ.  A month without baseline rows gives NULL.
+    may differ.  A month without baseline rows gives NULL.  Where the caller has cut the
+    baseline from the panel already, ``base`` holds it.
     """
     if mode not in (None, "clim", "zscore"):
         raise ValueError(f"unknown anomaly mode {mode!r}")
     shown = panel.where(in_period(F.col(time), *period)) if period else panel
     if mode is None:
         return shown.withColumn(out, F.col(value))
-    base = panel.where(in_period(F.col(time), *baseline)) if baseline else panel
+    base = panel if base is None else base
+    base = base.where(in_period(F.col(time), *baseline)) if baseline else base
     stats = small_side(climatology(base, keys, value, time))
     joined = shown.withColumn("month", F.month(time)).join(stats, [*keys, "month"], "left")
     difference = F.col(value) - F.col("clim_mean")

@@ -174,8 +174,8 @@ def discard_test(pred: DataFrame, measures: Sequence[str], keys: Sequence[str],
     ``keys``, which must be unique.  Rows with a missing measure or error are left out.
 
     Each row belongs to the largest i that still keeps it, and the RMSEs follow from sums over
-    those few classes.  For large slices a sketch brackets every cut: rows between brackets
-    are summed where they are, and only rows inside a bracket are ranked.
+    those few classes.  A sketch brackets every cut: rows between brackets are summed where
+    they are, and only rows inside a bracket are ranked.
     """
     by = [*slice_cols, "measure"]
     error = F.col(truth) - F.col(mu)
@@ -184,15 +184,7 @@ def discard_test(pred: DataFrame, measures: Sequence[str], keys: Sequence[str],
     long = long.where("_u IS NOT NULL AND _sq IS NOT NULL")
     cuts = [(parts - i) / parts for i in range(1, steps)]
     known = sketch_around(long, by, "_u", cuts)
-    if known is not None:
-        result = small_side(_discard(_between_cuts(long, known, by, len(cuts)), by, keys, steps, parts))
-        total = Window.partitionBy(*by)
-        wrong = result.withColumn("_n", F.max("kept").over(total)).where(
-            f"kept <> _n - (i * _n) div {parts}").limit(1).collect()
-        if not wrong:
-            return result
-    everything = long.withColumns({"_above": F.lit(0), "_segment": F.lit(1)})
-    return _discard(everything, by, keys, steps, parts)
+    return _discard(_between_cuts(long, known, by, len(cuts)), by, keys, steps, parts)
 
 
 def _between_cuts(long: DataFrame, known: DataFrame, by: list[str], cuts: int) -> DataFrame:
@@ -260,20 +252,24 @@ def pit_flag(pred: DataFrame, truth: str = "truth", mu: str = "mu", out: str = "
     return pred.withColumn(out, (F.col(mu) <= F.col(truth)).cast("double"))
 
 
+def _standardised(pred: DataFrame, truth: str = "truth", mu: str = "mu", alea: str = "alea", epis: str = "epis") -> DataFrame:
+    """Adds the standardised error ``_z``; a column of its own, so that no expression repeats it."""
+    sigma = F.sqrt(F.col(alea) + F.col(epis))
+    return pred.withColumn("_z", F.when(sigma > 0, (F.col(truth) - F.col(mu)) / sigma))
+
+
 def pit(pred: DataFrame, truth: str = "truth", mu: str = "mu", alea: str = "alea",
         epis: str = "epis", out: str = "pit") -> DataFrame:
     """Probability integral transform: normal CDF of the standardised error.
 
     Rows without any predicted variance get NULL.
     """
-    sigma = F.sqrt(F.col(alea) + F.col(epis))
-    z = F.when(sigma > 0, (F.col(truth) - F.col(mu)) / sigma)
-    return pred.withColumn(out, normal_cdf(z))
+    return _standardised(pred, truth, mu, alea, epis).withColumn(out, normal_cdf("_z")).drop("_z")
 
 
 def pit_histogram(pred: DataFrame, bins: int = 20, **columns: str) -> DataFrame:
     """Density of the PIT on [0, 1]: (bin, n, density); 1 everywhere when calibrated."""
-    values = pit(pred, out="_pit", **columns).where("_pit IS NOT NULL")
+    values = _standardised(pred, **columns).where("_z IS NOT NULL").select(normal_cdf("_z").alias("_pit"))
     counts = values.groupBy(_bin(F.col("_pit"), F.lit(0.0), F.lit(1.0), bins).alias("bin")).agg(
         F.count("*").alias("n"))
     frame = pred.sparkSession.range(bins).select(F.col("id").cast("int").alias("bin"))

@@ -1,33 +1,33 @@
 """Evidential regression: head, loss, distributed fit and scoring.
 
 The network predicts a Normal-Inverse-Gamma distribution (gamma, nu, alpha, beta) per
-output (Amini et al. 2020).  Training is data-parallel: in each epoch every partition makes
-mini-batch steps from the same starting weights, and Spark averages the partitions' weights
-by row count (Zinkevich et al. 2010).  One job trains the models of all slices at once; rows
-are spread by key hash, so a large slice is shared by all tasks.
+output (Amini et al. 2020).  Training is data-parallel: in each epoch every shard of rows makes
+mini-batch steps from the same starting weights, and Spark averages the shards' weights by row
+count (Zinkevich et al. 2010).  One job trains the models of all slices at once; the number of
+a slice's shards follows from its rows.
 """
 
 from __future__ import annotations
 
 import json
 import math
+import zlib
 from collections.abc import Iterator, Sequence
 from dataclasses import asdict, dataclass, field
 
 import numpy as np
 import pandas as pd
-from pyspark import TaskContext
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from canopanel.cluster import checkpoint, small_values
+from canopanel.cluster import checkpoint
 from canopanel.functions.special import lgamma
 from canopanel.schema import nan_to_null
 
-MAX_SLICES = 1000  # the driver and every task hold one network per slice
+SHARD_ROWS = 16_384  # rows of one slice that one task trains on in an epoch
 _BLOCK = 4096  # weights per row when partial models travel to be averaged
 
 
@@ -143,15 +143,19 @@ class Network:
         g, nu, al, be = head
         e = np.where(np.isnan(y), 0.0, y - g)
         om = 2 * be * (1 + nu)
-        lg = np.vectorize(math.lgamma, otypes=[float])
         nll = (0.5 * np.log(np.pi / nu) - al * np.log(om) + (al + 0.5) * np.log(nu * e * e + om)
-               + lg(al) - lg(al + 0.5))
+               + _lgamma(al) - _lgamma(al + 0.5))
         return np.where(np.isnan(y), 0.0, nll + self.loss_weight * np.abs(e) * (2 * nu + al))
 
     def gradient(self, theta: np.ndarray, x: np.ndarray, y: np.ndarray, rng=None) -> np.ndarray:
         """Gradient of the batch's mean loss plus the L2 term."""
+        return self.step(theta, x, y, rng)[1]
+
+    def step(self, theta: np.ndarray, x: np.ndarray, y: np.ndarray, rng=None) -> tuple[float, np.ndarray]:
+        """Sum of the batch's losses and the gradient of their mean plus the L2 term, of one forward pass."""
         o, trace = self.raw(theta, x, rng)
         g, nu, al, be = self._head(o)
+        loss = float(self.losses((g, nu, al, be), y).sum())
         known = ~np.isnan(y)
         e = np.where(known, y - g, 0.0)
         om, lam = 2 * be * (1 + nu), self.loss_weight
@@ -171,7 +175,7 @@ class Network:
             gb[...] = delta.sum(axis=0)
             if below is not None:
                 delta = (delta @ w.T) * below
-        return grad
+        return loss, grad
 
 
 def _softplus(z):
@@ -182,6 +186,16 @@ def _sigmoid(z):
     return 0.5 * (1.0 + np.tanh(0.5 * z))
 
 
+def _lgamma(x):
+    """Log gamma for x > 0: recurrence up to x + 6, then the Stirling series."""
+    z = x + 6.0
+    inv = 1.0 / z
+    inv2 = inv * inv
+    series = inv * (1 / 12 - inv2 * (1 / 360 - inv2 * (1 / 1260 - inv2 * (1 / 1680 - inv2 / 1188))))
+    product = x * (x + 1) * (x + 2) * (x + 3) * (x + 4) * (x + 5)
+    return (z - 0.5) * np.log(z) - z + 0.5 * math.log(2 * math.pi) + series - np.log(product)
+
+
 def _digamma(x):
     shifted = x + 6.0
     inv2 = 1.0 / (shifted * shifted)
@@ -201,7 +215,7 @@ class EvidentialModel:
     weights: dict[str, np.ndarray]
     by: str | None = None
     history: list[dict] = field(default_factory=list)
-    training_variance: dict[str, float] | None = None
+    training_variance: dict | None = None  # per task, or per slice and task
 
     def history_table(self, spark: SparkSession) -> DataFrame:
         """One row per (slice, epoch) with losses and learning rate."""
@@ -287,12 +301,23 @@ class EvidentialModel:
 
 # ---- fit -----------------------------------------------------------------------------
 
-def _prepared(table: DataFrame, features, tasks, by, keys, partitions: int, seed: int) -> DataFrame:
-    """Complete rows spread by key hash, in a repeatable order, written to shared storage."""
+def _prepared(table: DataFrame, features, tasks, by, keys, shard_rows: int, seed: int) -> tuple[DataFrame, dict[str, int]]:
+    """Complete rows in shards, in a repeatable order, in shared storage; and the rows of each slice.
+
+    A slice has as many shards as its rows need, dealt by key hash: a large slice is spread over
+    tasks, a small one stays in one, and each shard returns one weight vector.
+    """
     columns = [F.col(c).cast("double").alias(c) for c in [*features, *tasks]]
     slices = (F.col(by).cast("string") if by else F.lit("")).alias("_slice")
-    rows = table.select(F.xxhash64(F.lit(seed), *keys).alias("_h"), slices, *columns).dropna(subset=list(features))
-    return checkpoint(rows.repartition(partitions, "_h").sortWithinPartitions("_h", *features, *tasks))
+    rows = table.select(F.xxhash64(F.lit(seed), *keys).alias("_h"), slices, *columns).dropna(subset=["_slice", *features])
+    sizes = {r["_slice"]: r["n"] for r in rows.groupBy("_slice").agg(F.count("*").alias("n")).collect()}
+    shards = {s: math.ceil(n / shard_rows) for s, n in sizes.items()}
+    if not sizes:
+        return checkpoint(rows.withColumn("_shard", F.lit(0))), sizes
+    own = F.create_map(*[F.lit(x) for pair in shards.items() for x in pair])[F.col("_slice")]
+    sharded = rows.withColumn("_shard", F.pmod(F.col("_h"), own).cast("int"))
+    return checkpoint(sharded.repartition(sum(shards.values()), "_slice", "_shard")
+                      .sortWithinPartitions("_slice", "_shard", "_h", *features, *tasks)), sizes
 
 
 def fit_evidential(
@@ -307,7 +332,8 @@ def fit_evidential(
     learning_rate: float = 1e-3,
     patience: int = 10,
     min_learning_rate: float = 1e-6,
-    partitions: int | None = None,
+    shard_rows: int = SHARD_ROWS,
+    optimizer: str = "rmsprop",
     seed: int = 0,
     **network,
 ) -> EvidentialModel:
@@ -315,15 +341,17 @@ def fit_evidential(
 
     A network stops after ``patience`` epochs without a better validation loss, its
     learning rate halves after ``patience // 2``, and the best weights are returned.
-    ``keys`` identify rows: they fix the row order and so make a fit repeatable for a given
-    number of ``partitions``.  The driver holds one weight vector per slice.
+    ``keys`` identify rows: they fix the row order and the shards of at most about
+    ``shard_rows`` rows, so a fit is repeatable whatever the cluster.  ``optimizer`` is
+    ``"rmsprop"`` or ``"adam"``.  The driver holds one weight vector per slice.
     """
-    features, tasks, spark = list(features), list(tasks), train.sparkSession
+    if optimizer not in ("rmsprop", "adam"):
+        raise ValueError(f"unknown optimizer {optimizer!r}")
+    features, tasks = list(features), list(tasks)
     net = Network(n_features=len(features), n_tasks=len(tasks), **network)
-    partitions = partitions or spark.sparkContext.defaultParallelism
-    train_rows = _prepared(train, features, tasks, by, keys, partitions, seed)
-    val_rows = _prepared(val, features, tasks, by, keys, partitions, seed)
-    slices = small_values(train_rows, "_slice", MAX_SLICES)
+    train_rows, sizes = _prepared(train, features, tasks, by, keys, shard_rows, seed)
+    val_rows, _ = _prepared(val, features, tasks, by, keys, shard_rows, seed)
+    slices = sorted(sizes)
     theta = {s: net.initial(seed) for s in slices}
     best = {s: (math.inf, theta[s]) for s in slices}
     rate = dict.fromkeys(slices, learning_rate)
@@ -334,7 +362,7 @@ def fit_evidential(
         if not active:
             break
         state = {s: (theta[s], rate[s]) for s in active}
-        averaged, train_loss = _epoch(train_rows, net, features, tasks, state, batch_size, seed + 7919 * epoch)
+        averaged, train_loss = _epoch(train_rows, net, features, tasks, state, batch_size, optimizer, seed + 7919 * epoch)
         theta.update(averaged)
         scores = _validate(val_rows, net, features, tasks, {s: theta[s] for s in active})
         for s in sorted(active):
@@ -350,49 +378,68 @@ def fit_evidential(
                 active.discard(s)
             elif stale[s] % max(patience // 2, 1) == 0:
                 rate[s] = max(rate[s] / 2, min_learning_rate)
-    variance = train.agg(*[F.var_pop(t).alias(t) for t in tasks]).first().asDict()
+    spread = train_rows.groupBy("_slice").agg(*[F.var_pop(t).alias(t) for t in tasks]).collect()
+    variance = {r["_slice"]: {t: r[t] for t in tasks} for r in spread}
+    if by is None:
+        variance = variance.get("")
     return EvidentialModel(net, features, tasks, {s: b[1] for s, b in best.items()}, by, history, variance)
 
 
-def _epoch(rows: DataFrame, net: Network, features, tasks, state, batch_size: int, seed: int):
-    """One pass: local RMSprop steps per partition, then the row-weighted mean of the weights."""
+def _epoch(rows: DataFrame, net: Network, features, tasks, state, batch_size: int, optimizer: str, seed: int):
+    """One pass: local steps per shard, then the row-weighted mean of the shards' weights."""
     shared = rows.sparkSession.sparkContext.broadcast(state)
 
     def steps(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         start = shared.value
-        rng = np.random.default_rng([seed, TaskContext.get().partitionId()])
-        local: dict[str, list] = {}
+        work, current = None, None
+
+        def result():
+            name, weights = current[0], work["theta"]
+            blocks = range(0, net.size, _BLOCK)
+            return pd.DataFrame({
+                "slice": name, "block": np.arange(len(blocks)), "vec": [weights[b:b + _BLOCK] for b in blocks],
+                "n": float(work["n"]), "known": float(work["known"]), "loss": work["loss"]})
+
         for batch in batches:
-            for name, part in batch.groupby("_slice", sort=True):
-                if name not in start:
+            for key, part in batch.groupby(["_slice", "_shard"], sort=False):
+                if key[0] not in start:
                     continue
-                if name not in local:
-                    local[name] = [start[name][0].copy(), np.zeros(net.size), 0, 0.0]
-                work = local[name]
-                x, y = part[features].to_numpy(float), part[tasks].to_numpy(float)
+                if key != current:  # shards follow one another, each with its own draws
+                    if work is not None:
+                        yield result()
+                    current = key
+                    work = {"theta": start[key[0]][0].copy(), "m": np.zeros(net.size), "v": np.zeros(net.size),
+                            "t": 0, "n": 0, "known": 0, "loss": 0.0,
+                            "rng": np.random.default_rng([seed, int(key[1]), zlib.crc32(key[0].encode())])}
+                x, y, rate = part[features].to_numpy(float), part[tasks].to_numpy(float), start[key[0]][1]
                 for at in range(0, len(x), batch_size):
                     xb, yb = x[at:at + batch_size], y[at:at + batch_size]
-                    work[3] += float(net.losses(net.outputs(work[0], xb), yb).sum()) / net.n_tasks
-                    grad = net.gradient(work[0], xb, yb, rng)
-                    work[1] = 0.9 * work[1] + 0.1 * grad * grad
-                    work[0] = work[0] - start[name][1] * grad / (np.sqrt(work[1]) + 1e-7)
-                    work[2] += len(xb)
-        for name, (weights, _, n, loss) in local.items():
-            blocks = range(0, net.size, _BLOCK)
-            yield pd.DataFrame({
-                "slice": name, "block": np.arange(len(blocks)),
-                "vec": [weights[b:b + _BLOCK] for b in blocks], "n": float(n), "loss": loss})
-
-    partial = rows.mapInPandas(steps, "slice string, block int, vec array<double>, n double, loss double")
+                    loss, grad = net.step(work["theta"], xb, yb, work["rng"])
+                    work["t"] += 1
+                    if optimizer == "adam":
+                        work["m"] = 0.9 * work["m"] + 0.1 * grad
+                        work["v"] = 0.999 * work["v"] + 0.001 * grad * grad
+                        first, second = work["m"] / (1 - 0.9 ** work["t"]), work["v"] / (1 - 0.999 ** work["t"])
+                    else:
+                        work["v"] = 0.9 * work["v"] + 0.1 * grad * grad
+                        first, second = grad, work["v"]
+                    work["theta"] = work["theta"] - rate * first / (np.sqrt(second) + 1e-7)
+                    work["n"] += len(xb)
+                    work["known"] += int((~np.isnan(yb)).sum())
+                    work["loss"] += loss
+        if work is not None:
+            yield result()
+
+    partial = rows.mapInPandas(steps, "slice string, block int, vec array<double>, n double, known double, loss double")
     merged = (partial.withColumn("vec", array_to_vector("vec")).groupBy("slice", "block")
               .agg(Summarizer.mean(F.col("vec"), F.col("n")).alias("vec"),
-                   (F.sum("loss") / F.sum("n")).alias("loss"))
+                   F.try_divide(F.sum("loss"), F.sum("known")).alias("loss"))
               .withColumn("vec", vector_to_array("vec")).orderBy("slice", "block").collect())
     weights: dict[str, list] = {}
     for r in merged:
         weights.setdefault(r["slice"], []).append(np.asarray(r["vec"]))
     shared.unpersist()
-    return ({s: np.concatenate(v) for s, v in weights.items()}, {r["slice"]: r["loss"] for r in merged})
+    return ({s: np.concatenate(v) for s, v in weights.items()}, {r["slice"]: math.nan if r["loss"] is None else r["loss"] for r in merged})
 
 
 def _validate(rows: DataFrame, net: Network, features, tasks, weights) -> dict[str, tuple[float, float]]:

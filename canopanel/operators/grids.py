@@ -7,14 +7,25 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from canopanel.cluster import small_side, small_values
+from canopanel.cluster import small_side, small_values, stored
 from canopanel.operators.region import Box, slice_box
 
 
 def nearest_label(x: Column, labels: Sequence[float]) -> Column:
-    """The label closest to ``x``; of two equally close ones the larger."""
-    axis = F.array(*[F.lit(float(v)) for v in labels])
-    closest = F.array_min(F.transform(axis, lambda a: F.struct(F.abs(a - x).alias("d"), (-a).alias("n"))))
+    """The label closest to ``x``; of two equally close ones the larger.
+
+    On a near enough regular axis only the labels around the expected place are compared.
+    """
+    known = sorted(float(v) for v in labels)
+    axis = F.array(*[F.lit(v) for v in known])
+    step = (known[-1] - known[0]) / (len(known) - 1) if len(known) > 1 else 0.0
+    if step > 0 and all(abs(v - known[0] - i * step) < step / 4 for i, v in enumerate(known)):
+        at = F.round((x - known[0]) / step).cast("long")
+        around = [F.get(axis, F.least(F.greatest(at + d, F.lit(0)), F.lit(len(known) - 1)).cast("int")) for d in (-1, 0, 1)]
+        near = F.array(*around)
+    else:
+        near = axis
+    closest = F.array_min(F.transform(near, lambda a: F.struct(F.abs(a - x).alias("d"), (-a).alias("n"))))
     return F.when(x.isNotNull(), -closest["n"])
 
 
@@ -53,6 +64,7 @@ def regrid(values: DataFrame, grid: DataFrame, cluster: DataFrame, value: str =
         small_side(cell_classes(grid, cluster, cell)), "cclass", "left")
     if not dims:
         return points.join(values.select(cell, value), cell, "left").select("lat", "lon", value)
+    values = stored(values.select(*dims, cell, value), "values")
     # Every frame needs every point: give each frame all latitudes, then match points on them.
     latitudes = F.array(*[F.lit(x) for x in small_values(points, "lat")])
     frames = values.select(*dims).distinct().withColumn("lat", F.explode(latitudes))

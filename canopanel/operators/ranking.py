@@ -9,6 +9,7 @@ looked at only inside the blocks that matter.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 import pyarrow as pa
@@ -18,12 +19,11 @@ from pyspark.sql import types as T
 
 from canopanel.cluster import BROADCAST_ROWS, join_on_keys, small_side, small_values, stored
 
-# A few quantiles of at least this many rows are bracketed: by sketched quantiles this far
-# to either side, with the sketch ten times as accurate.
-BRACKET_ROWS = 2_000_000
+# Quantiles are bracketed by sketched ones this far to either side (as a share of the rows, and
+# two rows more); the sketch is ten times as accurate, so a bracket cannot miss its ranks.
 BRACKET = 1e-3
 SKETCH_ACCURACY = 10_000
-MAX_BRACKETS = 16
+_GRID = 1000  # evenly spaced shares whose quantiles the sketch gives
 
 
 def rank_blocks(table: DataFrame, by: Sequence[str], order: Sequence[str], weight: str | None = None,
@@ -103,9 +103,9 @@ def exact_quantiles(
 ) -> DataFrame:
     """Exact linearly interpolated quantiles ``k / parts`` of columns: (by, feature, k, quantile).
 
-    A few quantiles (``numerators``) of many rows are bracketed by a sketch, and only the rows
-    inside the brackets are looked at; otherwise all distinct values are ranked.  All position
-    arithmetic is in integers.
+    Wanted quantiles (``numerators``) are bracketed by a sketch, and only the rows inside the
+    brackets are looked at; for all of them (None) all distinct values are ranked.  All
+    position arithmetic is in integers.
     """
     by, d = list(by), int(parts)
     keys = [*by, "feature"]
@@ -113,11 +113,10 @@ def exact_quantiles(
         F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("_x")) for c in columns])
     long = (table.select(*by, F.explode(pairs).alias("_p"))
             .select(*by, "_p.feature", "_p._x").where("_x IS NOT NULL"))
-    ends = None
-    if numerators is not None and len(numerators) <= MAX_BRACKETS:
+    if numerators is None:
+        ends = _ends_by_ranks(long, keys, d)
+    else:
         ends = _ends_by_brackets(long, keys, d, [int(k) for k in numerators])
-    if ends is None:
-        ends = _ends_by_ranks(long, keys, d, numerators)
     fraction = _fraction(d)
     between = F.when(fraction > 0, (F.col("_hi") - F.col("_lo")) * fraction).otherwise(0.0)
     return ends.select(*keys, F.col("k").cast("long").alias("k"), (F.col("_lo") + between).alias("quantile"))
@@ -128,33 +127,30 @@ def _fraction(d: int) -> Column:
     return F.expr(f"cast((k * (_count - 1)) % {d} as double) / {d}")
 
 
-def sketch_around(table: DataFrame, by: Sequence[str], column: str, shares: Sequence[float]) -> DataFrame | None:
-    """Per group the row count ``_count`` and in ``_q`` two sketched quantiles around each share.
+def sketch_around(table: DataFrame, by: Sequence[str], column: str, shares: Sequence[float]) -> DataFrame:
+    """Per group the row count ``_count`` and in ``_q`` two values around the quantile of each share.
 
-    The sketch is only an aid: whoever uses it must check the exact counts.  None when the
-    groups are too many to broadcast or all small.
+    The rows of the share's rank and its neighbours lie between the two, both included; in a
+    small group they are infinite, so that all its rows do.
     """
-    largest = table.groupBy(*by).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
-    if largest < BRACKET_ROWS:
-        return None
-    around = [min(max(s + m, 0.0), 1.0) for s in shares for m in (-BRACKET, BRACKET)]
+    grid = F.array(*[F.lit(i / _GRID) for i in range(_GRID + 1)])
     sketch = table.groupBy(*by).agg(
-        F.percentile_approx(column, F.array(*[F.lit(s) for s in around]), F.lit(SKETCH_ACCURACY)).alias("_q"),
-        F.count("*").alias("_count"))
-    known = small_side(sketch)
-    return None if known is sketch else known
+        F.percentile_approx(column, grid, F.lit(SKETCH_ACCURACY)).alias("_all"), F.count("*").alias("_count"))
+    margin = F.lit(BRACKET) + 2.0 / F.col("_count")
+    around = []
+    for s in shares:
+        below, above = F.floor((s - margin) * _GRID).cast("int"), F.ceil((s + margin) * _GRID).cast("int")
+        around.append(F.when(below < 0, F.lit(-math.inf)).otherwise(F.get("_all", below)))
+        around.append(F.when(above > _GRID, F.lit(math.inf)).otherwise(F.get("_all", above)))
+    return small_side(sketch.select(*by, F.array(*around).alias("_q"), "_count"))
 
 
-def _ends_by_brackets(long: DataFrame, keys: list[str], d: int, numerators: list[int]) -> DataFrame | None:
+def _ends_by_brackets(long: DataFrame, keys: list[str], d: int, numerators: list[int]) -> DataFrame:
     """Values at the two ranks around each quantile, from the rows between two sketched quantiles.
 
     Rows below a bracket are only counted, rows above it dropped, both before the shuffle.
-    None when the groups are too many or all small, or when a bracket missed its ranks: the
-    caller then ranks all values.
     """
     known = sketch_around(long, keys, "_x", [k / d for k in numerators])
-    if known is None:
-        return None
     brackets = F.array(*[
         F.struct(F.lit(k).cast("long").alias("k"), F.col("_q")[2 * i].alias("_from"), F.col("_q")[2 * i + 1].alias("_to"))
         for i, k in enumerate(numerators)])
@@ -169,12 +165,10 @@ def _ends_by_brackets(long: DataFrame, keys: list[str], d: int, numerators: list
         return F.max(F.when(F.expr(f"_rank - _n <= {rank} AND {rank} < _rank"), F.col("_x")))
 
     lower = f"(k * (_count - 1)) div {d}"
-    ends = small_side(spans.groupBy(*group, "_count").agg(at(lower).alias("_lo"), at(f"{lower} + 1").alias("_hi")))
-    missed = ends.where(F.col("_lo").isNull() | (F.col("_hi").isNull() & (_fraction(d) > 0)))
-    return None if missed.limit(1).collect() else ends
+    return spans.groupBy(*group, "_count").agg(at(lower).alias("_lo"), at(f"{lower} + 1").alias("_hi"))
 
 
-def _ends_by_ranks(long: DataFrame, keys: list[str], d: int, numerators: Sequence[int] | None) -> DataFrame:
+def _ends_by_ranks(long: DataFrame, keys: list[str], d: int) -> DataFrame:
     """Values at the two ranks around each quantile, from the ranks of all distinct values.
 
     Equal values are counted before they are partitioned, so ties cost nothing, and only the
@@ -191,20 +185,10 @@ def _ends_by_ranks(long: DataFrame, keys: list[str], d: int, numerators: Sequenc
     def wanted(start: str, end: str) -> Column:
         ks = f"sequence({first(start)}, least({d}, {first(end)} - 1))"
         some = f"{first(start)} <= least({d}, {first(end)} - 1)"
-        found = f"if(_total = 1, sequence(0L, {d}L), if({some}, {ks}, cast(array() as array<bigint>)))"
-        if numerators is not None:
-            chosen = ", ".join(f"{int(k)}L" for k in numerators)
-            found = f"array_intersect({found}, array({chosen}))"
-        return F.expr(found)
+        return F.expr(f"if(_total = 1, sequence(0L, {d}L), if({some}, {ks}, cast(array() as array<bigint>)))")
 
     before = "greatest(_before - 1, 0L)"
-    if numerators is None:
-        needed = blocks.where(f"_total = 1 OR {first(before)} <= least({d}, {first('_before + _size')} - 1)")
-    else:
-        hit = " OR ".join(
-            f"{int(k)} BETWEEN {first(before)} AND {first('_before + _size')} - 1" for k in numerators)
-        needed = blocks.where(f"_total = 1 OR {hit}")
-    needed = small_side(needed)
+    needed = small_side(blocks.where(f"_total = 1 OR {first(before)} <= least({d}, {first('_before + _size')} - 1)"))
     spans = ranks_in(rows, needed, keys, ["_x"], some=True).withColumns({
         "_start": F.col("_rank") - F.col("_n"), "_end": F.col("_rank")})
     lower = wanted("_start", "_end")

@@ -15,7 +15,10 @@ from canopanel.functions.labels import longitude_360
 
 @dataclass(frozen=True)
 class Box:
-    """A lon/lat rectangle, all bounds inclusive; without latitudes it is a band."""
+    """A lon/lat rectangle, all bounds inclusive; without latitudes it is a band.
+
+    With ``lon_min`` over ``lon_max`` it lies across the meridian where longitudes start again.
+    """
 
     lon_min: float
     lon_max: float
@@ -23,7 +26,10 @@ class Box:
     lat_max: float | None = None
 
     def contains(self, lon, lat=None):
-        inside = lon.between(self.lon_min, self.lon_max)
+        if self.lon_min <= self.lon_max:
+            inside = lon.between(self.lon_min, self.lon_max)
+        else:
+            inside = (lon >= self.lon_min) | (lon <= self.lon_max)
         if self.lat_min is not None:
             inside = inside & lat.between(self.lat_min, self.lat_max)
         return inside
@@ -110,7 +116,8 @@ def assign_regions(
     """
     inside = []
     for name, (lon_min, lon_max, lat_min, lat_max) in (regions or NAMED_REGIONS).items():
-        west, east = lon_min % 360, lon_max % 360
-        hit = F.col(lat).between(lat_min, lat_max) & longitude_360(F.col(lon)).between(west, east)
+        # A region of 360 degrees or more is the whole circle.
+        west, east = (0, 360) if lon_max - lon_min >= 360 else (lon_min % 360, lon_max % 360)
+        hit = Box(west, east, lat_min, lat_max).contains(longitude_360(F.col(lon)), F.col(lat))
         inside.append(F.when(hit, F.lit(name)))
     return cells.withColumn("region", F.explode(F.array_compact(F.array(*inside))))

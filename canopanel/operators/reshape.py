@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from canopanel.cluster import small_side
@@ -18,12 +18,13 @@ def stack_samples(panel: DataFrame, dims: Sequence[str] = ("member", "time", "gr
                   out: str = "sample_id") -> DataFrame:
     """Number the samples as a dense array of these dims would: row-major, from 0.
 
-    The id comes from each dim's own index table, so the panel itself is never sorted.
+    The id comes from each dim's own index table, so the panel itself is never sorted.  A row
+    with a NULL dim keeps its place in the table and has no id.
     """
     result, sample = panel, F.lit(0).cast("long")
     for dim in dims:
         index = axis_index(panel, dim, f"_{dim}")
-        result = result.join(index, dim)
+        result = result.join(index, dim, "left")
         sample = sample * F.lit(index.count()) + F.col(f"_{dim}")
     return result.withColumn(out, sample).drop(*[f"_{d}" for d in dims])
 
@@ -33,6 +34,19 @@ def sample_slice(samples: DataFrame, sample: int, sample_id: str = "sample_id")
     return samples.where(F.col(sample_id) == sample)
 
 
+def sample_of(panel: DataFrame, sample: int, dims: Sequence[str] = ("member", "time", "gridcell")) -> DataFrame:
+    """The rows of one sample by the id that :func:`stack_samples` would give it.
+
+    The id is turned back into its labels, so only the index tables are numbered, not the rows.
+    """
+    rows = panel
+    for dim in reversed(dims):
+        index = axis_index(panel, dim, f"_{dim}")
+        sample, at = divmod(sample, max(index.count(), 1))
+        rows = rows.where(F.col(dim) == index.where(F.col(f"_{dim}") == at).select(dim).scalar())
+    return rows if sample == 0 else rows.limit(0)
+
+
 def stack_multitask(panel: DataFrame, cells: Sequence, keys: Sequence[str] = ("member", "time"),
                     cell: str = "gridcell", value: str = "value", prefix: str = "cell_") -> DataFrame:
     """One row per sample with one output column per cell; absent cells are NULL.
@@ -81,15 +95,36 @@ def with_time_features(table: DataFrame, time: str = "time", cyclic: bool = True
     return table.withColumns({"m_sin": month_sin(F.col("month")), "m_cos": month_cos(F.col("month"))})
 
 
-def attach_params(panel: DataFrame, params: DataFrame, member: str = "member") -> DataFrame:
-    """Each member's parameters on each of its rows."""
-    return panel.join(small_side(params), member)
+def _attach(table: DataFrame, other: DataFrame, keys: Sequence[str], how: str, what: str) -> DataFrame:
+    """Join ``other`` to ``table`` on keys.
+
+    ``"strict"`` fails while rows are computed, in the same pass: at a row without a match and
+    at keys that ``other`` has twice.  ``"left"`` keeps unmatched rows with NULLs, ``"inner"``
+    drops them, and both repeat rows where keys repeat.
+    """
+    keys = list(keys)
+    if how != "strict":
+        return table.join(other, keys, how)
+    checked = other.withColumn("_times", F.count("*").over(Window.partitionBy(*keys)))
+    joined = table.join(checked, keys, "left")
+    row = F.concat_ws(", ", *[F.coalesce(F.col(k).cast("string"), F.lit("NULL")) for k in keys])
+    fault = F.when(F.col("_times").isNull(), F.concat(F.lit(f"no {what} for "), row)).when(
+        F.col("_times") > 1, F.concat(F.lit(f"several {what} for "), row))
+    kind = table.schema[keys[0]].dataType
+    # The check is part of a key, which no later selection leaves out unnoticed.
+    return joined.withColumn(keys[0], F.when(fault.isNull(), F.col(keys[0])).otherwise(
+        F.raise_error(fault).cast(kind))).drop("_times")
+
+
+def attach_params(panel: DataFrame, params: DataFrame, member: str = "member", how: str = "strict") -> DataFrame:
+    """Each member's parameters on each of its rows; ``how`` as in :func:`_attach`."""
+    return _attach(panel, small_side(params), [member], how, "parameters")
 
 
 def attach_forcing(panel: DataFrame, forcing: DataFrame,
-                   keys: Sequence[str] = ("time", "gridcell")) -> DataFrame:
+                   keys: Sequence[str] = ("time", "gridcell"), how: str = "strict") -> DataFrame:
     """The forcing of the row's time and cell; Spark chooses the join from the sizes."""
-    return panel.join(forcing, list(keys))
+    return _attach(panel, forcing, keys, how, "forcing")
 
 
 def x_input(params: DataFrame, first: str, last: str, cyclic: bool = True) -> DataFrame:
@@ -128,21 +163,27 @@ def unify_slices(tables: Mapping[str, DataFrame], columns: Sequence[str], slice_
     return concat(same)
 
 
-def attach_predictions(truth: DataFrame, pred: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Truth and prediction side by side, matched on keys."""
+def attach_predictions(truth: DataFrame, pred: DataFrame, keys: Sequence[str], how: str = "strict") -> DataFrame:
+    """Truth and prediction side by side, matched on keys; ``how`` as in :func:`_attach`."""
     require_columns(truth, keys)
     require_columns(pred, keys)
-    return truth.join(pred, list(keys))
+    return _attach(truth, pred, keys, how, "prediction")
 
 
 def align_xy(x: DataFrame, y: DataFrame, keys: Sequence[str], strict: bool = True) -> DataFrame:
-    """Features and target matched on keys; ``strict`` raises when either side has extra keys."""
-    if strict:
-        for a, b, name in ((x, y, "target"), (y, x, "features")):
-            extra = a.select(*keys).join(b.select(*keys), list(keys), "left_anti").limit(1).collect()
-            if extra:
-                raise ValueError(f"sample {tuple(extra[0])} has no {name}")
-    return x.join(y, list(keys))
+    """Features and target matched on keys; ``strict`` fails at a sample that only one side has.
+
+    One full outer join finds both kinds of samples while rows are computed.
+    """
+    keys = list(keys)
+    if not strict:
+        return x.join(y, keys)
+    both = x.withColumn("_x", F.lit(True)).join(y.withColumn("_y", F.lit(True)), keys, "full_outer")
+    row = F.concat_ws(", ", *[F.col(k).cast("string") for k in keys])
+    fault = F.when(F.col("_y").isNull(), F.concat(F.lit("no target for sample "), row)).when(
+        F.col("_x").isNull(), F.concat(F.lit("no features for sample "), row))
+    return both.withColumn(keys[0], F.when(fault.isNull(), F.col(keys[0])).otherwise(
+        F.raise_error(fault).cast(x.schema[keys[0]].dataType))).drop("_x", "_y")
 
 
 def assemble_inputs(sampled: DataFrame, baseline: DataFrame, features: Sequence[str]) -> DataFrame:

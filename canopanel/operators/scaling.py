@@ -7,7 +7,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -50,26 +50,19 @@ def inverse_scale(table: DataFrame, moments: DataFrame, columns: Sequence[str],
         f"{c}{suffix}": F.col(c) * _spread(c) + F.col(f"_m.{c}_mean") for c in columns}).drop("_m")
 
 
-def hash_subsample(table: DataFrame, keys: Sequence[str], rows: int, seed: int = 42) -> DataFrame:
-    """About ``rows`` rows chosen by a hash of their keys: the same rows on every run."""
-    n = table.count()
-    if n <= rows:
-        return table
-    share = int(rows / n * (1 << 31))
-    return table.where(F.pmod(F.xxhash64(F.lit(seed), *keys), F.lit(1 << 31)) < share)
+def fit_quantiles(train: DataFrame, columns: Sequence[str], n_quantiles: int = 1000) -> DataFrame:
+    """Quantile table (feature, k, ref, quantile) with ``ref = k / (n_quantiles - 1)``, exact over all rows."""
+    parts = n_quantiles - 1
+    return exact_quantiles(train, columns, parts).withColumn("ref", F.col("k") / F.lit(float(parts)))
 
 
-def fit_quantiles(train: DataFrame, columns: Sequence[str], n_quantiles: int = 1000,
-                  subsample: int | None = None, keys: Sequence[str] = (), seed: int = 42) -> DataFrame:
-    """Quantile table (feature, k, ref, quantile) with ``ref = k / (n_quantiles - 1)``.
+def save_scaler(fitted: DataFrame, path: str) -> None:
+    """A fitted scaler, of either kind, as a Parquet table."""
+    fitted.write.mode("overwrite").parquet(path)
 
-    Quantiles are exact over all rows, or over a key-hashed subsample of about
-    ``subsample`` rows.
-    """
-    if subsample is not None:
-        train = hash_subsample(train, list(keys) or train.columns, subsample, seed)
-    parts = n_quantiles - 1
-    return exact_quantiles(train, columns, parts).withColumn("ref", F.col("k") / F.lit(float(parts)))
+
+def load_scaler(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(path)
 
 
 def quantile_scale(table: DataFrame, quantiles: DataFrame, columns: Sequence[str],

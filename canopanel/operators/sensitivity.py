@@ -18,14 +18,13 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# One curve is transformed in one task; 4 M points are 32 MB.
-MAX_SAMPLES = 1 << 22
+BLOCK = 1 << 16  # points of a curve that one group transforms
 
 
 def frequencies(n_params: int, n_samples: int, harmonics: int = 4) -> tuple[int, list[int]]:
     """Frequency of a curve's own parameter, and those of the others in order."""
-    if not 4 * harmonics ** 2 < n_samples <= MAX_SAMPLES:
-        raise ValueError(f"n_samples must be over {4 * harmonics ** 2} and at most {MAX_SAMPLES}")
+    if n_samples <= 4 * harmonics ** 2:
+        raise ValueError(f"n_samples must be over {4 * harmonics ** 2}")
     own = (n_samples - 1) // (2 * harmonics)
     highest, others = own // (2 * harmonics), n_params - 1
     if highest >= others:
@@ -101,6 +100,29 @@ def _orders(y: np.ndarray, harmonics: int) -> tuple[float, float]:
     return first, 1.0 - power[:own // 2].sum() / total
 
 
+def partial_spectrum(y: np.ndarray, at: np.ndarray, n: int, terms: int) -> np.ndarray:
+    """``sum(y * exp(-2 pi i k at / n))`` for k = 1 .. terms, of points ``at`` of a curve of ``n``.
+
+    A chirp-z transform: three FFTs of the size of the block and the terms, whatever ``n`` is.
+    """
+    first, length = int(at.min()), int(at.max() - at.min()) + 1
+    values = np.zeros(length)
+    values[at - first] = y
+
+    def chirp(m: np.ndarray) -> np.ndarray:
+        return np.exp(-1j * np.pi * ((m.astype(object) ** 2) % (2 * n)).astype(float) / n)
+
+    k, j = np.arange(terms + 1), np.arange(length)
+    size = 1 << (length + terms).bit_length()
+    a = np.fft.fft(values * chirp(j), size)
+    kernel = np.zeros(size, dtype=complex)
+    kernel[:terms + 1] = chirp(k).conj()
+    kernel[size - length + 1:] = chirp(j[1:]).conj()[::-1]
+    sums = np.fft.ifft(a * np.fft.fft(kernel))[:terms + 1] * chirp(k)
+    turns = (k.astype(object) * first % n).astype(float) / n
+    return (sums * np.exp(-2j * np.pi * turns))[1:]
+
+
 def fast_indices(
     outputs: DataFrame,
     harmonics: int = 4,
@@ -109,25 +131,56 @@ def fast_indices(
     n_bootstrap: int = 0,
     conf_level: float = 0.95,
     seed: int = 0,
-    chunks: int = 4,
+    chunks: int = 16,
+    n_samples: int | None = None,
+    block: int = BLOCK,
 ) -> DataFrame:
     """(by, name, S1, ST, S1_conf, ST_conf) for outputs on the sample's curves.
 
-    Confidence is the normal quantile times the deviation over ``n_bootstrap`` resamples of
-    half a curve; the resamples of a curve are spread over ``chunks`` tasks and each draws
-    from its own seed, so a repeated task gives the same numbers.
+    A curve is transformed in blocks of points; the blocks' Fourier sums of the low terms and
+    the harmonics add up to the curve's.  ``n_samples``, the points of a curve, is counted when
+    not given.  Confidence is the normal quantile times the deviation over ``n_bootstrap``
+    resamples of half a curve, drawn without regard to the points' order on it: it measures how
+    far noise of that size reaches, as usual for this method.  The resamples of a curve are
+    spread over ``chunks`` tasks and each draws from its own seed, so a repeated task gives the
+    same numbers; there a curve must fit into a task.
     """
     keys = [*by, "curve"]
     schema = T.StructType([outputs.schema[k] for k in keys])
-
-    def point(group: pd.DataFrame) -> pd.DataFrame:
-        first, total = _orders(group.sort_values("n")[value].to_numpy(float), harmonics)
-        return group[keys].head(1).assign(S1=first, ST=total)
-
-    values = outputs.select(*keys, "n", F.col(value).cast("double").alias(value))
     number = T.DoubleType()
-    estimates = values.groupBy(*keys).applyInPandas(
-        point, T.StructType(schema.fields + [T.StructField("S1", number), T.StructField("ST", number)]))
+    values = outputs.select(*keys, F.col("n").cast("long").alias("n"), F.col(value).cast("double").alias(value))
+    if n_samples is None:
+        n_samples = (values.agg(F.max("n")).first()[0] or 0) + 1
+    n = n_samples
+    own = (n - 1) // (2 * harmonics)
+    low = own // 2
+
+    def transformed(group: pd.DataFrame) -> pd.DataFrame:
+        y, at = group[value].to_numpy(float), group["n"].to_numpy()
+        sums = np.concatenate([
+            partial_spectrum(y, at, n, low),
+            [(y * np.exp(-2j * np.pi * (p * own * at % n) / n)).sum() for p in range(1, harmonics + 1)]])
+        terms = np.concatenate([np.arange(1, low + 1), np.arange(1, harmonics + 1) * own])
+        _, once = np.unique(terms, return_index=True)
+        out = group[keys].head(1)
+        out = out.loc[out.index.repeat(len(once))].reset_index(drop=True)
+        return out.assign(k=terms[once], re=sums[once].real, im=sums[once].imag)
+
+    spectrum = values.groupBy(*keys, F.floor(F.col("n") / block).alias("_block")).applyInPandas(
+        transformed, T.StructType([*schema.fields, T.StructField("k", T.LongType()), T.StructField("re", number), T.StructField("im", number)]))
+    power = spectrum.groupBy(*keys, "k").agg((F.sum("re") ** 2 + F.sum("im") ** 2).alias("p"))
+    harmonic = F.col("k").isin([p * own for p in range(1, harmonics + 1)])
+    parts = power.groupBy(*keys).agg(
+        F.sum(F.when(harmonic, F.col("p")).otherwise(0.0)).alias("_own"),
+        F.sum(F.when(F.col("k") <= low, F.col("p")).otherwise(0.0)).alias("_low"))
+    # Half of the spectrum's total; it leaves out the single highest term that even lengths have.
+    y = F.col(value)
+    total = F.var_pop(y) * float(n) ** 2
+    if n % 2 == 0:
+        total = total - F.sum(y * (1 - 2 * (F.col("n") % 2))) ** 2
+    totals = values.groupBy(*keys).agg((total / 2).alias("_total"))
+    estimates = parts.join(totals, keys).select(
+        *keys, F.try_divide("_own", "_total").alias("S1"), (1 - F.try_divide("_low", "_total")).alias("ST"))
     if n_bootstrap:
         def resample(group: pd.DataFrame) -> pd.DataFrame:
             y = group.sort_values("n")[value].to_numpy(float)

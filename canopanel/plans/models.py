@@ -2,18 +2,23 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import add
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from canopanel.cluster import small_values, stored
+from canopanel.cluster import shared_folder, small_values, stored
 from canopanel.functions import calendar as cal
 from canopanel.operators import aggregate, evidential, region, reshape, scaling, sensitivity, splits
 from canopanel.operators.samples import build_samples as samples_of
 from canopanel.operators.samples import feature_names
 from canopanel.plans import views as v
 from canopanel.plans.registry import query, r, rounded
-from canopanel.plans.statistics import KEYS, VAL_YEARS, _K, _SEASON, member_split
+from canopanel.plans.statistics import (
+    KEYS, QUANTILE_FIT_SQL, VAL_YEARS, _K, _MEMBERS, _SEASON, fitted_quantiles, member_split, quantile_samples)
 from canopanel.plans.tables import _BOX
+from canopanel.sources import tables as src
 
 PARAMS = ["p1", "p2", "p3"]
 
@@ -22,7 +27,7 @@ PARAMS = ["p1", "p2", "p3"]
 
 def study_samples(spark: SparkSession, sf: str) -> DataFrame:
     cells = region.box_cells(v.grid(spark, sf), region.CONUS)
-    panel = v.stored_panel(spark, sf)
+    panel = stored(region.select_cells(v.panel(spark, sf), cells), "panel")
     return samples_of(panel, v.params(spark, sf).drop("member_label"), v.forcing_of(panel), cells)
 
 
@@ -42,14 +47,14 @@ def scaled_samples(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame,
     """Train and validation samples with features and target scaled on the training rows."""
     features = feature_names(v.params(spark, sf).drop("member_label"))
     samples = splits.split_member_time(study_samples(spark, sf), member_split(spark, sf), VAL_YEARS)
-    used = stored(samples.where("split IS NOT NULL"), "samples").withColumn("season", cal.season(F.col("month")))
+    used = stored(samples.where("split IS NOT NULL"), "samples").withColumns({
+        "season": cal.season(F.col("month")), "month_of_year": F.col("month")})
     moments = scaling.fit_standard(used.where("split = 'train'"), [*features, "target"])
     scaled = scaling.standard_scale(used, moments, [*features, "target"])
     return scaled.where("split = 'train'"), scaled.where("split = 'val'"), features
 
 
-_SMALL = dict(hidden_layers=2, hidden_neurons=16, epochs=3, batch_size=256, learning_rate=3e-3,
-              partitions=4, seed=1)
+_SMALL = dict(hidden_layers=2, hidden_neurons=16, epochs=3, batch_size=256, learning_rate=3e-3, seed=1)
 
 
 # ---- evidential -----------------------------------------------------------------------------
@@ -71,39 +76,47 @@ def evidential_loss(spark, sf):
     return rounded(evidential.evidential_loss(v.nig(spark, sf), ["member"], 0.01))
 
 
-_SCORED = evidential.Network(n_features=3, hidden_layers=1, hidden_neurons=2)
+_SCORED = evidential.Network(n_features=3)  # four layers of 64, the usual size
 _SCORE_FEATURES = ["a", "b", "c"]
 
 
 def _score_sql() -> str:
-    (w1, _), (w2, _) = _SCORED.layers(_SCORED.initial(1))
-    hidden = ", ".join(
-        " + ".join(f"{float(w1[i, j])!r}::DOUBLE * {c}" for i, c in enumerate(_SCORE_FEATURES)) + f" AS z{j}"
-        for j in range(2))
-    out = [" + ".join(f"{float(w2[j, k])!r}::DOUBLE * (CASE WHEN z{j} > 0 THEN z{j} ELSE 0.2 * z{j} END)"
-                      for j in range(2)) for k in range(4)]
-    soft = [f"ln(1 + exp({o})) + 1e-6" for o in out]
+    """The network written out, one view per layer."""
+    layers, inputs, views = _SCORED.layers(_SCORED.initial(1)), list(_SCORE_FEATURES), []
+    for i, (w, _) in enumerate(layers):
+        sums = [" + ".join(f"{float(x)!r}::DOUBLE * {c}" for x, c in zip(w[:, j], inputs)) for j in range(w.shape[1])]
+        views.append(f"sums{i} AS (SELECT member, time, gridcell, "
+                     + ", ".join(f"{z} AS z{j}" for j, z in enumerate(sums)) + f" FROM layer{i})")
+        if i < len(layers) - 1:
+            inputs = [f"h{j}" for j in range(w.shape[1])]
+            views.append(f"layer{i + 1} AS (SELECT member, time, gridcell, " + ", ".join(
+                f"CASE WHEN z{j} > 0 THEN z{j} ELSE 0.2::DOUBLE * z{j} END AS h{j}" for j in range(w.shape[1])) + f" FROM sums{i})")
+    soft = [f"(ln(1 + exp(z{k})) + 1e-6::DOUBLE)" for k in range(4)]
+    joined = ",\n    ".join(views)
     return f"""
-    WITH f AS (SELECT member, time, gridcell, value / 50 AS a, rain * 10 AS b, snow * 10 AS c FROM panel),
-    z AS (SELECT member, time, gridcell, {hidden} FROM f),
-    h AS (SELECT member, time, gridcell, {out[0]} AS mu, {soft[1]} AS nu, {soft[2]} AS a1, {soft[3]} AS beta FROM z)
-    SELECT member, time, gridcell, {r('mu')} AS mu, {r('beta / a1')} AS alea, {r('beta / (nu * a1)')} AS epis FROM h"""
+    WITH layer0 AS (SELECT member, time, gridcell, value / 50 AS a, rain * 10 AS b, snow * 10 AS c FROM panel),
+    {joined}
+    SELECT member, time, gridcell, {r('z0')} AS mu, {r(f'{soft[3]} / {soft[2]}')} AS alea,
+           {r(f'{soft[3]} / ({soft[1]} * {soft[2]})')} AS epis FROM sums{len(layers) - 1}"""
 
 
 @query("score", _score_sql(), "panel")
 def score(spark, sf):
     """Scoring with fixed weights, so that SQL can repeat it."""
     model = evidential.EvidentialModel(_SCORED, _SCORE_FEATURES, ["value"], {"": _SCORED.initial(1)})
-    inputs = v.panel(spark, sf).select(
+    return rounded(model.score(_score_inputs(spark, sf)).select(*KEYS, "mu", "alea", "epis"))
+
+
+def _score_inputs(spark: SparkSession, sf: str) -> DataFrame:
+    return v.panel(spark, sf).select(
         *KEYS, (F.col("value") / 50).alias("a"), (F.col("rain") * 10).alias("b"), (F.col("snow") * 10).alias("c"))
-    return rounded(model.score(inputs).select(*KEYS, "mu", "alea", "epis"))
 
 
 @query("fit_evidential")
 def fit_evidential(spark, sf):
     train, val, features = scaled_samples(spark, sf)
     model = evidential.fit_evidential(train, val, features, ["target"], KEYS, **_SMALL)
-    return model.score(val).select(*KEYS, "target", "mu", "alea", "epis")
+    return model.score(train.unionByName(val)).select(*KEYS, "split", "target", "mu", "alea", "epis")
 
 
 @query("fit_history")
@@ -116,13 +129,21 @@ def fit_history(spark, sf):
 def fit_by_slice(spark, sf):
     train, val, features = scaled_samples(spark, sf)
     model = evidential.fit_evidential(train, val, features, ["target"], KEYS, by="season", **_SMALL)
-    return model.score(val).select(*KEYS, "season", "target", "mu", "alea", "epis")
+    return model.score(train.unionByName(val)).select(*KEYS, "season", "split", "target", "mu", "alea", "epis")
+
+
+@query("fit_by_month")
+def fit_by_month(spark, sf):
+    """Twelve networks in one job, by Adam."""
+    train, val, features = scaled_samples(spark, sf)
+    model = evidential.fit_evidential(train, val, features, ["target"], KEYS, by="month_of_year", optimizer="adam", **_SMALL)
+    return model.score(train.unionByName(val)).select(*KEYS, "month_of_year", "split", "target", "mu", "alea", "epis")
 
 
 @query("fit_multitask")
 def fit_multitask(spark, sf):
-    """One network for all cells of the region: parameters and month to one output per cell."""
-    cells = small_values(region.box_cells(v.grid(spark, sf), region.CONUS), "gridcell")
+    """One network for all cells: parameters and month to one output per cell."""
+    cells = small_values(v.grid(spark, sf), "gridcell")
     tasks = [f"cell_{c}" for c in cells]
     keys = ["member", "time"]
     wide = splits.split_member_time(
@@ -134,63 +155,65 @@ def fit_multitask(spark, sf):
     scaled = scaling.standard_scale(table, moments, [*features, *tasks])
     train, val = scaled.where("split = 'train'"), scaled.where("split = 'val'")
     model = evidential.fit_evidential(train, val, features, tasks, keys, **_SMALL)
-    return model.score(val.select(*keys, *features)).select(
-        *keys, F.substring("task", 6, 9).cast("int").alias("gridcell"), "mu", "alea", "epis")
+    return model.score(scaled.select(*keys, "split", *features)).select(
+        *keys, "split", F.substring("task", 6, 9).cast("int").alias("gridcell"), "mu", "alea", "epis")
 
 
 # ---- sensitivity -------------------------------------------------------------------------------
 
-POINTS, HARMONICS, SEED = 4097, 4, 0
-_OWN, _OTHERS = sensitivity.frequencies(len(PARAMS), POINTS, HARMONICS)
-_PHASES = sensitivity.phases(len(PARAMS), SEED)
+POINTS, HARMONICS, SEED, RESAMPLES = 10_000, 4, 0, 500
+SENS_PARAMS = ["p1", "p2", "p3", "p4", "p5", "p6"]
+_OWN, _OTHERS = sensitivity.frequencies(len(SENS_PARAMS), POINTS, HARMONICS)
+_PHASES = sensitivity.phases(len(SENS_PARAMS), SEED)
 
 
 def with_params(panel: DataFrame, sf: str) -> DataFrame:
-    return reshape.attach_params(panel, v.params(panel.sparkSession, sf).drop("member_label"))
+    return reshape.attach_params(panel, v.sens_params(panel.sparkSession, sf))
 
 
 def response(joined: DataFrame, by: list | None = None) -> DataFrame:
     """Slopes of the value on each parameter, and the parameters' means: a small closed-form emulator."""
-    return joined.withColumn("season", cal.season(F.month("time"))).groupBy(*(by or [])).agg(
-        *[F.regr_slope("value", p).alias(f"{p}_slope") for p in PARAMS], *[F.avg(p).alias(f"{p}_mean") for p in PARAMS])
+    return joined.withColumns({"season": cal.season(F.month("time")), "month": F.month("time")}).groupBy(*(by or [])).agg(
+        *[F.regr_slope("value", p).alias(f"{p}_slope") for p in SENS_PARAMS],
+        *[F.avg(p).alias(f"{p}_mean") for p in SENS_PARAMS])
 
 
 def emulated(points: DataFrame, fitted: DataFrame, by: list | None = None) -> DataFrame:
     """Linear response plus one interaction, for every point (and slice)."""
     packed = F.struct(*[c for c in fitted.columns if c not in (by or [])]).alias("c")
     if by:
-        table = fitted.agg(F.collect_list(F.struct(*by, packed))).scalar()  # one entry per season
+        table = fitted.agg(F.collect_list(F.struct(*by, packed))).scalar()  # one entry per month or season
         points = points.select("*", F.inline(table))
     else:
         points = points.withColumn("c", fitted.select(packed).scalar())
-    term = {p: F.col(f"c.{p}_slope") * (F.col(p) - F.col(f"c.{p}_mean")) for p in PARAMS}
-    y = term["p1"] + term["p2"] + term["p3"] + 20 * term["p1"] * term["p2"]
+    term = {p: F.col(f"c.{p}_slope") * (F.col(p) - F.col(f"c.{p}_mean")) for p in SENS_PARAMS}
+    y = reduce(add, term.values()) + 20 * term["p1"] * term["p2"]
     return points.select(*(by or []), "curve", "n", y.alias("y"))
 
 
 def _sample_sql() -> str:
     curves = []
-    for i, name in enumerate(PARAMS):
+    for i, name in enumerate(SENS_PARAMS):
         columns = []
-        for j, p in enumerate(PARAMS):
+        for j, p in enumerate(SENS_PARAMS):
             omega = _OWN if i == j else _OTHERS[j if j < i else j - 1]
             turn = f"(({omega} * n) % {POINTS}) / {POINTS}.0::DOUBLE + {_PHASES[i]!r}::DOUBLE + 0.25::DOUBLE"
             columns.append(f"{p}_lo + ({p}_hi - {p}_lo) * (1 - abs(2 * ({turn} - floor({turn})) - 1)) AS {p}")
         curves.append(f"SELECT '{name}' AS curve, n, {', '.join(columns)} FROM range({POINTS}) AS o(n), bounds")
-    ends = ", ".join(f"min({p}) AS {p}_lo, max({p}) AS {p}_hi" for p in PARAMS)
-    return (f"bounds AS (SELECT {ends} FROM panel JOIN params USING (member)),\n"
+    ends = ", ".join(f"min({p}) AS {p}_lo, max({p}) AS {p}_hi" for p in SENS_PARAMS)
+    return (f"bounds AS (SELECT {ends} FROM panel JOIN sens_params USING (member)),\n"
             f"points AS ({' UNION ALL '.join(curves)})")
 
 
 def _response_sql(by: str = "") -> str:
-    fits = ", ".join(f"regr_slope(value, {p}) AS {p}_slope, avg({p}) AS {p}_mean" for p in PARAMS)
-    term = {p: f"{p}_slope * ({p} - {p}_mean)" for p in PARAMS}
-    y = f"{term['p1']} + {term['p2']} + {term['p3']} + 20 * ({term['p1']}) * ({term['p2']})"
+    fits = ", ".join(f"regr_slope(value, {p}) AS {p}_slope, avg({p}) AS {p}_mean" for p in SENS_PARAMS)
+    term = {p: f"{p}_slope * ({p} - {p}_mean)" for p in SENS_PARAMS}
+    y = f"{' + '.join(term.values())} + 20 * ({term['p1']}) * ({term['p2']})"
     if by:
-        season = _SEASON.format(t="time")
-        return (f"fitted AS (SELECT {season} AS {by}, {fits} FROM panel JOIN params USING (member) GROUP BY 1),\n"
+        key = _SEASON.format(t="time") if by == "season" else "CAST(month(time) AS INTEGER)"
+        return (f"fitted AS (SELECT {key} AS {by}, {fits} FROM panel JOIN sens_params USING (member) GROUP BY 1),\n"
                 f"outputs AS (SELECT {by}, curve, n, {y} AS y FROM points, fitted)")
-    return (f"fitted AS (SELECT {fits} FROM panel JOIN params USING (member)),\n"
+    return (f"fitted AS (SELECT {fits} FROM panel JOIN sens_params USING (member)),\n"
             f"outputs AS (SELECT curve, n, {y} AS y FROM points, fitted)")
 
 
@@ -204,7 +227,8 @@ def _indices_sql(by: str = "") -> str:
               UNION ALL SELECT unnest([{terms}]), 'own'),
     coefficients AS (SELECT {keys}, kind, k, sum(y * cos({angle})) AS a, sum(y * sin({angle})) AS b
                      FROM outputs, terms GROUP BY ALL),
-    totals AS (SELECT {keys}, var_pop(y) * {float(POINTS) ** 2}::DOUBLE AS v FROM outputs GROUP BY ALL),
+    totals AS (SELECT {keys}, var_pop(y) * {float(POINTS) ** 2}::DOUBLE - {1 - POINTS % 2} * sum(y * (1 - 2 * (n % 2))) ** 2 AS v
+               FROM outputs GROUP BY ALL),
     sens AS (SELECT {keys}, 2 * sum(a * a + b * b) FILTER (WHERE kind = 'own') / any_value(v) AS S1,
                     1 - 2 * sum(a * a + b * b) FILTER (WHERE kind = 'low') / any_value(v) AS ST
              FROM coefficients JOIN totals USING ({keys}) GROUP BY {keys})"""
@@ -212,25 +236,26 @@ def _indices_sql(by: str = "") -> str:
 
 def study_points(joined: DataFrame) -> DataFrame:
     """The sample between the parameters' bounds over all members that have panel rows."""
-    bounds = aggregate.column_bounds(joined, PARAMS)
+    bounds = aggregate.column_bounds(joined, SENS_PARAMS)
     return sensitivity.fast_sample(joined.sparkSession, bounds, POINTS, HARMONICS, SEED)
 
 
 def study_outputs(spark: SparkSession, sf: str, by: list | None = None) -> DataFrame:
-    joined = with_params(v.stored_panel(spark, sf).select("member", "time", "value"), sf)
+    joined = with_params(v.stored_panel(spark, sf, ["member", "time", "value"]), sf)
     return emulated(study_points(joined), response(joined, by), by)
 
 
 def study_indices(spark: SparkSession, sf: str, by: list | None = None, n_bootstrap: int = 0) -> DataFrame:
     return sensitivity.fast_indices(
-        study_outputs(spark, sf, by), HARMONICS, by=by or [], n_bootstrap=n_bootstrap)
+        study_outputs(spark, sf, by), HARMONICS, by=by or [], n_bootstrap=n_bootstrap, n_samples=POINTS)
 
 
-_ALL = "panel params"
+_ALL = "panel sens_params"
 
 
 @query("fast_sample", f"""
-    WITH {_sample_sql()} SELECT curve, n, {r('p1', 4)} AS p1, {r('p2')} AS p2, {r('p3')} AS p3 FROM points""", _ALL)
+    WITH {_sample_sql()} SELECT curve, n, {r('p1', 4)} AS p1,
+           {', '.join(f"{r(p)} AS {p}" for p in SENS_PARAMS[1:])} FROM points""", _ALL)
 def fast_sample(spark, sf):
     return rounded(study_points(with_params(v.panel(spark, sf), sf)), p1=4)
 
@@ -250,7 +275,7 @@ def fast_indices(spark, sf):
 
 @query("fast_conf")
 def fast_conf(spark, sf):
-    return rounded(study_indices(spark, sf, n_bootstrap=100))
+    return rounded(study_indices(spark, sf, n_bootstrap=RESAMPLES))
 
 
 @query("fast_by_slice", f"""
@@ -260,6 +285,13 @@ def fast_by_slice(spark, sf):
     return rounded(study_indices(spark, sf, ["season"]).select("season", "name", "S1", "ST"))
 
 
+@query("fast_by_month", f"""
+    WITH {_sample_sql()}, {_response_sql('month')}, {_indices_sql('month')}
+    SELECT month, curve AS name, {r('S1')} AS S1, {r('ST')} AS ST FROM sens""", _ALL)
+def fast_by_month(spark, sf):
+    return rounded(study_indices(spark, sf, ["month"]).select("month", "name", "S1", "ST"))
+
+
 @query("sens_rank", f"""
     WITH {_sample_sql()}, {_response_sql('season')}, {_indices_sql('season')}
     SELECT season, curve AS name, {r('ST - S1', 5)} AS interactions,
@@ -281,13 +313,63 @@ def sens_top4(spark, sf):
 
 @query("fast_emulator")
 def fast_emulator(spark, sf):
-    """The whole chain: fit, sample the parameters with the forcing held at its mean, score, analyse."""
-    train, val, features = scaled_samples(spark, sf)
-    model = evidential.fit_evidential(train, val, features, ["target"], KEYS, **_SMALL)
-    bounds = aggregate.column_bounds(train, PARAMS)
-    held = train.agg(*[F.avg(f).alias(f) for f in features if f not in PARAMS])
+    """The whole chain in raw units: fit on quantile-scaled rows, sample between raw bounds with the
+    forcing held at its mean, scale the assembled rows, score, analyse."""
+    features = feature_names(v.params(spark, sf).drop("member_label"))
+    samples = splits.split_member_time(study_samples(spark, sf), member_split(spark, sf), VAL_YEARS)
+    used = stored(samples.where("split IS NOT NULL"), "samples")
+    raw = used.where("split = 'train'")
+    scaler = stored(scaling.fit_quantiles(raw, features), "scaler")
+    target = scaling.fit_standard(raw, ["target"])
+    scaled = scaling.standard_scale(scaling.quantile_scale(used, scaler, features), target, ["target"])
+    model = evidential.fit_evidential(
+        scaled.where("split = 'train'"), scaled.where("split = 'val'"), features, ["target"], KEYS, **_SMALL)
+    bounds = aggregate.column_bounds(raw, PARAMS)
+    held = raw.agg(*[F.avg(f).alias(f) for f in features if f not in PARAMS])
     points = sensitivity.fast_sample(spark, bounds, POINTS, HARMONICS, SEED)
-    scored = model.score(reshape.assemble_inputs(points, held, features))
-    indices = [sensitivity.fast_indices(scored.select("curve", "n", F.col(c).alias("y")), HARMONICS)
+    assembled = reshape.assemble_inputs(points, held, features)
+    scored = stored(model.score(scaling.quantile_scale(assembled, scaler, features)).select("curve", "n", "mu", "alea", "epis"), "scored")
+    indices = [sensitivity.fast_indices(scored.select("curve", "n", F.col(c).alias("y")), HARMONICS, n_samples=POINTS)
                .withColumn("output", F.lit(c)) for c in ("mu", "alea", "epis")]
     return reshape.concat(indices).select("output", "name", "S1", "ST")
+
+
+# ---- saved and read back ---------------------------------------------------------------------
+
+@query("scaler_round_trip", QUANTILE_FIT_SQL, "panel pred")
+def scaler_round_trip(spark, sf):
+    folder = shared_folder(spark, "scaler")
+    scaling.save_scaler(fitted_quantiles(quantile_samples(spark, sf)), folder)
+    return rounded(scaling.load_scaler(spark, folder).select("feature", "k", "ref", "quantile"))
+
+
+@query("model_round_trip", _score_sql(), "panel")
+def model_round_trip(spark, sf):
+    folder = shared_folder(spark, "model")
+    evidential.EvidentialModel(_SCORED, _SCORE_FEATURES, ["value"], {"": _SCORED.initial(1)}).save(spark, folder)
+    return rounded(evidential.EvidentialModel.load(spark, folder).score(_score_inputs(spark, sf)).select(*KEYS, "mu", "alea", "epis"))
+
+
+@query("sink_sensitivity", f"""
+    WITH {_sample_sql()}, {_response_sql()}, {_indices_sql()}
+    SELECT curve AS name, {r('S1')} AS S1, {r('ST')} AS ST FROM sens""", _ALL)
+def sink_sensitivity(spark, sf):
+    folder = shared_folder(spark, "sensitivity")
+    src.write_csv(study_indices(spark, sf).select("name", "S1", "ST"), folder)
+    return rounded(spark.read.csv(folder, header=True, schema="name string, S1 double, ST double"))
+
+
+@query("split_checks", f"""
+    WITH {_MEMBERS}
+    SELECT split, count(*) AS n FROM (
+      SELECT CASE WHEN member_split = 'train' AND year(time) NOT BETWEEN 2000 AND 2001 THEN 'train'
+                  WHEN member_split = 'val' AND year(time) BETWEEN 2000 AND 2001 THEN 'val' END AS split
+      FROM panel JOIN msplit USING (member)) WHERE split IS NOT NULL GROUP BY 1""", "panel pred")
+def split_checks(spark, sf):
+    """The split after its checks before any fit."""
+    panel = v.stored_panel(spark, sf, KEYS)
+    members = v.pred(spark, sf).select("member").distinct().count()
+    n_train = members * 4 // 5
+    splits.check_split_inputs(panel, panel, n_train, members - n_train, VAL_YEARS)
+    found = splits.split_member_time(panel, member_split(spark, sf), VAL_YEARS)
+    return found.where("split IS NOT NULL").groupBy("split").agg(F.count("*").alias("n"))

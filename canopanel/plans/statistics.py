@@ -35,7 +35,7 @@ def time_mean(spark: SparkSession, sf: str) -> DataFrame:
            {r('stddev_pop(value)')} AS clim_std
     FROM panel WHERE year(time) BETWEEN 1995 AND 1999 GROUP BY 1, 2""", "panel")
 def climatology(spark, sf):
-    return rounded(aggregate.climatology(region.slice_time(v.panel(spark, sf), *BASELINE)))
+    return rounded(aggregate.climatology(v.panel(spark, sf, BASELINE)))
 
 
 @query("seasonal_mean", f"""
@@ -48,11 +48,20 @@ def seasonal_mean(spark, sf):
 _REGION_JOIN = f"panel JOIN weights USING (gridcell) WHERE gridcell IN (SELECT gridcell FROM grid WHERE {_BOX})"
 
 
+# The weights of all cells of the region, whichever of them a sparse month has.
+_REGION_AREA = f"(SELECT sum(landarea) FROM weights WHERE gridcell IN (SELECT gridcell FROM grid WHERE {_BOX}))"
+
+
+def region_area_mean(spark: SparkSession, sf: str) -> DataFrame:
+    cells = region.box_cells(v.grid(spark, sf), region.CONUS)
+    return aggregate.area_mean(conus_panel(spark, sf), v.weights(spark, sf), selected=cells)
+
+
 @query("area_weighted_mean", f"""
-    SELECT member, time, {r('sum(value * landarea) / sum(landarea)')} AS value
+    SELECT member, time, {r(f'sum(value * landarea) / {_REGION_AREA}')} AS value
     FROM {_REGION_JOIN} GROUP BY 1, 2""", "panel grid weights")
 def area_weighted_mean(spark, sf):
-    return rounded(aggregate.area_mean(conus_panel(spark, sf), v.weights(spark, sf)))
+    return rounded(region_area_mean(spark, sf))
 
 
 @query("area_mean_all_land", f"""
@@ -62,23 +71,26 @@ def area_mean_all_land(spark, sf):
     return rounded(aggregate.area_mean(conus_panel(spark, sf), v.weights(spark, sf), denominator="all"))
 
 
+_ALL_AREA = "(SELECT sum(landarea) FROM weights WHERE gridcell IN (SELECT gridcell FROM grid))"
+
+
 @query("area_mean_multi", f"""
-    SELECT member, time, {', '.join(f"{r(f'2.0::DOUBLE * sum({c} * landarea) / sum(landarea)')} AS {c}"
+    SELECT member, time, {', '.join(f"{r(f'2.0::DOUBLE * sum({c} * landarea) / {_ALL_AREA}')} AS {c}"
                                     for c in ('value', 'rain', 'snow'))}
-    FROM panel JOIN weights USING (gridcell) GROUP BY 1, 2""", "panel weights")
+    FROM panel JOIN weights USING (gridcell) GROUP BY 1, 2""", "panel grid weights")
 def area_mean_multi(spark, sf):
     return rounded(aggregate.area_mean(
-        v.panel(spark, sf), v.weights(spark, sf), values=["value", "rain", "snow"], scale_factor=2.0))
+        v.panel(spark, sf), v.weights(spark, sf), values=["value", "rain", "snow"], scale_factor=2.0,
+        selected=v.grid(spark, sf).select("gridcell")))
 
 
 @query("seasonal_region_mean", f"""
     SELECT member, {_SEASON.format(t='time')} AS season, {r('avg(value)')} AS value FROM (
-      SELECT member, time, sum(value * landarea) / sum(landarea) AS value FROM {_REGION_JOIN} GROUP BY 1, 2)
+      SELECT member, time, sum(value * landarea) / {_REGION_AREA} AS value FROM {_REGION_JOIN} GROUP BY 1, 2)
     GROUP BY 1, 2""", "panel grid weights")
 def seasonal_region_mean(spark, sf):
     """Seasonal area-weighted regional mean per member."""
-    means = aggregate.area_mean(conus_panel(spark, sf), v.weights(spark, sf))
-    return rounded(aggregate.seasonal_mean(means, ["member"]))
+    return rounded(aggregate.seasonal_mean(region_area_mean(spark, sf), ["member"]))
 
 
 @query("spatial_mean", f"""
@@ -140,7 +152,7 @@ def param_bounds(spark, sf):
     SELECT {', '.join(f"{r(f'var_pop({c})')} AS {c}_var" for c in ('value', 'rain', 'snow'))}
     FROM panel WHERE year(time) < 2000""", "panel")
 def target_variance(spark, sf):
-    train = region.slice_time(v.panel(spark, sf), "1901", "1999")
+    train = v.panel(spark, sf, ("1901", "1999"))
     return rounded(aggregate.target_variance(train, ["value", "rain", "snow"]))
 
 
@@ -156,7 +168,7 @@ def line_means(spark, sf):
     SELECT member, time, gridcell, {r('value - avg(value) OVER (PARTITION BY member, gridcell)')} AS anomaly
     FROM panel""", "panel")
 def anomaly_time_mean(spark, sf):
-    return rounded(anomaly.time_mean_anomaly(v.stored_panel(spark, sf)).select(*KEYS, "anomaly"))
+    return rounded(anomaly.time_mean_anomaly(v.stored_panel(spark, sf, [*KEYS, "value"])).select(*KEYS, "anomaly"))
 
 
 _CLIM = """
@@ -169,19 +181,21 @@ _CLIM = """
 
 @query("anomaly_clim", _CLIM.format(value=r("value - m")), "panel")
 def anomaly_clim(spark, sf):
-    return rounded(anomaly.anomaly(v.panel(spark, sf), "clim", BASELINE, PERIOD).select(*KEYS, "anomaly"))
+    return rounded(anomaly.anomaly(
+        v.panel(spark, sf, PERIOD), "clim", BASELINE, PERIOD, base=v.panel(spark, sf, BASELINE)).select(*KEYS, "anomaly"))
 
 
 @query("anomaly_zscore", _CLIM.format(value=r("(value - m) / (s + 1e-9)")), "panel")
 def anomaly_zscore(spark, sf):
-    return rounded(anomaly.anomaly(v.panel(spark, sf), "zscore", BASELINE, PERIOD).select(*KEYS, "anomaly"))
+    return rounded(anomaly.anomaly(
+        v.panel(spark, sf, PERIOD), "zscore", BASELINE, PERIOD, base=v.panel(spark, sf, BASELINE)).select(*KEYS, "anomaly"))
 
 
 # ---- splits ------------------------------------------------------------------------------
 
 def member_split(spark: SparkSession, sf: str) -> DataFrame:
     """First 80 % of the sorted members train, the rest validate."""
-    members = v.pred(spark, sf).select("member").distinct()
+    members = stored(v.pred(spark, sf).select("member").distinct(), "members")
     found = members.count()
     n_train = found * 4 // 5
     return splits.split_members(members, n_train, found - n_train, strict=True)
@@ -343,23 +357,28 @@ def inverse_scale(spark, sf):
 _QUANTILES = f"""{_SPLIT}, sq AS (
       SELECT member, time, gridcell, split, {', '.join(f"{r(c, 9)} AS {c}" for c in COLUMNS)} FROM sp),
     ql AS ({' UNION ALL '.join(f'''
-      SELECT '{c}' AS feature, quantile_cont({c}, [0, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 1.0]) AS qs
-      FROM sq WHERE split = 'train' ''' for c in COLUMNS)}),
-    q AS (SELECT feature, k, qs[k + 1] AS quantile, k / 10.0::DOUBLE AS ref FROM ql, range(11) AS o(k))"""
+      SELECT '{c}' AS feature, list_sort(list({c})) AS vs, count({c}) AS n FROM sq WHERE split = 'train' ''' for c in COLUMNS)}),
+    qk AS (SELECT feature, k, vs[(k * (n - 1)) // 999 + 1] AS lo, vs[(k * (n - 1)) // 999 + 2] AS hi,
+                  (k * (n - 1)) % 999 / 999.0::DOUBLE AS part FROM ql, range(1000) AS o(k)),
+    q AS (SELECT feature, k, CASE WHEN part > 0 THEN lo + (hi - lo) * part ELSE lo END AS quantile,
+                 k / 999.0::DOUBLE AS ref FROM qk)"""
 
 
-def _quantile_samples(spark: SparkSession, sf: str) -> DataFrame:
+def quantile_samples(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(stored_split(spark, sf).select(*KEYS, "split", *COLUMNS), 9)
 
 
-def _fitted_quantiles(samples: DataFrame) -> DataFrame:
-    return scaling.fit_quantiles(samples.where("split = 'train'"), COLUMNS, n_quantiles=11)
+def fitted_quantiles(samples: DataFrame) -> DataFrame:
+    return scaling.fit_quantiles(samples.where("split = 'train'"), COLUMNS)
+
+
+QUANTILE_FIT_SQL = f"""
+    WITH {_QUANTILES} SELECT feature, k, {r('ref')} AS ref, {r('quantile')} AS quantile FROM q"""
 
 
-@query("quantile_fit", f"""
-    WITH {_QUANTILES} SELECT feature, k, {r('ref')} AS ref, {r('quantile')} AS quantile FROM q""", "panel pred")
+@query("quantile_fit", QUANTILE_FIT_SQL, "panel pred")
 def quantile_fit(spark, sf):
-    return rounded(_fitted_quantiles(_quantile_samples(spark, sf)).select("feature", "k", "ref", "quantile"))
+    return rounded(fitted_quantiles(quantile_samples(spark, sf)).select("feature", "k", "ref", "quantile"))
 
 
 @query("quantile_transform", f"""
@@ -381,8 +400,8 @@ def quantile_fit(spark, sf):
         f"{r(f'''max(u) FILTER (WHERE feature = '{c}')''', 5)} AS {c}" for c in COLUMNS)}
     FROM out GROUP BY 1, 2, 3""", "panel pred")
 def quantile_transform(spark, sf):
-    samples = _quantile_samples(spark, sf)
-    fitted = _fitted_quantiles(samples)
+    samples = quantile_samples(spark, sf)
+    fitted = fitted_quantiles(samples)
     return rounded(scaling.quantile_scale(samples, fitted, COLUMNS).select(*KEYS, *COLUMNS), 5)
 
 
@@ -474,11 +493,11 @@ def gaussian_fit(spark, sf):
 @query("kde", f"""
     WITH e AS (SELECT abs(truth - mu) AS x FROM pred),
     m AS (SELECT stddev_samp(x) * count(x) ** (-0.2) AS h, min(x) AS lo, max(x) AS hi, count(x) AS n FROM e)
-    SELECT i, {r('any_value(lo + (hi - lo) * i / 49)', 4)} AS x,
-           {r('sum(exp(-0.5 * ((lo + (hi - lo) * i / 49 - x) / h) ** 2)) / any_value(n * h * sqrt(2 * pi()))', 9)} AS density
-    FROM e, m, range(50) AS o(i) GROUP BY i""", "pred")
+    SELECT i, {r('any_value(lo + (hi - lo) * i / 199)', 4)} AS x,
+           {r('sum(exp(-0.5 * ((lo + (hi - lo) * i / 199 - x) / h) ** 2)) / any_value(n * h * sqrt(2 * pi()))', 9)} AS density
+    FROM e, m, range(200) AS o(i) GROUP BY i""", "pred")
 def kde(spark, sf):
-    return rounded(diag.kde(diag.with_errors(v.pred(spark, sf)), "abs_error", 50), x=4, density=9)
+    return rounded(diag.kde(diag.with_errors(v.pred(spark, sf)), "abs_error"), x=4, density=9)
 
 
 _CORR = ["truth", "mu", "alea", "epis", "abs_error"]

@@ -37,23 +37,21 @@ def src_multi_file(spark, sf):
     return rounded(src.open_table(spark, [f"{folder}/*.parquet"], ["time", "gridcell", "tsa"]))
 
 
-@query("src_time_from_filename", f"""
-    SELECT time, gridcell, {r('tsa')} AS tsa FROM forcing
-    WHERE year(time) IN (SELECT year(time) FROM forcing GROUP BY 1 HAVING count(DISTINCT month(time)) = 12)
-    """, "forcing")
+@query("src_time_from_filename", f"SELECT time, gridcell, {r('tsa')} AS tsa FROM forcing", "forcing")
 def src_time_from_filename(spark, sf):
-    """Write one folder ``obs_YYYY`` per complete year and read the years back from the names."""
+    """Write one folder ``obs_YYYY`` per year and read the years back from the names.
+
+    Steps that a year lacks are written as rows without a cell, as a file of a regular array
+    would have them, and left out again after reading.
+    """
     folder = shared_folder(spark, "yearly")
-    stored = f"{folder}/all"
     steps = v.forcing(spark, sf).select(
         F.year("time").alias("year"), (F.month("time") - 1).alias("step"), "gridcell", "tsa")
-    src.write_table(steps, stored, ["year"])
-    written = spark.read.parquet(stored)
-    years = small_values(written.groupBy("year").agg(F.count_distinct("step").alias("n")).where("n = 12"), "year")
-    for year in years:
-        src.write_table(written.where(F.col("year") == year).drop("year"), f"{folder}/obs_{year}")
-    return rounded(src.read_yearly_files(
-        spark, [f"{folder}/obs_{y}" for y in years], written.drop("year").schema)).select("time", "gridcell", "tsa")
+    whole = steps.select("year").distinct().select("year", F.explode(F.sequence(F.lit(0), F.lit(11))).alias("step"))
+    filled = steps.unionByName(whole, allowMissingColumns=True)
+    src.write_table(filled.withColumn("file", F.concat(F.lit("obs_"), "year")).drop("year"), folder, ["file"])
+    read = src.read_yearly_files(spark, folder, filled.drop("year").schema)
+    return rounded(read.where("gridcell IS NOT NULL")).select("time", "gridcell", "tsa")
 
 
 @query("src_params", f"SELECT member, {r('p1')} AS p1, p2, p3 FROM params", "params")
@@ -245,15 +243,15 @@ _STACK = """
 
 @query("stack_samples", _STACK, "panel")
 def stack_samples(spark, sf):
-    return reshape.stack_samples(v.stored_panel(spark, sf).select("member", "time", "gridcell"))
+    return reshape.stack_samples(v.stored_panel(spark, sf, ["member", "time", "gridcell"]))
 
 
 @query("sample_slice", f"""
     SELECT gridcell, {r('value')} AS value FROM panel
     WHERE member = (SELECT min(member) FROM panel) AND time = (SELECT min(time) FROM panel)""", "panel")
 def sample_slice(spark, sf):
-    stacked = reshape.stack_samples(v.stored_panel(spark, sf), ("member", "time"))
-    return rounded(reshape.sample_slice(stacked, 0).select("gridcell", "value"))
+    panel = v.stored_panel(spark, sf, ["member", "time", "gridcell", "value"])
+    return rounded(reshape.sample_of(panel, 0, ("member", "time")).select("gridcell", "value"))
 
 
 _WIDE = ", ".join(f"{r(f'max(value) FILTER (WHERE gridcell = {c})')} AS cell_{c}" for c in CELLS)
@@ -321,9 +319,8 @@ def x_input_no_cyclic(spark, sf):
 
 @query("concat_time", f"SELECT time, gridcell, {r('tsa')} AS tsa FROM forcing", "forcing")
 def concat_time(spark, sf):
-    series = v.forcing(spark, sf).select("time", "gridcell", "tsa")
-    return rounded(reshape.concat([
-        region.slice_time(series, "1901", "1997"), region.slice_time(series, "1998", "2014")]))
+    periods = ("1901", "1997"), ("1998", "2014")
+    return rounded(reshape.concat([v.forcing(spark, sf, p).select("time", "gridcell", "tsa") for p in periods]))
 
 
 _SEASONS = {"djf": (12, 1, 2), "mam": (3, 4, 5), "jja": (6, 7, 8), "son": (9, 10, 11)}
@@ -362,7 +359,7 @@ def unify_slices(spark, sf):
 def attach_predictions(spark, sf):
     p = v.pred(spark, sf)
     return rounded(reshape.attach_predictions(
-        p.select(*v.PRED_KEYS, "truth"), p.select(*v.PRED_KEYS, "mu"), v.PRED_KEYS), 4)
+        p.select(*v.PRED_KEYS, "truth"), p.select(*v.PRED_KEYS, "mu"), v.PRED_KEYS, how="inner"), 4)
 
 
 @query("align_xy", f"""
@@ -432,11 +429,13 @@ _RECTANGLES = ", ".join(
 
 
 @query("region_means", f"""
-    SELECT region, time, {r('sum(value * landarea) / sum(landarea)')} AS value
-    FROM (VALUES {_RECTANGLES}) AS q(region, x0, x1, y0, y1)
-    JOIN grid ON lon BETWEEN x0 AND x1 AND lat BETWEEN y0 AND y1
-    JOIN panel USING (gridcell) JOIN weights USING (gridcell) GROUP BY 1, 2""", "panel grid weights")
+    WITH cells AS (
+      SELECT region, gridcell, landarea FROM (VALUES {_RECTANGLES}) AS q(region, x0, x1, y0, y1)
+      JOIN grid ON lon BETWEEN x0 AND x1 AND lat BETWEEN y0 AND y1 JOIN weights USING (gridcell)),
+    areas AS (SELECT region, sum(landarea) AS area FROM cells GROUP BY 1)
+    SELECT region, time, {r('sum(value * landarea) / any_value(area)')} AS value
+    FROM cells JOIN panel USING (gridcell) JOIN areas USING (region) GROUP BY 1, 2""", "panel grid weights")
 def region_means(spark, sf):
     cells = region.assign_regions(v.grid(spark, sf)).select("gridcell", "region")
     return rounded(aggregate.area_mean(
-        v.panel(spark, sf).join(cells, "gridcell"), v.weights(spark, sf), ["region", "time"]))
+        v.panel(spark, sf).join(cells, "gridcell"), v.weights(spark, sf), ["region", "time"], selected=cells))

@@ -6,11 +6,14 @@ obs and cluster.  Both forms describe the same rows.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from canopanel.cluster import stored
+from canopanel.functions.calendar import in_period
 from canopanel.sources.tables import open_table
 
 PRED_KEYS = ["l_orderkey", "l_linenumber", "l_partkey", "member"]
@@ -37,8 +40,12 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return open_table(spark, f"{sf}/{name}.parquet", schema=T.StructType.fromDDL(SCHEMAS[name]))
 
 
-def panel(spark: SparkSession, sf: str) -> DataFrame:
-    items = table(spark, sf, "lineitem").select(
+def panel(spark: SparkSession, sf: str, period: tuple[str, str] | None = None) -> DataFrame:
+    """The panel, or its part in a period of whole months, cut at the scan of the large table."""
+    items = table(spark, sf, "lineitem")
+    if period is not None:
+        items = items.where(in_period(F.col("l_shipdate"), *period))
+    items = items.select(
         "l_orderkey", F.col("l_suppkey").alias("member"),
         F.trunc(F.col("l_shipdate").cast("date"), "month").alias("time"),
         "l_quantity", "l_tax", "l_discount")
@@ -71,13 +78,22 @@ def params(spark: SparkSession, sf: str) -> DataFrame:
         (F.col("s_suppkey") % 7).cast("double").alias("p3"))
 
 
-def stored_panel(spark: SparkSession, sf: str) -> DataFrame:
-    """The panel written once, for queries that read it several times."""
-    return stored(panel(spark, sf), "panel")
+def sens_params(spark: SparkSession, sf: str) -> DataFrame:
+    """Six parameters per member, for sensitivity analysis."""
+    key = F.col("s_suppkey")
+    return table(spark, sf, "supplier").select(
+        key.alias("member"), F.col("s_acctbal").alias("p1"), F.col("s_nationkey").cast("double").alias("p2"),
+        *[(key % n).cast("double").alias(f"p{i}") for i, n in ((3, 7), (4, 11), (5, 13), (6, 17))])
+
+
+def stored_panel(spark: SparkSession, sf: str, columns: Sequence[str] | None = None) -> DataFrame:
+    """The panel, or some of its columns, written once for queries that read it several times."""
+    whole = panel(spark, sf)
+    return stored(whole if columns is None else whole.select(*columns), "panel")
 
 
-def forcing(spark: SparkSession, sf: str) -> DataFrame:
-    return forcing_of(panel(spark, sf))
+def forcing(spark: SparkSession, sf: str, period: tuple[str, str] | None = None) -> DataFrame:
+    return forcing_of(panel(spark, sf, period))
 
 
 def forcing_of(panel: DataFrame) -> DataFrame:
@@ -105,7 +121,7 @@ def nig(spark: SparkSession, sf: str) -> DataFrame:
 def obs(spark: SparkSession, sf: str) -> DataFrame:
     """Observed field: latitude user_id % 10, longitude by event type (-180 .. 180)."""
     types = F.array(*[F.lit(e) for e in EVENT_TYPES])
-    lon = (F.array_position(types, F.col("event_type")) - 1) * 80.0 - 160.0
+    lon = (F.nullif(F.array_position(types, F.col("event_type")), F.lit(0)) - 1) * 80.0 - 160.0
     return table(spark, sf, "events").groupBy(
         F.col("ts").cast("date").alias("time"), (F.col("user_id") % 10).cast("double").alias("lat"),
         lon.alias("lon")).agg(F.avg("value").alias("lai"))
@@ -135,6 +151,10 @@ _VIEWS = {
     "params": ((), """
         SELECT s_suppkey AS member, s_name AS member_label, s_acctbal AS p1,
                CAST(s_nationkey AS DOUBLE) AS p2, CAST(s_suppkey % 7 AS DOUBLE) AS p3 FROM supplier"""),
+    "sens_params": ((), """
+        SELECT s_suppkey AS member, s_acctbal AS p1, CAST(s_nationkey AS DOUBLE) AS p2,
+               CAST(s_suppkey % 7 AS DOUBLE) AS p3, CAST(s_suppkey % 11 AS DOUBLE) AS p4,
+               CAST(s_suppkey % 13 AS DOUBLE) AS p5, CAST(s_suppkey % 17 AS DOUBLE) AS p6 FROM supplier"""),
     "forcing": (("panel",), """
         SELECT time, gridcell, avg(value) AS tsa, avg(rain) AS rain, avg(snow) AS snow FROM panel GROUP BY 1, 2"""),
     "pred": ((), """

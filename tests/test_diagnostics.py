@@ -63,12 +63,10 @@ def test_histogram_2d_hides_rare_cells(pred, frame):
     assert got == {(i, j): counts[i, j] for i in range(10) for j in range(10) if counts[i, j] >= 7}
 
 
-@pytest.mark.parametrize("bracket", [None, 1e-3, 0.05, 0.6])
+@pytest.mark.parametrize("bracket", [1e-3, 0.05, 0.6])
 def test_discard_equals_pandas(pred, frame, monkeypatch, bracket):
-    """With all rows ranked, and with brackets that miss the cuts, hold them, or overlap."""
-    if bracket is not None:
-        monkeypatch.setattr(ranking, "BRACKET_ROWS", 1)
-        monkeypatch.setattr(ranking, "BRACKET", bracket)
+    """With narrow brackets, wide ones, and ones that overlap."""
+    monkeypatch.setattr(ranking, "BRACKET", bracket)
     got = {(r["month"], r["measure"], r["i"]): (r["kept"], r["rmse"])
            for r in diag.discard_test(pred, ["alea", "epis"], ["id"], ["month"]).collect()}
     assert len(got) == 4 * 2 * 11

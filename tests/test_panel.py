@@ -39,10 +39,56 @@ def test_area_mean_keeps_the_weight_of_missing_values(spark, weights):
         mean(denominator="none")
 
 
+def test_area_mean_counts_selected_cells_without_a_row(spark, weights):
+    rows = [("null row", 0, 1.0), ("null row", 1, None), ("no row", 0, 1.0), ("both", 0, 1.0), ("both", 1, 1.0)]
+    panel = spark.createDataFrame(rows, "member string, gridcell int, value double")
+    def means(**options):
+        return {r["member"]: r["value"] for r in aggregate.area_mean(panel, weights, ["member"], **options).collect()}
+    assert means() == pytest.approx({"null row": 1 / 3, "no row": 1 / 3, "both": 1.0})
+    assert means(denominator="rows") == pytest.approx({"null row": 1 / 3, "no row": 1.0, "both": 1.0})
+    three = spark.range(3).selectExpr("cast(id as int) AS gridcell")
+    assert means(selected=three)["no row"] == pytest.approx(1 / 6)
+
+
+def test_attached_tables_neither_lose_nor_multiply_rows(spark):
+    panel = spark.createDataFrame([(1, 0.5), (2, 0.7), (None, 0.9)], "member long, value double")
+    params = spark.createDataFrame([(1, 10.0)], "member long, p1 double")
+    twice = spark.createDataFrame([(1, 10.0), (1, 11.0)], "member long, p1 double")
+    with pytest.raises(Exception, match="no parameters for 2|no parameters for NULL"):
+        reshape.attach_params(panel, params).collect()
+    with pytest.raises(Exception, match="several parameters for 1"):
+        reshape.attach_params(panel.where("member = 1"), twice).select("member").collect()
+    left = {r["member"]: r["p1"] for r in reshape.attach_params(panel, params, how="left").collect()}
+    assert left == {1: 10.0, 2: None, None: None}
+    assert reshape.attach_params(panel, params, how="inner").count() == 1
+    with pytest.raises(Exception, match="several prediction for 1"):
+        reshape.attach_predictions(params, twice.withColumnRenamed("p1", "mu"), ["member"]).collect()
+    with pytest.raises(Exception, match="no forcing for 2"):
+        reshape.attach_forcing(panel.where("member > 0"), params, ["member"]).collect()
+    with pytest.raises(Exception, match="no target for sample 2"):
+        reshape.align_xy(panel.where("member > 0"), params, ["member"]).collect()
+    with pytest.raises(Exception, match="no features for sample 1"):
+        reshape.align_xy(panel.where("member = 2"), params, ["member"]).collect()
+
+
+def test_rows_without_a_label_keep_their_place(spark):
+    panel = spark.createDataFrame([(1, "a"), (1, "b"), (None, "a")], "member long, gridcell string")
+    stacked = reshape.stack_samples(panel, ("member", "gridcell")).select("member", "gridcell", "sample_id")
+    assert sorted(map(tuple, stacked.collect()), key=str) == sorted([(1, "a", 0), (1, "b", 1), (None, "a", None)], key=str)
+
+
+def test_regions_across_the_first_meridian(spark):
+    cells = spark.createDataFrame([(355.0, 0.0), (5.0, 0.0), (-5.0, 0.0), (180.0, 0.0)], "lon double, lat double")
+    found = region.assign_regions(cells, {"across": (-10, 10, -5, 5), "all": (-180, 180, -5, 5)})
+    assert sorted((r["lon"], r["region"]) for r in found.collect()) == [
+        (-5.0, "across"), (-5.0, "all"), (5.0, "across"), (5.0, "all"), (180.0, "all"), (355.0, "across"), (355.0, "all")]
+    assert {r["lon"] for r in region.slice_box(cells, region.Box(350, 10)).collect()} == {355.0, 5.0, -5.0}
+
+
 def test_equal_weights_give_the_plain_mean(spark, tiny_panel):
     equal = spark.createDataFrame([(c, 2.0) for c in range(4)], "gridcell int, landarea double")
     full = tiny_panel.where("value IS NOT NULL")
-    weighted = values(aggregate.area_mean(full, equal), ["member", "time"], "value")
+    weighted = values(aggregate.area_mean(full, equal, denominator="rows"), ["member", "time"], "value")
     assert weighted == pytest.approx(values(aggregate.mean_by(full, ["member", "time"], ["value"]), ["member", "time"], "value"))
 
 
@@ -144,8 +190,8 @@ def test_densify_fills_with_null(spark):
 def test_align_reports_missing_samples(spark):
     x = spark.createDataFrame([(1, 1.0), (2, 2.0)], "k int, x double")
     y = spark.createDataFrame([(1, 1.0)], "k int, y double")
-    with pytest.raises(ValueError, match="no target"):
-        reshape.align_xy(x, y, ["k"])
+    with pytest.raises(Exception, match="no target"):
+        reshape.align_xy(x, y, ["k"]).collect()
     assert reshape.align_xy(x, y, ["k"], strict=False).count() == 1
 
 
@@ -202,3 +248,19 @@ def test_unify_slices(spark):
 def test_feature_vector_keeps_the_order(spark):
     df = spark.createDataFrame([(1.0, 2)], "a double, b int")
     assert reshape.feature_vector(df, ["b", "a"]).first()["x"] == [2.0, 1.0]
+
+
+def test_one_sample_by_its_id(spark, tiny_panel):
+    stacked = reshape.stack_samples(tiny_panel, ("member", "time"))
+    for sample in (0, 1, 24, 71):
+        want = reshape.sample_slice(stacked, sample).select(tiny_panel.columns)
+        got = reshape.sample_of(tiny_panel, sample, ("member", "time"))
+        assert got.count() == 4 and got.exceptAll(want).count() == 0
+    assert reshape.sample_of(tiny_panel, 72, ("member", "time")).count() == 0
+
+
+def test_nearest_label_on_regular_and_irregular_axes(spark):
+    xs = [-99.0, 0.0, 0.49, 0.5, 0.51, 3.5, 7.2, 99.0, None]
+    for axis in ([0.0, 1.0, 2.0, 3.0, 4.0], [0.0, 1.0, 5.0, 5.1], [2.0], [0.0, 1.05, 1.95, 3.0]):
+        got = [r[0] for r in spark.createDataFrame([(x,) for x in xs], "x double").select(grids.nearest_label(F.col("x"), axis)).collect()]
+        assert got == [None if x is None else min(axis, key=lambda a: (abs(a - x), -a)) for x in xs]

@@ -56,13 +56,9 @@ def test_quantiles_equal_numpy(skewed, parts):
 
 @pytest.mark.parametrize("bracket", [1e-3, 0.05, 0.6])
 def test_bracketed_quantiles_equal_numpy(skewed, monkeypatch, bracket):
-    """Narrow brackets miss their ranks on so few rows and fall back; wide ones hold them."""
     from canopanel.operators import ranking
-    monkeypatch.setattr(ranking, "BRACKET_ROWS", 1)
     monkeypatch.setattr(ranking, "BRACKET", bracket)
     frame, df = skewed
-    if bracket == 0.05:
-        monkeypatch.setattr(ranking, "_ends_by_ranks", None)
     got = exact_quantiles(df, ["x"], 100, [0, 1, 25, 50, 75, 99, 100], by=["g"]).toPandas()
     assert len(got) == 4 * 7
     for (g, k), part in got.groupby(["g", "k"]):
