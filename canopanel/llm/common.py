@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from canopanel.cluster import stored
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Query] = {}
@@ -50,6 +52,12 @@ def column(name: str) -> Column:
     return F.col(f"`{name}`")
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Have whole texts travel to Python in batches of at most 8 MB, unless the session says otherwise."""
+    if spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", None) is None:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
+
+
 # A table of key slots has at most 2^18 rows of one int, however many keys fall into them.
 SLOT_BITS = 18
 
@@ -62,11 +70,12 @@ def slot_of(hash64: Column) -> Column:
 def in_slots(rows: DataFrame, hash64: Column, keys: DataFrame, key_hash64: Column, flag: str) -> DataFrame:
     """``rows`` with ``flag``: whether a row's key can be among ``keys``; no key is missed.
 
-    The keys' slots are broadcast, a table of bounded size, so that wide rows which no key
-    concerns need no shuffle.  The more keys there are, the more rows are flagged in vain; an
-    exact join of the flagged rows follows.
+    The keys' slots are broadcast, a table of bounded size that is written first so that no
+    broadcast waits for a long job; wide rows which no key concerns then need no shuffle.  The
+    more keys there are, the more rows are flagged in vain; an exact join of the flagged rows
+    follows.
     """
     slot, = fresh(rows, "_slot")
-    slots = keys.select(slot_of(key_hash64).alias(slot)).distinct().withColumn(flag, F.lit(True))
+    slots = stored(keys.select(slot_of(key_hash64).alias(slot)).distinct(), "slots").withColumn(flag, F.lit(True))
     marked = rows.withColumn(slot, slot_of(hash64)).join(F.broadcast(slots), slot, "left").drop(slot)
     return marked.withColumn(flag, F.coalesce(flag, F.lit(False)))

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from canopanel.llm.common import column, fresh
+from canopanel.llm.common import bounded_batches, column, fresh
 
 UNDETERMINED = "und"
 FOLDS = 5  # rows of fold 0 are held out: no part of them is learned from
@@ -252,6 +252,7 @@ def identify(docs: DataFrame, tagger: ByteTagger | None, window: int = 64, text_
     ``und`` with score 0.  Only the text decides.  Columns of the same names stay, the new ones
     then have longer names.  An empty table gives an empty one.
     """
+    bounded_batches(docs.sparkSession)
     pred, score = fresh(docs, lang_col, score_col)
     letters, = fresh(docs, "_letters")
     carry = docs.columns if carry is None else carry

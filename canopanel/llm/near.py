@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from canopanel.cluster import stored
-from canopanel.llm.common import column, fresh, in_slots, whole_text
+from canopanel.llm.common import bounded_batches, column, fresh, in_slots, whole_text
 from canopanel.llm.shingles import WORDS, mix, sets_of
 
 THRESHOLD = 0.8
@@ -388,6 +388,7 @@ def components(edges: DataFrame) -> DataFrame:
 def _classes(docs: DataFrame, threshold: float, recall: float, words: int, small: int, block: int, depths, seed: int,
              id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
     """Members (id, t, s1, s2, size), and per set (s1, s2, n, links, class_rep, class_size)."""
+    bounded_batches(docs.sparkSession)
     runs = runs_for(recall, depths[-1])
     members = stored(_members(docs, threshold, runs, seed, words, id_col, text_col), "near-members")
     order = F.struct(F.col("id").isNull().alias("null"), F.col("id"), F.col("t"))

@@ -16,7 +16,7 @@ import numpy as np
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from canopanel.llm.common import column, whole_text
+from canopanel.llm.common import bounded_batches, column, whole_text
 from canopanel.llm.segments import ByteBpe
 
 WINDOW = 1024
@@ -116,6 +116,7 @@ def pack(docs: DataFrame, tokenizer_path: str, size: int = WINDOW, end_id: int =
     own, also one that repeats another's id.  Null ids are allowed.  An empty table gives no
     rows; other columns are not read.
     """
+    bounded_batches(docs.sparkSession)
     model = docs.sparkSession.sparkContext.broadcast(Path(tokenizer_path).read_bytes())
 
     def packed(batches):

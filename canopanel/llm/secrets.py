@@ -12,7 +12,7 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame
 
-from canopanel.llm.common import column, whole_text
+from canopanel.llm.common import bounded_batches, column, whole_text
 
 # The three patterns of the base scan with the length each needs, in their order.
 ASSIGN = r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -90,6 +90,7 @@ def scan_secrets(docs: DataFrame, ranks_path: str, pattern: str, ratio: float =
     and has no spans.  Rows are scanned one by one, so repeated rows, ties and null ids change
     nothing; other columns are not read.  An empty table gives no rows.
     """
+    bounded_batches(docs.sparkSession)
     ranks = docs.sparkSession.sparkContext.broadcast(Path(ranks_path).read_bytes())
 
     def scanned(batches):

@@ -16,7 +16,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from canopanel.llm.common import column, fresh, whole_text
+from canopanel.llm.common import bounded_batches, column, fresh, whole_text
 from canopanel.llm.segments import SegmentCache
 
 MARK = "▁"
@@ -105,6 +105,7 @@ def count_tokens(docs: DataFrame, vocabulary_path: str, text_col: str = "text",
     counted one by one, so repeated rows and ties change nothing.  A column called n_tokens
     stays and makes the new one's name longer.  An empty table gives an empty one.
     """
+    bounded_batches(docs.sparkSession)
     carry = docs.columns if carry is None else carry
     text, n = fresh(docs, "_text", count_col)
     pieces = docs.sparkSession.sparkContext.broadcast(vocabulary(vocabulary_path))
