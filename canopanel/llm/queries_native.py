@@ -105,5 +105,5 @@ cleaned AS (
 SELECT doc_id, cleaned.text, lang, source, n_chars, removed_lines FROM documents JOIN cleaned USING (doc_id)
 """)
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents without the lines of later repeated runs."""
-    return line_dedup.line_dedup(table(spark, sf_dir, "documents"))
+    """All documents without the lines of later repeated windows: its SQL knows no others."""
+    return line_dedup.line_dedup(table(spark, sf_dir, "documents"), whole_runs=False)

@@ -3,6 +3,7 @@
 import collections
 import hashlib
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -186,3 +187,41 @@ def test_line_dedup_of_a_very_common_line(spark):
     docs = spark.range(900).select(F.col("id").alias("doc_id"), F.concat(F.lit("own "), F.col("id").cast("string"), F.lit("\n" + line)).alias("text"))
     got = line_dedup(docs).groupBy("removed_lines").count().collect()
     assert {r.removed_lines: r["count"] for r in got} == {0: 1, 1: 899}
+
+
+def brute_whole_runs(rows, min_words):
+    """Lines (none blank) of each text in a maximal run of enough words that an earlier place has too."""
+    texts = [(i, [(x, len(x.split())) for x in t.split("\n")]) for i, t in sorted(rows)]
+    out = {}
+    for n, (i, own) in enumerate(texts):
+        gone = set()
+        for m, (_, other) in enumerate(texts[:n + 1]):
+            for a in range(len(own)):
+                for b in range(a if m == n else len(other)):
+                    if own[a] != other[b] or a and b and own[a - 1] == other[b - 1]:
+                        continue
+                    k = 0
+                    while a + k < len(own) and b + k < len(other) and own[a + k] == other[b + k]:
+                        k += 1
+                    if sum(w for _, w in own[a:a + k]) >= min_words:
+                        gone |= set(range(a, a + k))
+        out[i] = "\n".join(x for p, (x, _) in enumerate(own) if p not in gone), len(gone)
+    return out
+
+
+def test_line_dedup_deletes_whole_runs(spark):
+    def line(name, n):
+        return " ".join(f"{name}{k}" for k in range(n))
+
+    draw = random.Random(5)
+    pool = [line(name, n) for name, n in zip("abcdefgh", (1, 2, 3, 5, 8, 13, 19, 24))]
+    rows = [(i, "\n".join([f"own {i}", *draw.choices(pool, k=draw.randint(1, 9)), f"end {i}"])) for i in range(60)]
+    # The first copy of a passage ends early, a later one goes on: a third is deleted whole.
+    long, tail = line("long", 76), line("tail", 12)
+    rows += [(100, f"x\n{long}\ny"), (101, f"z\n{long}\n{tail}\nv"), (102, f"u\n{long}\n{tail}\nw"), (103, f"{tail}\nu")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: (r.text, r.removed_lines) for r in line_dedup(docs, min_words=20).collect()}
+    assert got == brute_whole_runs(rows, 20)
+    assert got[101] == (f"z\n{tail}\nv", 1) and got[102] == ("u\nw", 2) and got[103][1] == 0
+    windows = {r.doc_id: r.removed_lines for r in line_dedup(docs, min_words=20, whole_runs=False).collect()}
+    assert windows[102] == 1
