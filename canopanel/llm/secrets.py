@@ -33,6 +33,9 @@ _DIGEST = re.compile(r"(?:[0-9a-f]+|[0-9A-F]+)\Z")
 _DIGEST_LENGTHS = {32, 40, 48, 56, 64, 96, 128}
 _UUID = re.compile(r"[0-9A-Fa-f]{8}(?:-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}\Z")
 _NUMBER = re.compile(r"[0-9+/_=-]+\Z")
+_SEPARATORS = "+/_=-"
+# Words in capitals are spelled as in lower case, where the vocabulary knows them.
+_CAPITALS = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2,}(?![A-Za-z0-9])")
 # Words have more characters per token than this in any language of Latin letters.
 CHARS_PER_TOKEN = 2.4
 
@@ -49,29 +52,25 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(out)
 
 
-def _case_changes(run: str) -> int:
-    return sum(a.islower() != b.islower() for a, b in zip(run, run[1:]) if a.isalpha() and b.isalpha())
-
-
 def known_identifier(run: str) -> bool:
-    """Whether a run is a digest of a usual length, a UUID, a number or a name made of words.
+    """Whether a run is a digest of a usual length, a UUID or a number."""
+    return bool((_DIGEST.match(run) and len(run) in _DIGEST_LENGTHS) or _UUID.match(run) or _NUMBER.match(run))
 
-    A name has few changes between cases, and digits, at most four, only at its end.
-    """
-    if (_DIGEST.match(run) and len(run) in _DIGEST_LENGTHS) or _UUID.match(run) or _NUMBER.match(run):
-        return True
-    name = run.rstrip("0123456789")
-    return len(run) - len(name) <= 4 and not any(c.isdigit() for c in name) and _case_changes(name) <= len(name) // 5
 
+def _low(tokens: list[str], ratio: float) -> bool:
+    """Whether tokens have few characters; separators, which join words too, count for neither."""
+    own = [len(t) for t in tokens if t.strip(_SEPARATORS)]
+    return sum(own) < ratio * len(own)
 
-def random_spans(text: str, tokens, base: list[tuple[int, int, int]], ratio: float = CHARS_PER_TOKEN) -> list[tuple[int, int, int]]:
-    """(start, 3, end) of runs with fewer than ``ratio`` characters per token, not in a base span."""
+
+def random_spans(text: str, spelled, base: list[tuple[int, int, int]], ratio: float = CHARS_PER_TOKEN) -> list[tuple[int, int, int]]:
+    """(start, 3, end) of runs with fewer than ``ratio`` characters per token, not in a base span; ``spelled`` gives a string's tokens."""
     out = []
     for m in _RUN.finditer(text):
         run = m.group()
         if known_identifier(run) or any(s < m.end() and m.start() < e for s, _, e in base):
             continue
-        if len(run) < ratio * len(tokens(run)):
+        if _low(spelled(_CAPITALS.sub(lambda w: w.group().lower(), run)), ratio):
             out.append((m.start(), 3, m.end()))
     return out
 
@@ -101,12 +100,17 @@ def scan_secrets(docs: DataFrame, ranks_path: str, pattern: str, ratio: float =
 
         merges = {base64.b64decode(a): int(b) for a, b in (line.split() for line in ranks.value.splitlines() if line)}
         encoding = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=merges, special_tokens={})
+        merged = {rank: token.decode("latin-1") for token, rank in merges.items()}
+
+        def spelled(run: str) -> list[str]:
+            return [merged[t] for t in encoding.encode_ordinary(run)]
+
         for batch in batches:
             columns: list[list] = [[], [], [], [], [], []]
             for text in batch.column("text"):
                 text = text.as_py()
                 base = base_spans(text)
-                spans = base + random_spans(text, encoding.encode_ordinary, base, ratio)
+                spans = base + random_spans(text, spelled, base, ratio)
                 counts = [sum(kind == k for _, kind, _ in spans) for k in range(len(KINDS))]
                 for values, value in zip(columns, (*counts, joined(base), joined(spans))):
                     values.append(value)

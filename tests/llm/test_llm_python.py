@@ -4,6 +4,7 @@ import collections
 import json
 import random
 import re
+import string
 import zlib
 from pathlib import Path
 
@@ -89,6 +90,23 @@ def test_random_strings_and_names(spark):
     assert spans == [(1, "random:6:38"), (2, ""), (3, "hex:0:32"), (4, ""), (5, ""), (6, ""), (7, ""), (8, ""), (8, "assign:0:41")]
 
 
+def random_parts(spark, texts):
+    """The random strings found in each text."""
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = secrets.scan_secrets(rows, RANKS, public_tokenizers.PATTERN).orderBy("doc_id").collect()
+    spans = [[s.split(":") for s in r.spans.split(",")] if r.spans else [] for r in found]
+    return [[t[int(a):int(b)] for kind, a, b in own if kind == "random"] for t, own in zip(texts, spans)]
+
+
+def test_random_letters_are_secrets_too(spark):
+    draw = random.Random(3)
+    keys = ["".join(draw.choices(letters, k=32)) + digits for letters in (string.ascii_lowercase, string.ascii_uppercase)
+            for digits in ("", "7", "2024") for _ in range(50)]
+    assert random_parts(spark, keys) == [[k] for k in keys]
+    names = ["configurationServiceConnectionFactory", "internationalization2024", "MAXIMUM_CONNECTION_RETRIES"]
+    assert random_parts(spark, names) == [[], [], []]
+
+
 def test_base_spans_of_given_documents(spark):
     for row in spark.read.parquet(f"{SF}/documents.parquet").collect():
         assert secrets.base_spans(row.text) == brute_base(row.text)
