@@ -1,12 +1,14 @@
 """Secret scans: three fixed patterns, and a token-efficiency test that exposes random strings.
 
 A byte-pair vocabulary spells ordinary words in few tokens, random strings in many: a run of
-key characters with few characters per token is reported unless it is a known kind of digest or
-identifier, or a fixed pattern has it already.  Places are code points, ends exclusive.
+key characters with few characters per token is reported.  What a fixed pattern has already and
+what is known by its form (digests, UUIDs, numbers) is cut out of the run first, and the rest is
+tested.  Places are code points, ends exclusive.
 """
 
 from __future__ import annotations
 
+import bisect
 import re
 from pathlib import Path
 
@@ -28,14 +30,18 @@ _HEX = re.compile(r"[0-9a-f]{%d,}" % HEX_LENGTH)
 _KEYWORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 
 # Runs that may be random: no dots, so that host names and sentences fall apart.
-_RUN = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
-_DIGEST = re.compile(r"(?:[0-9a-f]+|[0-9A-F]+)\Z")
-_DIGEST_LENGTHS = {32, 40, 48, 56, 64, 96, 128}
-_UUID = re.compile(r"[0-9A-Fa-f]{8}(?:-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}\Z")
-_NUMBER = re.compile(r"[0-9+/_=-]+\Z")
+MIN_RANDOM = 20
+_RUN = re.compile(r"[A-Za-z0-9+/_=-]{%d,}" % MIN_RANDOM)
 _SEPARATORS = "+/_=-"
+# Known by form, between separators or ends: digests of a usual length, UUIDs, numbers.
+_KNOWN = re.compile(r"(?<![A-Za-z0-9])(?:%s|%s|[0-9+/_=-]{4,})(?![A-Za-z0-9])" % (
+    r"[0-9A-Fa-f]{8}(?:-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}",
+    "|".join(f"[0-9a-f]{{{n}}}|[0-9A-F]{{{n}}}" for n in (32, 40, 48, 56, 64, 96, 128))))
+_LETTERS = re.compile(r"(?<![A-Za-z0-9])[A-Za-z]{%d,}(?![A-Za-z0-9])" % MIN_RANDOM)
 # Words in capitals are spelled as in lower case, where the vocabulary knows them.
 _CAPITALS = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2,}(?![A-Za-z0-9])")
+# A run is spelled in parts of this length, so that the time for one is in proportion to it.
+_SPELL = 4096
 # Words have more characters per token than this in any language of Latin letters.
 CHARS_PER_TOKEN = 2.4
 
@@ -52,9 +58,16 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(out)
 
 
-def known_identifier(run: str) -> bool:
-    """Whether a run is a digest of a usual length, a UUID or a number."""
-    return bool((_DIGEST.match(run) and len(run) in _DIGEST_LENGTHS) or _UUID.match(run) or _NUMBER.match(run))
+def _left(text: str, start: int, end: int, cuts: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Pieces of at least MIN_RANDOM characters that ``cuts`` leave, without the separator at a cut."""
+    out, at = [], start
+    for s, e in [*sorted(cuts), (end, end)]:
+        a = at + (at > start and text[at:at + 1] in _SEPARATORS)
+        b = s - (a < s < end and text[s - 1] in _SEPARATORS)
+        if b - a >= MIN_RANDOM:
+            out.append((a, b))
+        at = max(at, e)
+    return out
 
 
 def _low(tokens: list[str], ratio: float) -> bool:
@@ -63,15 +76,55 @@ def _low(tokens: list[str], ratio: float) -> bool:
     return sum(own) < ratio * len(own)
 
 
+def _low_windows(tokens: list[str], ratio: float) -> list[tuple[int, int]]:
+    """Where windows of MIN_RANDOM characters or the next end of a token are low.
+
+    They grow to the separators around them, so that a secret is whole, and are joined if they meet.
+    """
+    run = "".join(tokens)
+    bounds = [0, *[i for i, c in enumerate(run) if c in _SEPARATORS], len(run)]
+    out: list[tuple[int, int]] = []
+    start, end, last = 0, 0, 0
+    for first, token in enumerate(tokens):
+        while last < len(tokens) and end - start < MIN_RANDOM:
+            end += len(tokens[last])
+            last += 1
+        if end - start < MIN_RANDOM:
+            break
+        if _low(tokens[first:last], ratio):
+            low, high = bounds[bisect.bisect_right(bounds, start, hi=len(bounds) - 1) - 1], bounds[bisect.bisect_left(bounds, end)]
+            low += run[low] in _SEPARATORS
+            if out and low <= out[-1][1]:
+                out[-1] = (out[-1][0], max(high, out[-1][1]))
+            else:
+                out.append((low, high))
+        start += len(token)
+    return out
+
+
 def random_spans(text: str, spelled, base: list[tuple[int, int, int]], ratio: float = CHARS_PER_TOKEN) -> list[tuple[int, int, int]]:
-    """(start, 3, end) of runs with fewer than ``ratio`` characters per token, not in a base span; ``spelled`` gives a string's tokens."""
+    """(start, 3, end) of places with fewer than ``ratio`` characters per token, outside base spans.
+
+    ``spelled`` gives the tokens of a string.  A piece of a run is reported whole where its
+    average is low, else its windows that are: words beside a secret do not hide it.  A long
+    part of letters between separators is a word if its own average is not low.
+    """
+    def tokens(start: int, end: int) -> list[str]:
+        run = _CAPITALS.sub(lambda w: w.group().lower(), text[start:end])
+        return [t for at in range(0, len(run), _SPELL) for t in spelled(run[at:at + _SPELL])]
+
     out = []
     for m in _RUN.finditer(text):
-        run = m.group()
-        if known_identifier(run) or any(s < m.end() and m.start() < e for s, _, e in base):
-            continue
-        if _low(spelled(_CAPITALS.sub(lambda w: w.group().lower(), run)), ratio):
-            out.append((m.start(), 3, m.end()))
+        cuts = [(s, e) for s, _, e in base if s < m.end() and m.start() < e]
+        cuts += [(m.start() + k.start(), m.start() + k.end()) for k in _KNOWN.finditer(m.group())]
+        for start, end in _left(text, m.start(), m.end(), cuts):
+            if _low(tokens(start, end), ratio):
+                out.append((start, 3, end))
+                continue
+            parts = [(start + w.start(), start + w.end()) for w in _LETTERS.finditer(text[start:end])]
+            words = [w for w in parts if not _low(tokens(*w), ratio)]
+            for a, b in _left(text, start, end, words):
+                out += [(a + s, 3, a + e) for s, e in _low_windows(tokens(a, b), ratio)]
     return out
 
 

@@ -107,6 +107,25 @@ def test_random_letters_are_secrets_too(spark):
     assert random_parts(spark, names) == [[], [], []]
 
 
+def test_random_strings_beside_other_things(spark):
+    draw = random.Random(4)
+
+    def key(n, more=""):
+        return "".join(draw.choices(string.ascii_letters + string.digits + more, k=n))
+
+    digest = "".join(draw.choices("0123456789abcdef", k=32))
+    access = "AKIA" + "".join(draw.choices(string.ascii_uppercase, k=16))
+    for before, after in ((access + "/", ""), (digest + "-", ""), ("", "_" + digest), ("", "/" + digest.upper()), ("550e8400-e29b-41d4-a716-446655440000/", "")):
+        keys = [key(40) for _ in range(50)]
+        assert random_parts(spark, [before + k + after for k in keys]) == [[k] for k in keys]
+    for n in (20, 24, 32):
+        keys = [key(n) for _ in range(200)]
+        found = random_parts(spark, ["config/production/database/credentials/" + k for k in keys])
+        assert all(len(f) == 1 and f[0].endswith(k) for f, k in zip(found, keys))
+    names = ["article/2019/05/21/some-words-in-a-title", "path/to/donaudampfschifffahrtsgesellschaft/index", digest + "/" + digest.upper()]
+    assert random_parts(spark, names) == [[], [], []]
+
+
 def test_base_spans_of_given_documents(spark):
     for row in spark.read.parquet(f"{SF}/documents.parquet").collect():
         assert secrets.base_spans(row.text) == brute_base(row.text)
