@@ -8,11 +8,11 @@ directory of at most 256 entries per open bucket comes back to them by an equi-j
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from canopanel.cluster import stored
-from canopanel.llm.common import column, whole_text
+from canopanel.llm.common import column, fresh, whole_text
 
 # Hash bits that one round looks ahead.
 ROUND_BITS = 8
@@ -38,8 +38,38 @@ def shard(docs: DataFrame, limit: int, id_col: str = "doc_id", text_col: str = "
     ``limit`` bytes.  A text longer than the limit can fit no shard: it is a shard alone, called
     ``!`` and its 64 hash bits, of depth 64.  Rows repeated with id and text are hashed with their number among
     their like, so that they spread over shards too.  Null ids are allowed.  An empty table
-    gives no rows; other columns are not read.
+    gives no rows; other columns are not read: ``sharded`` has the rows themselves.
     """
+    return _buckets(docs, limit, id_col, text_col).drop("m", "copy").withColumnRenamed("id", id_col)
+
+
+def sharded(docs: DataFrame, limit: int, id_col: str = "doc_id", text_col: str = "text", shard_col: str = "shard") -> DataFrame:
+    """``docs``, every row and column as it is, with the shard of each row as ``shard`` names it.
+
+    A column of the same name stays, the new one then has a longer name.
+    """
+    i, m, k, name = fresh(docs, "_id", "_m", "_copy", shard_col)
+    buckets = _buckets(docs, limit, id_col, text_col).select(
+        F.col("id").alias(i), F.col("m").alias(f"{m}of"), F.col("copy").alias(f"{k}of"), F.col("shard").alias(name))
+    like = Window.partitionBy(column(id_col), m).orderBy(m)
+    rows = docs.withColumn(m, F.md5(whole_text(text_col))).withColumn(k, F.row_number().over(like))
+    same = column(id_col).eqNullSafe(F.col(i)) & (F.col(m) == F.col(f"{m}of")) & (F.col(k) == F.col(f"{k}of"))
+    return rows.join(buckets, same).select(*[column(c) for c in docs.columns], name)
+
+
+def write_shards(docs: DataFrame, path: str, limit: int, id_col: str = "doc_id", text_col: str = "text") -> None:
+    """Write ``docs`` as Parquet under a new ``path``, each shard one file in a folder of its own.
+
+    The folders' column is ``shard``, or a longer name as in ``sharded``; its values are ``b``
+    and the name of the shard, so that no reader takes bits for numbers.
+    """
+    rows = sharded(docs, limit, id_col, text_col)
+    name = rows.columns[-1]
+    rows.withColumn(name, F.concat(F.lit("b"), name)).repartition(name).write.partitionBy(name).parquet(path)
+
+
+def _buckets(docs: DataFrame, limit: int, id_col: str, text_col: str) -> DataFrame:
+    """What ``shard`` gives, with the MD5 of the text and the row's number among its like."""
     if limit < 1:
         raise ValueError("the limit is at least one byte")
     text = whole_text(text_col)
@@ -48,24 +78,24 @@ def shard(docs: DataFrame, limit: int, id_col: str = "doc_id", text_col: str = "
         docs.select(column(id_col).alias("id"), F.md5(text).alias("m"), F.octet_length(text).cast("long").alias("bytes"))
         .groupBy("id", "m", "bytes").agg(F.count(F.lit(1)).alias("n"))
         .withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("n")))))
-    rows = stored(rows.select("id", "bytes", _bits(
+    rows = stored(rows.select("id", "m", "copy", "bytes", _bits(
         F.coalesce(F.col("id").cast("string"), F.lit("~")), F.col("m"), F.col("copy").cast("string")).alias("bits")), "shard-rows")
     alone = rows.where(F.col("bytes") > limit).select(
-        "id", "bytes", F.concat(F.lit("!"), "bits").alias("shard"), F.lit(_BITS).alias("depth"),
+        "id", "m", "copy", "bytes", F.concat(F.lit("!"), "bits").alias("shard"), F.lit(_BITS).alias("depth"),
         F.col("bytes").alias("shard_bytes"), F.lit(1).cast("long").alias("shard_docs"))
     done, open_rows, depth = [alone], rows.where(F.col("bytes") <= limit), 0
     while True:
         deep = min(depth + ROUND_BITS, _BITS)
         directory = stored(_directory(open_rows, depth, deep, limit), "shard-directory")
         found = open_rows.withColumn("key", _prefix(F.col("bits"), deep)).join(directory, "key")
-        done.append(found.where("depth is not null").select("id", "bytes", "shard", "depth", "shard_bytes", "shard_docs"))
+        done.append(found.where("depth is not null").select("id", "m", "copy", "bytes", "shard", "depth", "shard_bytes", "shard_docs"))
         if deep == _BITS or directory.where("depth is null").isEmpty():
             break
-        open_rows, depth = stored(found.where("depth is null").select("id", "bytes", "bits"), "shard-open"), deep
+        open_rows, depth = stored(found.where("depth is null").select("id", "m", "copy", "bytes", "bits"), "shard-open"), deep
     out = done[0]
     for more in done[1:]:
         out = out.unionByName(more)
-    return out.withColumnRenamed("id", id_col)
+    return out
 
 
 def _directory(rows: DataFrame, depth: int, deep: int, limit: int) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from canopanel.llm.exact_dedup import exact_dedup, exact_groups
 from canopanel.llm.line_dedup import line_dedup
 from canopanel.llm.mixing import mix_sources, source_rates
-from canopanel.llm.sharding import shard
+from canopanel.llm.sharding import shard, write_shards
 
 SCHEMA = "doc_id long, text string, source string, _h string, replica string, removed_lines string, _gone int"
 
@@ -145,6 +145,24 @@ def test_shards_fit_and_cover_all(spark):
         shard(docs_of(spark, rows), 0)
 
 
+def test_written_shards_hold_every_row(spark, tmp_path):
+    rows = [(i, "x" * (i % 50), f"s{i}") for i in range(200)] + [(5000, "y" * 3000, "s"), (5001, None, "s"), (None, "zz", "s")]
+    rows += [(7, "same row " * 3, f"r{i}") for i in range(60)]
+    docs = docs_of(spark, rows)
+    for limit in (1000, 1 << 30):
+        path = str(tmp_path / str(limit))
+        write_shards(docs, path, limit)
+        back = spark.read.parquet(path)
+        key = lambda r: str(tuple(r))
+        assert sorted(back.select(docs.columns).collect(), key=key) == sorted(docs.collect(), key=key)
+        held = collections.Counter()
+        for r in back.collect():
+            held[r.shard] += len(r.text or "")
+        want = {"b" + r.shard: r.shard_bytes for r in shard(docs, limit).collect()}
+        assert held == collections.Counter(want) and set(held) == set(want)
+        assert len(list(tmp_path.glob(f"{limit}/*/*.parquet"))) == len(want)
+
+
 def brute_line_dedup(rows, min_words):
     """Windows of each (id, text) in order; lines of windows that have an earlier equal go."""
     texts = sorted({(i, t or "") for i, t in rows})
