@@ -178,16 +178,15 @@ def _unpacked(flat: Sequence[int]) -> Steps:
 
 
 def _blocks(batches) -> Iterator[list[dict]]:
-    """Neighbouring rows of one (conv, block): at most 2^BLOCK_BITS of them and a message."""
+    """Neighbouring rows of one (conv, block): a bounded number of them and a message."""
     rows = (row for batch in batches for row in batch.to_pylist())
     for _, block in itertools.groupby(rows, key=lambda row: (row["conv"], row["block"])):
         yield list(block)
 
 
-def _in_blocks(nodes: DataFrame, *order: str) -> DataFrame:
+def _in_blocks(nodes: DataFrame) -> DataFrame:
     """Blocks of neighbouring nodes, each whole in one partition."""
-    placed = nodes if "block" in nodes.columns else nodes.withColumn("block", F.shiftright("pos", BLOCK_BITS))
-    return placed.repartition("conv", "block").sortWithinPartitions("conv", "block", *order)
+    return nodes.repartition("conv", "block").sortWithinPartitions("conv", "block", "pos")
 
 
 def _elements(rows: list[dict]) -> list[Steps]:
@@ -218,23 +217,23 @@ def _map_blocks(nodes: DataFrame, work, conv_type: str, fields: str) -> DataFram
     return nodes.mapInArrow(mapped, struct)
 
 
-def _summaries(nodes: DataFrame, conv_type: str) -> DataFrame:
+def _summaries(nodes: DataFrame, bits: int, conv_type: str) -> DataFrame:
     """(conv, pos, size, steps): the blocks of conversations longer than one block, as nodes."""
     def work(rows):
-        yield rows[0]["conv"], rows[0]["block"], -(-rows[0]["size"] >> BLOCK_BITS), _packed(summed(_elements(rows)))
+        yield rows[0]["conv"], rows[0]["block"], -(-rows[0]["size"] >> bits), _packed(summed(_elements(rows)))
 
-    long_ones = _in_blocks(nodes.where(F.col("size") > 1 << BLOCK_BITS), "pos")
+    long_ones = _in_blocks(nodes.where(F.col("size") > 1 << bits).withColumn("block", F.shiftright("pos", bits)))
     return _map_blocks(long_ones, work, conv_type, "pos long, size long, steps array<long>")
 
 
-def _with_messages(nodes: DataFrame, ways: DataFrame | None) -> DataFrame:
+def _with_messages(nodes: DataFrame, ways: DataFrame | None, bits: int) -> DataFrame:
     """Nodes in blocks, in front of each block the states in which it is entered and left, if known."""
-    rows = nodes.withColumn("block", F.shiftright("pos", BLOCK_BITS))
+    rows = nodes.withColumn("block", F.shiftright("pos", bits))
     if ways is not None:
         rows = rows.unionByName(
             ways.select("conv", F.col("pos").alias("block"), "entry", "leave", F.lit(-1).cast("long").alias("pos")),
             allowMissingColumns=True)
-    return _in_blocks(rows, "pos")
+    return _in_blocks(rows)
 
 
 def _ways(rows: list[dict]) -> tuple[list[dict], list[tuple[int, int]], bool]:
@@ -249,20 +248,20 @@ def _ways(rows: list[dict]) -> tuple[list[dict], list[tuple[int, int]], bool]:
     return rows, crossings(elements, entry, leave), ends
 
 
-def _block_ways(nodes: DataFrame, ways: DataFrame | None, conv_type: str) -> DataFrame:
+def _block_ways(nodes: DataFrame, ways: DataFrame | None, bits: int, conv_type: str) -> DataFrame:
     """(conv, pos, entry, leave) of every node, from those of the blocks of nodes."""
     def work(rows):
         nodes, states, _ = _ways(rows)
         for node, (entry, leave) in zip(nodes, states):
             yield node["conv"], node["pos"], entry, leave
 
-    return _map_blocks(_with_messages(nodes, ways), work, conv_type, "pos long, entry int, leave int")
+    return _map_blocks(_with_messages(nodes, ways, bits), work, conv_type, "pos long, entry int, leave int")
 
 
 _ROLE_OF = {USER: "user", ASSISTANT: "assistant"}
 
 
-def _edits(rows: DataFrame, ways: DataFrame | None, conv_type: str) -> DataFrame:
+def _edits(rows: DataFrame, ways: DataFrame | None, bits: int, conv_type: str) -> DataFrame:
     """Per row that stays or is inserted (conv, block, i, role, old_role, text_key), and per block its sums.
 
     A row of sums has ``audit``; ``text_key`` is null where a row is inserted.
@@ -295,7 +294,7 @@ def _edits(rows: DataFrame, ways: DataFrame | None, conv_type: str) -> DataFrame
 
     fields = ("block long, i int, role string, old_role string, text_key binary, "
               "audit string, cost long, illegal long, first int, last int")
-    return _map_blocks(_with_messages(rows, ways), work, conv_type, fields)
+    return _map_blocks(_with_messages(rows, ways, bits), work, conv_type, fields)
 
 
 def _codes(said: DataFrame) -> DataFrame:
@@ -318,7 +317,7 @@ def _codes(said: DataFrame) -> DataFrame:
 
 
 def repair(rows: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role",
-           text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+           text_col: str = "text", block_bits: int = BLOCK_BITS) -> tuple[DataFrame, DataFrame]:
     """What is wrong in each conversation, and the repaired conversations.
 
     The first table has a row per conversation: ``conv_col``, gaps, blank, duplicate, truncated,
@@ -339,13 +338,13 @@ def repair(rows: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", r
     codes = _codes(said)
     rounds = [codes.select("conv", "pos", "size", "role", "text_key", "initial", "ailment")]
     longest = codes.agg(F.max("size")).first()[0] or 0
-    while longest > 1 << BLOCK_BITS:
-        rounds.append(stored(_summaries(rounds[-1], conv_type), "conversation-blocks"))
-        longest = -(-longest >> BLOCK_BITS)
+    while longest > 1 << block_bits:
+        rounds.append(stored(_summaries(rounds[-1], block_bits, conv_type), "conversation-blocks"))
+        longest = -(-longest >> block_bits)
     ways = None
     for nodes in reversed(rounds[1:]):
-        ways = stored(_block_ways(nodes, ways, conv_type), "conversation-ways")
-    edits = stored(_edits(rounds[0], ways, conv_type), "conversation-edits")
+        ways = stored(_block_ways(nodes, ways, block_bits, conv_type), "conversation-ways")
+    edits = stored(_edits(rounds[0], ways, block_bits, conv_type), "conversation-edits")
 
     by_turn = codes.groupBy("conv", "turn").agg(*[
         F.sum(F.col(c).cast("long")).alias(c) for c in ("blank", "duplicate", "truncated")])

@@ -88,29 +88,29 @@ def backward(known: list[dict[int, bytes]], proof: bytes) -> dict[int, bytes]:
     return out
 
 
-def _levels_of(size: int) -> int:
-    """Levels that this round takes from a tree with ``size`` nodes at its lowest level."""
-    return min(LEVELS, (size - 1).bit_length())
+def _levels_of(size: int, most: int) -> int:
+    """Levels that a round of at most ``most`` takes from a tree with ``size`` nodes at its lowest level."""
+    return min(most, (size - 1).bit_length())
 
 
-def _lift(nodes: DataFrame) -> DataFrame:
-    """The nodes LEVELS higher (or the root, if that is lower): (tree, pos, size, digest)."""
+def _lift(nodes: DataFrame, most: int) -> DataFrame:
+    """The nodes ``most`` levels higher (or the root, if that is lower): (tree, pos, size, digest)."""
     def climb(table):
         import pyarrow as pa
 
         rows = sorted(zip(table["pos"].to_pylist(), table["digest"].to_pylist()))
         size, first = table["size"][0].as_py(), rows[0][0]
-        levels = _levels_of(size)
+        levels = _levels_of(size, most)
         (place, digest), = forward(first, [d for _, d in rows], levels)[levels].items()
         return pa.table({"tree": table["tree"][:1], "pos": [place], "size": [-(-size >> levels)], "digest": [digest]})
 
     schema = f"tree {nodes.schema['tree'].dataType.simpleString()}, pos long, size long, digest binary"
-    block = F.shiftright("pos", LEVELS).alias("block")
+    block = F.shiftright("pos", most).alias("block")
     return nodes.where("size > 1").select("tree", "pos", "size", "digest").groupBy("tree", block).applyInArrow(climb, schema)
 
 
-def _deliver(nodes: DataFrame, proofs: DataFrame) -> DataFrame:
-    """``nodes`` (of trees with several) with their packed proofs, from the ``proofs`` LEVELS higher."""
+def _deliver(nodes: DataFrame, proofs: DataFrame, most: int) -> DataFrame:
+    """``nodes`` (of trees with several) with their packed proofs, from the ``proofs`` ``most`` levels higher."""
     kept = [c for c in nodes.columns if c not in ("size", "digest")]
 
     def descend(table):
@@ -120,11 +120,11 @@ def _deliver(nodes: DataFrame, proofs: DataFrame) -> DataFrame:
         message = table.filter(pc.equal(table["kind"], 0))
         rows = table.filter(pc.equal(table["kind"], 1)).sort_by("pos")
         place, size = rows["pos"].to_pylist(), rows["size"][0].as_py()
-        known = forward(place[0], rows["digest"].to_pylist(), _levels_of(size))
+        known = forward(place[0], rows["digest"].to_pylist(), _levels_of(size, most))
         proof = backward(known, message["proof"][0].as_py())
         return rows.select(kept).append_column("proof", pa.array([proof[p] for p in place], pa.binary()))
 
-    block = F.shiftright("pos", LEVELS)
+    block = F.shiftright("pos", most)
     rows = nodes.where("size > 1").withColumn("block", block).withColumn("kind", F.lit(1))
     messages = proofs.select("tree", F.col("pos").alias("block"), "proof").withColumn("kind", F.lit(0))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in nodes.select(kept).schema) + ", proof binary"
@@ -132,16 +132,16 @@ def _deliver(nodes: DataFrame, proofs: DataFrame) -> DataFrame:
 
 
 class Tree:
-    """The nodes of many trees every LEVELS levels, each a stored table (tree, pos, size, digest)."""
+    """The nodes of many trees every ``levels`` levels, each a stored table (tree, pos, size, digest)."""
 
-    def __init__(self, leaves: DataFrame, name: str):
+    def __init__(self, leaves: DataFrame, name: str, levels: int):
         """``leaves``: (tree, pos, size, digest, ...), a stored table; other columns stay with the leaves."""
         self.rounds = [leaves]
         longest = leaves.agg(F.max("size")).first()[0] or 0
-        self.name = name
+        self.name, self.levels = name, levels
         while longest > 1:
-            self.rounds.append(stored(_lift(self.rounds[-1]), f"{name}-lift"))
-            longest = -(-longest >> LEVELS)
+            self.rounds.append(stored(_lift(self.rounds[-1], levels), f"{name}-lift"))
+            longest = -(-longest >> levels)
 
     def roots(self) -> DataFrame:
         """(tree, digest): the one node left of each tree."""
@@ -157,7 +157,7 @@ class Tree:
         for i, nodes in reversed(list(enumerate(self.rounds))):
             roots = join_on_keys(nodes.where("size = 1"), above, ["tree"], "inner").drop("size", "digest")
             if proofs is not None:
-                roots = roots.unionByName(_deliver(nodes, proofs))
+                roots = roots.unionByName(_deliver(nodes, proofs, self.levels))
             proofs = roots if i == 0 else stored(roots, f"{self.name}-proofs")
         return proofs
 
@@ -185,12 +185,13 @@ def proof_digest(proof: Column) -> Column:
 
 
 def manifest(docs: DataFrame, fields: Sequence[str] = ("doc_id", "source", "lang", "n_chars", "text"),
-             group_col: str = "lang", id_col: str = "doc_id", extra: dict[str, Column] | None = None) -> DataFrame:
+             group_col: str = "lang", id_col: str = "doc_id", extra: dict[str, Column] | None = None,
+             levels: int = LEVELS) -> DataFrame:
     """One row per row of ``docs``: the id, group, leaf, subroot, root, proof and the ``extra`` columns.
 
     ``leaf``, ``subroot`` (of the row's group) and ``root`` are lowercase hex digests; ``proof`` is an
     array of (side, digest) from the leaf to the root, for :func:`fold`.  ``fields`` are hashed into
-    the leaf; ``extra`` are expressions over ``docs`` that travel along.
+    the leaf; ``extra`` are expressions over ``docs`` that travel along.  A task takes ``levels`` levels.
 
     Null values, ids and groups count as values of their own: a null field is ``-``, a null id comes
     first, null groups are one group and come first.  Rows with one id are ordered by their leaf;
@@ -204,12 +205,12 @@ def manifest(docs: DataFrame, fields: Sequence[str] = ("doc_id", "source", "lang
         column(group_col).alias("tree"), column(id_col).alias("id"),
         F.unhex(leaf_digest([column(f) for f in fields])).alias("digest"), *carried)
     leaves = stored(positions(rows, "tree", ["id", "digest"], "pos", "size", "merkle"), "merkle-leaves")
-    groups = Tree(leaves.withColumn("leaf", F.col("digest")), "merkle-group")
+    groups = Tree(leaves.withColumn("leaf", F.col("digest")), "merkle-group", levels)
     subroots = stored(groups.roots().withColumnsRenamed({"tree": "group", "digest": "subroot"}), "merkle-subroots")
     tops = positions(
         subroots.select(F.lit(0).alias("tree"), "group", F.col("subroot").alias("digest")),
         "tree", ["group"], "pos", "size", "merkle-top")
-    top = Tree(stored(tops.withColumn("subroot", F.col("digest")), "merkle-tops"), "merkle-top")
+    top = Tree(stored(tops.withColumn("subroot", F.col("digest")), "merkle-tops"), "merkle-top", levels)
     root = top.roots().first()  # one row, or none for an empty table
     empty = top.rounds[0].select("tree").distinct().withColumn("proof", F.lit(b""))
     above = stored(top.leaves(empty).select(F.col("group").alias("tree"), "subroot", "proof"), "merkle-above")

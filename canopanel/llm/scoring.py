@@ -26,9 +26,10 @@ from pyspark.sql import functions as F
 
 from canopanel.llm.common import bounded_batches, column
 
-BATCH_BYTES = 24 << 20  # text whose distinct n-grams a task holds
+BATCH_BYTES = 8 << 20  # text whose distinct n-grams a task holds
 SHARD_BYTES = 8 << 20  # text, at all batches together, for each range of hashes
 PIECE = 1 << 20  # bytes that are split into words at once
+KEPT_WORDS = 1 << 18  # different words that a task counts before it sends them on
 ADDED = 0.1  # added to each word's count
 
 _BEGIN, _END = 0, 1  # ids of the marks around a text
@@ -56,7 +57,7 @@ class Vocabulary(dict):
             space = _NEXT_SPACE.search(text, at + PIECE)
             end = len(text) if space is None else space.start()
             words = text[at:end].split()
-            out.append(np.fromiter(map(self.__getitem__, words), np.int64, len(words)))
+            out.append(np.fromiter(map(self.__getitem__, words), np.int32, len(words)))
             at = end
         return out
 
@@ -79,25 +80,26 @@ class Batch:
 
     def __init__(self, texts: list[bytes | None], learn: list[bool], order: int):
         words, parts, lengths = Vocabulary(), [], []
-        begin, end = np.array([_BEGIN]), np.array([_END])
+        begin, end = np.array([_BEGIN], np.int32), np.array([_END], np.int32)
         for text in texts:
             ids = words.ids(text or b"")
             lengths.append(sum(map(len, ids)) + 2)
             parts += [begin, *ids, end]
-        ids = np.concatenate(parts) if parts else np.empty(0, np.int64)
+        ids = np.concatenate(parts) if parts else np.empty(0, np.int32)
         self.ends = np.cumsum(lengths, dtype=np.int64)
         self.starts = self.ends - np.array(lengths, dtype=np.int64)
         hashes = words.hashes()[ids]
-        place = np.arange(len(ids)) - np.repeat(self.starts, lengths)
+        place = (np.arange(len(ids)) - np.repeat(self.starts, lengths)).astype(np.int32)
+        del words, parts, ids
         learned = np.repeat(np.array(learn, dtype=bool), lengths)
         self.grams, self.arc, self.first, self.own = [], [], [], []
         gram = hashes
         for m in range(order):
             if m:
                 gram = np.concatenate([hashes[:1], _mixed(gram[:-1], hashes[1:])])
-            valid = np.flatnonzero(place >= m)
+            valid = np.flatnonzero(place >= m).astype(np.int32)
             distinct, first, which = np.unique(gram[valid], return_index=True, return_inverse=True)
-            arc = np.zeros(len(ids), dtype=np.int32)
+            arc = np.zeros(len(hashes), dtype=np.int32)
             arc[valid] = which
             self.grams.append(distinct)
             self.first.append(valid[first])
@@ -121,7 +123,8 @@ class Automaton:
             last = batch.first[m]
             context = totals[m - 1][batch.arc[m - 1][last - 1]].astype(np.float64)
             p = (totals[m] + prior * p[batch.arc[m - 1][last]]) / (context + prior)
-            self.arcs.append(np.where(totals[m] > 0, np.log10(p), np.nan))
+            # The last one stands for all where no text is long enough for this order.
+            self.arcs.append(np.append(np.where(totals[m] > 0, np.log10(p), np.nan), np.nan))
             self.fails.append(np.log10(prior / (totals[m - 1] + prior)))
 
     def base_score(self, doc: int) -> float:
@@ -206,7 +209,7 @@ def _corpus_size(texts: DataFrame, bits: int) -> tuple[int, int]:
             for text in batch.column(0):
                 n += sum(map(len, vocabulary.ids(text.as_py() or b""))) + 1
                 docs += 1
-                if len(vocabulary) > 1 << 20:
+                if len(vocabulary) > KEPT_WORDS:
                     yield from spilled()
                     vocabulary, n, docs = Vocabulary(), 0, 0
         yield from spilled()
@@ -220,14 +223,13 @@ def _corpus_size(texts: DataFrame, bits: int) -> tuple[int, int]:
             "kinds": [len(np.unique(np.concatenate(found))) if found else 0]})
 
     sent = texts.where("learn").select("text").mapInArrow(words, "shard int, n long, docs long, hashes binary")
-    sums = sent.where("shard < 0").groupBy().agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"), F.lit(0).cast("long").alias("kinds"))
-    kinds = sent.where("shard >= 0").groupBy("shard").applyInArrow(distinct, "n long, docs long, kinds long")
-    row = sums.unionByName(kinds).agg(F.sum("n"), F.sum("docs"), F.sum("kinds")).first()
+    sums = sent.groupBy("shard").applyInArrow(distinct, "n long, docs long, kinds long")
+    row = sums.agg(F.sum("n"), F.sum("docs"), F.sum("kinds")).first()
     return int(row[0] or 0), int(row[2] or 0) + (1 if row[1] else 0)  # the end is a token of its own
 
 
 def score_texts(docs: DataFrame, learn: Column, order: int = 3, prior: float = 4.0, id_col: str = "doc_id",
-                text_col: str = "text") -> DataFrame:
+                text_col: str = "text", batch_bytes: int = BATCH_BYTES, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """One row per row of ``docs``: the id, n_tokens, n_known, train_tokens, base_score and score.
 
     Words are what stands between ASCII white space, ASCII letters in lower case; a text's end is a
@@ -246,8 +248,8 @@ def score_texts(docs: DataFrame, learn: Column, order: int = 3, prior: float = 4
         column(id_col).alias("id"), F.coalesce(learn, F.lit(False)).alias("learn"), column(text_col).cast("binary").alias("text"))
     size = texts.agg(F.sum(F.octet_length("text") + 16).alias("bytes"), F.count(F.lit(1)).alias("rows")).first()
     total = int(size["bytes"] or 0) + 16 * int(size["rows"])
-    batches = max(1, -(-total // BATCH_BYTES))
-    bits = max(0, math.ceil(math.log2(max(1, total / SHARD_BYTES))))
+    batches = max(1, -(-total // batch_bytes))
+    bits = max(0, math.ceil(math.log2(max(1, total / shard_bytes))))
     tokens, kinds = _corpus_size(texts, bits)
 
     def ask(table):
