@@ -22,7 +22,7 @@ from canopanel.llm.common import column, fresh, in_slots, whole_text
 MIN_WORDS = 50
 
 
-def _windows(docs: DataFrame, min_words: int, id_col: str, text_col: str, whole_runs: bool) -> DataFrame:
+def _windows(docs: DataFrame, min_words: int, id_col: str, text_col: str) -> DataFrame:
     """(id, t, pos, last, f, w1, w2): the windows of all texts; t tells texts of one id apart."""
     text = whole_text(text_col)
     lines = docs.select(
@@ -36,16 +36,15 @@ def _windows(docs: DataFrame, min_words: int, id_col: str, text_col: str, whole_
         F.first("words").alias("words"), F.first("h1").alias("h1"), F.first("h2").alias("h2"))
     doc = Window.partitionBy("id", "t").orderBy("pos")
     before = own.withColumn("end", F.sum("words").over(doc)).withColumn("start", F.col("end") - F.col("words"))
-    frames = [Window.partitionBy("id", "t").orderBy("start").rangeBetween(0, min_words - 1)]
-    if whole_runs:
-        frames.append(Window.partitionBy("id", "t").orderBy("end").rangeBetween(1 - min_words, 0))
+    frames = [Window.partitionBy("id", "t").orderBy("start").rangeBetween(0, min_words - 1),
+              Window.partitionBy("id", "t").orderBy("end").rangeBetween(1 - min_words, 0)]
     kinds = [F.struct(
         F.min("pos").over(frame).alias("pos"), F.max("pos").over(frame).alias("last"), F.sum("words").over(frame).alias("held"),
         F.min("h1").over(frame).alias("f"), F.collect_list("h1").over(frame).alias("all1"),
         F.collect_list("h2").over(frame).alias("all2")) for frame in frames]
     both = before.select("id", "t", "words", *[k.alias(f"k{i}") for i, k in enumerate(kinds)])
     # A run up to a line that holds enough without it is no window from its first line onward.
-    wanted = [F.col("k0.held") >= min_words, F.col("k1.held") - F.col("words") >= min_words] if whole_runs else [F.col("k0.held") >= min_words]
+    wanted = [F.col("k0.held") >= min_words, F.col("k1.held") - F.col("words") >= min_words]
     return both.select("id", "t", F.explode(F.array(*[
         F.when(w, F.struct(*[F.col(f"k{i}.{c}").alias(c) for c in ("pos", "last", "f")],
                            F.xxhash64(f"k{i}.all1").alias("w1"), F.xxhash64(f"k{i}.all2").alias("w2")))
@@ -53,14 +52,13 @@ def _windows(docs: DataFrame, min_words: int, id_col: str, text_col: str, whole_
 
 
 def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_id",
-                  text_col: str = "text", whole_runs: bool = True) -> DataFrame:
+                  text_col: str = "text") -> DataFrame:
     """(id, t, first, last): maximal runs of lines to delete, by number from 0.
 
     A run is deleted when an equal window precedes each of its windows, in the order of
-    (id, hash of the text, line); the first of its like stays.  Without ``whole_runs`` there are
-    windows from a line onward only, and the last lines of a run, under ``min_words`` words, stay.
+    (id, hash of the text, line); the first of its like stays.
     """
-    windows = stored(_windows(docs, min_words, id_col, text_col, whole_runs), "line-windows")
+    windows = stored(_windows(docs, min_words, id_col, text_col), "line-windows")
     shared = stored(windows.groupBy("f").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("f"), "line-fingerprints")
     met = windows.join(shared, "f", "left_semi")
     firsts = stored(
@@ -75,17 +73,18 @@ def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "do
 
 
 def line_dedup(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text",
-               removed_col: str = "removed_lines", whole_runs: bool = True) -> DataFrame:
+               removed_col: str = "removed_lines") -> DataFrame:
     """``docs`` with repeated runs of lines deleted from the text, and how many lines went.
 
     Lines are compared without leading and trailing blanks and tabs; runs of under
     ``min_words`` words stay.  Lines between two deleted lines of a run that are blank go with
     it.  A null text becomes empty.  Rows repeated with id and text are one document, so
     neither is a copy of the other.  Null ids come first in order.  Within one text a run that
-    overlaps its own repeat keeps the part before the overlap.  Other columns stay as they are;
+    overlaps its own repeat keeps the part before the overlap.  A text of any length is split where it
+    is read; its lines, as hashes, are put in order by one task.  An empty table gives no rows.  Other columns stay as they are;
     one called removed_lines makes the new one's name longer.
     """
-    runs = repeated_runs(docs, min_words, id_col, text_col, whole_runs)
+    runs = repeated_runs(docs, min_words, id_col, text_col)
     gone = stored(
         runs.groupBy("id", "t").agg(F.flatten(F.collect_list(F.sequence("first", "last"))).alias("gone")), "line-gone")
     i, t, lost, own, met = fresh(docs, "_id", "_t", "_gone", "_own", "_met")

@@ -82,12 +82,17 @@ words AS (
   SELECT doc_id, pos, trim(line, ' ' || chr(9) || chr(13)) AS line,
          len(regexp_split_to_array(trim(line, ' ' || chr(9) || chr(13)), '\\s+')) AS words
   FROM lines WHERE trim(line, ' ' || chr(9) || chr(13)) <> ''),
-starts AS (SELECT *, sum(words) OVER (PARTITION BY doc_id ORDER BY pos) - words AS start FROM words),
+ends AS (SELECT *, sum(words) OVER (PARTITION BY doc_id ORDER BY pos) AS reached FROM words),
+starts AS (SELECT *, reached - words AS start FROM ends),
 windows AS (
   SELECT doc_id, pos, max(pos) OVER ahead AS last, sum(words) OVER ahead AS held,
          array_to_string(list(line) OVER ahead, chr(10)) AS content
   FROM starts
-  WINDOW ahead AS (PARTITION BY doc_id ORDER BY start RANGE BETWEEN CURRENT ROW AND {line_dedup.MIN_WORDS - 1} FOLLOWING)),
+  WINDOW ahead AS (PARTITION BY doc_id ORDER BY start RANGE BETWEEN CURRENT ROW AND {line_dedup.MIN_WORDS - 1} FOLLOWING)
+  UNION
+  SELECT doc_id, min(pos) OVER behind, pos, sum(words) OVER behind, array_to_string(list(line) OVER behind, chr(10))
+  FROM starts
+  WINDOW behind AS (PARTITION BY doc_id ORDER BY reached RANGE BETWEEN {line_dedup.MIN_WORDS - 1} PRECEDING AND CURRENT ROW)),
 numbered AS (
   SELECT *, row_number() OVER (PARTITION BY content ORDER BY doc_id, pos) AS n
   FROM windows WHERE held >= {line_dedup.MIN_WORDS}),
@@ -105,5 +110,5 @@ cleaned AS (
 SELECT doc_id, cleaned.text, lang, source, n_chars, removed_lines FROM documents JOIN cleaned USING (doc_id)
 """)
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents without the lines of later repeated windows: its SQL knows no others."""
-    return line_dedup.line_dedup(table(spark, sf_dir, "documents"), whole_runs=False)
+    """All documents without later repeats of whole runs of lines."""
+    return line_dedup.line_dedup(table(spark, sf_dir, "documents"))
