@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from canopanel.cluster import stored
 from canopanel.llm.common import bounded_batches, column, fresh
 
 UNDETERMINED = "und"
@@ -26,11 +27,11 @@ FOLDS = 5  # rows of fold 0 are held out: no part of them is learned from
 class Settings:
     """Bounds of the training sample, and of the network and its training."""
 
-    sample_docs: int = 4000  # labelled documents in the sample, shared evenly among languages
-    max_languages: int = 500  # the most frequent ones are learned
+    sample_docs: int = 4000  # labelled documents in the sample, shared evenly among languages, but
+    least_docs: int = 20  # so many of each language at least
     windows_per_doc: int = 6
     window: int = 64
-    hidden: int = 8
+    hidden: int = 8  # units of each direction for up to four languages; four more whenever they double
     batch: int = 256
     steps: int = 500
     rate: float = 0.01
@@ -165,8 +166,10 @@ class ByteTagger:
             losses.append(loss)
         return losses
 
-    def classify(self, texts: list[str | None], window: int, at_once: int = 4096) -> tuple[list[str], list[float]]:
+    def classify(self, texts: list[str | None], window: int, at_once: int | None = None) -> tuple[list[str], list[float]]:
         """The language and its probability for each text; null or empty ones are undetermined."""
+        # Windows at once, so that probabilities of all their bytes and languages stay under 16 MB.
+        at_once = at_once or max(16, min(4096, (1 << 22) // (window * len(self.languages))))
         data = [(t or "").encode("utf-8", "replace") for t in texts]
         lengths = np.array([len(d) for d in data], dtype=np.int64)
         n_windows = -(-lengths // window)
@@ -213,21 +216,24 @@ def train(docs: DataFrame, settings: Settings | None = None, id_col: str = "doc_
           lang_col: str = "lang") -> ByteTagger | None:
     """A tagger learned from labelled rows outside fold 0, or None where there are none.
 
-    A language's rows are sampled by a hash of the id, so the sample does not depend on how the
-    table is partitioned.  Rows without label, text or a letter are not learned from.
+    Every label is learned, from at most ``sample_docs`` rows shared among them or ``least_docs`` of
+    each, whichever is more.  A language's rows are sampled by a hash of the id, so the sample does not
+    depend on how the table is partitioned.  Rows without label, text or a letter are not learned
+    from; repeated rows may be drawn each.  Of a very long text windows all over it are learned from.
     """
     settings = settings or Settings()
     labelled = docs.select(column(id_col).alias("id"), column(text_col).alias("text"), column(lang_col).alias("lang")).where(
         ~held_out("id") & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
-    counts = labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(settings.max_languages).collect()
-    if not counts:
+    counts = stored(labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")), "language-counts")
+    n_languages = counts.count()
+    if not n_languages:
         return None
-    quota = max(1, settings.sample_docs // len(counts))
+    quota = max(settings.least_docs, settings.sample_docs // n_languages)
     # Twice the quota passes on average; the window then takes exactly the first by hash.
-    shares = F.create_map(*[F.lit(x) for row in counts for x in (row["lang"], min(1.0, 2 * quota / row["count"]))])
+    shares = counts.select("lang", F.least(F.lit(1.0), 2 * quota / F.col("n")).alias("share"))
     key = F.xxhash64(F.lit(settings.seed), "id", "text")
-    sample = labelled.withColumn("key", key).where(
-        (F.col("key").cast("double") / float(1 << 64) + 0.5) < shares[F.col("lang")])
+    sample = labelled.withColumn("key", key).join(shares, "lang").where(
+        (F.col("key").cast("double") / float(1 << 64) + 0.5) < F.col("share"))
     nth = F.row_number().over(Window.partitionBy("lang").orderBy("key"))
     sample = sample.withColumn("nth", nth).where(F.col("nth") <= quota).select("key", "lang", "text")
     rows = _training_windows(sample, settings).orderBy("lang", "key", "bytes").toArrow()
@@ -239,7 +245,8 @@ def train(docs: DataFrame, settings: Settings | None = None, id_col: str = "doc_
         windows[:len(d), i] = np.frombuffer(d, dtype=np.uint8)
         mask[:len(d), i] = 1
     truth = np.searchsorted(languages, rows.column("lang").to_pylist())
-    tagger = ByteTagger(languages, settings.hidden, np.random.default_rng(settings.seed))
+    hidden = settings.hidden + 4 * max(0, (len(languages) - 1).bit_length() - 2)
+    tagger = ByteTagger(languages, hidden, np.random.default_rng(settings.seed))
     tagger.fit(windows, mask, truth, settings)
     return tagger
 
@@ -249,7 +256,8 @@ def identify(docs: DataFrame, tagger: ByteTagger | None, window: int = 64, text_
     """The columns ``carry`` of ``docs`` (all, unless given), the language of each whole text, its probability.
 
     A null text, one without a letter, and every text where no language was learned are
-    ``und`` with score 0.  Only the text decides.  Columns of the same names stay, the new ones
+    ``und`` with score 0.  Only the text decides, so repeated rows get one answer; of languages equally
+    likely the first by name is given.  A text of any length is classified whole, window by window.  Columns of the same names stay, the new ones
     then have longer names.  An empty table gives an empty one.
     """
     bounded_batches(docs.sparkSession)
