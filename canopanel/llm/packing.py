@@ -20,7 +20,7 @@ from canopanel.llm.common import bounded_batches, column, whole_text
 from canopanel.llm.segments import ByteBpe
 
 WINDOW = 1024
-# Windows a task may hold open before it closes them by cutting.
+# Windows a task may hold open; beyond it the fullest ones are filled up from each other.
 MAX_OPEN = 4096
 _TASK_SHIFT = 33  # sequence ids: the task's number above, its windows below
 
@@ -28,8 +28,9 @@ _TASK_SHIFT = 33  # sequence ids: the task's number above, its windows below
 class SumOfSquares:
     """Places pieces online; ``put`` and ``close`` yield finished windows as lists of pieces.
 
-    A piece is (document, start, ids).  ``close`` empties the windows that are still open into
-    full ones, cutting pieces, and cuts the last rest into powers of two.
+    A piece is (document, start, ids).  Where over ``max_open`` windows are open, an eighth of them,
+    the fullest, are poured into each other, cutting pieces: they lose the least by it, and the rule goes
+    on for all other levels.  ``close`` pours all that are open, and cuts the last rest into powers of two.
     """
 
     def __init__(self, size: int = WINDOW, max_open: int = MAX_OPEN):
@@ -74,13 +75,20 @@ class SumOfSquares:
         self._count(level)
         self.n_open += 1
         if self.n_open > self.max_open:
-            yield from self.close()
-
-    def close(self) -> Iterator[list]:
+            rest, held = yield from self._pour(max(2, self.max_open // 8))
+            if held:
+                self.windows[held].append(rest)
+                self._count(held)
+                self.n_open += 1
+
+    def _pour(self, many: int) -> Iterator[list]:
+        """Empty the ``many`` fullest windows into full ones; what is left, and how much, is returned."""
         window, held = [], 0
         for level in range(self.size - 1, 0, -1):
-            for pieces in self.windows[level]:
-                for document, start, ids in pieces:
+            while self.windows[level] and many:
+                many -= 1
+                self.n_open -= 1
+                for document, start, ids in self.windows[level].pop():
                     while len(ids):
                         part = ids[:self.size - held]
                         window.append((document, start, part))
@@ -88,9 +96,11 @@ class SumOfSquares:
                         if held == self.size:
                             yield window
                             window, held = [], 0
-            self.windows[level] = []
             self._count(level)
-        self.n_open = 0
+        return window, held
+
+    def close(self) -> Iterator[list]:
+        window, held = yield from self._pour(self.n_open)
         while held:
             room = 1 << (held.bit_length() - 1)
             held, taken = held - room, []
@@ -113,7 +123,8 @@ def pack(docs: DataFrame, tokenizer_path: str, size: int = WINDOW, end_id: int =
     added.  ``ids`` holds the piece's ids as little-endian unsigned 32-bit numbers.  Every
     sequence has ``size`` ids, but for those at the end of a task, which have powers of two.
     Null texts are empty: their documents have the end id only.  Every row is a document of its
-    own, also one that repeats another's id.  Null ids are allowed.  An empty table gives no
+    own, also one that repeats another's id.  Null ids are allowed.  Whole windows of a very long text
+    are cut off as they are met.  An empty table gives no
     rows; other columns are not read.
     """
     bounded_batches(docs.sparkSession)
