@@ -81,7 +81,8 @@ def mix_sources(docs: DataFrame, weights: Mapping[str, float] | None = None, tem
 
     Adds ``replica`` (1, 2, ...; a document of count 0 has no row) and ``shuffle_key``, a hash
     of (seed, id, replica): rows are dealt to partitions by it and sorted within them.  Rows
-    repeated with one id have the same count each, and null ids share one draw.  Columns of
+    repeated with one id have the same count each; a row without id is drawn and dealt by its text.
+    A very long text is read for its length only and moved once for each copy.  Columns of
     ``docs`` called replica or shuffle_key are kept; the new ones then get a longer name.  Null texts have
     no characters.  An empty table gives an empty one.
     """
@@ -91,13 +92,16 @@ def mix_sources(docs: DataFrame, weights: Mapping[str, float] | None = None, tem
     src, parts, dist = fresh(docs, "_source", "_parts", "_distribution")
     replica, key = fresh(docs, replica_col, key_col)
     rates = rates.withColumnsRenamed({"source": src, "parts": parts, "distribution": dist})
-    one = lambda j: F.size(F.filter(dist, lambda t: t <= uniform(F.lit(seed), column(id_col), j)))
-    count = F.aggregate(F.sequence(F.lit(1), F.col(parts)), F.lit(0), lambda n, j: n + one(j))
+    # A row without id goes by its text.
+    name = F.coalesce(column(id_col).cast("string"), F.concat(F.lit("~"), F.md5(whole_text(text_col))))
+    # One hash for each part, then its place in the distribution.
+    drawn = F.transform(F.sequence(F.lit(1), F.col(parts)), lambda j: uniform(F.lit(seed), name, j))
+    count = F.aggregate(drawn, F.lit(0), lambda n, u: n + F.size(F.filter(dist, lambda t: t <= u)))
     # Documents of a rare source may be wanted very often: parts are summed per document,
     # and the copies are made row by row before the shuffle.
     copies = (
         docs.join(rates, column(source_col).eqNullSafe(F.col(src)))
         .withColumn(replica, F.explode(F.sequence(F.lit(0), count)))
         .where(F.col(replica) > 0))
-    copies = copies.withColumn(key, F.md5(F.concat_ws("|", F.lit(f"{seed} place"), F.coalesce(column(id_col).cast("string"), F.lit("~")), F.col(replica).cast("string"))))
+    copies = copies.withColumn(key, F.md5(F.concat_ws("|", F.lit(f"{seed} place"), name, F.col(replica).cast("string"))))
     return copies.select(*[column(c) for c in docs.columns], replica, key).repartition(F.col(key)).sortWithinPartitions(key)
