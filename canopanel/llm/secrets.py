@@ -9,6 +9,7 @@ tested.  Places are code points, ends exclusive.
 from __future__ import annotations
 
 import bisect
+import functools
 import re
 from pathlib import Path
 
@@ -30,20 +31,23 @@ _HEX = re.compile(r"[0-9a-f]{%d,}" % HEX_LENGTH)
 _KEYWORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 
 # Runs that may be random: no dots, so that host names and sentences fall apart.
-MIN_RANDOM = 20
+MIN_RANDOM = 8
+WINDOW = 20  # longer runs are looked at in windows of this length as well
 _RUN = re.compile(r"[A-Za-z0-9+/_=-]{%d,}" % MIN_RANDOM)
 _SEPARATORS = "+/_=-"
 # Known by form, between separators or ends: digests of a usual length, UUIDs, numbers.
 _KNOWN = re.compile(r"(?<![A-Za-z0-9])(?:%s|%s|[0-9+/_=-]{4,})(?![A-Za-z0-9])" % (
     r"[0-9A-Fa-f]{8}(?:-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}",
     "|".join(f"[0-9a-f]{{{n}}}|[0-9A-F]{{{n}}}" for n in (32, 40, 48, 56, 64, 96, 128))))
-_LETTERS = re.compile(r"(?<![A-Za-z0-9])[A-Za-z]{%d,}(?![A-Za-z0-9])" % MIN_RANDOM)
+_LETTERS = re.compile(r"(?<![A-Za-z0-9])[A-Za-z]{%d,}(?![A-Za-z0-9])" % WINDOW)
 # Words in capitals are spelled as in lower case, where the vocabulary knows them.
 _CAPITALS = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2,}(?![A-Za-z0-9])")
 # A run is spelled in parts of this length, so that the time for one is in proportion to it.
 _SPELL = 4096
-# Words have more characters per token than this in any language of Latin letters.
+# Words have more characters per token than this in any language of Latin letters, if there are
+# enough of them; single words may have fewer, so that a shorter run needs a lower ratio.
 CHARS_PER_TOKEN = 2.4
+SHORT_LIMITS = ((16, 2.0), (12, 1.7), (MIN_RANDOM, 1.5))  # from this length on, below WINDOW
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -58,13 +62,13 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(out)
 
 
-def _left(text: str, start: int, end: int, cuts: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    """Pieces of at least MIN_RANDOM characters that ``cuts`` leave, without the separator at a cut."""
+def _left(text: str, start: int, end: int, cuts: list[tuple[int, int]], least: int = WINDOW) -> list[tuple[int, int]]:
+    """Pieces of at least ``least`` characters that ``cuts`` leave, without the separator at a cut."""
     out, at = [], start
     for s, e in [*sorted(cuts), (end, end)]:
         a = at + (at > start and text[at:at + 1] in _SEPARATORS)
         b = s - (a < s < end and text[s - 1] in _SEPARATORS)
-        if b - a >= MIN_RANDOM:
+        if b - a >= least:
             out.append((a, b))
         at = max(at, e)
     return out
@@ -77,7 +81,7 @@ def _low(tokens: list[str], ratio: float) -> bool:
 
 
 def _low_windows(tokens: list[str], ratio: float) -> list[tuple[int, int]]:
-    """Where windows of MIN_RANDOM characters or the next end of a token are low.
+    """Where windows of WINDOW characters or the next end of a token are low.
 
     They grow to the separators around them, so that a secret is whole, and are joined if they meet.
     """
@@ -86,10 +90,10 @@ def _low_windows(tokens: list[str], ratio: float) -> list[tuple[int, int]]:
     out: list[tuple[int, int]] = []
     start, end, last = 0, 0, 0
     for first, token in enumerate(tokens):
-        while last < len(tokens) and end - start < MIN_RANDOM:
+        while last < len(tokens) and end - start < WINDOW:
             end += len(tokens[last])
             last += 1
-        if end - start < MIN_RANDOM:
+        if end - start < WINDOW:
             break
         if _low(tokens[first:last], ratio):
             low, high = bounds[bisect.bisect_right(bounds, start, hi=len(bounds) - 1) - 1], bounds[bisect.bisect_left(bounds, end)]
@@ -107,17 +111,25 @@ def random_spans(text: str, spelled, base: list[tuple[int, int, int]], ratio: fl
 
     ``spelled`` gives the tokens of a string.  A piece of a run is reported whole where its
     average is low, else its windows that are: words beside a secret do not hide it.  A long
-    part of letters between separators is a word if its own average is not low.
+    part of letters between separators is a word if its own average is not low.  A piece of under
+    WINDOW characters is looked at as a whole, with the limit of its length (at most ``ratio``).
     """
     def tokens(start: int, end: int) -> list[str]:
-        run = _CAPITALS.sub(lambda w: w.group().lower(), text[start:end])
+        run = text[start:end] if end - start < WINDOW and text[start:end].islower() else _CAPITALS.sub(lambda w: w.group().lower(), text[start:end])
+        if len(run) <= _SPELL:
+            return spelled(run)
         return [t for at in range(0, len(run), _SPELL) for t in spelled(run[at:at + _SPELL])]
 
     out = []
     for m in _RUN.finditer(text):
         cuts = [(s, e) for s, _, e in base if s < m.end() and m.start() < e]
         cuts += [(m.start() + k.start(), m.start() + k.end()) for k in _KNOWN.finditer(m.group())]
-        for start, end in _left(text, m.start(), m.end(), cuts):
+        for start, end in _left(text, m.start(), m.end(), cuts, MIN_RANDOM):
+            if end - start < WINDOW:
+                limit = next(limit for length, limit in SHORT_LIMITS if end - start >= length)
+                if _low(tokens(start, end), min(limit, ratio)):
+                    out.append((start, 3, end))
+                continue
             if _low(tokens(start, end), ratio):
                 out.append((start, 3, end))
                 continue
@@ -140,7 +152,8 @@ def scan_secrets(docs: DataFrame, ranks_path: str, pattern: str, ratio: float =
     ``base`` and ``spans`` list places as kind:start:end.  ``ranks_path`` is a tiktoken rank
     file, read on the driver, ``pattern`` the pattern that goes with it.  A null text is empty
     and has no spans.  Rows are scanned one by one, so repeated rows, ties and null ids change
-    nothing; other columns are not read.  An empty table gives no rows.
+    nothing; other columns are not read.  A very long text is scanned whole, a very long run spelled
+    in parts.  An empty table gives no rows.
     """
     bounded_batches(docs.sparkSession)
     ranks = docs.sparkSession.sparkContext.broadcast(Path(ranks_path).read_bytes())
@@ -155,6 +168,7 @@ def scan_secrets(docs: DataFrame, ranks_path: str, pattern: str, ratio: float =
         encoding = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=merges, special_tokens={})
         merged = {rank: token.decode("latin-1") for token, rank in merges.items()}
 
+        @functools.lru_cache(maxsize=1 << 16)  # words of usual length come again and again
         def spelled(run: str) -> list[str]:
             return [merged[t] for t in encoding.encode_ordinary(run)]
 
