@@ -9,24 +9,22 @@ from __future__ import annotations
 
 import functools
 
-import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from canopanel.cluster import set_shared_folder, stored
 from canopanel.llm import exact_dedup, language, mixing, near, packing
 
-# A document is rejected when no language reaches this share of its bytes.
-MIN_LANGUAGE_SCORE = 0.35
-
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a known language: those without letters or of no clear language go."""
+    """Documents in a language: those without letters go, whichever language is likely and by how much.
+
+    A clean text may be in several languages, so a low probability is no reason to drop it.
+    """
     tagger = language.train(docs)
     found = language.identify(docs, tagger, lang_col="_lang_pred", score_col="_lang_score")
-    pred, score = found.columns[-2:]
-    kept = found.where((F.col(pred) != language.UNDETERMINED) & (F.col(score) >= MIN_LANGUAGE_SCORE))
-    return kept.select(*docs.columns)
+    pred = found.columns[-2]
+    return found.where(F.col(pred) != language.UNDETERMINED).select(*docs.columns)
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,6 +44,8 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all documents in windows of 1024 tokens."""
+    import public_tokenizers
+
     pieces = packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
     return pieces.withColumn("ids_crc32", F.crc32("ids"))
 
