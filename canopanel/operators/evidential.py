@@ -1,34 +1,29 @@
-"""Evidential regression: head, loss, distributed fit and scoring.
+"""Evidential regression: head, loss, the network of a task, and scoring with fitted weights.
 
 The network predicts a Normal-Inverse-Gamma distribution (gamma, nu, alpha, beta) per
-output (Amini et al. 2020).  Training is data-parallel: in each epoch every shard of rows makes
-mini-batch steps from the same starting weights, and Spark averages the shards' weights by row
-count (Zinkevich et al. 2010).  One job trains the models of all slices at once; the number of
-a slice's shards follows from its rows.
+output (Amini et al. 2020).  Weights of many slices are a table of (slice, block, theta) that is
+never collected: rows meet the weights of their own slice by key.  ``fitting`` has the fit.
 """
 
 from __future__ import annotations
 
 import json
 import math
-import zlib
-from collections.abc import Iterator, Sequence
-from dataclasses import asdict, dataclass, field
+from collections.abc import Sequence
+from dataclasses import asdict, dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from canopanel.cluster import checkpoint
+from canopanel.cluster import join_on_keys, stored
 from canopanel.functions.special import lgamma
 from canopanel.schema import nan_to_null
 
-SHARD_ROWS = 16_384  # rows of one slice that one task trains on in an epoch
-_BLOCK = 4096  # weights per row when partial models travel to be averaged
+SHARD_ROWS = 16_384  # rows of one slice that one task holds
+BLOCK = 4096  # weights per row of a table of weights
 
 
 # ---- column expressions -------------------------------------------------------------
@@ -203,262 +198,144 @@ def _digamma(x):
     return series - sum(1.0 / (x + k) for k in range(6))
 
 
-# ---- model ---------------------------------------------------------------------------
+# ---- weights as a table ---------------------------------------------------------------
+
+def shards_of(rows: DataFrame, slice_col: str, shard_rows: int) -> DataFrame:
+    """(slice, shards): into how many shards of about ``shard_rows`` rows each slice is dealt."""
+    counts = rows.groupBy(F.col(slice_col).alias("slice")).agg(F.count(F.lit(1)).alias("n"))
+    return counts.select("slice", F.ceil(F.col("n") / shard_rows).cast("int").alias("shards"))
+
+
+def to_shards(weights: DataFrame, shards: DataFrame) -> DataFrame:
+    """Each slice's rows of ``weights``, once for each of its shards (slice, shard, ...)."""
+    copies = shards.select(
+        F.col("slice").alias("_own"), F.explode(F.sequence(F.lit(0), F.col("shards") - 1)).alias("shard"))
+    return weights.join(copies, F.col("slice") == F.col("_own")).drop("_own")
+
+
+def vector_of(table, column: str) -> np.ndarray:
+    """The vector whose blocks are rows of an Arrow table."""
+    table = table.sort_by("block")
+    return np.concatenate([np.asarray(v, dtype=float) for v in table[column].to_pylist()])
+
+
+def block_rows(vector: np.ndarray) -> list[tuple[int, np.ndarray]]:
+    return [(b, vector[at:at + BLOCK]) for b, at in enumerate(range(0, len(vector), BLOCK))]
+
+
+_HEAD = ("gamma", "nu", "alpha", "beta")
+
 
-@dataclass
 class EvidentialModel:
-    """Fitted networks, one weight vector per slice (``""`` when there is only one)."""
-
-    network: Network
-    features: list[str]
-    tasks: list[str]
-    weights: dict[str, np.ndarray]
-    by: str | None = None
-    history: list[dict] = field(default_factory=list)
-    training_variance: dict | None = None  # per task, or per slice and task
-
-    def history_table(self, spark: SparkSession) -> DataFrame:
-        """One row per (slice, epoch) with losses and learning rate."""
-        schema = ("slice string, epoch int, train_loss double, val_loss double, val_mse double, "
-                  "learning_rate double")
-        return spark.createDataFrame(self.history, schema)
+    """Fitted networks: the weights of each slice (``""`` when there is only one) as a table.
+
+    ``weights`` has (slice, block, theta); ``history`` (slice, epoch, train_loss, val_loss, val_mse,
+    learning_rate); ``variance`` (slice, task, variance) of the training targets.  All are read
+    when they are used; nothing of them is held by the driver.
+    """
+
+    def __init__(self, network: Network, features: Sequence[str], tasks: Sequence[str], weights: DataFrame,
+                 by: str | None = None, history: DataFrame | None = None, variance: DataFrame | None = None):
+        self.network, self.features, self.tasks, self.by = network, list(features), list(tasks), by
+        self.weights, self.history, self.variance = weights, history, variance
+
+    @classmethod
+    def of_vector(cls, spark: SparkSession, network: Network, features: Sequence[str], tasks: Sequence[str],
+                  vector: np.ndarray) -> EvidentialModel:
+        """A model of one network with known weights."""
+        rows = [("", b, part.tolist()) for b, part in block_rows(vector)]
+        return cls(network, features, tasks, spark.createDataFrame(rows, "slice string, block int, theta array<double>"))
+
+    def vector(self, name: str = "") -> np.ndarray:
+        """The weights of one slice."""
+        return vector_of(self.weights.where(F.col("slice") == name).select("block", "theta").toArrow(), "theta")
+
+    def weights_table(self) -> DataFrame:
+        """(slice, layer, kind, pos, value): one row per weight."""
+        flat = self.weights.select("slice", "block", F.posexplode("theta").alias("i", "value")).select(
+            "slice", (F.col("block") * BLOCK + F.col("i")).cast("long").alias("at"), "value")
+        layer, kind, pos, at = F.lit(None).cast("int"), F.lit(None).cast("string"), F.lit(None).cast("long"), 0
+        for number, (i, o) in enumerate(self.network.shapes):
+            for name, size in (("kernel", i * o), ("bias", o)):
+                here = (F.col("at") >= at) & (F.col("at") < at + size)
+                layer = F.when(here, number).otherwise(layer)
+                kind = F.when(here, name).otherwise(kind)
+                pos = F.when(here, F.col("at") - at).otherwise(pos)
+                at += size
+        return flat.select("slice", layer.alias("layer"), kind.alias("kind"), pos.alias("pos"), "value")
 
     def score(self, table: DataFrame) -> DataFrame:
         """Adds raw outputs and ``mu, alea, epis``; all other columns pass through.
 
         Rows with a missing feature, or of a slice without a model, get NULLs.  With several
-        tasks each row becomes one row per task, named in ``task``.  Only the features leave
-        the JVM.
+        tasks each row becomes one row per task, named in ``task``.  One network goes to all tasks;
+        of several, each shard of a slice's rows gets its own slice's only.
         """
-        spark = table.sparkSession
-        network = self.network
-        shared = spark.sparkContext.broadcast(self.weights)
-        kind = T.StructType([T.StructField(c, T.ArrayType(T.DoubleType()))
-                             for c in ("gamma", "nu", "alpha", "beta")])
-
-        @F.pandas_udf(kind)
-        def predict(x: pd.DataFrame, slices: pd.Series) -> pd.DataFrame:
-            weights = shared.value
-            values = x.to_numpy(dtype=float)
-            out = np.full((len(values), 4, network.n_tasks), np.nan)
-            names = slices.to_numpy()
-            for name in pd.unique(names):
-                if name in weights:
-                    rows = names == name
-                    out[rows] = np.stack(network.outputs(weights[name], values[rows]), axis=1)
-            return pd.DataFrame({c: list(out[:, i]) for i, c in enumerate(("gamma", "nu", "alpha", "beta"))})
-
-        slices = F.col(self.by).cast("string") if self.by else F.lit("")
-        inputs = F.struct(*[F.col(f).cast("double").alias(f) for f in self.features])
-        raw = table.withColumn("_p", predict(inputs, slices))
+        raw = self._score_one(table) if self.by is None else self._score_slices(table)
         if len(self.tasks) > 1:
             names = F.array(*[F.lit(t) for t in self.tasks])
-            zipped = F.arrays_zip(names.alias("task"), *[
-                F.col(f"_p.{c}").alias(c) for c in ("gamma", "nu", "alpha", "beta")])
-            raw = raw.select(*table.columns, F.inline(zipped).alias("task", "gamma", "nu", "alpha", "beta"))
+            zipped = F.arrays_zip(names.alias("task"), *[F.col(f"_p.{c}").alias(c) for c in _HEAD])
+            raw = raw.select(*table.columns, F.inline(zipped).alias("task", *_HEAD))
         else:
-            raw = raw.select(*table.columns, *[
-                F.element_at(f"_p.{c}", 1).alias(c) for c in ("gamma", "nu", "alpha", "beta")])
-        return evidential_head(nan_to_null(raw, ["gamma", "nu", "alpha", "beta"]))
+            raw = raw.select(*table.columns, *[F.element_at(f"_p.{c}", 1).alias(c) for c in _HEAD])
+        return evidential_head(nan_to_null(raw, list(_HEAD)))
 
-    def weights_table(self, spark: SparkSession) -> DataFrame:
-        """(slice, layer, kind, pos, value): one row per weight."""
-        frames = []
-        for name, theta in self.weights.items():
-            for layer, (w, b) in enumerate(self.network.layers(theta)):
-                for kind, values in (("kernel", w.ravel()), ("bias", b)):
-                    frames.append(pd.DataFrame({
-                        "slice": name, "layer": layer, "kind": kind,
-                        "pos": np.arange(len(values)), "value": values}))
-        return spark.createDataFrame(
-            pd.concat(frames, ignore_index=True),
-            "slice string, layer int, kind string, pos long, value double")
-
-    def save(self, spark: SparkSession, path: str) -> None:
-        """Weights and history as Parquet tables, the settings as one JSON row."""
-        self.weights_table(spark).write.mode("overwrite").parquet(f"{path}/weights")
-        self.history_table(spark).write.mode("overwrite").parquet(f"{path}/history")
+    def _score_one(self, table: DataFrame) -> DataFrame:
+        """Only the features leave the JVM; the one vector's size is that of the network."""
+        network = self.network
+        shared = table.sparkSession.sparkContext.broadcast(self.vector())
+        kind = T.StructType([T.StructField(c, T.ArrayType(T.DoubleType())) for c in _HEAD])
+
+        @F.pandas_udf(kind)
+        def predict(x: pd.DataFrame) -> pd.DataFrame:
+            head = network.outputs(shared.value, x.to_numpy(dtype=float))
+            return pd.DataFrame({c: list(part) for c, part in zip(_HEAD, head)})
+
+        return table.withColumn("_p", predict(F.struct(*[F.col(f).cast("double").alias(f) for f in self.features])))
+
+    def _score_slices(self, table: DataFrame) -> DataFrame:
+        network, features = self.network, [f"_f{i}" for i in range(len(self.features))]
+        rows = table.withColumns({
+            "_slice": F.col(self.by).cast("string"),
+            **{f: F.col(c).cast("double") for f, c in zip(features, self.features)}})
+        shards = stored(shards_of(rows, "_slice", SHARD_ROWS), "shards")
+        own = shards.withColumnsRenamed({"slice": "_slice", "shards": "_shards"})
+        rows = join_on_keys(rows, own, ["_slice"], "inner").withColumn(
+            "_shard", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.col("_shards")).cast("int")).drop("_shards")
+        messages = to_shards(self.weights, shards).select("slice", "shard", "block", "theta")
+        columns = table.columns
+
+        def predict(part, weights):
+            import pyarrow as pa
+
+            x = np.column_stack([np.asarray(part[f].to_numpy(zero_copy_only=False), dtype=float) for f in features])
+            if weights.num_rows:
+                head = network.outputs(vector_of(weights, "theta"), x)
+                arrays = [pa.array(list(h), pa.list_(pa.float64())) for h in head]
+            else:
+                arrays = [pa.array([[math.nan] * network.n_tasks] * len(x), pa.list_(pa.float64()))] * 4
+            return part.select(columns).append_column("_p", pa.StructArray.from_arrays(arrays, names=_HEAD))
+
+        kind = T.StructType([T.StructField(c, T.ArrayType(T.DoubleType())) for c in _HEAD])
+        return rows.groupBy("_slice", "_shard").cogroup(messages.groupBy("slice", "shard")).applyInArrow(
+            predict, T.StructType([*table.schema.fields, T.StructField("_p", kind)]))
+
+    def save(self, path: str) -> None:
+        """Weights, history and variance as Parquet tables, the settings as one JSON row."""
+        spark = self.weights.sparkSession
+        self.weights.write.mode("overwrite").parquet(f"{path}/weights")
+        for name, table in (("history", self.history), ("variance", self.variance)):
+            if table is not None:
+                table.write.mode("overwrite").parquet(f"{path}/{name}")
         settings = json.dumps({
-            "network": asdict(self.network), "features": self.features, "tasks": self.tasks,
-            "by": self.by, "training_variance": self.training_variance})
-        spark.createDataFrame([(settings,)], "value string").coalesce(1).write.mode("overwrite").text(
-            f"{path}/settings")
+            "network": asdict(self.network), "features": self.features, "tasks": self.tasks, "by": self.by,
+            "tables": [n for n in ("history", "variance") if getattr(self, n) is not None]})
+        spark.createDataFrame([(settings,)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/settings")
 
     @classmethod
     def load(cls, spark: SparkSession, path: str) -> EvidentialModel:
+        """The model that ``save`` wrote; its tables are read where they are used."""
         settings = json.loads(spark.read.text(f"{path}/settings", wholetext=True).first()[0])
-        network = Network(**settings["network"])
-        rows = spark.read.parquet(f"{path}/weights").toPandas()
-        weights = {}
-        for name, part in rows.groupby("slice"):
-            # "kernel" sorts after "bias", and a layer's kernel comes first in the vector.
-            part = part.sort_values(["layer", "kind", "pos"], ascending=[True, False, True])
-            weights[name] = part["value"].to_numpy()
-        history = [r.asDict() for r in spark.read.parquet(f"{path}/history").orderBy("slice", "epoch").collect()]
-        return cls(network, settings["features"], settings["tasks"], weights, settings["by"], history,
-                   settings["training_variance"])
-
-
-# ---- fit -----------------------------------------------------------------------------
-
-def _prepared(table: DataFrame, features, tasks, by, keys, shard_rows: int, seed: int) -> tuple[DataFrame, dict[str, int]]:
-    """Complete rows in shards, in a repeatable order, in shared storage; and the rows of each slice.
-
-    A slice has as many shards as its rows need, dealt by key hash: a large slice is spread over
-    tasks, a small one stays in one, and each shard returns one weight vector.
-    """
-    columns = [F.col(c).cast("double").alias(c) for c in [*features, *tasks]]
-    slices = (F.col(by).cast("string") if by else F.lit("")).alias("_slice")
-    rows = table.select(F.xxhash64(F.lit(seed), *keys).alias("_h"), slices, *columns).dropna(subset=["_slice", *features])
-    sizes = {r["_slice"]: r["n"] for r in rows.groupBy("_slice").agg(F.count("*").alias("n")).collect()}
-    shards = {s: math.ceil(n / shard_rows) for s, n in sizes.items()}
-    if not sizes:
-        return checkpoint(rows.withColumn("_shard", F.lit(0))), sizes
-    own = F.create_map(*[F.lit(x) for pair in shards.items() for x in pair])[F.col("_slice")]
-    sharded = rows.withColumn("_shard", F.pmod(F.col("_h"), own).cast("int"))
-    return checkpoint(sharded.repartition(sum(shards.values()), "_slice", "_shard")
-                      .sortWithinPartitions("_slice", "_shard", "_h", *features, *tasks)), sizes
-
-
-def fit_evidential(
-    train: DataFrame,
-    val: DataFrame,
-    features: Sequence[str],
-    tasks: Sequence[str],
-    keys: Sequence[str],
-    by: str | None = None,
-    epochs: int = 100,
-    batch_size: int = 1024,
-    learning_rate: float = 1e-3,
-    patience: int = 10,
-    min_learning_rate: float = 1e-6,
-    shard_rows: int = SHARD_ROWS,
-    optimizer: str = "rmsprop",
-    seed: int = 0,
-    **network,
-) -> EvidentialModel:
-    """Fit one network, or one per value of ``by``, on columns ``features`` -> ``tasks``.
-
-    A network stops after ``patience`` epochs without a better validation loss, its
-    learning rate halves after ``patience // 2``, and the best weights are returned.
-    ``keys`` identify rows: they fix the row order and the shards of at most about
-    ``shard_rows`` rows, so a fit is repeatable whatever the cluster.  ``optimizer`` is
-    ``"rmsprop"`` or ``"adam"``.  The driver holds one weight vector per slice.
-    """
-    if optimizer not in ("rmsprop", "adam"):
-        raise ValueError(f"unknown optimizer {optimizer!r}")
-    features, tasks = list(features), list(tasks)
-    net = Network(n_features=len(features), n_tasks=len(tasks), **network)
-    train_rows, sizes = _prepared(train, features, tasks, by, keys, shard_rows, seed)
-    val_rows, _ = _prepared(val, features, tasks, by, keys, shard_rows, seed)
-    slices = sorted(sizes)
-    theta = {s: net.initial(seed) for s in slices}
-    best = {s: (math.inf, theta[s]) for s in slices}
-    rate = dict.fromkeys(slices, learning_rate)
-    stale = dict.fromkeys(slices, 0)
-    history: list[dict] = []
-    active = set(slices)
-    for epoch in range(epochs):
-        if not active:
-            break
-        state = {s: (theta[s], rate[s]) for s in active}
-        averaged, train_loss = _epoch(train_rows, net, features, tasks, state, batch_size, optimizer, seed + 7919 * epoch)
-        theta.update(averaged)
-        scores = _validate(val_rows, net, features, tasks, {s: theta[s] for s in active})
-        for s in sorted(active):
-            val_loss, val_mse = scores.get(s, (math.nan, math.nan))
-            history.append({"slice": s, "epoch": epoch, "train_loss": train_loss[s], "val_loss": val_loss,
-                            "val_mse": val_mse, "learning_rate": rate[s]})
-            judged = train_loss[s] if math.isnan(val_loss) else val_loss
-            if judged < best[s][0]:
-                best[s], stale[s] = (judged, theta[s]), 0
-                continue
-            stale[s] += 1
-            if stale[s] >= patience:
-                active.discard(s)
-            elif stale[s] % max(patience // 2, 1) == 0:
-                rate[s] = max(rate[s] / 2, min_learning_rate)
-    spread = train_rows.groupBy("_slice").agg(*[F.var_pop(t).alias(t) for t in tasks]).collect()
-    variance = {r["_slice"]: {t: r[t] for t in tasks} for r in spread}
-    if by is None:
-        variance = variance.get("")
-    return EvidentialModel(net, features, tasks, {s: b[1] for s, b in best.items()}, by, history, variance)
-
-
-def _epoch(rows: DataFrame, net: Network, features, tasks, state, batch_size: int, optimizer: str, seed: int):
-    """One pass: local steps per shard, then the row-weighted mean of the shards' weights."""
-    shared = rows.sparkSession.sparkContext.broadcast(state)
-
-    def steps(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        start = shared.value
-        work, current = None, None
-
-        def result():
-            name, weights = current[0], work["theta"]
-            blocks = range(0, net.size, _BLOCK)
-            return pd.DataFrame({
-                "slice": name, "block": np.arange(len(blocks)), "vec": [weights[b:b + _BLOCK] for b in blocks],
-                "n": float(work["n"]), "known": float(work["known"]), "loss": work["loss"]})
-
-        for batch in batches:
-            for key, part in batch.groupby(["_slice", "_shard"], sort=False):
-                if key[0] not in start:
-                    continue
-                if key != current:  # shards follow one another, each with its own draws
-                    if work is not None:
-                        yield result()
-                    current = key
-                    work = {"theta": start[key[0]][0].copy(), "m": np.zeros(net.size), "v": np.zeros(net.size),
-                            "t": 0, "n": 0, "known": 0, "loss": 0.0,
-                            "rng": np.random.default_rng([seed, int(key[1]), zlib.crc32(key[0].encode())])}
-                x, y, rate = part[features].to_numpy(float), part[tasks].to_numpy(float), start[key[0]][1]
-                for at in range(0, len(x), batch_size):
-                    xb, yb = x[at:at + batch_size], y[at:at + batch_size]
-                    loss, grad = net.step(work["theta"], xb, yb, work["rng"])
-                    work["t"] += 1
-                    if optimizer == "adam":
-                        work["m"] = 0.9 * work["m"] + 0.1 * grad
-                        work["v"] = 0.999 * work["v"] + 0.001 * grad * grad
-                        first, second = work["m"] / (1 - 0.9 ** work["t"]), work["v"] / (1 - 0.999 ** work["t"])
-                    else:
-                        work["v"] = 0.9 * work["v"] + 0.1 * grad * grad
-                        first, second = grad, work["v"]
-                    work["theta"] = work["theta"] - rate * first / (np.sqrt(second) + 1e-7)
-                    work["n"] += len(xb)
-                    work["known"] += int((~np.isnan(yb)).sum())
-                    work["loss"] += loss
-        if work is not None:
-            yield result()
-
-    partial = rows.mapInPandas(steps, "slice string, block int, vec array<double>, n double, known double, loss double")
-    merged = (partial.withColumn("vec", array_to_vector("vec")).groupBy("slice", "block")
-              .agg(Summarizer.mean(F.col("vec"), F.col("n")).alias("vec"),
-                   F.try_divide(F.sum("loss"), F.sum("known")).alias("loss"))
-              .withColumn("vec", vector_to_array("vec")).orderBy("slice", "block").collect())
-    weights: dict[str, list] = {}
-    for r in merged:
-        weights.setdefault(r["slice"], []).append(np.asarray(r["vec"]))
-    shared.unpersist()
-    return ({s: np.concatenate(v) for s, v in weights.items()}, {r["slice"]: math.nan if r["loss"] is None else r["loss"] for r in merged})
-
-
-def _validate(rows: DataFrame, net: Network, features, tasks, weights) -> dict[str, tuple[float, float]]:
-    """Mean loss and squared error per slice; tasks return only sums."""
-    shared = rows.sparkSession.sparkContext.broadcast(weights)
-
-    def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for name, part in batch.groupby("_slice"):
-                if name in shared.value:
-                    y = part[tasks].to_numpy(float)
-                    head = net.outputs(shared.value[name], part[features].to_numpy(float))
-                    yield pd.DataFrame({
-                        "slice": [name], "n": [int((~np.isnan(y)).sum())],
-                        "loss": [float(net.losses(head, y).sum())],
-                        "sq": [float(np.nansum((y - head[0]) ** 2))]})
-
-    total = (rows.mapInPandas(sums, "slice string, n long, loss double, sq double")
-             .groupBy("slice").agg(F.sum("n").alias("n"), F.sum("loss").alias("loss"), F.sum("sq").alias("sq"))
-             .collect())
-    shared.unpersist()
-    return {r["slice"]: (r["loss"] / r["n"], r["sq"] / r["n"]) for r in total if r["n"]}
+        tables = {name: spark.read.parquet(f"{path}/{name}") for name in settings["tables"]}
+        return cls(Network(**settings["network"]), settings["features"], settings["tasks"],
+                   spark.read.parquet(f"{path}/weights"), settings["by"], **tables)

@@ -14,10 +14,14 @@ from statistics import NormalDist
 
 import numpy as np
 import pandas as pd
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from canopanel.cluster import join_on_keys
+
 BLOCK = 1 << 16  # points of a curve that one group transforms
 
 
@@ -89,25 +93,15 @@ def fast_first_order(outputs: DataFrame, n_samples: int, harmonics: int = 4, val
     return sums.select(*by, "name", F.try_divide(2 * power, total).alias("S1"))
 
 
-def _orders(y: np.ndarray, harmonics: int) -> tuple[float, float]:
-    n = len(y)
-    own = (n - 1) // (2 * harmonics)
-    power = np.abs(np.fft.rfft(y)[1:(n + 1) // 2]) ** 2
-    total = power.sum()
-    if total == 0:
-        return math.nan, math.nan
-    first = power[np.arange(1, harmonics + 1) * own - 1].sum() / total
-    return first, 1.0 - power[:own // 2].sum() / total
-
-
 def partial_spectrum(y: np.ndarray, at: np.ndarray, n: int, terms: int) -> np.ndarray:
     """``sum(y * exp(-2 pi i k at / n))`` for k = 1 .. terms, of points ``at`` of a curve of ``n``.
 
-    A chirp-z transform: three FFTs of the size of the block and the terms, whatever ``n`` is.
+    ``y`` may hold several rows of values at the same points.  A chirp-z transform: three FFTs of
+    the size of the block and the terms, whatever ``n`` is.
     """
     first, length = int(at.min()), int(at.max() - at.min()) + 1
-    values = np.zeros(length)
-    values[at - first] = y
+    values = np.zeros((*y.shape[:-1], length))
+    values[..., at - first] = y
 
     def chirp(m: np.ndarray) -> np.ndarray:
         return np.exp(-1j * np.pi * ((m.astype(object) ** 2) % (2 * n)).astype(float) / n)
@@ -118,9 +112,36 @@ def partial_spectrum(y: np.ndarray, at: np.ndarray, n: int, terms: int) -> np.nd
     kernel = np.zeros(size, dtype=complex)
     kernel[:terms + 1] = chirp(k).conj()
     kernel[size - length + 1:] = chirp(j[1:]).conj()[::-1]
-    sums = np.fft.ifft(a * np.fft.fft(kernel))[:terms + 1] * chirp(k)
+    sums = np.fft.ifft(a * np.fft.fft(kernel))[..., :terms + 1] * chirp(k)
     turns = (k.astype(object) * first % n).astype(float) / n
-    return (sums * np.exp(-2j * np.pi * turns))[1:]
+    return (sums * np.exp(-2j * np.pi * turns))[..., 1:]
+
+
+# Fixed values of the draw: a prime, factors, and cumulative Poisson probabilities at mean 1.
+PRIME = (1 << 31) - 1
+FACTORS = (48_271, 69_621, 16_807, 12_345)
+POISSON = [sum(math.exp(-1) / math.factorial(j) for j in range(k + 1)) for k in range(13)]
+
+
+def draw_weights(resample: np.ndarray, point: np.ndarray, seed: int = 0) -> np.ndarray:
+    """Poisson(1) weights of each point in each resample, inverted from a hash of the two (and the seed).
+
+    The hash stays under 2^62, so any engine with 64-bit integers repeats it.
+    """
+    a, b, c, d = FACTORS
+    x = (point[None, :] % PRIME * a + resample[:, None] * b + seed * c + d) % PRIME
+    for step in (1, 2):
+        square = x * x % PRIME
+        x = (square * square % PRIME * x + step) % PRIME
+    return np.searchsorted(np.array(POISSON), x / PRIME, side="right")
+
+
+def draw_weights_sql(resample: str, point: str, seed: int = 0) -> tuple[str, str, str]:
+    """The same in SQL: the first hash, the next one from ``x``, and the weight from the last ``x``."""
+    a, b, c, d = FACTORS
+    first = f"(({point}) % {PRIME} * {a} + ({resample}) * {b} + {seed * c + d}) % {PRIME}"
+    again = f"((x * x % {PRIME}) * (x * x % {PRIME}) % {PRIME} * x + {{step}}) % {PRIME}"
+    return first, again, " + ".join(f"(x / {PRIME}.0::DOUBLE >= {p!r}::DOUBLE)::INTEGER" for p in POISSON)
 
 
 def fast_indices(
@@ -140,10 +161,9 @@ def fast_indices(
     A curve is transformed in blocks of points; the blocks' Fourier sums of the low terms and
     the harmonics add up to the curve's.  ``n_samples``, the points of a curve, is counted when
     not given.  Confidence is the normal quantile times the deviation over ``n_bootstrap``
-    resamples of half a curve, drawn without regard to the points' order on it: it measures how
-    far noise of that size reaches, as usual for this method.  The resamples of a curve are
-    spread over ``chunks`` tasks and each draws from its own seed, so a repeated task gives the
-    same numbers; there a curve must fit into a task.
+    Poisson resamples: a point's weight in each is inverted from a hash of both, so weighted
+    Fourier sums of blocks add up as well, no task holds a curve, and a repeated task draws the
+    same.  The resamples of a block are spread over ``chunks`` tasks.
     """
     keys = [*by, "curve"]
     schema = T.StructType([outputs.schema[k] for k in keys])
@@ -182,29 +202,61 @@ def fast_indices(
     estimates = parts.join(totals, keys).select(
         *keys, F.try_divide("_own", "_total").alias("S1"), (1 - F.try_divide("_low", "_total")).alias("ST"))
     if n_bootstrap:
-        def resample(group: pd.DataFrame) -> pd.DataFrame:
-            y = group.sort_values("n")[value].to_numpy(float)
-            chunk, rows = int(group["chunk"].iloc[0]), []
-            for r in range(chunk, n_bootstrap, chunks):
-                rng = np.random.default_rng([seed, r])
-                rows.append(_orders(y[rng.integers(0, len(y), len(y) // 2)], harmonics))
-            out = pd.DataFrame(rows, columns=["_s", "_t"])
-            return pd.concat([group[keys].head(1).loc[lambda d: d.index.repeat(len(out))].reset_index(drop=True),
-                              out], axis=1)
-
-        copies = values.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))))
-        draws = copies.groupBy(*keys, "chunk").applyInPandas(
-            resample, T.StructType(schema.fields + [T.StructField("_s", number), T.StructField("_t", number)]))
+        spread = _bootstrap(values, keys, value, n, harmonics, n_bootstrap, seed, chunks, block)
         z = NormalDist().inv_cdf(0.5 + conf_level / 2)
-        spread = draws.groupBy(*keys).agg(
-            (z * F.stddev_samp("_s")).alias("S1_conf"), (z * F.stddev_samp("_t")).alias("ST_conf"))
-        estimates = estimates.join(spread, keys)
+        estimates = estimates.join(spread.groupBy(*keys).agg(
+            (z * F.stddev_samp("_s")).alias("S1_conf"), (z * F.stddev_samp("_t")).alias("ST_conf")), keys)
     else:
         estimates = estimates.withColumns({
             "S1_conf": F.lit(None).cast(number), "ST_conf": F.lit(None).cast(number)})
     return estimates.withColumnRenamed("curve", "name")
 
 
+def _bootstrap(values: DataFrame, keys: list[str], value: str, n: int, harmonics: int, resamples: int, seed: int,
+               chunks: int, block: int) -> DataFrame:
+    """(keys, resample, _s, _t): both indices of each weighted curve.
+
+    With weights w and y centred on the curve's plain mean, a resample's spectrum is that of w * y
+    and its total sum(w) * sum(w y^2) - sum(w y)^2.
+    """
+    own = (n - 1) // (2 * harmonics)
+    low = own // 2
+    means = values.groupBy(*keys).agg(F.avg(value).alias("_mean"))
+    centred = join_on_keys(values, means, keys, "inner").withColumns({
+        "_y": F.col(value) - F.col("_mean"), "_block": F.floor(F.col("n") / block),
+        "_chunk": F.explode(F.sequence(F.lit(0), F.lit(min(chunks, resamples) - 1)))}).select(*keys, "n", "_y", "_block", "_chunk")
+
+    def weighted(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values("n")
+        y, at = group["_y"].to_numpy(float), group["n"].to_numpy()
+        drawn = np.arange(int(group["_chunk"].iloc[0]), resamples, min(chunks, resamples))
+        rows = []
+        for part in np.array_split(drawn, max(1, len(drawn) * len(at) >> 18)):  # a few megabytes at once
+            w = draw_weights(part, at, seed).astype(float)
+            sums = [partial_spectrum(w * y, at, n, low)] if low else []
+            sums.append(np.stack([(w * y) @ np.exp(-2j * np.pi * (p * own * at % n) / n) for p in range(1, harmonics + 1)], axis=1))
+            sums = np.concatenate(sums, axis=1)
+            moments = np.stack([w.sum(axis=1), w @ y, w @ (y * y)], axis=1)
+            rows += [(r, np.concatenate([m, f.real, f.imag])) for r, m, f in zip(part, moments, sums)]
+        out = group[keys].head(1)
+        out = out.loc[out.index.repeat(len(rows))].reset_index(drop=True)
+        return out.assign(resample=[r for r, _ in rows], sums=[v for _, v in rows])
+
+    fields = [values.schema[k] for k in keys]
+    parts = centred.groupBy(*keys, "_block", "_chunk").applyInPandas(weighted, T.StructType(
+        [*fields, T.StructField("resample", T.LongType()), T.StructField("sums", T.ArrayType(T.DoubleType()))]))
+    added = parts.groupBy(*keys, "resample").agg(
+        vector_to_array(Summarizer.sum(array_to_vector(F.col("sums")))).alias("v"))
+    power = lambda first, many: F.aggregate(  # noqa: E731  sum of squares of a run of sums
+        F.slice("v", first, many), F.lit(0.0), lambda total, x: total + x * x)
+    terms = low + harmonics
+    own_power = power(4 + low, harmonics) + power(4 + terms + low, harmonics)
+    low_power = power(4, low) + power(4 + terms, low) if low else F.lit(0.0)
+    total = F.col("v")[0] * F.col("v")[2] - F.col("v")[1] * F.col("v")[1]
+    return added.select(*keys, "resample", F.try_divide(2 * own_power, total).alias("_s"),
+                        (1 - F.try_divide(2 * low_power, total)).alias("_t"))
+
+
 def rank_indices(sens: DataFrame, by: Sequence[str] = (), order: str = "S1") -> DataFrame:
     """Adds ``interactions = ST - S1`` and the rank by one index, largest first."""
     window = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 from operator import add
+from statistics import NormalDist
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 from canopanel.cluster import shared_folder, small_values, stored
 from canopanel.functions import calendar as cal
 from canopanel.operators import aggregate, evidential, region, reshape, scaling, sensitivity, splits
+from canopanel.operators.fitting import fit_evidential as fit
 from canopanel.operators.samples import build_samples as samples_of
 from canopanel.operators.samples import feature_names
 from canopanel.plans import views as v
@@ -54,7 +56,11 @@ def scaled_samples(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame,
     return scaled.where("split = 'train'"), scaled.where("split = 'val'"), features
 
 
-_SMALL = dict(hidden_layers=2, hidden_neurons=16, epochs=3, batch_size=256, learning_rate=3e-3, seed=1)
+# The settings of the study's fits: on yearly, seasonal and monthly samples, and of all cells at once.
+ANNUAL = dict(hidden_layers=6, epochs=15, batch_size=1200, loss_weight=0.001, seed=1)
+SEASONAL = dict(hidden_layers=4, epochs=18, batch_size=500, loss_weight=0.4, seed=1)
+MONTHLY = dict(hidden_layers=3, epochs=18, batch_size=1500, loss_weight=0.1, seed=1)
+SPATIAL = dict(hidden_layers=3, epochs=10, batch_size=500, loss_weight=0.01, seed=1)
 
 
 # ---- evidential -----------------------------------------------------------------------------
@@ -100,11 +106,14 @@ def _score_sql() -> str:
            {r(f'{soft[3]} / ({soft[1]} * {soft[2]})')} AS epis FROM sums{len(layers) - 1}"""
 
 
+def _scored_model(spark: SparkSession) -> evidential.EvidentialModel:
+    return evidential.EvidentialModel.of_vector(spark, _SCORED, _SCORE_FEATURES, ["value"], _SCORED.initial(1))
+
+
 @query("score", _score_sql(), "panel")
 def score(spark, sf):
     """Scoring with fixed weights, so that SQL can repeat it."""
-    model = evidential.EvidentialModel(_SCORED, _SCORE_FEATURES, ["value"], {"": _SCORED.initial(1)})
-    return rounded(model.score(_score_inputs(spark, sf)).select(*KEYS, "mu", "alea", "epis"))
+    return rounded(_scored_model(spark).score(_score_inputs(spark, sf)).select(*KEYS, "mu", "alea", "epis"))
 
 
 def _score_inputs(spark: SparkSession, sf: str) -> DataFrame:
@@ -115,28 +124,28 @@ def _score_inputs(spark: SparkSession, sf: str) -> DataFrame:
 @query("fit_evidential")
 def fit_evidential(spark, sf):
     train, val, features = scaled_samples(spark, sf)
-    model = evidential.fit_evidential(train, val, features, ["target"], KEYS, **_SMALL)
+    model = fit(train, val, features, ["target"], KEYS, **ANNUAL)
     return model.score(train.unionByName(val)).select(*KEYS, "split", "target", "mu", "alea", "epis")
 
 
 @query("fit_history")
 def fit_history(spark, sf):
     train, val, features = scaled_samples(spark, sf)
-    return evidential.fit_evidential(train, val, features, ["target"], KEYS, **_SMALL).history_table(spark)
+    return fit(train, val, features, ["target"], KEYS, **ANNUAL).history
 
 
 @query("fit_by_slice")
 def fit_by_slice(spark, sf):
     train, val, features = scaled_samples(spark, sf)
-    model = evidential.fit_evidential(train, val, features, ["target"], KEYS, by="season", **_SMALL)
+    model = fit(train, val, features, ["target"], KEYS, by="season", **SEASONAL)
     return model.score(train.unionByName(val)).select(*KEYS, "season", "split", "target", "mu", "alea", "epis")
 
 
 @query("fit_by_month")
 def fit_by_month(spark, sf):
-    """Twelve networks in one job, by Adam."""
+    """Twelve networks in one job an epoch, by Adam."""
     train, val, features = scaled_samples(spark, sf)
-    model = evidential.fit_evidential(train, val, features, ["target"], KEYS, by="month_of_year", optimizer="adam", **_SMALL)
+    model = fit(train, val, features, ["target"], KEYS, by="month_of_year", optimizer="adam", **MONTHLY)
     return model.score(train.unionByName(val)).select(*KEYS, "month_of_year", "split", "target", "mu", "alea", "epis")
 
 
@@ -154,11 +163,101 @@ def fit_multitask(spark, sf):
     moments = scaling.fit_standard(table.where("split = 'train'"), [*features, *tasks])
     scaled = scaling.standard_scale(table, moments, [*features, *tasks])
     train, val = scaled.where("split = 'train'"), scaled.where("split = 'val'")
-    model = evidential.fit_evidential(train, val, features, tasks, keys, **_SMALL)
+    model = fit(train, val, features, tasks, keys, **SPATIAL)
     return model.score(scaled.select(*keys, "split", *features)).select(
         *keys, "split", F.substring("task", 6, 9).cast("int").alias("gridcell"), "mu", "alea", "epis")
 
 
+# Two steps of whole batches by season, small enough that SQL can repeat every derivative.
+_WHOLE = evidential.Network(n_features=3, hidden_layers=1, hidden_neurons=2, l2_weight=0.01, loss_weight=0.1)
+_WHOLE_RATE, _WHOLE_STEPS = 0.05, 2
+
+
+def _digamma_sql(x: str) -> str:
+    square = f"(1.0::DOUBLE / (({x} + 6) * ({x} + 6)))"
+    series = (f"ln({x} + 6) - 0.5::DOUBLE / ({x} + 6) - {square} * (1.0::DOUBLE / 12 - {square} * (1.0::DOUBLE / 120 - {square} / 252))")
+    return f"({series} - {' - '.join(f'1.0::DOUBLE / ({x} + {k})' for k in range(6))})"
+
+
+def _fit_sql() -> str:
+    """The same steps: a view with each row's outputs and derivatives, one with their means, one with new weights."""
+    names, kernels, at = [], set(), 0
+    for i, o in _WHOLE.shapes:
+        kernels |= set(range(at, at + i * o))
+        at += (i + 1) * o
+    names = [f"t{k}" for k in range(at)]
+    hidden, tasks = 2, 4
+    first_bias, second, second_bias = 6, 8, 16
+    start = ", ".join(f"{float(x)!r}::DOUBLE AS {n}" for n, x in zip(names, _WHOLE.initial(1)))
+    lam, l2, rate = _WHOLE.loss_weight, _WHOLE.l2_weight, _WHOLE_RATE
+    views = [f"""
+    inputs AS (
+      SELECT {_SEASON.format(t='time')} AS slice, year(time) IN (2000, 2001) AS held, value / 50 AS x0, rain * 10 AS x1, snow * 10 AS x2,
+             value / 25 AS y FROM panel),
+    weights0 AS (SELECT DISTINCT slice, {start}, {', '.join(f'0.0::DOUBLE AS v{k}' for k in range(at))} FROM inputs WHERE NOT held)"""]
+    for step in range(_WHOLE_STEPS + 1):
+        z = [" + ".join([f"t{j + hidden * i} * x{i}" for i in range(3)] + [f"t{first_bias + j}"]) for j in range(hidden)]
+        o = [" + ".join([f"t{second + k + tasks * j} * h{j}" for j in range(hidden)] + [f"t{second_bias + k}"]) for k in range(tasks)]
+        views.append(f"""
+    hidden{step} AS (SELECT *, {', '.join(f'{e} AS z{j}' for j, e in enumerate(z))} FROM inputs JOIN weights{step} USING (slice)),
+    active{step} AS (SELECT *, {', '.join(f'CASE WHEN z{j} > 0 THEN 1 ELSE 0.2::DOUBLE END AS d{j}' for j in range(hidden))} FROM hidden{step}),
+    fired{step} AS (SELECT *, {', '.join(f'z{j} * d{j} AS h{j}' for j in range(hidden))} FROM active{step}),
+    raw{step} AS (SELECT *, {', '.join(f'{e} AS o{k}' for k, e in enumerate(o))} FROM fired{step}),
+    head{step} AS (SELECT *, o0 AS g, ln(1 + exp(o1)) + 1e-6::DOUBLE AS nu, ln(1 + exp(o2)) + 1 + 1e-6::DOUBLE AS al,
+                          ln(1 + exp(o3)) + 1e-6::DOUBLE AS be, y - o0 AS e FROM raw{step}),
+    big{step} AS (SELECT *, 2 * be * (1 + nu) AS om, nu * e * e + 2 * be * (1 + nu) AS big FROM head{step}),
+    told{step} AS (
+      SELECT *, 0.5::DOUBLE * ln(pi() / nu) - al * ln(om) + (al + 0.5::DOUBLE) * ln(big) + lgamma(al) - lgamma(al + 0.5::DOUBLE)
+                + {lam}::DOUBLE * abs(e) * (2 * nu + al) AS loss,
+             -2 * (al + 0.5::DOUBLE) * nu * e / big - {lam}::DOUBLE * sign(e) * (2 * nu + al) AS b0,
+             (-0.5::DOUBLE / nu - al / (1 + nu) + (al + 0.5::DOUBLE) * (e * e + 2 * be) / big + 2 * {lam}::DOUBLE * abs(e)) / (1 + exp(-o1)) AS b1,
+             (ln(big / om) + {_digamma_sql('al')} - {_digamma_sql('(al + 0.5::DOUBLE)')} + {lam}::DOUBLE * abs(e)) / (1 + exp(-o2)) AS b2,
+             (-al / be + 2 * (al + 0.5::DOUBLE) * (1 + nu) / big) / (1 + exp(-o3)) AS b3 FROM big{step})""")
+        back = [f"({' + '.join(f'b{k} * t{second + k + tasks * j}' for k in range(tasks))}) * d{j}" for j in range(hidden)]
+        grads = {}
+        for j in range(hidden):
+            grads |= {j + hidden * i: f"avg({back[j]} * x{i})" for i in range(3)} | {first_bias + j: f"avg({back[j]})"}
+        for k in range(tasks):
+            grads |= {second + k + tasks * j: f"avg(b{k} * h{j})" for j in range(hidden)} | {second_bias + k: f"avg(b{k})"}
+        full = {k: g + (f" + {2 * l2}::DOUBLE * any_value(t{k})" if k in kernels else "") for k, g in grads.items()}
+        views.append(f"""
+    grad{step} AS (SELECT slice, avg(loss) AS loss, {', '.join(f'{full[k]} AS g{k}' for k in range(at))} FROM told{step} WHERE NOT held GROUP BY slice),
+    val{step} AS (SELECT slice, avg(loss) AS loss, avg(e * e) AS mse FROM told{step} WHERE held GROUP BY slice),
+    moved{step} AS (SELECT w.slice, {', '.join(f't{k}, g{k}, 0.9::DOUBLE * v{k} + 0.1::DOUBLE * g{k} * g{k} AS v{k}' for k in range(at))}
+                    FROM weights{step} w JOIN grad{step} USING (slice)),
+    weights{step + 1} AS (SELECT slice, {', '.join(f't{k} - {rate}::DOUBLE * g{k} / (sqrt(v{k}) + 1e-7::DOUBLE) AS t{k}, v{k}' for k in range(at))}
+                          FROM moved{step})""")
+    rows = " UNION ALL ".join(
+        f"SELECT slice, {step} AS epoch, grad{step}.loss AS train_loss, val{step + 1}.loss AS val_loss, val{step + 1}.mse AS val_mse "
+        f"FROM grad{step} JOIN val{step + 1} USING (slice)"
+        for step in range(_WHOLE_STEPS))
+    columns = ", ".join(f"{r(c)} AS {c}" for c in ("train_loss", "val_loss", "val_mse"))
+    return f"WITH {','.join(views)} SELECT slice, CAST(epoch AS INTEGER) AS epoch, {columns} FROM ({rows})"
+
+
+def _whole_fit(spark, sf, steps: int, folder: str | None = None) -> evidential.EvidentialModel:
+    rows = v.stored_panel(spark, sf, [*KEYS, "value", "rain", "snow"]).select(
+        *KEYS, cal.season(F.month("time")).alias("slice"), (F.col("value") / 50).alias("a"), (F.col("rain") * 10).alias("b"),
+        (F.col("snow") * 10).alias("c"), (F.col("value") / 25).alias("y"))
+    held = F.year("time").isin(2000, 2001)
+    return fit(rows.where(~held), rows.where(held), ["a", "b", "c"], ["y"], KEYS, by="slice", epochs=steps, batch_size=None,
+               learning_rate=_WHOLE_RATE, folder=folder, seed=1, hidden_layers=1, hidden_neurons=2, l2_weight=0.01, loss_weight=0.1)
+
+
+@query("fit_whole_batch", _fit_sql(), "panel")
+def fit_whole_batch(spark, sf):
+    """Losses of two steps of the whole gradient in each season: every derivative repeated by SQL."""
+    return rounded(_whole_fit(spark, sf, _WHOLE_STEPS).history.select("slice", "epoch", "train_loss", "val_loss", "val_mse"))
+
+
+@query("fit_resumed", _fit_sql(), "panel")
+def fit_resumed(spark, sf):
+    """The same fit, stopped after its first epoch and gone on with from the tables in its folder."""
+    folder = shared_folder(spark, "fit")
+    _whole_fit(spark, sf, 1, folder)
+    return rounded(_whole_fit(spark, sf, _WHOLE_STEPS, folder).history.select("slice", "epoch", "train_loss", "val_loss", "val_mse"))
+
+
 # ---- sensitivity -------------------------------------------------------------------------------
 
 POINTS, HARMONICS, SEED, RESAMPLES = 10_000, 4, 0, 500
@@ -273,9 +372,39 @@ def fast_indices(spark, sf):
     return rounded(study_indices(spark, sf).select("name", "S1", "ST"))
 
 
-@query("fast_conf")
+def _conf_sql() -> str:
+    """Indices of every resample by plain weighted sums over the harmonics."""
+    first, again, weight = sensitivity.draw_weights_sql("r", "n", SEED)
+    harmonics = range(1, HARMONICS + 1)
+    angle = {p: f"2 * pi() * (({p * _OWN} * n) % {POINTS}) / {POINTS}" for p in harmonics}
+    waves = ", ".join(f"y * cos({angle[p]}) AS c{p}, y * sin({angle[p]}) AS s{p}" for p in harmonics)
+    sums = ", ".join(f"sum(w * c{p}) AS c{p}, sum(w * s{p}) AS s{p}" for p in harmonics)
+    power = " + ".join(f"c{p} * c{p} + s{p} * s{p}" for p in harmonics)
+    return f"""
+    centred AS (SELECT curve, n, y - avg(y) OVER (PARTITION BY curve) AS y FROM outputs),
+    waves AS (SELECT curve, n, y, {waves} FROM centred),
+    hashes AS (SELECT r, n, {first} AS x FROM range({RESAMPLES}) AS a(r), range({POINTS}) AS b(n)),
+    hashed AS (SELECT r, n, {again.format(step=1)} AS x FROM hashes),
+    drawn AS (SELECT r, n, {again.format(step=2)} AS x FROM hashed),
+    draws AS (SELECT r, n, {weight} AS w FROM drawn),
+    resampled AS (
+      SELECT curve, r, {sums}, sum(w) AS w0, sum(w * y) AS w1, sum(w * y * y) AS w2 FROM waves JOIN draws USING (n) GROUP BY curve, r),
+    conf AS (SELECT curve, {NormalDist().inv_cdf(0.975)!r}::DOUBLE * stddev_samp(2 * ({power}) / (w0 * w2 - w1 * w1)) AS S1_conf
+             FROM resampled GROUP BY curve)"""
+
+
+@query("fast_conf", f"""
+    WITH {_sample_sql()}, {_response_sql()}, {_indices_sql()}, {_conf_sql()}
+    SELECT curve AS name, {r('S1')} AS S1, {r('S1_conf')} AS S1_conf FROM sens JOIN conf USING (curve)""", _ALL)
 def fast_conf(spark, sf):
-    return rounded(study_indices(spark, sf, n_bootstrap=RESAMPLES))
+    """First-order indices and how far they reach over 500 resamples."""
+    return rounded(study_indices(spark, sf, n_bootstrap=RESAMPLES).select("name", "S1", "S1_conf"))
+
+
+@query("fast_conf_total")
+def fast_conf_total(spark, sf):
+    """Total indices likewise; their 624 sums of each resample are too many for plain SQL."""
+    return rounded(study_indices(spark, sf, n_bootstrap=RESAMPLES).select("name", "ST", "ST_conf"))
 
 
 @query("fast_by_slice", f"""
@@ -322,8 +451,7 @@ def fast_emulator(spark, sf):
     scaler = stored(scaling.fit_quantiles(raw, features), "scaler")
     target = scaling.fit_standard(raw, ["target"])
     scaled = scaling.standard_scale(scaling.quantile_scale(used, scaler, features), target, ["target"])
-    model = evidential.fit_evidential(
-        scaled.where("split = 'train'"), scaled.where("split = 'val'"), features, ["target"], KEYS, **_SMALL)
+    model = fit(scaled.where("split = 'train'"), scaled.where("split = 'val'"), features, ["target"], KEYS, **ANNUAL)
     bounds = aggregate.column_bounds(raw, PARAMS)
     held = raw.agg(*[F.avg(f).alias(f) for f in features if f not in PARAMS])
     points = sensitivity.fast_sample(spark, bounds, POINTS, HARMONICS, SEED)
@@ -346,7 +474,7 @@ def scaler_round_trip(spark, sf):
 @query("model_round_trip", _score_sql(), "panel")
 def model_round_trip(spark, sf):
     folder = shared_folder(spark, "model")
-    evidential.EvidentialModel(_SCORED, _SCORE_FEATURES, ["value"], {"": _SCORED.initial(1)}).save(spark, folder)
+    _scored_model(spark).save(folder)
     return rounded(evidential.EvidentialModel.load(spark, folder).score(_score_inputs(spark, sf)).select(*KEYS, "mu", "alea", "epis"))
 
 
