@@ -11,10 +11,11 @@ from itertools import combinations_with_replacement
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from canopanel.cluster import join_on_keys, small_side
+from canopanel.cluster import join_on_keys, small_side, stored
 from canopanel.functions.special import normal_cdf
-from canopanel.operators.ranking import exact_quantiles, rank_blocks, ranks_in, sketch_around
+from canopanel.operators.ranking import bracket_at, exact_quantiles, rank_blocks, sketch_around
 
 Z95 = 1.96
 
@@ -127,31 +128,48 @@ def gaussian_fit(table: DataFrame, column: str, points: int = 500, bins: int = 5
     return grid.select("i", "x", (density * F.col("m.n") * (F.col("m.hi") - F.col("m.lo")) / bins).alias("y"))
 
 
+KDE_BINS = 64  # bins in one bandwidth
+KDE_REACH = 9  # bandwidths after which the kernel (under 3e-18) is taken as nothing
+
+
 def kde(table: DataFrame, column: str, points: int = 200) -> DataFrame:
-    """Gaussian kernel density with Scott's bandwidth ``n^(-1/5) * std`` on even points.
+    """Gaussian kernel density with Scott's bandwidth ``h = n^(-1/5) * std`` on even points: (i, x, density).
 
-    Each row adds to all points inside one aggregation, so a task sends one row of partial
-    sums and no (row, point) pairs.
+    Values are counted in bins of ``h / 64`` while they are read, with the first three powers of
+    their distance to the bin's middle; the kernel is then expanded around each bin instead of each
+    value (a fast Gauss transform).  What the expansion leaves out is under ``3 / 24 * (1 / 128)^4``,
+    5e-10 of the kernel's height, for every value.  A shuffle holds bins, not rows.
     """
-    values = table.where(F.col(column).isNotNull()).select(F.col(column).cast("double").alias("_x"))
     moments = table.agg(F.struct(
         F.stddev_samp(column).alias("std"), F.min(column).cast("double").alias("lo"),
         F.max(column).cast("double").alias("hi"), F.count(column).cast("double").alias("n")
     ).alias("m")).scalar()
     h = F.col("m.std") * F.pow(F.col("m.n"), F.lit(-0.2))
-    base = values.withColumn("m", moments).select(
-        "_x", h.alias("h"), F.col("m.lo").alias("lo"), F.col("m.hi").alias("hi"), F.col("m.n").alias("n"))
-
-    def at(i: int) -> Column:
-        z = (F.col("lo") + (F.col("hi") - F.col("lo")) * (i / (points - 1)) - F.col("_x")) / F.col("h")
-        return F.sum(F.exp(-0.5 * z * z)).alias(f"p{i}")
-
-    sums = base.agg(F.max("lo").alias("lo"), F.max("hi").alias("hi"), F.max("n").alias("n"),
-                    F.max("h").alias("h"), *[at(i) for i in range(points)])
-    return sums.select("lo", "hi", "n", "h", F.posexplode(F.array(*[f"p{i}" for i in range(points)])).alias("i", "s")) \
-        .select(F.col("i").cast("long").alias("i"),
-                (F.col("lo") + (F.col("hi") - F.col("lo")) * F.col("i") / (points - 1)).alias("x"),
-                (F.col("s") / (F.col("n") * F.col("h") * math.sqrt(2 * math.pi))).alias("density"))
+    x = F.col(column).cast("double")
+    placed = table.where(x.isNotNull()).select(x.alias("_x")).withColumn("m", moments).where(h > 0)
+    placed = placed.select("m", h.alias("h"), ((F.col("_x") - F.col("m.lo")) / h * KDE_BINS).alias("_at"))
+    bin_ = F.floor("_at").alias("bin")
+    t = (F.col("_at") - F.floor("_at") - 0.5) / KDE_BINS
+    bins = placed.groupBy(bin_).agg(
+        F.count(F.lit(1)).alias("n0"), *[F.sum(t if k == 1 else t * t if k == 2 else t * t * t).alias(f"n{k}") for k in (1, 2, 3)],
+        F.first("m").alias("m"), F.first("h").alias("h"))
+    # Points that a bin reaches, and how many bandwidths they lie behind its middle.
+    width = (F.col("m.hi") - F.col("m.lo")) / (points - 1) / F.col("h")
+    middle = (F.col("bin") + 0.5) / KDE_BINS
+    first = F.greatest(F.lit(0), F.ceil((middle - KDE_REACH) / width)).cast("int")
+    last = F.least(F.lit(points - 1), F.floor((middle + KDE_REACH) / width)).cast("int")
+    met = bins.where(first <= last).select("*", F.explode(F.sequence(first, last)).alias("i"), middle.alias("_c"), width.alias("_w"))
+    met = met.withColumn("u", F.col("i") * F.col("_w") - F.col("_c"))
+    u = F.col("u")
+    part = F.exp(-0.5 * u * u) * (
+        F.col("n0") + u * F.col("n1") + (u * u - 1) / 2 * F.col("n2") + (u * u - 3) * u / 6 * F.col("n3"))
+    sums = met.groupBy("i").agg(F.sum(part).alias("s"))
+    frame = table.sparkSession.range(points).select(F.col("id").cast("int").alias("i"))
+    both = frame.join(sums, "i", "left").withColumn("m", moments).withColumn("h", h)
+    return both.select(
+        F.col("i").cast("long").alias("i"),
+        (F.col("m.lo") + (F.col("m.hi") - F.col("m.lo")) * F.col("i") / (points - 1)).alias("x"),
+        F.when(F.col("h") > 0, F.coalesce("s", F.lit(0.0)) / (F.col("m.n") * F.col("h") * math.sqrt(2 * math.pi))).alias("density"))
 
 
 def corr_matrix(table: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -173,66 +191,90 @@ def discard_test(pred: DataFrame, measures: Sequence[str], keys: Sequence[str],
     Result: (slice_cols, measure, i, kept, rmse).  Ties in a measure are ordered by
     ``keys``, which must be unique.  Rows with a missing measure or error are left out.
 
-    Each row belongs to the largest i that still keeps it, and the RMSEs follow from sums over
-    those few classes.  A sketch brackets every cut: rows between brackets are summed where
-    they are, and only rows inside a bracket are ranked.
+    A sketch brackets every cut.  Rows between brackets are summed where they are, rows inside one by
+    their value, so ties become one entry before anything is moved.  Values that a cut falls into are
+    opened key by key: among rows of the value a sketch brackets the first key, rows with a key in
+    the bracket are counted and summed by it, those of the key that the cut falls into by the next,
+    and so on.  No row is sorted, and what is shuffled are sums.
     """
     by = [*slice_cols, "measure"]
     error = F.col(truth) - F.col(mu)
-    long = pred.select(*slice_cols, *keys, (error * error).alias("_sq"), F.inline(F.array(*[
-        F.struct(F.lit(m).alias("measure"), F.col(m).cast("double").alias("_u")) for m in measures])))
-    long = long.where("_u IS NOT NULL AND _sq IS NOT NULL")
-    cuts = [(parts - i) / parts for i in range(1, steps)]
-    known = sketch_around(long, by, "_u", cuts)
-    return _discard(_between_cuts(long, known, by, len(cuts)), by, keys, steps, parts)
-
-
-def _between_cuts(long: DataFrame, known: DataFrame, by: list[str], cuts: int) -> DataFrame:
-    """Adds the number of brackets a row is surely below (``_above``) and perhaps below (``_segment``).
-
-    The brackets descend, so both numbers fall as the measure grows.
+    rows = stored(pred.select(*slice_cols, *keys, *measures, (error * error).alias("_sq")).where("_sq IS NOT NULL"), "discard")
+    long = rows.select(*slice_cols, *keys, "_sq", F.inline(F.array(*[
+        F.struct(F.lit(m).alias("measure"), F.col(m).cast("double").alias("_u")) for m in measures]))).where("_u IS NOT NULL")
+    known = sketch_around(long, by, "_u", [(parts - i) / parts for i in range(1, steps)])
+    values = _values_at_cuts(long, known, by, steps - 1)
+    cuts = _cuts(values, by, steps, parts)
+    done = cuts.where("_need = 0").select(*by, "i", "_kept", "_below")
+    for depth, key in enumerate(keys):
+        prefix = ["_u", *keys[:depth]]
+        cuts = _opened(long, cuts.where("_need > 0"), by, prefix, key)
+        done = done.unionByName(cuts.where("_need = 0").select(*by, "i", "_kept", "_below"))
+    return done.select(*by, "i", F.col("_kept").alias("kept"), F.sqrt(F.col("_below") / F.col("_kept")).alias("rmse"))
+
+
+def _values_at_cuts(long: DataFrame, known: DataFrame, by: list[str], cuts: int) -> DataFrame:
+    """(by, _u, _n, _sq, _open): each value inside a bracket, and all rows between two brackets as one.
+
+    The brackets descend.  A row is surely below some of them and perhaps below more; where both
+    numbers are equal no cut can fall on it.
     """
     u = F.col("_u")
     surely = sum((u < F.col("_q")[2 * i]).cast("int") for i in range(cuts))
     perhaps = sum((u <= F.col("_q")[2 * i + 1]).cast("int") for i in range(cuts))
-    return join_on_keys(long, known, by, "inner").withColumns({"_above": surely, "_segment": perhaps}).drop(
-        "_q", "_count")
+    tagged = join_on_keys(long, known, by, "inner").select(*by, "_u", "_sq", surely.alias("_above"), perhaps.alias("_segment"))
+    inside = F.col("_above") < F.col("_segment")
+    tagged = tagged.withColumn("_value", F.when(inside, u))
+    return tagged.groupBy(*by, "_segment", "_value").agg(
+        F.min("_u").alias("_u"), F.count(F.lit(1)).alias("_n"), F.sum("_sq").alias("_sq")).drop("_segment", "_value")
 
 
-def _discard(tagged: DataFrame, by: list[str], keys: Sequence[str], steps: int, parts: int) -> DataFrame:
-    """The discard table from rows whose class is settled or lies between ``_above`` and ``_segment``.
+def _cuts(values: DataFrame, by: list[str], steps: int, parts: int) -> DataFrame:
+    """(by, i, _kept, _u, _need, _below): the value each cut falls into, and what lies below it.
 
-    In order of the measure come, for each segment from the highest number down, first its
-    settled rows and then its open ones.
+    ``_below`` is the squared error of all values below; ``_need`` rows of the value itself are kept.
+    """
+    rows, blocks = rank_blocks(values, by, ["_u"], "_n", ["_sq"])
+    group = Window.partitionBy(*by)
+    blocks = blocks.withColumn("_sq_before", F.coalesce(F.sum("_sq").over(
+        group.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)))
+    within = Window.partitionBy(*by, "_part").orderBy("_u").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    placed = join_on_keys(rows, blocks.select(*by, "_part", "_before", "_total", "_sq_before"), [*by, "_part"], "inner").withColumns({
+        "_to": F.col("_before") + F.sum("_n").over(within), "_through": F.col("_sq_before") + F.sum("_sq").over(within)})
+    kept = F.array(*[
+        F.struct(F.lit(i).cast("long").alias("i"), F.expr(f"_total - ({i} * _total) div {parts}").alias("_kept")) for i in range(steps)])
+    cut = placed.select(*by, "_u", "_n", "_sq", "_to", "_through", F.inline(kept)).where("_to - _n < _kept AND _kept <= _to")
+    whole = F.col("_kept") == F.col("_to")
+    return stored(cut.select(
+        *by, "i", "_kept", "_u", F.when(whole, 0).otherwise(F.col("_kept") - F.col("_to") + F.col("_n")).cast("long").alias("_need"),
+        F.when(whole, F.col("_through")).otherwise(F.col("_through") - F.col("_sq")).alias("_below")), "cuts")
+
+
+def _opened(long: DataFrame, cuts: DataFrame, by: list[str], prefix: list[str], key: str) -> DataFrame:
+    """The cuts with the label of ``key`` that each falls into, among the rows equal to it so far.
+
+    Labels are bracketed by a sketch of each prefix; below a bracket rows are only summed.  Labels of
+    a type without a sketch (strings) are all counted.
     """
-    group, order = [*by, "_segment"], ["_u", *keys]
-    settled = tagged.where("_above = _segment").groupBy(*group).agg(
-        F.sum("_sq").alias("_sq"), F.count("*").alias("_c"))
-    rows, blocks = rank_blocks(tagged.where("_above < _segment"), group, order, sums=["_sq"])
-    sizes = settled.select(*group, F.lit(0).alias("_open"), F.col("_c").alias("_n")).unionByName(
-        blocks.groupBy(*group).agg(F.sum("_size").alias("_n")).withColumn("_open", F.lit(1)))
-    along = Window.partitionBy(*by).orderBy(F.desc("_segment"), "_open").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sizes.withColumns({
-        "_start": F.coalesce(F.sum("_n").over(along), F.lit(0).cast("long")),
-        "_all": F.sum("_n").over(Window.partitionBy(*by)),
-    }).where("_open = 1").drop("_open", "_n")
-
-    def last(rank: str) -> Column:
-        return F.expr(f"least({steps - 1}L, ({parts} * (_total - ({rank}) + 1) + _total - 1) div _total - 1)")
-
-    blocks = join_on_keys(blocks.drop("_total"), starts, group, "inner").withColumns({
-        "_before": F.col("_before") + F.col("_start"), "_total": F.col("_all")})
-    blocks = small_side(blocks.withColumns({
-        "_first": last("_before + 1"), "_last": last("_before + _size")}).drop("_start", "_all"))
-    whole = blocks.where("_first = _last").select(*by, "_last", "_sq", F.col("_size").alias("_c"))
-    cut = (ranks_in(rows, blocks.where("_first <> _last"), group, order, some=True)
-           .groupBy(*by, last("_rank").alias("_last"))
-           .agg(F.sum("_sq").alias("_sq"), F.count("*").alias("_c")))
-    classes = whole.unionByName(cut).unionByName(
-        settled.select(*by, F.col("_segment").cast("long").alias("_last"), "_sq", "_c"))
-    return (classes.select(*by, "_sq", "_c", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_last"))).alias("i"))
-            .groupBy(*by, "i").agg(F.sum("_c").alias("kept"),
-                                   F.sqrt(F.sum("_sq") / F.sum("_c")).alias("rmse")))
+    mine = small_side(cuts.select(*by, *prefix, "i", "_kept", "_need", "_below"))
+    group = [*by, *prefix]
+    tied = join_on_keys(long.select(*group, key, "_sq"), mine.select(*group).distinct(), group, "inner")
+    label = F.col(key)
+    if isinstance(long.schema[key].dataType, (T.NumericType, T.DateType, T.TimestampType, T.TimestampNTZType)):
+        bracketed = bracket_at(tied, mine, group, key, F.col("_need"))
+        low = label < F.col("_from")
+    else:
+        bracketed, low = mine.withColumns({"_from": F.lit(None).cast("string"), "_to": F.lit(None).cast("string")}), F.lit(False)
+    met = join_on_keys(long.select(*group, key, "_sq"), bracketed, group, "inner").where(F.col("_to").isNull() | (label <= F.col("_to")))
+    settled = F.coalesce(low, F.lit(False))
+    labels = met.groupBy(*group, "i", "_kept", "_need", "_below", settled.alias("_low"), F.when(~settled, label).alias(key)).agg(
+        F.count(F.lit(1)).alias("_n"), F.sum("_sq").alias("_here"))
+    along = Window.partitionBy(*by, "i").orderBy(F.desc("_low"), key).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    placed = labels.withColumns({"_to": F.sum("_n").over(along), "_through": F.sum("_here").over(along)})
+    whole = F.col("_need") == F.col("_to")
+    return stored(placed.where("_to - _n < _need AND _need <= _to").select(
+        *group, key, "i", "_kept", F.when(whole, 0).otherwise(F.col("_need") - F.col("_to") + F.col("_n")).cast("long").alias("_need"),
+        (F.col("_below") + F.col("_through") - F.when(whole, 0.0).otherwise(F.col("_here"))).alias("_below")), "cuts")
 
 
 def iqr_outliers(table: DataFrame, column: str, factor: float = 1.5) -> DataFrame:

@@ -127,13 +127,18 @@ def _fraction(d: int) -> Column:
     return F.expr(f"cast((k * (_count - 1)) % {d} as double) / {d}")
 
 
+def _grid() -> Column:
+    """The evenly spaced shares, as one literal expression."""
+    return F.expr(f"array({', '.join(f'{i / _GRID}D' for i in range(_GRID + 1))})")
+
+
 def sketch_around(table: DataFrame, by: Sequence[str], column: str, shares: Sequence[float]) -> DataFrame:
     """Per group the row count ``_count`` and in ``_q`` two values around the quantile of each share.
 
     The rows of the share's rank and its neighbours lie between the two, both included; in a
     small group they are infinite, so that all its rows do.
     """
-    grid = F.array(*[F.lit(i / _GRID) for i in range(_GRID + 1)])
+    grid = _grid()
     sketch = table.groupBy(*by).agg(
         F.percentile_approx(column, grid, F.lit(SKETCH_ACCURACY)).alias("_all"), F.count("*").alias("_count"))
     margin = F.lit(BRACKET) + 2.0 / F.col("_count")
@@ -145,6 +150,21 @@ def sketch_around(table: DataFrame, by: Sequence[str], column: str, shares: Sequ
     return small_side(sketch.select(*by, F.array(*around).alias("_q"), "_count"))
 
 
+def bracket_at(table: DataFrame, wanted: DataFrame, by: Sequence[str], column: str, rank: Column) -> DataFrame:
+    """``wanted`` with ``_from`` and ``_to``: values of ``column`` around the row of a rank in its group.
+
+    As in ``sketch_around``, but for a rank of each row of ``wanted``; null where a bracket has no such end.
+    """
+    grid = _grid()
+    sketch = table.groupBy(*by).agg(
+        F.percentile_approx(column, grid, F.lit(SKETCH_ACCURACY)).alias("_all"), F.count(F.lit(1)).alias("_count"))
+    share, margin = rank / F.col("_count"), F.lit(BRACKET) + 2.0 / F.col("_count")
+    below, above = F.floor((share - margin) * _GRID).cast("int"), F.ceil((share + margin) * _GRID).cast("int")
+    ends = join_on_keys(wanted, sketch, list(by), "inner").withColumns({
+        "_from": F.when(below >= 0, F.get("_all", below)), "_to": F.when(above <= _GRID, F.get("_all", above))})
+    return small_side(ends.drop("_all", "_count"))
+
+
 def _ends_by_brackets(long: DataFrame, keys: list[str], d: int, numerators: list[int]) -> DataFrame:
     """Values at the two ranks around each quantile, from the rows between two sketched quantiles.
 
