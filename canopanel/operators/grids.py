@@ -6,29 +6,42 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from canopanel.cluster import small_side, small_values, stored
+from canopanel.cluster import join_on_keys, small_side, small_values, stored
 from canopanel.operators.region import Box, slice_box
 
+POINTS_AT_ONCE = 4096  # grid points that are packed together, on average at most
+SALTS = 16
+
 
 def nearest_label(x: Column, labels: Sequence[float]) -> Column:
     """The label closest to ``x``; of two equally close ones the larger.
 
-    On a near enough regular axis only the labels around the expected place are compared.
+    On a near enough regular axis the labels around the expected place are compared, on any other
+    the two that a bisection ends between.
     """
     known = sorted(float(v) for v in labels)
-    axis = F.array(*[F.lit(v) for v in known])
+    axis = F.expr(f"array({', '.join(f'{v!r}D' for v in known)})")  # one literal, however long
     step = (known[-1] - known[0]) / (len(known) - 1) if len(known) > 1 else 0.0
     if step > 0 and all(abs(v - known[0] - i * step) < step / 4 for i, v in enumerate(known)):
         at = F.round((x - known[0]) / step).cast("long")
         around = [F.get(axis, F.least(F.greatest(at + d, F.lit(0)), F.lit(len(known) - 1)).cast("int")) for d in (-1, 0, 1)]
         near = F.array(*around)
     else:
-        near = axis
+        at = _place(x, axis, len(known))
+        near = F.array(*[F.get(axis, F.least(at + d, F.lit(len(known) - 1))) for d in (0, 1)])
     closest = F.array_min(F.transform(near, lambda a: F.struct(F.abs(a - x).alias("d"), (-a).alias("n"))))
     return F.when(x.isNotNull(), -closest["n"])
 
 
+def _place(x: Column, axis: Column, n: int) -> Column:
+    """The last of ``n`` ascending labels that is not over ``x``, or the first: log2(n) comparisons."""
+    steps = F.array(*[F.lit(1 << k) for k in reversed(range((n - 1).bit_length()))]).cast("array<int>")
+    return F.aggregate(steps, F.lit(0), lambda low, step: F.when(
+        (low + step < n) & (F.get(axis, low + step) <= x), low + step).otherwise(low))
+
+
 def nearest_on_axes(table: DataFrame, grid: DataFrame, axes: Sequence[str] = ("lat", "lon"),
                     prefix: str = "nearest_") -> DataFrame:
     """Nearest grid label per axis, each axis on its own."""
@@ -57,6 +70,10 @@ def regrid(values: DataFrame, grid: DataFrame, cluster: DataFrame, value: str =
     Points without a class are kept with a NULL value.  With ``box`` only the points inside
     are produced.  Reduce the dims first where possible: the output has one full grid per
     combination of ``dims``.
+
+    A cell's points are packed into arrays of some thousands, and each frame's value of the cell is
+    exploded to them.  Cells are few and each is met by every frame, so the arrays are repeated for
+    a number of salts and frames spread over these.
     """
     dims = list(dims)
     points = slice_box(cluster, box) if box else cluster
@@ -64,13 +81,17 @@ def regrid(values: DataFrame, grid: DataFrame, cluster: DataFrame, value: str =
         small_side(cell_classes(grid, cluster, cell)), "cclass", "left")
     if not dims:
         return points.join(values.select(cell, value), cell, "left").select("lat", "lon", value)
+    points = stored(points.select("lat", "lon", cell), "points")
     values = stored(values.select(*dims, cell, value), "values")
-    # Every frame needs every point: give each frame all latitudes, then match points on them.
-    latitudes = F.array(*[F.lit(x) for x in small_values(points, "lat")])
-    frames = values.select(*dims).distinct().withColumn("lat", F.explode(latitudes))
-    full = frames.join(small_side(points.select("lat", "lon", cell)), "lat")
-    return full.join(values.select(*dims, cell, value), [*dims, cell], "left").select(
-        *dims, "lat", "lon", value)
+    chunks = max(1, -(-points.count() // POINTS_AT_ONCE))
+    packed = points.groupBy(cell, F.pmod(F.xxhash64("lat", "lon"), F.lit(chunks)).alias("_chunk")).agg(
+        F.collect_list(F.struct("lat", "lon")).alias("_points")).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    # Each frame with all cells of the grid's classes, and once for the points without one.
+    cells = F.array(*[F.lit(c) for c in small_values(points, cell)], F.lit(None)).cast(T.ArrayType(values.schema[cell].dataType))
+    frames = values.select(*dims).distinct().withColumn(cell, F.explode(cells))
+    full = frames.join(values, [*dims, cell], "left").withColumn("_salt", F.pmod(F.xxhash64(*dims), F.lit(SALTS)).cast("int"))
+    met = join_on_keys(full, packed.drop("_chunk"), [cell, "_salt"], "inner")
+    return met.select(*dims, value, F.inline("_points")).select(*dims, "lat", "lon", value)
 
 
 def field_distance(a: DataFrame, b: DataFrame, keys: Sequence[str] = ("lat", "lon"),

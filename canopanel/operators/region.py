@@ -121,3 +121,36 @@ def assign_regions(
         hit = Box(west, east, lat_min, lat_max).contains(longitude_360(F.col(lon)), F.col(lat))
         inside.append(F.when(hit, F.lit(name)))
     return cells.withColumn("region", F.explode(F.array_compact(F.array(*inside))))
+
+
+TILE = 10.0  # degrees; tiles of longitudes close the circle
+
+
+def assign_many_regions(
+    cells: DataFrame, regions: DataFrame, region: str = "region", lon: str = "lon", lat: str = "lat"
+) -> DataFrame:
+    """As :func:`assign_regions` for a table of regions (region, lon_min, lon_max, lat_min, lat_max).
+
+    Rectangles are listed under the tiles of ``TILE`` degrees that they touch.  Cells meet only those
+    of their own tile, by an equi-join, and are then tested exactly; the plan is the same for any
+    number of regions.  A region of 360 degrees or more is the whole circle.
+    """
+    around = int(360 / TILE)
+    whole = F.col("lon_max") - F.col("lon_min") >= 360
+    sides = regions.select(
+        region, F.when(whole, 0.0).otherwise(longitude_360(F.col("lon_min"))).alias("_west"),
+        F.when(whole, 360.0).otherwise(longitude_360(F.col("lon_max"))).alias("_east"),
+        F.col("lat_min").cast("double").alias("_south"), F.col("lat_max").cast("double").alias("_north"))
+    tile = lambda c: F.floor(F.col(c) / TILE).cast("int")
+    last = F.least(tile("_east"), F.lit(around - 1))
+    turns = F.when(F.col("_west") <= F.col("_east"), F.sequence(tile("_west"), last)).otherwise(
+        F.concat(F.sequence(tile("_west"), F.lit(around - 1)), F.sequence(F.lit(0), last)))
+    listed = sides.where("_south <= _north").withColumn("_x", F.explode(F.array_distinct(turns))).withColumn(
+        "_y", F.explode(F.sequence(tile("_south"), tile("_north"))))
+    placed = cells.withColumn("_lon", longitude_360(F.col(lon)).cast("double")).withColumns({
+        "_x": F.least(tile("_lon"), F.lit(around - 1)), "_y": tile(lat)})
+    x = F.col("_lon")
+    across = F.when(F.col("_west") <= F.col("_east"), x.between(F.col("_west"), F.col("_east"))).otherwise(
+        (x >= F.col("_west")) | (x <= F.col("_east")))
+    met = placed.join(listed, ["_x", "_y"]).where(across & F.col(lat).between(F.col("_south"), F.col("_north")))
+    return met.select(*cells.columns, region)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from canopanel.cluster import shared_folder, stored
 from canopanel.functions import calendar as cal
 from canopanel.functions.labels import member_id
-from canopanel.operators import aggregate, anomaly, diagnostics as diag, region, reshape, scaling, splits
+from canopanel.operators import aggregate, anomaly, diagnostics as diag, moments, region, reshape, scaling, splits
 from canopanel.plans import views as v
 from canopanel.plans.registry import query, r, rounded
 from canopanel.plans.tables import _BOX, _STACK, cal_slices, conus_panel
@@ -38,6 +38,33 @@ def climatology(spark, sf):
     return rounded(aggregate.climatology(v.panel(spark, sf, BASELINE)))
 
 
+_GROWN = f"""
+    SELECT gridcell, CAST(month(time) AS INTEGER) AS month, {r('avg(value)')} AS clim_mean,
+           {r('stddev_pop(value)')} AS clim_std
+    FROM panel WHERE year(time) BETWEEN 1995 AND 1999 GROUP BY 1, 2"""
+
+
+@query("climatology_grown", _GROWN, "panel")
+def climatology_grown(spark, sf):
+    """Four years' moments, stored, then a fifth year: only its rows are read and merged."""
+    keys, folder = ["gridcell", "month"], shared_folder(spark, "moments")
+    by_month = lambda first, last: v.panel(spark, sf, (first, last)).withColumn("month", F.month("time"))
+    moments.moments(by_month("1995", "1998"), keys, ["value"]).write.parquet(folder)
+    grown = moments.update(spark.read.parquet(folder), by_month("1999", "1999"), keys, ["value"])
+    return rounded(moments.to_climatology(grown, keys))
+
+
+@query("scaler_grown", f"""
+    SELECT {', '.join(f"{r(f'avg({c})')} AS {c}_mean, {r(f'stddev_pop({c})')} AS {c}_std" for c in ('value', 'rain', 'snow'))}
+    FROM panel WHERE year(time) BETWEEN 1995 AND 1999""", "panel")
+def scaler_grown(spark, sf):
+    """A standard scaler of a panel that has grown by a year since its moments were stored."""
+    columns, folder = ["value", "rain", "snow"], shared_folder(spark, "moments")
+    moments.moments(v.panel(spark, sf, ("1995", "1998")), [], columns).write.parquet(folder)
+    grown = moments.update(spark.read.parquet(folder), v.panel(spark, sf, ("1999", "1999")), [], columns)
+    return rounded(moments.to_scaler(grown, columns))
+
+
 @query("seasonal_mean", f"""
     SELECT member, gridcell, {_SEASON.format(t='time')} AS season, {r('avg(value)')} AS value
     FROM panel GROUP BY 1, 2, 3""", "panel")

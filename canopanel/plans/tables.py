@@ -293,7 +293,8 @@ def panel_broadcast(spark, sf):
     SELECT p.member, p.time, p.gridcell, {r('p.value - f.tsa')} AS departure
     FROM panel p JOIN forcing f ON p.time = f.time AND p.gridcell = f.gridcell""", "panel forcing")
 def join_forcing(spark, sf):
-    panel = v.stored_panel(spark, sf)
+    """The panel lies bucketed by month and cell: neither its forcing nor the join moves it again."""
+    panel = v.bucketed_panel(spark, sf, ["time", "gridcell"])
     joined = reshape.attach_forcing(panel.select("member", "time", "gridcell", "value"), v.forcing_of(panel))
     return rounded(joined.select("member", "time", "gridcell", (F.col("value") - F.col("tsa")).alias("departure")))
 
@@ -365,7 +366,9 @@ def attach_predictions(spark, sf):
 @query("align_xy", f"""
     SELECT member, time, gridcell, {r('rain')} AS rain, {r('value')} AS value FROM panel""", "panel")
 def align_xy(spark, sf):
-    p, keys = v.stored_panel(spark, sf), ["member", "time", "gridcell"]
+    """Features and target lie bucketed by the sample's keys and meet without an exchange."""
+    keys = ["member", "time", "gridcell"]
+    p = v.bucketed_panel(spark, sf, keys)
     return rounded(reshape.align_xy(p.select(*keys, "rain"), p.select(*keys, "value"), keys))
 
 
@@ -394,6 +397,38 @@ def nearest_axis(spark, sf):
     return grids.nearest_on_axes(points, v.cluster(spark, sf)).select("k", "nearest_lat", "nearest_lon")
 
 
+@query("nearest_irregular", """
+    SELECT k, arg_min(label, (abs(label - x), -label)) AS nearest
+    FROM (SELECT c_custkey AS k, c_acctbal AS x FROM customer), (SELECT DISTINCT s_acctbal AS label FROM supplier) GROUP BY k""")
+def nearest_irregular(spark, sf):
+    """Each customer's balance on the irregular axis of all suppliers' balances."""
+    labels = small_values(v.table(spark, sf, "supplier"), "s_acctbal")
+    return v.table(spark, sf, "customer").select(
+        F.col("c_custkey").alias("k"), grids.nearest_label(F.col("c_acctbal"), labels).alias("nearest"))
+
+
+_MANY_REGIONS = """many AS (
+      SELECT c_custkey AS region, -180.0::DOUBLE + c_custkey * 7 % 360 AS lon_min,
+             -180.0::DOUBLE + c_custkey * 7 % 360 + c_custkey % 41 * (CASE WHEN c_custkey % 500 = 0 THEN 12 ELSE 1 END) AS lon_max,
+             c_custkey % 47 + 5.0::DOUBLE AS lat_min, c_custkey % 47 + 5.0::DOUBLE + c_custkey % 11 AS lat_max FROM customer)"""
+
+
+@query("region_tiles", f"""
+    WITH {_MANY_REGIONS},
+    sides AS (SELECT *, lon_max - lon_min >= 360 AS whole, (lon_min + 720) % 360 AS west, (lon_max + 720) % 360 AS east FROM many)
+    SELECT gridcell, region FROM grid JOIN sides ON lat BETWEEN lat_min AND lat_max
+      AND (whole OR (west <= east AND lon BETWEEN west AND east) OR (west > east AND (lon >= west OR lon <= east)))""", "grid")
+def region_tiles(spark, sf):
+    """The cells of as many rectangles as there are customers, found by tiles."""
+    k = F.col("c_custkey")
+    west = -180.0 + k * 7 % 360
+    south = k % 47 + 5.0
+    many = v.table(spark, sf, "customer").select(
+        k.alias("region"), west.alias("lon_min"), (west + k % 41 * F.when(k % 500 == 0, 12).otherwise(1)).alias("lon_max"),
+        south.alias("lat_min"), (south + k % 11).alias("lat_max"))
+    return region.assign_many_regions(v.grid(spark, sf), many).select("gridcell", "region")
+
+
 _CLASSES = """
     near AS (
       SELECT gridcell,

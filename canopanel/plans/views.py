@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from canopanel.cluster import stored
+from canopanel.cluster import bucketed, stored
 from canopanel.functions.calendar import in_period
 from canopanel.sources.tables import open_table
 
@@ -92,6 +92,11 @@ def stored_panel(spark: SparkSession, sf: str, columns: Sequence[str] | None = N
     return stored(whole if columns is None else whole.select(*columns), "panel")
 
 
+def bucketed_panel(spark: SparkSession, sf: str, keys: Sequence[str]) -> DataFrame:
+    """The panel, written once, in buckets of ``keys``: as many as the session has shuffle partitions."""
+    return bucketed(panel(spark, sf), list(keys), int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
 def forcing(spark: SparkSession, sf: str, period: tuple[str, str] | None = None) -> DataFrame:
     return forcing_of(panel(spark, sf, period))
 
