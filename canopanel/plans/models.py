@@ -280,9 +280,10 @@ def response(joined: DataFrame, by: list | None = None) -> DataFrame:
 def emulated(points: DataFrame, fitted: DataFrame, by: list | None = None) -> DataFrame:
     """Linear response plus one interaction, for every point (and slice)."""
     packed = F.struct(*[c for c in fitted.columns if c not in (by or [])]).alias("c")
-    if by:
-        table = fitted.agg(F.collect_list(F.struct(*by, packed))).scalar()  # one entry per month or season
-        points = points.select("*", F.inline(table))
+    if by:  # every point at every month or season, whose response it then meets by key
+        fitted = stored(fitted, "response")
+        slices = F.array(*[F.lit(x) for x in small_values(fitted, by[0])])
+        points = points.withColumn(by[0], F.explode(slices)).join(fitted.select(*by, packed), by)
     else:
         points = points.withColumn("c", fitted.select(packed).scalar())
     term = {p: F.col(f"c.{p}_slope") * (F.col(p) - F.col(f"c.{p}_mean")) for p in SENS_PARAMS}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from canopanel.cluster import shared_folder, stored
+from canopanel.cluster import shared_folder, small_values, stored
 from canopanel.functions import calendar as cal
 from canopanel.functions.labels import member_id
 from canopanel.operators import aggregate, anomaly, diagnostics as diag, moments, region, reshape, scaling, splits
@@ -189,6 +189,38 @@ def line_means(spark, sf):
     return rounded(aggregate.mean_by(v.pred(spark, sf), ["member", "month"], ["truth", "mu"]), 4)
 
 
+@query("season_year_means", f"""
+    SELECT member, {_SEASON.format(t='time')} AS season, CAST(year(time) + CASE WHEN month(time) = 12 THEN 1 ELSE 0 END AS INTEGER) AS year,
+           {r('avg(value)')} AS value FROM panel GROUP BY 1, 2, 3""", "panel")
+def season_year_means(spark, sf):
+    """Seasonal means of each year, a December in the winter it begins."""
+    return rounded(aggregate.mean_by(v.panel(spark, sf).withColumns(
+        {"season": cal.season(F.month("time")), "year": cal.season_year(F.col("time"))}), ["member", "season", "year"], ["value"]))
+
+
+@query("dense_gaps", """
+    SELECT member, count(*) AS n, count(*) FILTER (WHERE value IS NULL) AS missing
+    FROM (SELECT member, time, gridcell FROM (SELECT DISTINCT member FROM panel), (SELECT DISTINCT time FROM panel),
+                                             (SELECT DISTINCT gridcell FROM panel))
+         LEFT JOIN panel USING (member, time, gridcell) GROUP BY 1""", "panel")
+def dense_gaps(spark, sf):
+    """How many months and cells each member lacks in the full cube."""
+    panel = v.stored_panel(spark, sf, [*KEYS, "value"])
+    dense = reshape.densify(panel, {k: small_values(panel, k) for k in ("time", "gridcell")}, KEYS)
+    return dense.groupBy("member").agg(
+        F.count("*").alias("n"), F.count_if(F.col("value").isNull()).alias("missing"))
+
+
+@query("unstack_vectors", f"""
+    SELECT member, time, gridcell, {r('value')} AS value FROM panel""", "panel")
+def unstack_vectors(spark, sf):
+    """All cells of a sample as one vector of outputs, and back to rows."""
+    cells = small_values(v.grid(spark, sf), "gridcell")
+    wide = reshape.stack_multitask(v.panel(spark, sf), cells)
+    vectors = reshape.feature_vector(wide, [f"cell_{c}" for c in cells], "y").select("member", "time", "y")
+    return rounded(reshape.unstack_array(vectors, ["member", "time"], "y", cells).where("value IS NOT NULL"))
+
+
 # ---- anomalies ---------------------------------------------------------------------------
 
 @query("anomaly_time_mean", f"""
@@ -270,8 +302,10 @@ def split_member_time(spark, sf):
 def split_masks(spark, sf):
     """Masks for samples whose members are labels, from a split of integer ids."""
     labels = v.params(spark, sf).select(member_id(F.col("member_label")).alias("member"), "member_label")
-    samples = v.panel(spark, sf).join(labels, "member").select(
-        F.col("member_label").alias("member"), "time", "gridcell")
+    samples = stored(v.panel(spark, sf).join(labels, "member").select(
+        F.col("member_label").alias("member"), "time", "gridcell"), "samples")
+    n = v.pred(spark, sf).select("member").distinct().count()
+    splits.check_split_inputs(samples, samples, n * 4 // 5, n - n * 4 // 5, VAL_YEARS)
     return splits.split_masks(samples, member_split(spark, sf), VAL_YEARS)
 
 
