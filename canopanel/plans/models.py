@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from functools import reduce
 from operator import add
 from statistics import NormalDist
@@ -262,22 +263,25 @@ def fit_resumed(spark, sf):
 
 POINTS, HARMONICS, SEED, RESAMPLES = 10_000, 4, 0, 500
 SENS_PARAMS = ["p1", "p2", "p3", "p4", "p5", "p6"]
-_OWN, _OTHERS = sensitivity.frequencies(len(SENS_PARAMS), POINTS, HARMONICS)
-_PHASES = sensitivity.phases(len(SENS_PARAMS), SEED)
+_OWN = sensitivity.frequencies(len(SENS_PARAMS), POINTS, HARMONICS)[0]
+
+
+# The study's largest sweep: 35 parameters, 100,000 points each.
+WIDE_PARAMS, WIDE_POINTS = sorted(f"p{i}" for i in range(1, 36)), 100_000  # bounds come in order of names
 
 
 def with_params(panel: DataFrame, sf: str) -> DataFrame:
     return reshape.attach_params(panel, v.sens_params(panel.sparkSession, sf))
 
 
-def response(joined: DataFrame, by: list | None = None) -> DataFrame:
+def response(joined: DataFrame, by: list | None = None, params: Sequence[str] = SENS_PARAMS) -> DataFrame:
     """Slopes of the value on each parameter, and the parameters' means: a small closed-form emulator."""
     return joined.withColumns({"season": cal.season(F.month("time")), "month": F.month("time")}).groupBy(*(by or [])).agg(
-        *[F.regr_slope("value", p).alias(f"{p}_slope") for p in SENS_PARAMS],
-        *[F.avg(p).alias(f"{p}_mean") for p in SENS_PARAMS])
+        *[F.regr_slope("value", p).alias(f"{p}_slope") for p in params],
+        *[F.avg(p).alias(f"{p}_mean") for p in params])
 
 
-def emulated(points: DataFrame, fitted: DataFrame, by: list | None = None) -> DataFrame:
+def emulated(points: DataFrame, fitted: DataFrame, by: list | None = None, params: Sequence[str] = SENS_PARAMS) -> DataFrame:
     """Linear response plus one interaction, for every point (and slice)."""
     packed = F.struct(*[c for c in fitted.columns if c not in (by or [])]).alias("c")
     if by:  # every point at every month or season, whose response it then meets by key
@@ -286,34 +290,35 @@ def emulated(points: DataFrame, fitted: DataFrame, by: list | None = None) -> Da
         points = points.withColumn(by[0], F.explode(slices)).join(fitted.select(*by, packed), by)
     else:
         points = points.withColumn("c", fitted.select(packed).scalar())
-    term = {p: F.col(f"c.{p}_slope") * (F.col(p) - F.col(f"c.{p}_mean")) for p in SENS_PARAMS}
+    term = {p: F.col(f"c.{p}_slope") * (F.col(p) - F.col(f"c.{p}_mean")) for p in params}
     y = reduce(add, term.values()) + 20 * term["p1"] * term["p2"]
     return points.select(*(by or []), "curve", "n", y.alias("y"))
 
 
-def _sample_sql() -> str:
-    curves = []
-    for i, name in enumerate(SENS_PARAMS):
+def _sample_sql(params: Sequence[str] = SENS_PARAMS, points: int = POINTS, table: str = "sens_params") -> str:
+    curves, phases = [], sensitivity.phases(len(params), SEED)
+    own, others = sensitivity.frequencies(len(params), points, HARMONICS)
+    for i, name in enumerate(params):
         columns = []
-        for j, p in enumerate(SENS_PARAMS):
-            omega = _OWN if i == j else _OTHERS[j if j < i else j - 1]
-            turn = f"(({omega} * n) % {POINTS}) / {POINTS}.0::DOUBLE + {_PHASES[i]!r}::DOUBLE + 0.25::DOUBLE"
+        for j, p in enumerate(params):
+            omega = own if i == j else others[j if j < i else j - 1]
+            turn = f"(({omega} * n) % {points}) / {points}.0::DOUBLE + {phases[i]!r}::DOUBLE + 0.25::DOUBLE"
             columns.append(f"{p}_lo + ({p}_hi - {p}_lo) * (1 - abs(2 * ({turn} - floor({turn})) - 1)) AS {p}")
-        curves.append(f"SELECT '{name}' AS curve, n, {', '.join(columns)} FROM range({POINTS}) AS o(n), bounds")
-    ends = ", ".join(f"min({p}) AS {p}_lo, max({p}) AS {p}_hi" for p in SENS_PARAMS)
-    return (f"bounds AS (SELECT {ends} FROM panel JOIN sens_params USING (member)),\n"
+        curves.append(f"SELECT '{name}' AS curve, n, {', '.join(columns)} FROM range({points}) AS o(n), bounds")
+    ends = ", ".join(f"min({p}) AS {p}_lo, max({p}) AS {p}_hi" for p in params)
+    return (f"bounds AS (SELECT {ends} FROM panel JOIN {table} USING (member)),\n"
             f"points AS ({' UNION ALL '.join(curves)})")
 
 
-def _response_sql(by: str = "") -> str:
-    fits = ", ".join(f"regr_slope(value, {p}) AS {p}_slope, avg({p}) AS {p}_mean" for p in SENS_PARAMS)
-    term = {p: f"{p}_slope * ({p} - {p}_mean)" for p in SENS_PARAMS}
+def _response_sql(by: str = "", params: Sequence[str] = SENS_PARAMS, table: str = "sens_params") -> str:
+    fits = ", ".join(f"regr_slope(value, {p}) AS {p}_slope, avg({p}) AS {p}_mean" for p in params)
+    term = {p: f"{p}_slope * ({p} - {p}_mean)" for p in params}
     y = f"{' + '.join(term.values())} + 20 * ({term['p1']}) * ({term['p2']})"
     if by:
         key = _SEASON.format(t="time") if by == "season" else "CAST(month(time) AS INTEGER)"
         return (f"fitted AS (SELECT {key} AS {by}, {fits} FROM panel JOIN sens_params USING (member) GROUP BY 1),\n"
                 f"outputs AS (SELECT {by}, curve, n, {y} AS y FROM points, fitted)")
-    return (f"fitted AS (SELECT {fits} FROM panel JOIN sens_params USING (member)),\n"
+    return (f"fitted AS (SELECT {fits} FROM panel JOIN {table} USING (member)),\n"
             f"outputs AS (SELECT curve, n, {y} AS y FROM points, fitted)")
 
 
@@ -366,6 +371,32 @@ def fast_first_order(spark, sf):
     return rounded(sensitivity.fast_first_order(study_outputs(spark, sf), POINTS, HARMONICS))
 
 
+def _wide_first_order_sql() -> str:
+    own = sensitivity.frequencies(len(WIDE_PARAMS), WIDE_POINTS, HARMONICS)[0]
+    angle = {p: f"2 * pi() * (({p * own} * n) % {WIDE_POINTS}) / {WIDE_POINTS}" for p in range(1, HARMONICS + 1)}
+    sums = ", ".join(f"sum(y * cos({a})) AS c{p}, sum(y * sin({a})) AS s{p}" for p, a in angle.items())
+    power = " + ".join(f"c{p} * c{p} + s{p} * s{p}" for p in angle)
+    more = ", ".join(f"CAST((member * {2 * i + 1}) % {3 * i + 2} AS DOUBLE) AS p{i}" for i in range(7, 36))
+    return f"""
+    WITH wide_params AS (SELECT *, {more} FROM sens_params),
+    {_sample_sql(WIDE_PARAMS, WIDE_POINTS, "wide_params")}, {_response_sql("", WIDE_PARAMS, "wide_params")},
+    sums AS (SELECT curve, {sums}, var_pop(y) * {float(WIDE_POINTS) ** 2}::DOUBLE - sum(y * (1 - 2 * (n % 2))) ** 2 AS v
+             FROM outputs GROUP BY 1)
+    SELECT curve AS name, {r(f'2 * ({power}) / v')} AS S1 FROM sums"""
+
+
+@query("fast_first_order_wide", _wide_first_order_sql(), _ALL)
+def fast_first_order_wide(spark, sf):
+    """First-order indices of 35 parameters from 3.5 million points."""
+    key = F.col("member")
+    params = v.sens_params(spark, sf).withColumns({f"p{i}": (key * (2 * i + 1) % (3 * i + 2)).cast("double") for i in range(7, 36)})
+    joined = stored(reshape.attach_params(v.panel(spark, sf).select("member", "value", "time"), params), "wide")
+    bounds = aggregate.column_bounds(joined, WIDE_PARAMS)
+    points = sensitivity.fast_sample(spark, bounds, WIDE_POINTS, HARMONICS, SEED)
+    outputs = emulated(points, response(joined, None, WIDE_PARAMS), None, WIDE_PARAMS)
+    return rounded(sensitivity.fast_first_order(outputs, WIDE_POINTS, HARMONICS))
+
+
 @query("fast_indices", f"""
     WITH {_sample_sql()}, {_response_sql()}, {_indices_sql()}
     SELECT curve AS name, {r('S1')} AS S1, {r('ST')} AS ST FROM sens""", _ALL)
