@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import re
+import shutil
 import tempfile
 import uuid
 
@@ -24,10 +26,13 @@ def _shared_root(spark: SparkSession) -> str:
 def set_shared_folder(spark: SparkSession) -> None:
     """Give a session without ``spark.checkpoint.dir`` one where driver and executors are one process.
 
-    For entry points and tests; a session of several processes must come with its own setting.
+    For entry points and tests; a session of several processes must come with its own setting.  The
+    folder made here goes when the process ends.
     """
     if spark.conf.get("spark.checkpoint.dir", None) is None and re.match(r"local(\[|$)", spark.sparkContext.master):
-        spark.conf.set("spark.checkpoint.dir", tempfile.mkdtemp(prefix="canopanel-"))
+        folder = tempfile.mkdtemp(prefix="canopanel-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        spark.conf.set("spark.checkpoint.dir", folder)
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from canopanel.cluster import bucketed
-from canopanel.operators import aggregate, diagnostics, grids, moments, region, reshape, scaling
+from canopanel.operators import diagnostics, grids, moments, region, reshape, scaling
 
 
 @pytest.fixture
