@@ -19,7 +19,9 @@ from canopanel.cluster import stored
 from canopanel.llm.common import column
 
 BIN_BITS = 10
-QUERY_BLOCK = 1024
+# Candidates are copied for each block of queries and queries for each block of candidates; there are
+# far fewer queries, so their blocks are the larger ones.
+QUERY_BLOCK = 1 << 14
 CANDIDATE_BLOCK = 8192
 _SLICE = 128  # queries scored at once in a group
 
@@ -85,7 +87,7 @@ def exact_top_k(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
 
     def cells(df: DataFrame, own: str, n_own: int, other: str, n_other: int) -> DataFrame:
         """Rows in their block, once for each block of the other side."""
-        return df.withColumn(own, F.pmod(F.xxhash64("id"), F.lit(n_own)).cast("int")).withColumn(
+        return df.withColumn(own, F.pmod(F.xxhash64("id", "v"), F.lit(n_own)).cast("int")).withColumn(
             other, F.explode(F.sequence(F.lit(0), F.lit(n_other - 1))))
 
     def each_pair(state: DataFrame, work, schema: str) -> DataFrame:
