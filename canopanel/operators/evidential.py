@@ -13,7 +13,7 @@ from collections.abc import Sequence
 from dataclasses import asdict, dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -24,6 +24,7 @@ from canopanel.schema import nan_to_null
 
 SHARD_ROWS = 16_384  # rows of one slice that one task holds
 BLOCK = 4096  # weights per row of a table of weights
+STEP_ROWS = 256  # rows of a batch that go through the network at once
 
 
 # ---- column expressions -------------------------------------------------------------
@@ -106,28 +107,41 @@ class Network:
     def _slope(self) -> float:
         return 0.2 if self.activation == "leaky_relu" else 0.0
 
-    def raw(self, theta: np.ndarray, x: np.ndarray, rng: np.random.Generator | None = None):
-        """Last layer's output, and per layer its input and the derivative that follows it."""
-        trace, h = [], x
-        layers = self.layers(theta)
-        for w, b in layers[:-1]:
-            z = h @ w + b
-            d = np.where(z > 0, 1.0, self._slope)
-            a = z * d
-            if rng is not None and self.dropout:
-                keep = (rng.random(a.shape) >= self.dropout) / (1.0 - self.dropout)
-                a, d = a * keep, d * keep
-            if rng is not None and self.noise_sd:
-                a = a + rng.normal(0.0, self.noise_sd, a.shape)
-            trace.append((h, d))
-            h = a
-        trace.append((h, None))
-        w, b = layers[-1]
-        return h @ w + b, trace
+    def raw(self, theta: np.ndarray, x: np.ndarray) -> np.ndarray:
+        """Last layer's output, block by block of rows."""
+        layers, space = self.layers(theta), self._space(min(len(x), STEP_ROWS), 3)
+        out = np.empty((len(x), 4 * self.n_tasks))
+        for at in range(0, len(x), STEP_ROWS):
+            h = x[at:at + STEP_ROWS]
+            for number, (w, b) in enumerate(layers[:-1]):
+                h = self._activated(h, w, b, space[number % 2], space[2])
+            np.matmul(h, layers[-1][0], out=out[at:at + STEP_ROWS])
+        out += layers[-1][1]
+        return out
+
+    def _space(self, rows: int, arrays: int) -> list[np.ndarray]:
+        """Arrays of hidden units that all blocks write to."""
+        return [np.empty((rows, self.hidden_neurons)) for _ in range(arrays)]
+
+    def _activated(self, h, w, b, out, scratch) -> np.ndarray:
+        """A hidden layer's activation, written to ``out``; its sign tells the derivative."""
+        z = np.matmul(h, w, out=out[:len(h)])
+        z += b
+        return np.maximum(z, np.multiply(z, self._slope, out=scratch[:len(h)]) if self._slope else 0.0, out=z)
+
+    def _dropped(self, a: np.ndarray, rng) -> tuple[np.ndarray, np.ndarray | None]:
+        """An activation after dropout and noise, and what dropout kept."""
+        keep = None
+        if rng is not None and self.dropout:
+            keep = (rng.random(a.shape) >= self.dropout) / (1.0 - self.dropout)
+            a = a * keep
+        if rng is not None and self.noise_sd:
+            a = a + rng.normal(0.0, self.noise_sd, a.shape)
+        return a, keep
 
     def outputs(self, theta: np.ndarray, x: np.ndarray):
         """gamma, nu, alpha, beta as (rows, tasks) arrays."""
-        return self._head(self.raw(theta, x)[0])
+        return self._head(self.raw(theta, x))
 
     def _head(self, o: np.ndarray):
         g, n, a, b = np.split(o, 4, axis=1)
@@ -147,30 +161,70 @@ class Network:
         return self.step(theta, x, y, rng)[1]
 
     def step(self, theta: np.ndarray, x: np.ndarray, y: np.ndarray, rng=None) -> tuple[float, np.ndarray]:
-        """Sum of the batch's losses and the gradient of their mean plus the L2 term, of one forward pass."""
-        o, trace = self.raw(theta, x, rng)
-        g, nu, al, be = self._head(o)
-        loss = float(self.losses((g, nu, al, be), y).sum())
+        """Sum of the batch's losses and the gradient of their mean plus the L2 term, of one forward pass.
+
+        The batch goes through in blocks of rows that stay in a core's cache; their gradients add up.
+        """
+        drawn = rng is not None and (self.dropout or self.noise_sd)  # draws go through the whole batch, layer by layer
+        rows = len(x) if drawn else min(len(x), STEP_ROWS)
+        grad = np.zeros_like(theta)
+        layers, views, space = self.layers(theta), self.layers(grad), self._space(rows, 3 + self.hidden_layers)
         known = ~np.isnan(y)
-        e = np.where(known, y - g, 0.0)
-        om, lam = 2 * be * (1 + nu), self.loss_weight
+        share, loss = 1.0 / max(int(known.sum()), 1), 0.0
+        for at in range(0, len(x), max(rows, 1)):
+            block = slice(at, at + rows)
+            loss += self._add_gradient(layers, views, x[block], y[block], known[block], share, rng, space)
+        for (w, _), (gw, _) in zip(layers, views):
+            gw += 2 * self.l2_weight * w
+        return loss, grad
+
+    def _add_gradient(self, layers, views, x, y, known, share: float, rng, space) -> float:
+        """Adds ``share`` of the block's summed gradient to ``views``; the sum of its losses."""
+        scratch, deltas, trace, h = space[0][:len(x)], space[1:3], [], x
+        for (w, b), out in zip(layers[:-1], space[3:]):
+            active = self._activated(h, w, b, out, scratch)
+            after, keep = self._dropped(active, rng)
+            trace.append((h, active, keep))
+            h = after
+        w, b = layers[-1]
+        loss, delta = self._head_gradient(h @ w + b, y, known)
+        delta *= share
+        for number in range(len(layers) - 1, -1, -1):
+            gw, gb = views[number]
+            gw += (trace[number][0] if number < len(trace) else h).T @ delta
+            gb += delta.sum(axis=0)
+            if number:
+                _, active, keep = trace[number - 1]
+                delta = np.matmul(delta, layers[number][0].T, out=deltas[number % 2][:len(x)])
+                np.multiply(active > 0, 1.0 - self._slope, out=scratch)
+                scratch += self._slope
+                delta *= scratch
+                if keep is not None:
+                    delta *= keep
+        return loss
+
+    def _head_gradient(self, o: np.ndarray, y: np.ndarray, known: np.ndarray) -> tuple[float, np.ndarray]:
+        """Sum of losses and their derivatives by the outputs, worked out for known targets only: others have none."""
+        whole = bool(known.all())
+        zg, zn, za, zb = (part if whole else part[known] for part in np.split(o, 4, axis=1))
+        nu, al, be = _softplus(zn) + 1e-6, _softplus(za) + 1 + 1e-6, _softplus(zb) + 1e-6
+        e = (y if whole else y[known]) - zg
+        om, lam, size = 2 * be * (1 + nu), self.loss_weight, np.abs(e)
         big = nu * e * e + om
+        (lgamma_al, digamma_al), (lgamma_half, digamma_half) = _gammas(al), _gammas(al + 0.5)
+        loss = (0.5 * np.log(np.pi / nu) - al * np.log(om) + (al + 0.5) * np.log(big) + lgamma_al - lgamma_half
+                + lam * size * (2 * nu + al))
         dg = -2 * (al + 0.5) * nu * e / big - lam * np.sign(e) * (2 * nu + al)
-        dn = -0.5 / nu - al / (1 + nu) + (al + 0.5) * (e * e + 2 * be) / big + 2 * lam * np.abs(e)
-        da = np.log(big / om) + _digamma(al) - _digamma(al + 0.5) + lam * np.abs(e)
+        dn = -0.5 / nu - al / (1 + nu) + (al + 0.5) * (e * e + 2 * be) / big + 2 * lam * size
+        da = np.log(big / om) + digamma_al - digamma_half + lam * size
         db = -al / be + 2 * (al + 0.5) * (1 + nu) / big
-        sig = _sigmoid(o[:, g.shape[1]:])
-        delta = np.concatenate([dg, np.concatenate([dn, da, db], axis=1) * sig], axis=1)
-        delta *= np.tile(known, (1, 4)) / max(int(known.sum()), 1)
-        grad = np.empty_like(theta)
-        layers, views = self.layers(theta), self.layers(grad)
-        for (w, _), (gw, gb), (h, _), below in zip(
-                layers[::-1], views[::-1], trace[::-1], [t[1] for t in trace[:-1]][::-1] + [None]):
-            gw[...] = h.T @ delta + 2 * self.l2_weight * w
-            gb[...] = delta.sum(axis=0)
-            if below is not None:
-                delta = (delta @ w.T) * below
-        return loss, grad
+        found = [dg, dn * _sigmoid(zn), da * _sigmoid(za), db * _sigmoid(zb)]
+        if whole:
+            return float(loss.sum()), np.concatenate(found, axis=1)
+        delta = np.zeros_like(o)
+        for part, place in zip(found, np.split(delta, 4, axis=1)):
+            place[known] = part
+        return float(loss.sum()), delta
 
 
 def _softplus(z):
@@ -191,6 +245,19 @@ def _lgamma(x):
     return (z - 0.5) * np.log(z) - z + 0.5 * math.log(2 * math.pi) + series - np.log(product)
 
 
+def _gammas(x):
+    """``_lgamma`` and ``_digamma`` of x, which share a logarithm and a square."""
+    z = x + 6.0
+    inv, log = 1.0 / z, np.log(z)
+    inv2 = inv * inv
+    terms = [x + k for k in range(6)]
+    series = inv * (1 / 12 - inv2 * (1 / 360 - inv2 * (1 / 1260 - inv2 * (1 / 1680 - inv2 / 1188))))
+    product = x * terms[1] * terms[2] * terms[3] * terms[4] * terms[5]
+    lgamma = (z - 0.5) * log - z + 0.5 * math.log(2 * math.pi) + series - np.log(product)
+    digamma = log - 0.5 * inv - inv2 * (1 / 12 - inv2 * (1 / 120 - inv2 / 252))
+    return lgamma, digamma - sum(1.0 / t for t in terms)
+
+
 def _digamma(x):
     shifted = x + 6.0
     inv2 = 1.0 / (shifted * shifted)
@@ -215,15 +282,30 @@ def to_shards(weights: DataFrame, shards: DataFrame) -> DataFrame:
 
 def vector_of(table, column: str) -> np.ndarray:
     """The vector whose blocks are rows of an Arrow table."""
-    table = table.sort_by("block")
-    return np.concatenate([np.asarray(v, dtype=float) for v in table[column].to_pylist()])
+    blocks = table.sort_by("block")[column].combine_chunks()
+    return blocks.flatten().to_numpy(zero_copy_only=False).astype(float)
 
 
 def block_rows(vector: np.ndarray) -> list[tuple[int, np.ndarray]]:
     return [(b, vector[at:at + BLOCK]) for b, at in enumerate(range(0, len(vector), BLOCK))]
 
 
+def matrix_of(columns) -> np.ndarray:
+    """Arrow columns of doubles side by side, nulls as NaN."""
+    return np.column_stack([np.asarray(c.to_numpy(zero_copy_only=False), dtype=float) for c in columns])
+
+
+def head_array(head) -> pa.StructArray:
+    """A head's four (rows, tasks) arrays as one Arrow column of lists; no value becomes a Python object."""
+    lists = []
+    for part in head:
+        ends = pa.array(np.arange(0, part.size + 1, part.shape[1], dtype=np.int32))
+        lists.append(pa.ListArray.from_arrays(ends, pa.array(np.ascontiguousarray(part).reshape(-1))))
+    return pa.StructArray.from_arrays(lists, names=_HEAD)
+
+
 _HEAD = ("gamma", "nu", "alpha", "beta")
+_HEADS = T.StructType([T.StructField(c, T.ArrayType(T.DoubleType())) for c in _HEAD])
 
 
 class EvidentialModel:
@@ -284,12 +366,10 @@ class EvidentialModel:
         """Only the features leave the JVM; the one vector's size is that of the network."""
         network = self.network
         shared = table.sparkSession.sparkContext.broadcast(self.vector())
-        kind = T.StructType([T.StructField(c, T.ArrayType(T.DoubleType())) for c in _HEAD])
 
-        @F.pandas_udf(kind)
-        def predict(x: pd.DataFrame) -> pd.DataFrame:
-            head = network.outputs(shared.value, x.to_numpy(dtype=float))
-            return pd.DataFrame({c: list(part) for c, part in zip(_HEAD, head)})
+        @F.arrow_udf(_HEADS)
+        def predict(x: pa.Array) -> pa.Array:
+            return head_array(network.outputs(shared.value, matrix_of(x.flatten())))
 
         return table.withColumn("_p", predict(F.struct(*[F.col(f).cast("double").alias(f) for f in self.features])))
 
@@ -306,19 +386,15 @@ class EvidentialModel:
         columns = table.columns
 
         def predict(part, weights):
-            import pyarrow as pa
-
-            x = np.column_stack([np.asarray(part[f].to_numpy(zero_copy_only=False), dtype=float) for f in features])
+            x = matrix_of([part[f] for f in features])
             if weights.num_rows:
                 head = network.outputs(vector_of(weights, "theta"), x)
-                arrays = [pa.array(list(h), pa.list_(pa.float64())) for h in head]
             else:
-                arrays = [pa.array([[math.nan] * network.n_tasks] * len(x), pa.list_(pa.float64()))] * 4
-            return part.select(columns).append_column("_p", pa.StructArray.from_arrays(arrays, names=_HEAD))
+                head = [np.full((len(x), network.n_tasks), math.nan)] * 4
+            return part.select(columns).append_column("_p", head_array(head))
 
-        kind = T.StructType([T.StructField(c, T.ArrayType(T.DoubleType())) for c in _HEAD])
         return rows.groupBy("_slice", "_shard").cogroup(messages.groupBy("slice", "shard")).applyInArrow(
-            predict, T.StructType([*table.schema.fields, T.StructField("_p", kind)]))
+            predict, T.StructType([*table.schema.fields, T.StructField("_p", _HEADS)]))
 
     def save(self, path: str) -> None:
         """Weights, history and variance as Parquet tables, the settings as one JSON row."""
