@@ -6,9 +6,9 @@ return gradients instead, and one step is made from their mean.  All slices trai
 
 Weights and optimizer moments are a table of (slice, block), written after each epoch; what
 decides how a fit goes on (losses, learning rate, best epoch, patience) is a table of slices.  A
-shard meets the weights of its own slice by key, and averages are combined as a tree: shards in
-groups, then groups.  So nothing of all slices is broadcast, collected or held by one task.  Rows are
-bucketed by (slice, shard) once and are not moved again.  A fit whose folder holds epochs goes on
+group of shards meets the weights of its own slice by key, and averages are combined as a tree: shards in
+groups, groups in branches, then branches.  So nothing of all slices is broadcast, collected or held by one task.  Rows are
+bucketed by groups of shards once and are not moved again.  A fit whose folder holds epochs goes on
 after the last complete one.
 """
 
@@ -27,18 +27,22 @@ from pyspark.sql import functions as F
 
 from canopanel.cluster import bucketed, shared_folder, stored
 from canopanel.operators.evidential import (
-    BLOCK, SHARD_ROWS, EvidentialModel, Network, block_rows, shards_of, to_shards, vector_of)
+    BLOCK, SHARD_ROWS, EvidentialModel, Network, block_rows, matrix_of, shards_of, to_shards, vector_of)
 
-_BRANCH = 32  # shards whose averages are combined before they meet the others
+_BRANCH = 32  # groups of shards whose averages are combined before they meet the others
+_SPREAD, _GROUP = 256, 4  # shards are grouped where there are more than so many, so many together at most
 _MOMENTS = "steps long, rate double, theta array<double>, first array<double>, second array<double>"
 OPTIMIZERS = ("rmsprop", "adam")
 
 
 class _Rows:
-    """Complete rows in shards, in a repeatable order, bucketed by (slice, shard).
+    """Complete rows in shards, in a repeatable order, bucketed by groups of shards.
 
     A slice has as many shards as its rows need, dealt by key hash: a large slice is spread over
-    tasks, a small one stays in one.
+    tasks, a small one stays in one.  Where there are many shards, up to ``_GROUP`` of a slice lie together:
+    such a group is read, gets its weights and returns their mean once.  How many depends on the rows
+    alone.  ``table`` has a row per shard with its numbers as bytes, so that an epoch neither sorts nor
+    converts rows, in buckets of (slice, group).
     """
 
     def __init__(self, table: DataFrame, features, tasks, by, keys, shard_rows: int, seed: int):
@@ -47,32 +51,79 @@ class _Rows:
                    for kind, names in (("x", features), ("y", tasks)) for i, c in enumerate(names)]
         self.x, self.y = [[f"_{k}{i}" for i in range(len(n))] for k, n in (("x", features), ("y", tasks))]
         rows = table.select(F.xxhash64(F.lit(seed), *keys).alias("_h"), slices, *columns).dropna(subset=["_slice", *self.x])
-        rows = stored(rows, "fit-rows")
-        self.shards = stored(shards_of(rows, "_slice", shard_rows), "fit-shards")
+        self.rows = stored(rows, "fit-rows")
+        self.shards = stored(shards_of(self.rows, "_slice", shard_rows), "fit-shards")
         own = self.shards.select(F.col("slice").alias("_slice"), "shards")
-        sharded = rows.join(own, "_slice").withColumn("_shard", F.pmod("_h", F.col("shards")).cast("int")).drop("shards")
-        n = int(self.shards.agg(F.sum("shards")).first()[0] or 1)
-        self.table = bucketed(sharded, ["_slice", "_shard"], min(n, 100_000))
+        sharded = self.rows.join(own, "_slice").withColumn("_shard", F.pmod("_h", F.col("shards")).cast("int")).drop("shards")
+        each = min(max(_total(self.shards) // _SPREAD, 1), _GROUP)
+        self.groups = self.shards.withColumn("shards", F.ceil(F.col("shards") / each).cast("int"))
+        packed = sharded.groupBy("_slice", "_shard").applyInArrow(
+            _packing(self.x, self.y), "_slice string, _shard int, _x binary, _y binary, _n int")
+        self.table = bucketed(packed.withColumn("_group", F.floor(F.col("_shard") / each).cast("int")),
+                              ["_slice", "_group"], min(max(_total(self.groups), 1), 100_000))
 
     def with_weights(self, weights: DataFrame, work, schema: str) -> DataFrame:
-        """``work(slice, shard, x, y, weights of the slice)`` of each shard whose slice has weights."""
-        x_names, y_names = self.x, self.y
+        """What ``work(slice, shard, x, y, weights of the slice)`` finds in each shard whose slice has weights.
 
+        Rows with a ``vec`` are averaged within a group of shards, whose number they get as ``shard``.
+        """
         def one(rows, state):
             import pyarrow as pa
 
             if not rows.num_rows or not state.num_rows:
                 return pa.Table.from_pylist([], schema=arrow)
-            rows = rows.sort_by([(c, "ascending") for c in ("_h", *x_names, *y_names)])
-            x, y = [np.column_stack([rows[c].to_numpy(zero_copy_only=False).astype(float) for c in names]) for names in (x_names, y_names)]
-            found = work(rows["_slice"][0].as_py(), rows["_shard"][0].as_py(), x, y, state)
-            return pa.Table.from_pylist(found, schema=arrow)
+            rows = rows.sort_by("_shard")
+            name, number = rows["_slice"][0].as_py(), rows["_group"][0].as_py()
+            found = (work(name, rows["_shard"][i].as_py(), *_unpacked(rows, i), state) for i in range(rows.num_rows))
+            return pa.Table.from_pylist(_group_mean(found, number), schema=arrow)
 
         from pyspark.sql.pandas.types import to_arrow_schema
         from pyspark.sql.types import _parse_datatype_string
         arrow = to_arrow_schema(_parse_datatype_string(schema))
-        messages = to_shards(weights, self.shards)
-        return self.table.groupBy("_slice", "_shard").cogroup(messages.groupBy("slice", "shard")).applyInArrow(one, schema)
+        messages = to_shards(weights, self.groups)
+        return self.table.groupBy("_slice", "_group").cogroup(messages.groupBy("slice", "shard")).applyInArrow(one, schema)
+
+
+def _total(shards: DataFrame) -> int:
+    return int(shards.agg(F.sum("shards")).first()[0] or 0)
+
+
+def _packing(x_names: list[str], y_names: list[str]):
+    """Rows of one shard, in the order of their hash, as one row with the bytes of all features and of all targets."""
+    def pack(rows):
+        import pyarrow as pa
+
+        rows = rows.sort_by([(c, "ascending") for c in ("_h", *x_names, *y_names)])
+        x, y = (matrix_of([rows[c] for c in names]).astype("<f8").tobytes(order="F") for names in (x_names, y_names))
+        return pa.table({
+            "_slice": rows["_slice"].slice(0, 1), "_shard": rows["_shard"].slice(0, 1), "_x": pa.array([x], pa.binary()),
+            "_y": pa.array([y], pa.binary()), "_n": pa.array([rows.num_rows], pa.int32())})
+
+    return pack
+
+
+def _unpacked(rows, i: int) -> list[np.ndarray]:
+    """Features and targets of the shard in row ``i``, as (rows, columns)."""
+    n = rows["_n"][i].as_py()
+    return [np.ascontiguousarray(np.frombuffer(rows[c][i].as_buffer(), "<f8").reshape(-1, n).T) for c in ("_x", "_y")]
+
+
+def _group_mean(parts, number: int) -> list[dict]:
+    """Rows of several shards: those with a ``vec`` by their means, a running one at a time, others as they are."""
+    plain, sums = [], {}
+    for row in (row for part in parts for row in part):
+        if "vec" not in row:
+            plain.append(row)
+        elif row["weight"] > 0:
+            old = sums.get(row["block"])
+            if old is None:
+                sums[row["block"]] = {**row, "shard": number}
+                continue
+            weight = old["weight"] + row["weight"]
+            old["vec"] = old["vec"] + (row["vec"] - old["vec"]) * (row["weight"] / weight)
+            old |= {"weight": weight, "steps": max(old["steps"], row["steps"]),
+                    "known": old["known"] + row["known"], "loss": old["loss"] + row["loss"]}
+    return plain + list(sums.values())
 
 
 def _local_steps(net: Network, batch_size: int, optimizer: str, seed: int):
@@ -85,12 +136,14 @@ def _local_steps(net: Network, batch_size: int, optimizer: str, seed: int):
         for at in range(0, len(x), batch_size):
             loss, grad = net.step(theta, x[at:at + batch_size], y[at:at + batch_size], rng)
             steps, total = steps + 1, total + loss
-            second = 0.999 * second + 0.001 * grad * grad if optimizer == "adam" else 0.9 * second + 0.1 * grad * grad
+            keep, new = (0.999, 0.001) if optimizer == "adam" else (0.9, 0.1)
+            second *= keep
+            second += new * grad * grad
             if optimizer == "adam":
                 first = 0.9 * first + 0.1 * grad
-                theta = theta - rate * (first / (1 - 0.9 ** steps)) / (np.sqrt(second / (1 - 0.999 ** steps)) + 1e-7)
+                theta -= rate * (first / (1 - 0.9 ** steps)) / (np.sqrt(second / (1 - 0.999 ** steps)) + 1e-7)
             else:
-                theta = theta - rate * grad / (np.sqrt(second) + 1e-7)
+                theta -= rate * grad / (np.sqrt(second) + 1e-7)
         known = float((~np.isnan(y)).sum())
         packed = [block_rows(v) for v in (theta, first, second)]
         return [{"slice": name, "shard": shard, "block": b, "steps": steps, "vec": np.concatenate([p[b][1] for p in packed]),
@@ -290,6 +343,6 @@ def _best_weights(saved: _Epochs, done: DataFrame, last: int) -> DataFrame:
 
 def _variance(rows: _Rows, tasks: list[str]) -> DataFrame:
     """(slice, task, variance) of the training targets."""
-    wide = rows.table.groupBy("_slice").agg(*[F.var_pop(c).alias(c) for c in rows.y])
+    wide = rows.rows.groupBy("_slice").agg(*[F.var_pop(c).alias(c) for c in rows.y])
     pairs = F.array(*[F.struct(F.lit(t).alias("task"), F.col(c).alias("variance")) for t, c in zip(tasks, rows.y)])
     return wide.select(F.col("_slice").alias("slice"), F.inline(pairs))

@@ -8,9 +8,11 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-
+from canopanel.operators import evidential, fitting
 from canopanel.operators.evidential import EvidentialModel, Network
 
+OPTIONS = dict(hidden_layers=1, hidden_neurons=4, epochs=2, batch_size=32, seed=3)
+
 
 def table_of(spark, n: int):
     return spark.range(n).select(
@@ -49,3 +51,18 @@ def test_scores_of_a_row_table_match_the_network(spark):
     head = net.outputs(theta, rows.loc[rows.task == "a", ["x1", "x2"]].to_numpy())
     for at, task in enumerate("ab"):
         assert np.allclose(rows.loc[rows.task == task, "mu"], head[0][:, at])
+
+
+def test_many_shards_return_one_mean_a_group(spark, monkeypatch):
+    """Weights move once a group of shards, an epoch reads a row per shard, and the fit stays that of single shards."""
+    table = table_of(spark, 2000)
+    single = fitting.fit_evidential(table, table, ["x1", "x2"], ["y"], ["id"], shard_rows=50, **OPTIONS)
+    seen = []
+    monkeypatch.setattr(fitting, "_SPREAD", 10)
+    tree = fitting._tree_mean
+    monkeypatch.setattr(fitting, "_tree_mean", lambda parts: seen.append(parts.count()) or tree(parts))
+    grouped = fitting.fit_evidential(table, table, ["x1", "x2"], ["y"], ["id"], shard_rows=50, **OPTIONS)
+    assert seen == [10, 10]  # 40 shards
+    assert np.allclose(grouped.vector(), single.vector(), rtol=1e-9, atol=1e-12)
+    rows = fitting._Rows(table, ["x1", "x2"], ["y"], None, ["id"], 50, 3)
+    assert rows.table.count() == 40 and rows.table.agg(F.sum("_n")).first()[0] == 2000
