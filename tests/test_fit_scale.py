@@ -66,3 +66,16 @@ def test_many_shards_return_one_mean_a_group(spark, monkeypatch):
     assert np.allclose(grouped.vector(), single.vector(), rtol=1e-9, atol=1e-12)
     rows = fitting._Rows(table, ["x1", "x2"], ["y"], None, ["id"], 50, 3)
     assert rows.table.count() == 40 and rows.table.agg(F.sum("_n")).first()[0] == 2000
+
+
+def test_heads_are_worked_out_for_known_targets_only(monkeypatch):
+    rng = np.random.default_rng(0)
+    net = Network(n_features=3, n_tasks=25, hidden_layers=1, hidden_neurons=8)
+    x, y = rng.normal(size=(200, 3)), rng.normal(size=(200, 25))
+    y[rng.random(y.shape) < 0.75] = np.nan
+    sizes, soft = [], evidential._softplus
+    monkeypatch.setattr(evidential, "_softplus", lambda z: sizes.append(z.size) or soft(z))
+    loss, _ = net.step(net.initial(1), x, y)
+    assert sum(sizes) == 3 * int((~np.isnan(y)).sum())
+    monkeypatch.undo()
+    assert loss == pytest.approx(net.losses(net.outputs(net.initial(1), x), y).sum(), rel=1e-12)
