@@ -24,7 +24,7 @@ from canopanel.schema import nan_to_null
 
 SHARD_ROWS = 16_384  # rows of one slice that one task holds
 BLOCK = 4096  # weights per row of a table of weights
-STEP_ROWS = 256  # rows of a batch that go through the network at once
+STEP_ROWS = 300  # rows of a batch that go through the network at once, at most
 
 
 # ---- column expressions -------------------------------------------------------------
@@ -107,36 +107,57 @@ class Network:
     def _slope(self) -> float:
         return 0.2 if self.activation == "leaky_relu" else 0.0
 
+    def _affine(self, theta: np.ndarray) -> list[np.ndarray]:
+        """Views of each layer's weights with its bias as their last row: units, and a one, lie in rows."""
+        out, at = [], 0
+        for i, o in self.shapes:
+            out.append(theta[at:at + (i + 1) * o].reshape(i + 1, o))
+            at += (i + 1) * o
+        return out
+
     def raw(self, theta: np.ndarray, x: np.ndarray) -> np.ndarray:
         """Last layer's output, block by block of rows."""
-        layers, space = self.layers(theta), self._space(min(len(x), STEP_ROWS), 3)
-        out = np.empty((len(x), 4 * self.n_tasks))
+        layers, rows = self._affine(theta), min(len(x), STEP_ROWS)
+        first, (even, odd, scratch) = self._inputs(rows), self._space(rows, 3)
+        out = np.empty((4 * self.n_tasks, len(x)))
         for at in range(0, len(x), STEP_ROWS):
-            h = x[at:at + STEP_ROWS]
-            for number, (w, b) in enumerate(layers[:-1]):
-                h = self._activated(h, w, b, space[number % 2], space[2])
-            np.matmul(h, layers[-1][0], out=out[at:at + STEP_ROWS])
-        out += layers[-1][1]
-        return out
+            part = x[at:at + STEP_ROWS]
+            h = first[:, :len(part)]
+            h[:-1] = part.T
+            for number, layer in enumerate(layers[:-1]):
+                h = self._activated(h, layer, odd if number % 2 else even, scratch)
+            np.matmul(layers[-1].T, h, out=out[:, at:at + STEP_ROWS])
+        return out.T
+
+    def _inputs(self, rows: int) -> np.ndarray:
+        """Space for features in rows, with a last row of ones."""
+        return np.ones((self.n_features + 1, rows))
 
     def _space(self, rows: int, arrays: int) -> list[np.ndarray]:
-        """Arrays of hidden units that all blocks write to."""
-        return [np.empty((rows, self.hidden_neurons)) for _ in range(arrays)]
+        """Arrays of hidden units in rows, with a last row of ones, that all blocks write to."""
+        out = [np.empty((self.hidden_neurons + 1, rows)) for _ in range(arrays)]
+        for a in out:
+            a[-1] = 1.0
+        return out
 
-    def _activated(self, h, w, b, out, scratch) -> np.ndarray:
-        """A hidden layer's activation, written to ``out``; its sign tells the derivative."""
-        z = np.matmul(h, w, out=out[:len(h)])
-        z += b
-        return np.maximum(z, np.multiply(z, self._slope, out=scratch[:len(h)]) if self._slope else 0.0, out=z)
+    def _activated(self, h, layer, out, scratch) -> np.ndarray:
+        """A hidden layer's activation above its row of ones, written to ``out``; its sign tells the derivative."""
+        out = out[:, :h.shape[1]]
+        z = np.matmul(layer.T, h, out=out[:-1])
+        np.maximum(z, np.multiply(z, self._slope, out=scratch[:-1, :h.shape[1]]) if self._slope else 0.0, out=z)
+        return out
 
     def _dropped(self, a: np.ndarray, rng) -> tuple[np.ndarray, np.ndarray | None]:
-        """An activation after dropout and noise, and what dropout kept."""
-        keep = None
-        if rng is not None and self.dropout:
-            keep = (rng.random(a.shape) >= self.dropout) / (1.0 - self.dropout)
-            a = a * keep
-        if rng is not None and self.noise_sd:
-            a = a + rng.normal(0.0, self.noise_sd, a.shape)
+        """An activation after dropout and noise, and what dropout kept; draws are made row of the batch by row."""
+        keep, shape = None, (a.shape[1], a.shape[0] - 1)
+        if rng is None or not (self.dropout or self.noise_sd):
+            return a, keep
+        a = a.copy()
+        if self.dropout:
+            keep = ((rng.random(shape) >= self.dropout) / (1.0 - self.dropout)).T
+            a[:-1] *= keep
+        if self.noise_sd:
+            a[:-1] += rng.normal(0.0, self.noise_sd, shape).T
         return a, keep
 
     def outputs(self, theta: np.ndarray, x: np.ndarray):
@@ -166,73 +187,82 @@ class Network:
         The batch goes through in blocks of rows that stay in a core's cache; their gradients add up.
         """
         drawn = rng is not None and (self.dropout or self.noise_sd)  # draws go through the whole batch, layer by layer
-        rows = len(x) if drawn else min(len(x), STEP_ROWS)
+        rows = len(x) if drawn else -(-len(x) // max(-(-len(x) // STEP_ROWS), 1))  # blocks of one size
         grad = np.zeros_like(theta)
-        layers, views, space = self.layers(theta), self.layers(grad), self._space(rows, 3 + self.hidden_layers)
+        layers, views = self._affine(theta), self._affine(grad)
+        first, space = self._inputs(rows), self._space(rows, 3 + self.hidden_layers)
         known = ~np.isnan(y)
         share, loss = 1.0 / max(int(known.sum()), 1), 0.0
         for at in range(0, len(x), max(rows, 1)):
             block = slice(at, at + rows)
-            loss += self._add_gradient(layers, views, x[block], y[block], known[block], share, rng, space)
-        for (w, _), (gw, _) in zip(layers, views):
-            gw += 2 * self.l2_weight * w
+            loss += self._add_gradient(layers, views, x[block], y[block].T, known[block].T, share, rng, first, space)
+        for w, g in zip(layers, views):
+            g[:-1] += 2 * self.l2_weight * w[:-1]
         return loss, grad
 
-    def _add_gradient(self, layers, views, x, y, known, share: float, rng, space) -> float:
+    def _add_gradient(self, layers, views, x, y, known, share: float, rng, first, space) -> float:
         """Adds ``share`` of the block's summed gradient to ``views``; the sum of its losses."""
-        scratch, deltas, trace, h = space[0][:len(x)], space[1:3], [], x
-        for (w, b), out in zip(layers[:-1], space[3:]):
-            active = self._activated(h, w, b, out, scratch)
+        rows = len(x)
+        scratch, deltas, trace = space[0], [a[:-1, :rows] for a in space[1:3]], []
+        h = first[:, :rows]
+        h[:-1] = x.T
+        for layer, out in zip(layers[:-1], space[3:]):
+            active = self._activated(h, layer, out, scratch)
             after, keep = self._dropped(active, rng)
             trace.append((h, active, keep))
             h = after
-        w, b = layers[-1]
-        loss, delta = self._head_gradient(h @ w + b, y, known)
+        loss, delta = self._head_gradient(np.matmul(layers[-1].T, h), y, known)
         delta *= share
+        factor = scratch[:-1, :rows]
         for number in range(len(layers) - 1, -1, -1):
-            gw, gb = views[number]
-            gw += (trace[number][0] if number < len(trace) else h).T @ delta
-            gb += delta.sum(axis=0)
+            views[number] += np.matmul(trace[number][0] if number < len(trace) else h, delta.T)
             if number:
                 _, active, keep = trace[number - 1]
-                delta = np.matmul(delta, layers[number][0].T, out=deltas[number % 2][:len(x)])
-                np.multiply(active > 0, 1.0 - self._slope, out=scratch)
-                scratch += self._slope
-                delta *= scratch
+                delta = np.matmul(layers[number][:-1], delta, out=deltas[number % 2])
+                np.greater(active[:-1], 0.0, out=factor)
+                if self._slope:
+                    np.maximum(factor, self._slope, out=factor)
+                delta *= factor
                 if keep is not None:
                     delta *= keep
         return loss
 
     def _head_gradient(self, o: np.ndarray, y: np.ndarray, known: np.ndarray) -> tuple[float, np.ndarray]:
-        """Sum of losses and their derivatives by the outputs, worked out for known targets only: others have none."""
-        whole = bool(known.all())
-        zg, zn, za, zb = (part if whole else part[known] for part in np.split(o, 4, axis=1))
-        nu, al, be = _softplus(zn) + 1e-6, _softplus(za) + 1 + 1e-6, _softplus(zb) + 1e-6
-        e = (y if whole else y[known]) - zg
-        om, lam, size = 2 * be * (1 + nu), self.loss_weight, np.abs(e)
-        big = nu * e * e + om
-        (lgamma_al, digamma_al), (lgamma_half, digamma_half) = _gammas(al), _gammas(al + 0.5)
-        loss = (0.5 * np.log(np.pi / nu) - al * np.log(om) + (al + 0.5) * np.log(big) + lgamma_al - lgamma_half
-                + lam * size * (2 * nu + al))
-        dg = -2 * (al + 0.5) * nu * e / big - lam * np.sign(e) * (2 * nu + al)
-        dn = -0.5 / nu - al / (1 + nu) + (al + 0.5) * (e * e + 2 * be) / big + 2 * lam * size
-        da = np.log(big / om) + digamma_al - digamma_half + lam * size
-        db = -al / be + 2 * (al + 0.5) * (1 + nu) / big
-        found = [dg, dn * _sigmoid(zn), da * _sigmoid(za), db * _sigmoid(zb)]
-        if whole:
-            return float(loss.sum()), np.concatenate(found, axis=1)
-        delta = np.zeros_like(o)
-        for part, place in zip(found, np.split(delta, 4, axis=1)):
-            place[known] = part
-        return float(loss.sum()), delta
-
+        """Sum of losses and their derivatives by the outputs, worked out for known targets only: others have none.
 
-def _softplus(z):
-    return np.logaddexp(0.0, z)
+        Outputs, targets and what is known of them lie in rows, a row of the batch in each column.
+        """
+        z, target, at = o.reshape(4, -1), y.reshape(-1), None
+        if not known.all():
+            at = np.flatnonzero(known)
+            z, target = z[:, at], target[at]
+        soft = _softplus(z[1:])
+        nu, al, be = soft[0] + 1e-6, soft[1] + (1 + 1e-6), soft[2] + 1e-6
+        e = target - z[0]
+        lam, size, square, more = self.loss_weight, np.abs(e), e * e, al + 0.5
+        om = 2 * be * (1 + nu)
+        big = nu * square + om
+        log_nu, log_om, log_big = np.log(np.stack([nu, om, big]))
+        lgammas, digammas = _gammas(np.stack([al, more]))
+        wide = lam * size * (2 * nu + al)
+        loss = 0.5 * (math.log(math.pi) - log_nu) - al * log_om + more * log_big + lgammas[0] - lgammas[1] + wide
+        per = more / big
+        found = np.empty_like(z)
+        found[0] = -2 * per * nu * e - lam * np.sign(e) * (2 * nu + al)
+        found[1] = -0.5 / nu - al / (1 + nu) + per * (square + 2 * be) + 2 * lam * size
+        found[2] = log_big - log_om + digammas[0] - digammas[1] + lam * size
+        found[3] = -al / be + 2 * per * (1 + nu)
+        found[1:] *= -np.expm1(-soft)
+        if at is None:
+            return float(loss.sum()), found.reshape(o.shape)
+        delta = np.zeros((4, o.size // 4))
+        delta[:, at] = found
+        return float(loss.sum()), delta.reshape(o.shape)
 
 
-def _sigmoid(z):
-    return 0.5 * (1.0 + np.tanh(0.5 * z))
+def _softplus(z):
+    """``log(1 + exp(z))``; its derivative is ``-expm1(-softplus)``."""
+    return np.maximum(z, 0.0) + np.log1p(np.exp(-np.abs(z)))
 
 
 def _lgamma(x):
@@ -246,23 +276,20 @@ def _lgamma(x):
 
 
 def _gammas(x):
-    """``_lgamma`` and ``_digamma`` of x, which share a logarithm and a square."""
+    """``_lgamma`` and ``_digamma`` of x, which share a logarithm and the product x (x + 1) ... (x + 5).
+
+    With u = x (x + 5) the product is u (u + 4) (u + 6), and the sum of 1 / (x + k) its logarithm's derivative.
+    """
     z = x + 6.0
     inv, log = 1.0 / z, np.log(z)
     inv2 = inv * inv
-    terms = [x + k for k in range(6)]
+    u = x * (x + 5.0)
+    u4, u6 = u + 4.0, u + 6.0
+    both = u4 * u6
     series = inv * (1 / 12 - inv2 * (1 / 360 - inv2 * (1 / 1260 - inv2 * (1 / 1680 - inv2 / 1188))))
-    product = x * terms[1] * terms[2] * terms[3] * terms[4] * terms[5]
-    lgamma = (z - 0.5) * log - z + 0.5 * math.log(2 * math.pi) + series - np.log(product)
-    digamma = log - 0.5 * inv - inv2 * (1 / 12 - inv2 * (1 / 120 - inv2 / 252))
-    return lgamma, digamma - sum(1.0 / t for t in terms)
-
-
-def _digamma(x):
-    shifted = x + 6.0
-    inv2 = 1.0 / (shifted * shifted)
-    series = np.log(shifted) - 0.5 / shifted - inv2 * (1 / 12 - inv2 * (1 / 120 - inv2 / 252))
-    return series - sum(1.0 / (x + k) for k in range(6))
+    lgamma = (z - 0.5) * log - z + 0.5 * math.log(2 * math.pi) + series - np.log(u * both)
+    terms = (2.0 * x + 5.0) * (both + u * (u4 + u6)) / (u * both)
+    return lgamma, log - 0.5 * inv - inv2 * (1 / 12 - inv2 * (1 / 120 - inv2 / 252)) - terms
 
 
 # ---- weights as a table ---------------------------------------------------------------

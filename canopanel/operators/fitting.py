@@ -25,24 +25,30 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from canopanel.cluster import bucketed, shared_folder, stored
+from canopanel.cluster import BROADCAST_BYTES, bucketed, shared_folder, stored
 from canopanel.operators.evidential import (
-    BLOCK, SHARD_ROWS, EvidentialModel, Network, block_rows, matrix_of, shards_of, to_shards, vector_of)
+    BLOCK, SHARD_ROWS, EvidentialModel, Network, block_rows, shards_of, vector_of)
 
 _BRANCH = 32  # groups of shards whose averages are combined before they meet the others
-_SPREAD, _GROUP = 256, 4  # shards are grouped where there are more than so many, so many together at most
+_SPREAD = 128  # shards are grouped where there are twice as many or more
+_GROUP_BYTES = 64 << 20  # of the numbers of a group's shards together, at most
 _MOMENTS = "steps long, rate double, theta array<double>, first array<double>, second array<double>"
 OPTIMIZERS = ("rmsprop", "adam")
+_TABLES = {  # of an epoch; those of the first weights have no sums
+    "weights": "slice string, block int, steps long, theta array<double>, first array<double>, second array<double>, "
+               "known double, loss double",
+    "control": "slice string, epoch int, train_loss double, val_loss double, val_mse double, learning_rate double, "
+               "best_loss double, best_epoch int, stale int, next_rate double, active boolean"}
 
 
 class _Rows:
     """Complete rows in shards, in a repeatable order, bucketed by groups of shards.
 
     A slice has as many shards as its rows need, dealt by key hash: a large slice is spread over
-    tasks, a small one stays in one.  Where there are many shards, up to ``_GROUP`` of a slice lie together:
-    such a group is read, gets its weights and returns their mean once.  How many depends on the rows
-    alone.  ``table`` has a row per shard with its numbers as bytes, so that an epoch neither sorts nor
-    converts rows, in buckets of (slice, group).
+    tasks, a small one stays in one.  Where there are many shards, several of a slice lie together, up to
+    ``_GROUP_BYTES``: such a group is read, gets its weights and returns their mean once, so that copies of weights
+    and tasks hardly grow with the rows.  How many depends on the rows alone.  ``table`` has a row per shard with its
+    numbers as bytes, so that an epoch neither sorts nor converts rows, in buckets of (slice, group).
     """
 
     def __init__(self, table: DataFrame, features, tasks, by, keys, shard_rows: int, seed: int):
@@ -55,17 +61,23 @@ class _Rows:
         self.shards = stored(shards_of(self.rows, "_slice", shard_rows), "fit-shards")
         own = self.shards.select(F.col("slice").alias("_slice"), "shards")
         sharded = self.rows.join(own, "_slice").withColumn("_shard", F.pmod("_h", F.col("shards")).cast("int")).drop("shards")
-        each = min(max(_total(self.shards) // _SPREAD, 1), _GROUP)
-        self.groups = self.shards.withColumn("shards", F.ceil(F.col("shards") / each).cast("int"))
+        room = _GROUP_BYTES // (8 * shard_rows * (len(self.x) + len(self.y)))
+        self.slices, total = _totals(self.shards)
+        each = max(min(total // _SPREAD, room), 1)
+        groups = self.shards.withColumn("shards", F.ceil(F.col("shards") / each).cast("int"))
+        buckets = min(max(_totals(groups)[1], 1), 100_000)
         packed = sharded.groupBy("_slice", "_shard").applyInArrow(
             _packing(self.x, self.y), "_slice string, _shard int, _x binary, _y binary, _n int")
         self.table = bucketed(packed.withColumn("_group", F.floor(F.col("_shard") / each).cast("int")),
-                              ["_slice", "_group"], min(max(_total(self.groups), 1), 100_000))
+                              ["_slice", "_group"], buckets)
+        places = groups.select("slice", F.explode(F.sequence(F.lit(0), F.col("shards") - 1)).alias("shard"))
+        self.places = bucketed(places, ["slice", "shard"], buckets)
 
-    def with_weights(self, weights: DataFrame, work, schema: str) -> DataFrame:
+    def with_weights(self, weights: DataFrame, size: int, work, schema: str) -> DataFrame:
         """What ``work(slice, shard, x, y, weights of the slice)`` finds in each shard whose slice has weights.
 
-        Rows with a ``vec`` are averaged within a group of shards, whose number they get as ``shard``.
+        Rows with a ``vec`` are averaged within a group of shards, whose number they get as ``shard``.  Weights
+        of ``size`` numbers a slice, where those of all slices are few, go to the groups' places and are not moved again.
         """
         def one(rows, state):
             import pyarrow as pa
@@ -80,12 +92,15 @@ class _Rows:
         from pyspark.sql.pandas.types import to_arrow_schema
         from pyspark.sql.types import _parse_datatype_string
         arrow = to_arrow_schema(_parse_datatype_string(schema))
-        messages = to_shards(weights, self.groups)
+        few = 8 * size * self.slices <= BROADCAST_BYTES
+        messages = self.places.join(F.broadcast(weights) if few else weights, "slice")
         return self.table.groupBy("_slice", "_group").cogroup(messages.groupBy("slice", "shard")).applyInArrow(one, schema)
 
 
-def _total(shards: DataFrame) -> int:
-    return int(shards.agg(F.sum("shards")).first()[0] or 0)
+def _totals(shards: DataFrame) -> tuple[int, int]:
+    """How many slices and shards there are."""
+    slices, total = shards.agg(F.count("*"), F.sum("shards")).first()
+    return slices, int(total or 0)
 
 
 def _packing(x_names: list[str], y_names: list[str]):
@@ -93,8 +108,12 @@ def _packing(x_names: list[str], y_names: list[str]):
     def pack(rows):
         import pyarrow as pa
 
-        rows = rows.sort_by([(c, "ascending") for c in ("_h", *x_names, *y_names)])
-        x, y = (matrix_of([rows[c] for c in names]).astype("<f8").tobytes(order="F") for names in (x_names, y_names))
+        x, y = ([np.asarray(rows[c].to_numpy(), dtype="<f8") for c in names] for names in (x_names, y_names))
+        hashes = rows["_h"].to_numpy()
+        order = np.argsort(hashes)
+        if (np.diff(hashes[order]) == 0).any():  # rows of equal hashes are ordered by their numbers
+            order = np.lexsort([*y[::-1], *x[::-1], hashes])
+        x, y = (b"".join(c[order].tobytes() for c in columns) for columns in (x, y))
         return pa.table({
             "_slice": rows["_slice"].slice(0, 1), "_shard": rows["_shard"].slice(0, 1), "_x": pa.array([x], pa.binary()),
             "_y": pa.array([y], pa.binary()), "_n": pa.array([rows.num_rows], pa.int32())})
@@ -103,9 +122,9 @@ def _packing(x_names: list[str], y_names: list[str]):
 
 
 def _unpacked(rows, i: int) -> list[np.ndarray]:
-    """Features and targets of the shard in row ``i``, as (rows, columns)."""
+    """Features and targets of the shard in row ``i``, as (rows, columns) that lie column by column."""
     n = rows["_n"][i].as_py()
-    return [np.ascontiguousarray(np.frombuffer(rows[c][i].as_buffer(), "<f8").reshape(-1, n).T) for c in ("_x", "_y")]
+    return [np.frombuffer(rows[c][i].as_buffer(), "<f8").reshape(-1, n).T for c in ("_x", "_y")]
 
 
 def _group_mean(parts, number: int) -> list[dict]:
@@ -202,7 +221,7 @@ class _Epochs:
         return f"{self.folder}/{kind}-{epoch:06d}"
 
     def read(self, kind: str, epoch: int) -> DataFrame:
-        return self.spark.read.parquet(self.path(kind, epoch))
+        return self.spark.read.schema(_TABLES[kind]).parquet(self.path(kind, epoch))
 
     def write(self, kind: str, epoch: int, table: DataFrame) -> None:
         table.write.mode("overwrite").parquet(self.path(kind, epoch))
@@ -299,7 +318,7 @@ def fit_evidential(
             break
         state = saved.read("weights", epoch - 1).join(active, "slice")
         steps = work or _local_steps(net, batch_size, optimizer, seed + 7919 * epoch)
-        merged = _tree_mean(rows.with_weights(state, steps, width))
+        merged = _tree_mean(rows.with_weights(state, 3 * net.size, steps, width))
         if work:
             merged = _stepped(merged, state, optimizer)
         else:
@@ -326,7 +345,7 @@ def _validated(rows: _Rows, net: Network, weights: DataFrame) -> DataFrame:
         return [{"slice": name, "n": int((~np.isnan(y)).sum()), "loss": float(net.losses(head, y).sum()),
                  "sq": float(np.nansum((y - head[0]) ** 2))}]
 
-    total = rows.with_weights(weights, sums, "slice string, n long, loss double, sq double").groupBy("slice").agg(
+    total = rows.with_weights(weights, net.size, sums, "slice string, n long, loss double, sq double").groupBy("slice").agg(
         F.sum("n").alias("n"), F.sum("loss").alias("loss"), F.sum("sq").alias("sq"))
     return total.select("slice", F.try_divide("loss", "n").alias("val_loss"), F.try_divide("sq", "n").alias("val_mse"))
 

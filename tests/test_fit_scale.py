@@ -79,3 +79,50 @@ def test_heads_are_worked_out_for_known_targets_only(monkeypatch):
     assert sum(sizes) == 3 * int((~np.isnan(y)).sum())
     monkeypatch.undo()
     assert loss == pytest.approx(net.losses(net.outputs(net.initial(1), x), y).sum(), rel=1e-12)
+
+
+def test_groups_of_shards_do_not_grow_with_the_rows(spark, monkeypatch):
+    """Rows ten times as many lie in larger groups, not in more, unless a group's numbers would be too many."""
+    monkeypatch.setattr(fitting, "_SPREAD", 10)
+    def groups(n):
+        rows = fitting._Rows(table_of(spark, n), ["x1", "x2"], ["y"], None, ["id"], 5, 3)
+        return rows.table.select("_slice", "_group").distinct().count(), rows.table.agg(F.sum("_n")).first()[0]
+    assert groups(200) == (10, 200)
+    assert groups(2000) == (10, 2000)
+    monkeypatch.setattr(fitting, "_GROUP_BYTES", 4 * 5 * 3 * 8)
+    assert groups(2000) == (100, 2000)
+
+
+def test_few_weights_reach_their_shards_without_an_exchange(spark, capsys):
+    rows = fitting._Rows(table_of(spark, 600), ["x1", "x2"], ["y"], "s", ["id"], 50, 3)
+    weights = spark.createDataFrame([(s, 0, [1.0, 2.0]) for s in "012"], "slice string, block int, theta array<double>")
+    def seen(name, shard, x, y, state):
+        return [{"slice": name, "n": len(x), "theta": state["theta"][0].as_py()}]
+    for size, moved in ((2, False), (1 << 40, True)):
+        found = rows.with_weights(weights, size, seen, "slice string, n long, theta array<double>")
+        found.explain()
+        assert ("Exchange hashpartitioning" in capsys.readouterr().out) == moved
+        got = found.groupBy("slice").agg(F.sum("n").alias("n")).collect()
+        assert {(r["slice"], r["n"]) for r in got} == {("0", 200), ("1", 200), ("2", 200)}
+
+
+def test_shards_are_packed_alike_whatever_the_order_of_their_rows():
+    import pyarrow as pa
+    rng = np.random.default_rng(1)
+    rows = pa.table({"_slice": ["a"] * 60, "_shard": [0] * 60, "_h": rng.integers(0, 9, 60), "_x0": rng.normal(size=60),
+                     "_y0": [None if i % 4 == 0 else float(i % 7) for i in range(60)]})
+    pack = fitting._packing(["_x0"], ["_y0"])
+    first, again = pack(rows), pack(rows.take(rng.permutation(60)))
+    assert first.equals(again)
+    x, y = fitting._unpacked(first, 0)
+    assert np.array_equal(x[:, 0], rows.sort_by([("_h", "ascending"), ("_x0", "ascending")])["_x0"].to_numpy())
+    assert np.isnan(y).sum() == 15
+
+
+def test_a_batch_goes_through_in_blocks_of_one_size(monkeypatch):
+    net, sizes = Network(n_features=2, hidden_layers=1, hidden_neurons=4), []
+    add = Network._add_gradient
+    monkeypatch.setattr(Network, "_add_gradient", lambda self, a, b, x, *rest: sizes.append(len(x)) or add(self, a, b, x, *rest))
+    for n in (500, 1200):
+        net.step(net.initial(1), np.ones((n, 2)), np.ones((n, 1)))
+    assert sizes == [250] * 2 + [300] * 4
