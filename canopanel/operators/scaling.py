@@ -7,7 +7,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -23,31 +23,39 @@ def fit_standard(train: DataFrame, columns: Sequence[str], by: Sequence[str] = (
     return train.groupBy(*by).agg(*aggs)
 
 
-def _with_moments(table: DataFrame, moments: DataFrame, by: Sequence[str]) -> DataFrame:
-    fitted = [c for c in moments.columns if c not in by]
-    packed = F.struct(*fitted).alias("_m")
+def _with_moments(table: DataFrame, moments: DataFrame, by: Sequence[str]):
+    """``table`` and the column expression of a moment by its name.
+
+    Moments of groups are joined; those of the whole table, one row, are literals: a row that carried
+    them all would be written out with them.
+    """
     if by:
-        return table.join(small_side(moments.select(*by, packed)), list(by), "left")
-    return table.withColumn("_m", moments.select(packed).scalar())
+        packed = F.struct(*[c for c in moments.columns if c not in by]).alias("_m")
+        return table.join(small_side(moments.select(*by, packed)), list(by), "left"), lambda name: F.col(f"_m.{name}")
+    rows = moments.limit(2).collect()
+    if len(rows) > 1:
+        raise ValueError("moments of the whole table must be one row")
+    return table, lambda name: F.lit(rows[0][name] if rows else None).cast(moments.schema[name].dataType)
 
 
-def _spread(c: str):
-    std = F.col(f"_m.{c}_std")
+def _spread(std: Column) -> Column:
     return F.when(std == 0, 1.0).otherwise(std)
 
 
 def standard_scale(table: DataFrame, moments: DataFrame, columns: Sequence[str],
                    by: Sequence[str] = (), suffix: str = "") -> DataFrame:
     """``(x - mean) / std``; a constant column is only centred."""
-    return _with_moments(table, moments, by).withColumns({
-        f"{c}{suffix}": (F.col(c) - F.col(f"_m.{c}_mean")) / _spread(c) for c in columns}).drop("_m")
+    table, of = _with_moments(table, moments, by)
+    return table.withColumns({
+        f"{c}{suffix}": (F.col(c) - of(f"{c}_mean")) / _spread(of(f"{c}_std")) for c in columns}).drop("_m")
 
 
 def inverse_scale(table: DataFrame, moments: DataFrame, columns: Sequence[str],
                   by: Sequence[str] = (), suffix: str = "") -> DataFrame:
     """``x * std + mean``."""
-    return _with_moments(table, moments, by).withColumns({
-        f"{c}{suffix}": F.col(c) * _spread(c) + F.col(f"_m.{c}_mean") for c in columns}).drop("_m")
+    table, of = _with_moments(table, moments, by)
+    return table.withColumns({
+        f"{c}{suffix}": F.col(c) * _spread(of(f"{c}_std")) + of(f"{c}_mean") for c in columns}).drop("_m")
 
 
 def fit_quantiles(train: DataFrame, columns: Sequence[str], n_quantiles: int = 1000) -> DataFrame:

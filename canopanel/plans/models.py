@@ -52,7 +52,7 @@ def scaled_samples(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame,
     samples = splits.split_member_time(study_samples(spark, sf), member_split(spark, sf), VAL_YEARS)
     used = stored(samples.where("split IS NOT NULL"), "samples").withColumns({
         "season": cal.season(F.col("month")), "month_of_year": F.col("month")})
-    moments = scaling.fit_standard(used.where("split = 'train'"), [*features, "target"])
+    moments = stored(scaling.fit_standard(used.where("split = 'train'"), [*features, "target"]), "moments")
     scaled = scaling.standard_scale(used, moments, [*features, "target"])
     return scaled.where("split = 'train'"), scaled.where("split = 'val'"), features
 
@@ -161,7 +161,7 @@ def fit_multitask(spark, sf):
     table = reshape.with_time_features(reshape.attach_params(
         stored(wide.where("split IS NOT NULL"), "wide"), v.params(spark, sf).drop("member_label")))
     features = [*PARAMS, "m_sin", "m_cos", "year"]
-    moments = scaling.fit_standard(table.where("split = 'train'"), [*features, *tasks])
+    moments = stored(scaling.fit_standard(table.where("split = 'train'"), [*features, *tasks]), "moments")
     scaled = scaling.standard_scale(table, moments, [*features, *tasks])
     train, val = scaled.where("split = 'train'"), scaled.where("split = 'val'")
     model = fit(train, val, features, tasks, keys, **SPATIAL)
@@ -481,7 +481,7 @@ def fast_emulator(spark, sf):
     used = stored(samples.where("split IS NOT NULL"), "samples")
     raw = used.where("split = 'train'")
     scaler = stored(scaling.fit_quantiles(raw, features), "scaler")
-    target = scaling.fit_standard(raw, ["target"])
+    target = stored(scaling.fit_standard(raw, ["target"]), "moments")
     scaled = scaling.standard_scale(scaling.quantile_scale(used, scaler, features), target, ["target"])
     model = fit(scaled.where("split = 'train'"), scaled.where("split = 'val'"), features, ["target"], KEYS, **ANNUAL)
     bounds = aggregate.column_bounds(raw, PARAMS)

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from canopanel.operators import evidential, fitting
+from canopanel.operators import evidential, fitting, scaling
 from canopanel.operators.evidential import EvidentialModel, Network
 
 OPTIONS = dict(hidden_layers=1, hidden_neurons=4, epochs=2, batch_size=32, seed=3)
@@ -126,3 +126,19 @@ def test_a_batch_goes_through_in_blocks_of_one_size(monkeypatch):
     for n in (500, 1200):
         net.step(net.initial(1), np.ones((n, 2)), np.ones((n, 1)))
     assert sizes == [250] * 2 + [300] * 4
+
+
+def test_scaled_rows_carry_no_moments_and_do_not_work_them_out_again(spark, capsys):
+    table = table_of(spark, 60).withColumn("constant", F.lit(4.0)).withColumn("none", F.lit(None).cast("double"))
+    columns = ["x1", "y", "constant", "none"]
+    moments = scaling.fit_standard(table, columns)
+    scaled = scaling.standard_scale(table, moments, columns)
+    scaled.explain()
+    plan = capsys.readouterr().out
+    assert "Subquery" not in plan and "Aggregate" not in plan and "_m" not in plan
+    found = scaled.agg(F.avg("x1"), F.stddev_pop("y"), F.max("constant"), F.count("none")).first()
+    assert found[:] == (pytest.approx(0.0, abs=1e-12), pytest.approx(1.0), 0.0, 0)
+    back = scaling.inverse_scale(scaled, moments, columns).join(table.select("id", F.col("y").alias("want")), "id")
+    assert back.where("abs(y - want) > 1e-12 OR constant <> 4").count() == 0
+    with pytest.raises(ValueError):
+        scaling.standard_scale(table, moments.union(moments), columns)
