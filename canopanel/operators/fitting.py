@@ -7,7 +7,8 @@ return gradients instead, and one step is made from their mean.  All slices trai
 Weights and optimizer moments are a table of (slice, block), written after each epoch; what
 decides how a fit goes on (losses, learning rate, best epoch, patience) is a table of slices.  A
 group of shards meets the weights of its own slice by key, and averages are combined as a tree: shards in
-groups, groups in branches, then branches.  So nothing of all slices is broadcast, collected or held by one task.  Rows are
+groups, groups in branches, then branches.  So nothing of all slices is collected, and their
+weights are broadcast only where they have at most ``BROADCAST_BYTES``.  Rows are
 bucketed by groups of shards once and are not moved again.  A fit whose folder holds epochs goes on
 after the last complete one.
 """
